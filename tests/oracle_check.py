@@ -1,0 +1,103 @@
+"""Run registered Spark queries next to their DuckDB oracle SQL and compare.
+
+Usage: ``python tests/oracle_check.py [sf_dir] [key ...]``. The comparison
+mirrors the driver's: same column names, same row count, same multiset of
+rows (columns sorted by name, rows sorted).
+"""
+
+from __future__ import annotations
+
+import math
+import os
+import sys
+import time
+
+import duckdb
+
+HERE = os.path.dirname(os.path.abspath(__file__))
+ROOT = os.path.dirname(HERE)
+sys.path.insert(0, ROOT)
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents "
+    "embeddings pages benchmark labels conversations"
+).split()
+
+
+def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for t in TABLES:
+        p = f"{sf_dir}/{t}.parquet"
+        if os.path.exists(p):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{p}')")
+    return con
+
+
+def _norm(v):
+    if isinstance(v, float):
+        if math.isnan(v):
+            return "nan"
+        return repr(v)
+    if hasattr(v, "isoformat"):
+        return v.isoformat()
+    if v is None:
+        return "\0null"
+    return str(v)
+
+
+def canon(cols: list[str], rows: list[tuple]) -> tuple[list[str], list[tuple]]:
+    order = sorted(range(len(cols)), key=lambda i: cols[i])
+    out = sorted(tuple(_norm(r[i]) for i in order) for r in rows)
+    return [cols[i] for i in order], out
+
+
+def compare(spark, key: str, sf_dir: str, con=None) -> dict:
+    import __spark_entry__ as E
+
+    con = con or duck(sf_dir)
+    t0 = time.time()
+    sdf = E.queries()[key](spark, sf_dir)
+    srows = [tuple(r) for r in sdf.collect()]
+    t1 = time.time()
+    sql = E.oracle_sql().get(key)
+    res = {"key": key, "spark_rows": len(srows), "spark_sec": round(t1 - t0, 2)}
+    if sql is None:
+        res["oracle"] = "none"
+        return res
+    cur = con.execute(sql)
+    dcols = [d[0] for d in cur.description]
+    drows = cur.fetchall()
+    scols, s = canon(sdf.columns, srows)
+    dc, d = canon(dcols, drows)
+    res.update(duck_rows=len(drows), cols_match=scols == dc, rows_match=s == d)
+    if scols != dc:
+        res["spark_cols"], res["duck_cols"] = scols, dc
+    elif s != d:
+        diff = [x for x in s if x not in set(d)][:3]
+        res["sample_spark_only"] = diff
+        res["sample_duck_only"] = [x for x in d if x not in set(s)][:3]
+    return res
+
+
+def main(argv: list[str]) -> int:
+    sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
+    from cohortlens.session import build_session
+    import __spark_entry__ as E
+
+    spark = build_session("local[8]", 8)
+    keys = argv[1:] or list(E.queries())
+    con = duck(sf_dir)
+    bad = 0
+    for k in keys:
+        try:
+            r = compare(spark, k, sf_dir, con)
+        except Exception as e:  # report and continue
+            r = {"key": k, "error": repr(e)[:500]}
+        ok = r.get("rows_match") and r.get("cols_match") or r.get("oracle") == "none"
+        bad += not ok
+        print(("OK   " if ok else "FAIL ") + str(r), flush=True)
+    return 1 if bad else 0
+
+
+if __name__ == "__main__":
+    sys.exit(main(sys.argv[1:]))
