@@ -1,0 +1,232 @@
+"""Skew-safe ordered scan: per-group LAG and DENSE_RANK without a per-group task.
+
+``Window.partitionBy(g).orderBy(k)`` sends every row of a group to one task;
+a group holding a third of all rows would then be sorted and scanned by a
+single core. This operator computes the same LAG / DENSE_RANK values with
+work split by *rows*:
+
+1. ``repartitionByRange(P, g, *k)`` + ``sortWithinPartitions``: Spark samples
+   the composite key, so a hot group is cut into many contiguous ranges,
+   each a task of about ``rows / P``.
+2. ``mapInArrow`` scans each sorted range in Arrow batches (vectorised
+   numpy/pyarrow, carrying state across batches) and emits per row the local
+   LAG, local dense rank and a "first row of its group in this range" flag,
+   plus one summary row per range: its first and last group, the last row's
+   LAG source values and the last group's local distinct-key count.
+3. The scanned ranges are written once as a Parquet table under the
+   cluster's shared ``spark.checkpoint.dir``. This cuts the lineage (a lost
+   executor costs a re-read, not a re-shuffle) and guarantees that the two
+   consumers below see the very same ranges: two separate range exchanges
+   would sample different bounds.
+4. The summaries (at most P rows, P being the partition count, not the data;
+   read back with a pushed-down filter) are chained with two small windows:
+   the rank offset of a range's first group is the running sum of distinct-key
+   counts of the same group in the preceding ranges, and its first row's
+   predecessor is the last row of the previous range.
+5. The fix-ups (<= P rows) are broadcast and applied with a hash join on
+   (range id, group).
+"""
+
+from __future__ import annotations
+
+import sys
+import uuid
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from cohortlens.session import checkpoint_dir
+
+# Ship this module's code with the tasks, so Python workers need no install of
+# the package (the scan function pickles by value, not by import path).
+try:
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(sys.modules[__name__])
+except Exception:  # pragma: no cover - older cloudpickle
+    pass
+
+_PID, _SUMMARY, _FIRST, _RANK, _SFIRST = "_pid", "_is_summary", "_loc_first", "_loc_rank", "_s_first"
+
+
+def _same_as_prev(arr: pa.Array, head: pa.Array | None) -> np.ndarray:
+    """Element i equals element i-1 (element 0 vs ``head``); null equals null."""
+    n = len(arr)
+    prev = pa.concat_arrays([head if head is not None else pa.nulls(1, arr.type), arr.slice(0, n - 1)])
+    eq = pc.fill_null(pc.equal(arr, prev), False)
+    both_null = pc.and_(pc.is_null(arr), pc.is_null(prev))
+    out = pc.or_(eq, both_null).to_numpy(zero_copy_only=False).copy()
+    if head is None:
+        out[0] = False
+    return out
+
+
+def _shift(arr: pa.Array, head: pa.Array | None, reset: np.ndarray) -> pa.Array:
+    """Previous element (``head`` before the first), null where ``reset``."""
+    n = len(arr)
+    prev = pa.concat_arrays([head if head is not None else pa.nulls(1, arr.type), arr.slice(0, n - 1)])
+    return pc.if_else(pa.array(reset), pa.nulls(n, arr.type), prev)
+
+
+def _scan_fn(group_col: str, order_cols: Sequence[str], lag_cols: Sequence[str]):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        pid = TaskContext.get().partitionId()
+        carry = None  # last row of the previous batch: dict of 1-element arrays + rank
+        first_group = None
+        schema = None
+        for rb in batches:
+            n = rb.num_rows
+            if n == 0:
+                continue
+            schema = rb.schema
+            g = rb.column(group_col)
+            same_g = _same_as_prev(g, carry["g"] if carry else None)
+            same_key = same_g.copy()
+            for j, c in enumerate(order_cols):
+                same_key &= _same_as_prev(rb.column(c), carry["o"][j] if carry else None)
+            grp_start = ~same_g
+            new_key = ~same_key
+            cs = np.cumsum(new_key.astype(np.int64))
+            start_pos = np.maximum.accumulate(np.where(grp_start, np.arange(n), -1))
+            base_rank = carry["rank"] if carry else 0
+            rank = np.where(
+                start_pos >= 0, cs - cs[np.maximum(start_pos, 0)] + 1, base_rank + cs
+            )
+            prevs = [
+                _shift(rb.column(c), carry["lag"][j] if carry else None, grp_start)
+                for j, c in enumerate(lag_cols)
+            ]
+            if first_group is None:
+                first_group = g.slice(0, 1)
+            cols = list(rb.columns) + prevs + [
+                pa.array(np.full(n, pid, dtype=np.int32)),
+                pa.array(np.zeros(n, dtype=bool)),
+                pa.array(grp_start),
+                pa.array(rank.astype(np.int64)),
+                pa.nulls(n, g.type),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, names=_out_names(rb.schema.names, lag_cols))
+            carry = {
+                "g": g.slice(n - 1, 1),
+                "o": [rb.column(c).slice(n - 1, 1) for c in order_cols],
+                "lag": [rb.column(c).slice(n - 1, 1) for c in lag_cols],
+                "rank": int(rank[-1]),
+            }
+        if carry is None:
+            return
+        cols = []
+        for f in schema:
+            if f.name == group_col:
+                cols.append(carry["g"])
+            elif f.name in lag_cols:
+                cols.append(carry["lag"][list(lag_cols).index(f.name)])
+            else:
+                cols.append(pa.nulls(1, f.type))
+        cols += [pa.nulls(1, schema.field(c).type) for c in lag_cols]
+        cols += [
+            pa.array([pid], pa.int32()),
+            pa.array([True]),
+            pa.nulls(1, pa.bool_()),
+            pa.array([carry["rank"]], pa.int64()),
+            first_group,
+        ]
+        yield pa.RecordBatch.from_arrays(cols, names=_out_names(schema.names, lag_cols))
+
+    return scan
+
+
+def _out_names(names: Sequence[str], lag_cols: Sequence[str]) -> list[str]:
+    return list(names) + [f"_lag_{c}" for c in lag_cols] + [_PID, _SUMMARY, _FIRST, _RANK, _SFIRST]
+
+
+def ordered_scan(
+    df: DataFrame,
+    group_col: str,
+    order_cols: Sequence[str],
+    lag_cols: Sequence[str] = (),
+    lag_names: Sequence[str] | None = None,
+    rank_name: str | None = None,
+    num_partitions: int | None = None,
+) -> DataFrame:
+    """``df`` plus ``LAG(c) OVER w`` for each of ``lag_cols`` and ``DENSE_RANK() OVER w``.
+
+    ``w = PARTITION BY group_col ORDER BY order_cols`` (ascending, nulls
+    first, like Spark windows); a null group is a group of its own. Output
+    columns: ``df``'s columns, then ``lag_names`` (default ``prev_<col>``),
+    then ``rank_name`` if given. ``num_partitions`` defaults to
+    ``spark.sql.shuffle.partitions``.
+    """
+    spark = df.sparkSession
+    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lag_cols = list(lag_cols)
+    lag_names = list(lag_names) if lag_names is not None else [f"prev_{c}" for c in lag_cols]
+    keys = [group_col, *order_cols]
+
+    ranged = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    in_fields = df.schema.fields
+    out_schema = T.StructType(
+        list(in_fields)
+        + [T.StructField(f"_lag_{c}", df.schema[c].dataType, True) for c in lag_cols]
+        + [
+            T.StructField(_PID, T.IntegerType(), True),
+            T.StructField(_SUMMARY, T.BooleanType(), True),
+            T.StructField(_FIRST, T.BooleanType(), True),
+            T.StructField(_RANK, T.LongType(), True),
+            T.StructField(_SFIRST, df.schema[group_col].dataType, True),
+        ]
+    )
+    scanned = ranged.mapInArrow(_scan_fn(group_col, order_cols, lag_cols), out_schema)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/ordered-scan-{uuid.uuid4().hex}"
+    scanned.write.mode("errorifexists").parquet(path)
+    scanned = spark.read.schema(out_schema).parquet(path)
+
+    # Per-range summaries: at most `parts` rows.
+    summary = scanned.where(F.col(_SUMMARY)).select(
+        F.col(_PID).alias("s_pid"),
+        F.col(_SFIRST).alias("first_g"),
+        F.col(group_col).alias("last_g"),
+        F.col(_RANK).alias("tail"),
+        *[F.col(c).alias(f"s_last_{i}") for i, c in enumerate(lag_cols)],
+    )
+    by_group = Window.partitionBy("last_g").orderBy("s_pid").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    in_order = Window.orderBy("s_pid")  # single task over <= `parts` summary rows
+    chained = summary.withColumn("cum_tail", F.sum("tail").over(by_group)).select(
+        "s_pid",
+        "first_g",
+        F.lag(F.lit(True)).over(in_order).alias("has_prev"),
+        F.lag("last_g").over(in_order).alias("prev_last_g"),
+        F.lag("cum_tail").over(in_order).alias("fix_offset"),
+        *[F.lag(f"s_last_{i}").over(in_order).alias(f"fix_{i}") for i in range(len(lag_cols))],
+    )
+    fixups = chained.where(
+        F.col("has_prev") & F.col("prev_last_g").eqNullSafe(F.col("first_g"))
+    ).select("s_pid", "first_g", "fix_offset", *[f"fix_{i}" for i in range(len(lag_cols))])
+
+    data = scanned.where(~F.col(_SUMMARY))
+    joined = data.join(
+        F.broadcast(fixups),
+        (data[_PID] == fixups["s_pid"]) & data[group_col].eqNullSafe(fixups["first_g"]),
+        "left",
+    )
+    fixed = joined.s_pid.isNotNull()
+    out_cols = [F.col(f.name) for f in in_fields]
+    for i, (c, name) in enumerate(zip(lag_cols, lag_names)):
+        out_cols.append(
+            F.when(F.col(_FIRST) & fixed, F.col(f"fix_{i}")).otherwise(F.col(f"_lag_{c}")).alias(name)
+        )
+    if rank_name:
+        out_cols.append(
+            (F.col(_RANK) + F.coalesce(F.col("fix_offset"), F.lit(0).cast("bigint")))
+            .cast("int")
+            .alias(rank_name)
+        )
+    return joined.select(*out_cols)

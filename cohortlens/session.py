@@ -47,9 +47,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
-        spark.sparkContext.setCheckpointDir(current)
         return current
-    path = tempfile.mkdtemp(prefix="cohortlens-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    registered = spark.sparkContext.getCheckpointDir()
+    if registered:
+        return registered
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cohortlens-ckpt-"))
+    return spark.sparkContext.getCheckpointDir()
