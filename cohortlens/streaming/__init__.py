@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The analytics this library rebuilds read whole tables in batch; there is no
+stream, watermark, session window or stateful operator to re-express, so no
+Structured Streaming operator is provided. The batch operators accept any
+DataFrame, including one read from a table a streaming job appends to.
+"""

@@ -89,16 +89,230 @@ def _with(*parts: str) -> str:
     return "WITH " + ",".join(parts)
 
 
-def retention_matrix(cust: str = "customers_v", ords: str = "orders_v", scoped: bool = False) -> str:
-    pre = [_VIEWS] + ([_SCOPED] if scoped else []) + [_cohort_ctes(cust, ords)]
-    return _with(*pre) + f"""
+def _q(body: str, *extra: str, scoped: bool = False, cust: str = "customers_v", ords: str = "orders_v",
+       cohort: bool = True) -> str:
+    parts = [_VIEWS] + ([_SCOPED] if scoped else []) + ([_cohort_ctes(cust, ords)] if cohort else []) + list(extra)
+    return _with(*parts) + "\n" + body
+
+
+def retention_matrix(scoped: bool = False) -> str:
+    cust = "seg_customers" if scoped else "customers_v"
+    return _q(f"""
 SELECT {_label('c.cohort_ord')} AS cohort_month, s.cohort_size, c.month_index, c.active_shoppers,
        CAST({_half_up('c.active_shoppers * 10000', 's.cohort_size')} AS DOUBLE) / 100 AS retention_rate
-FROM cells c JOIN sizes s ON c.cohort_ord = s.cohort_ord"""
+FROM cells c JOIN sizes s ON c.cohort_ord = s.cohort_ord""", scoped=scoped, cust=cust)
+
+
+def cohort_ltv(scoped: bool = False) -> str:
+    cust = "seg_customers" if scoped else "customers_v"
+    return _q(f"""
+SELECT {_label('l.cohort_ord')} AS cohort_month, l.cohort_size, l.month_index,
+       CAST({_half_up('l.cum_cents', 'l.cohort_size')} AS DOUBLE) / 100 AS average_ltv_inr
+FROM ltv l""", _LTV_CELLS, scoped=scoped, cust=cust)
+
+
+_LTV_CELLS = """
+ltv AS (
+  SELECT c.cohort_ord, c.month_index, s.cohort_size,
+         CAST(sum(c.spend_cents) OVER (PARTITION BY c.cohort_ord ORDER BY c.month_index) AS BIGINT) AS cum_cents
+  FROM cells c JOIN sizes s ON c.cohort_ord = s.cohort_ord
+)"""
+
+_DENSE = """
+grid AS (
+  SELECT co.cohort_ord, ix.month_index
+  FROM (SELECT DISTINCT cohort_ord FROM cells) co CROSS JOIN (SELECT DISTINCT month_index FROM cells) ix
+),
+dense AS (
+  SELECT g.cohort_ord, g.month_index, s.cohort_size,
+         CAST(sum(coalesce(c.spend_cents, 0)) OVER (PARTITION BY g.cohort_ord ORDER BY g.month_index) AS BIGINT) AS cum_cents
+  FROM grid g LEFT JOIN cells c ON c.cohort_ord = g.cohort_ord AND c.month_index = g.month_index
+  JOIN sizes s ON s.cohort_ord = g.cohort_ord
+),
+dense_out AS (
+  SELECT cohort_ord, """ + _label("cohort_ord") + """ AS cohort_month, month_index,
+         CAST(cum_cents AS DOUBLE) / (cohort_size * 100) AS ltv
+  FROM dense
+)"""
+
+_FIRST_INDEX = """
+fi AS (
+  SELECT c.cohort_ord, c.month_index, c.active_shoppers, b.first_index_shoppers,
+         CAST(c.active_shoppers AS DOUBLE) / b.first_index_shoppers AS retention_fraction
+  FROM cells c LEFT JOIN (
+    SELECT cohort_ord, active_shoppers AS first_index_shoppers FROM cells
+    WHERE month_index = (SELECT min(month_index) FROM cells)
+  ) b ON b.cohort_ord = c.cohort_ord
+)"""
+
+
+def _purchase_gaps(ords: str) -> str:
+    return f"""
+per_customer AS (
+  SELECT customer_id, count(*) AS dated_orders, min(order_date) AS first_date, max(order_date) AS last_date
+  FROM {ords} WHERE order_date IS NOT NULL GROUP BY customer_id HAVING count(*) >= 2
+),
+stats AS (
+  SELECT customer_id, dated_orders - 1 AS total_repeat_orders,
+         CAST({_half_up('CAST(date_diff(' + "'day'" + ', first_date, last_date) AS BIGINT) * 10', 'dated_orders - 1')} AS DOUBLE) / 10 AS avg_days_between
+  FROM per_customer
+)"""
+
+
+def repeat_intervals(scoped: bool = False) -> str:
+    ords = "seg_orders" if scoped else "orders_v"
+    return _q("""
+SELECT customer_id, total_repeat_orders, avg_days_between FROM stats
+ORDER BY total_repeat_orders DESC, customer_id ASC NULLS FIRST LIMIT 20""",
+              _purchase_gaps(ords), scoped=scoped, cohort=False)
+
+
+_INTERVALS = """
+lagged AS (
+  SELECT order_id, customer_id, order_date, order_value,
+         lag(order_date) OVER (PARTITION BY customer_id ORDER BY order_date ASC NULLS FIRST, order_id ASC NULLS FIRST) AS prev_order_date
+  FROM orders_v WHERE customer_id IS NOT NULL AND order_date IS NOT NULL
+),
+intervals AS (
+  SELECT *, CAST(date_diff('day', prev_order_date, order_date) AS INTEGER) AS days_between
+  FROM lagged WHERE prev_order_date IS NOT NULL
+)"""
+
+_ROUND_WIDTHS = ",".join(f"({m * 10 ** k})" for k in range(0, 16) for m in (1, 2, 5))
+
+
+def kpi_summary(scoped: bool = False) -> str:
+    cust = "seg_customers" if scoped else "customers_v"
+    ords = "seg_orders_q" if scoped else "orders_q"
+    extra = [_ORDERS_Q]
+    if scoped:
+        extra.append("seg_orders_q AS (SELECT * FROM orders_q WHERE customer_id IN (SELECT customer_id FROM seg_customers))")
+    return _q(f"""
+SELECT CAST(sales_cents AS DOUBLE) / 100 AS total_sales,
+       (SELECT count(DISTINCT customer_id) FROM {cust}) AS total_customers,
+       total_orders,
+       CASE WHEN total_orders > 0 THEN CAST(sales_cents AS DOUBLE) / (total_orders * 100) ELSE 0.0 END AS avg_order_value,
+       CASE WHEN qty_n > 0 THEN CAST(qty_sum AS DOUBLE) / qty_n END AS items_per_order
+FROM (
+  SELECT CAST(coalesce(sum(cents), 0) AS BIGINT) AS sales_cents, count(DISTINCT order_id) AS total_orders,
+         CAST(sum(quantity) AS BIGINT) AS qty_sum, count(quantity) AS qty_n
+  FROM {ords}
+) a""", *extra, scoped=scoped, cohort=False)
+
+
+_ORDERS_Q = """
+qty AS (SELECT order_id, CAST(sum(quantity) AS INTEGER) AS quantity FROM lines_v GROUP BY order_id),
+orders_q AS (
+  SELECT o.order_id, o.customer_id, o.order_date, q.quantity, o.order_value, o.cents
+  FROM orders_v o LEFT JOIN qty q ON q.order_id = o.order_id
+)"""
+
+
+def _pivot(src: str, value: str) -> str:
+    return f"SELECT * FROM (PIVOT (SELECT cohort_month, month_index, {value} FROM {src}) ON month_index USING first({value}) GROUP BY cohort_month)"
 
 
 def oracle_queries() -> dict[str, str]:
-    return {
-        "retention_matrix": retention_matrix(),
-        "retention_matrix_segment": retention_matrix("seg_customers", "orders_v", scoped=True),
-    }
+    q: dict[str, str] = {}
+    q["scan_orders"] = _q("SELECT order_id, customer_id, order_date, order_value FROM orders_v", cohort=False)
+    q["segment_customers"] = _q(
+        "SELECT customer_id, customer_name, signup_date, segment FROM seg_customers", scoped=True, cohort=False)
+    q["segment_orders"] = _q(
+        "SELECT order_id, customer_id, order_date, order_value FROM seg_orders", scoped=True, cohort=False)
+    q["pk_violations"] = """
+SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem
+GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1"""
+    q["fk_violations"] = _q("""
+SELECT 'customer_id' AS fk_column, customer_id AS key_value, count(*) AS n_rows FROM orders_v
+WHERE customer_id IS NOT NULL AND customer_id NOT IN (SELECT customer_id FROM seg_customers WHERE customer_id IS NOT NULL)
+GROUP BY customer_id""", scoped=True, cohort=False)
+    q["export_fact"] = _q("""
+SELECT order_id, customer_id, order_date, quantity, order_value FROM orders_q
+WHERE customer_id IN (SELECT customer_id FROM seg_customers)""", _ORDERS_Q, scoped=True, cohort=False)
+    # retention
+    q["cohort_sizes"] = _q(f"SELECT {_label('cohort_ord')} AS cohort_month, cohort_size FROM sizes")
+    q["customer_activity"] = _q(
+        f"SELECT DISTINCT customer_id, {_label('cohort_ord')} AS cohort_month, month_index FROM act")
+    q["active_shoppers"] = _q(
+        f"SELECT {_label('cohort_ord')} AS cohort_month, month_index, active_shoppers FROM cells")
+    q["retention_matrix"] = retention_matrix()
+    q["retention_matrix_segment"] = retention_matrix(scoped=True)
+    q["retention_pct_first_index"] = _q(f"""
+SELECT {_label('cohort_ord')} AS cohort_month, month_index, active_shoppers, first_index_shoppers, retention_fraction
+FROM fi""", _FIRST_INDEX)
+    q["retention_counts_wide"] = _q(_pivot(f"(SELECT {_label('cohort_ord')} AS cohort_month, month_index, active_shoppers FROM cells)", "active_shoppers"))
+    q["retention_pct_wide"] = _q(_pivot(f"(SELECT {_label('cohort_ord')} AS cohort_month, month_index, retention_fraction * 100.0 AS pct FROM fi)", "pct"), _FIRST_INDEX)
+    # LTV
+    q["monthly_spend"] = _q(f"""
+SELECT customer_id, {_label('cohort_ord')} AS cohort_month, month_index,
+       CAST(CAST(sum(spend_cents) AS BIGINT) AS DOUBLE) / 100 AS total_spend
+FROM act GROUP BY customer_id, cohort_ord, month_index""")
+    q["cohort_monthly_spend"] = _q(
+        f"SELECT {_label('cohort_ord')} AS cohort_month, month_index, CAST(spend_cents AS DOUBLE) / 100 AS cohort_spend FROM cells")
+    q["cohort_ltv"] = cohort_ltv()
+    q["cohort_ltv_segment"] = cohort_ltv(scoped=True)
+    q["ltv_matrix_long"] = _q("SELECT cohort_month, month_index, ltv FROM dense_out", _DENSE)
+    q["ltv_matrix_wide"] = _q(_pivot("dense_out", "ltv"), _DENSE)
+    q["ltv_latest_cohorts"] = _q("""
+SELECT cohort_month, month_index, ltv FROM dense_out
+WHERE cohort_ord IN (SELECT DISTINCT cohort_ord FROM dense_out ORDER BY cohort_ord DESC LIMIT 8)""", _DENSE)
+    cac_cents = int(round(CAC_TEST * 100))
+    q["cac_payback"] = _q(f"""
+SELECT {_label('cohort_ord')} AS cohort_month, cohort_size,
+       min(CASE WHEN cum_cents >= {cac_cents} * cohort_size THEN month_index END) AS payback_month_index,
+       min(CASE WHEN cum_cents >= {cac_cents} * cohort_size THEN month_index END) IS NOT NULL AS cac_reached
+FROM ltv GROUP BY cohort_ord, cohort_size""", _LTV_CELLS)
+    # purchases
+    q["purchase_intervals"] = _q(
+        "SELECT order_id, customer_id, order_date, order_value, prev_order_date, days_between FROM intervals",
+        _INTERVALS, cohort=False)
+    q["repeat_intervals"] = repeat_intervals()
+    q["repeat_intervals_segment"] = repeat_intervals(scoped=True)
+    q["mean_interval"] = _q(f"""
+SELECT n_intervals, CAST({_half_up('gap_days * 10', 'n_intervals')} AS DOUBLE) / 10 AS mean_days_between
+FROM (
+  SELECT CAST(sum(dated_orders - 1) AS BIGINT) AS n_intervals,
+         CAST(sum(date_diff('day', first_date, last_date)) AS BIGINT) AS gap_days
+  FROM per_customer
+) t WHERE n_intervals > 0""", _purchase_gaps("(SELECT * FROM orders_v WHERE customer_id IS NOT NULL)"), cohort=False)
+    q["interval_histogram"] = _q("""
+SELECT CAST(floor(days_between / w) * w AS BIGINT) AS bin_start, w AS bin_width, count(*) AS n_intervals
+FROM intervals, (
+  SELECT min(w) AS w FROM (VALUES """ + _ROUND_WIDTHS + """) widths(w),
+       (SELECT min(days_between) AS lo, max(days_between) AS hi FROM intervals) b
+  WHERE floor(hi / w) - floor(lo / w) + 1 <= 50
+) bw
+GROUP BY 1, 2""", _INTERVALS, cohort=False)
+    q["purchase_sequence"] = _q("""
+SELECT order_id, customer_id, order_date, order_value,
+       CAST(dense_rank() OVER (PARTITION BY customer_id ORDER BY order_date ASC NULLS FIRST, order_id ASC NULLS FIRST) AS INTEGER) AS purchase_sequence
+FROM orders_v""", cohort=False)
+    q["dense_rank_orders"] = _q(f"""
+SELECT purchase_sequence, count(order_id) AS total_orders,
+       CAST({_half_up('CAST(sum(cents) AS BIGINT)', 'count(cents)')} AS DOUBLE) / 100 AS average_order_value_inr
+FROM (
+  SELECT order_id, cents,
+         CAST(dense_rank() OVER (PARTITION BY customer_id ORDER BY order_date ASC NULLS FIRST, order_id ASC NULLS FIRST) AS INTEGER) AS purchase_sequence
+  FROM orders_v
+) r WHERE purchase_sequence <= 5 GROUP BY purchase_sequence""", cohort=False)
+    # sales
+    q["kpi_summary"] = kpi_summary()
+    q["kpi_summary_segment"] = kpi_summary(scoped=True)
+    q["monthly_sales"] = _q(f"""
+SELECT {_label(_month_ord('order_date'))} AS order_month, CAST(CAST(sum(cents) AS BIGINT) AS DOUBLE) / 100 AS sales
+FROM orders_v WHERE order_date IS NOT NULL GROUP BY {_month_ord('order_date')}""", cohort=False)
+    q["category_sales"] = _q("""
+SELECT category, CAST(cents AS DOUBLE) / 100 AS sales, CAST(cents AS DOUBLE) / (SELECT sum(cents) FROM per_cat) AS sales_share
+FROM per_cat""", """
+per_cat AS (
+  SELECT p.category, CAST(sum(l.cents) AS BIGINT) AS cents
+  FROM lines_v l JOIN products_v p ON p.product_id = l.product_id
+  WHERE l.product_id IS NOT NULL GROUP BY p.category
+)""", cohort=False)
+    q["adhoc_sql"] = _q("""
+SELECT strftime(c.signup_date, '%Y-%m') AS cohort_month,
+       CAST((year(o.order_date) - year(c.signup_date)) * 12 + (month(o.order_date) - month(c.signup_date)) AS INTEGER) AS month_index,
+       count(DISTINCT o.customer_id) AS active_shoppers
+FROM orders_v o JOIN customers_v c ON o.customer_id = c.customer_id
+GROUP BY 1, 2""", cohort=False)
+    return q
