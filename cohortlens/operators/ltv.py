@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions.calendar import month_label
 from cohortlens.functions.numeric import half_up_div
 from cohortlens.operators.cohorts import activity_by_ordinal, cohort_size_by_ordinal
+from cohortlens.operators.retention import pivot_months
 from cohortlens.sources.schema import CAC_TARGET, LATEST_COHORTS
 
 
@@ -121,12 +122,7 @@ def ltv_matrix_wide(
     customers: DataFrame, orders: DataFrame, indices: Sequence[int] | None = None
 ) -> DataFrame:
     """L2 (wide): one row per cohort, one DOUBLE column per observed month index."""
-    long_df = ltv_matrix_long(customers, orders)
-    grouped = long_df.groupBy("cohort_month")
-    pivoted = (
-        grouped.pivot("month_index", list(indices)) if indices is not None else grouped.pivot("month_index")
-    )
-    return pivoted.agg(F.first("ltv"))
+    return pivot_months(ltv_matrix_long(customers, orders), "ltv", indices)
 
 
 def ltv_latest_cohorts(

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions.calendar import month_label
 from cohortlens.functions.numeric import half_up_div
 from cohortlens.operators.cohorts import activity_by_ordinal, cohort_size_by_ordinal
+from cohortlens.plans.materialize import materialize
 
 
 def active_by_ordinal(customers: DataFrame, orders: DataFrame) -> DataFrame:
@@ -82,7 +83,15 @@ def retention_first_index(customers: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
-def _pivot(long_df: DataFrame, value: str, indices: Sequence[int] | None) -> DataFrame:
+def pivot_months(long_df: DataFrame, value: str, indices: Sequence[int] | None) -> DataFrame:
+    """``cohort_month`` rows x one column per month index holding ``value``.
+
+    Without ``indices``, Spark first finds the distinct indices; the long
+    result (at most months^2 rows) is materialized once so that pass does not
+    recompute it from the fact table.
+    """
+    if indices is None:
+        long_df = materialize(long_df.select("cohort_month", "month_index", value), "pivot-input")
     grouped = long_df.groupBy("cohort_month")
     pivoted = (
         grouped.pivot("month_index", list(indices))
@@ -107,10 +116,10 @@ def retention_wide(
     """
     if metric == "count":
         long_df = active_shoppers(customers, orders)
-        return _pivot(long_df, "active_shoppers", indices)
+        return pivot_months(long_df, "active_shoppers", indices)
     if metric == "pct":
         long_df = retention_first_index(customers, orders).withColumn(
             "pct", F.col("retention_fraction") * 100.0
         )
-        return _pivot(long_df, "pct", indices)
+        return pivot_months(long_df, "pct", indices)
     raise ValueError("metric must be 'pct' or 'count'")

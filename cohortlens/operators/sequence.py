@@ -30,7 +30,6 @@ work split by *rows*:
 from __future__ import annotations
 
 import sys
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -40,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.session import checkpoint_dir
+from cohortlens.plans.materialize import materialize
 
 # Ship this module's code with the tasks, so Python workers need no install of
 # the package (the scan function pickles by value, not by import path).
@@ -183,9 +182,7 @@ def ordered_scan(
         ]
     )
     scanned = ranged.mapInArrow(_scan_fn(group_col, order_cols, lag_cols), out_schema)
-    path = f"{checkpoint_dir(spark).rstrip('/')}/ordered-scan-{uuid.uuid4().hex}"
-    scanned.write.mode("errorifexists").parquet(path)
-    scanned = spark.read.schema(out_schema).parquet(path)
+    scanned = materialize(scanned, "ordered-scan")
 
     # Per-range summaries: at most `parts` rows.
     summary = scanned.where(F.col(_SUMMARY)).select(

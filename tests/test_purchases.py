@@ -1,0 +1,97 @@
+from __future__ import annotations
+
+import datetime as dt
+import random
+
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from cohortlens.operators import purchases
+from cohortlens.operators.sequence import ordered_scan
+from tests.conftest import orders_df, rows
+
+
+def test_same_day_orders_keep_zero_gap_and_order_by_id(spark):
+    o = orders_df(spark, [(12, 1, "2024-01-05", 10), (11, 1, "2024-01-05", 20), (13, 1, "2024-01-09", 30)])
+    iv = rows(purchases.purchase_intervals(o), "order_id", "prev_order_date", "days_between")
+    assert iv == [(12, dt.date(2024, 1, 5), 0), (13, dt.date(2024, 1, 5), 4)]
+    seq = rows(purchases.purchase_sequence(o), "order_id", "purchase_sequence")
+    assert seq == [(11, 1), (12, 2), (13, 3)]
+    stats = rows(purchases.repeat_interval_stats(o))
+    assert stats == [(1, 2, 2.0)]
+
+
+def test_top_repeaters_tie_break_by_customer(spark):
+    data = []
+    oid = 0
+    for cust in range(25, 0, -1):  # 25 customers, 2 orders each -> 1 repeat each
+        for day in (1, 11):
+            oid += 1
+            data.append((oid, cust, f"2024-01-{day:02d}", 5))
+    o = orders_df(spark, data)
+    top = purchases.repeat_intervals(o).collect()
+    assert [r["customer_id"] for r in top] == list(range(1, 21))
+    assert {r["avg_days_between"] for r in top} == {10.0}
+
+
+def test_null_dates_and_null_customer(spark):
+    o = orders_df(
+        spark,
+        [(1, 1, None, 5), (2, 1, "2024-01-01", 5), (3, 1, "2024-01-04", 5), (4, None, "2024-01-01", 5),
+         (5, None, "2024-01-03", 5)],
+    )
+    # SQL semantics: null-date order sorts first and yields no gap; null customer is its own group
+    stats = {r[0]: (r[1], r[2]) for r in purchases.repeat_interval_stats(o).collect()}
+    assert stats == {1: (1, 3.0), None: (1, 2.0)}
+    # pandas-derived row-level intervals drop the null customer
+    assert rows(purchases.purchase_intervals(o), "order_id", "days_between") == [(3, 3)]
+    assert rows(purchases.mean_interval(o)) == [(1, 3.0)]
+
+
+def test_dense_rank_orders_values(spark):
+    o = orders_df(
+        spark,
+        [(1, 1, "2024-01-01", "10.00"), (2, 1, "2024-01-02", "20.01"), (3, 2, "2024-01-01", "30.00"),
+         (4, 2, "2024-01-05", "0.00"), (5, 2, "2024-01-06", 1)],
+    )
+    got = rows(purchases.dense_rank_orders(o))
+    # seq 2: (20.01 + 0.00) / 2 = 10.005 -> 10.01 (half up)
+    assert got == [(1, 2, 20.0), (2, 2, 10.01), (3, 1, 1.0)]
+    capped = rows(purchases.dense_rank_orders(o, max_sequence=1))
+    assert capped == [(1, 2, 20.0)]
+
+
+def test_histogram_width_rule(spark):
+    # gaps 0..466 style: widths {1,2,5}x10^k, smallest giving <= 50 bins
+    data = [(1, 1, "2024-01-01", 1), (2, 1, "2024-01-01", 1), (3, 1, "2025-04-11", 1)]  # gaps 0, 466
+    o = orders_df(spark, data)
+    got = rows(purchases.interval_histogram(o))
+    assert got == [(0, 10, 1), (460, 10, 1)]
+
+
+def test_empty_histogram_and_mean(spark):
+    o = orders_df(spark, [(1, 1, "2024-01-01", 1)])
+    assert purchases.interval_histogram(o).count() == 0
+    assert purchases.mean_interval(o).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 2, 7, 31])
+def test_ordered_scan_matches_window_under_skew(spark, parts):
+    """Brute-force check: one customer holds 40% of rows; nulls and duplicate keys included."""
+    rnd = random.Random(parts)
+    data = []
+    for i in range(3000):
+        c = 7 if rnd.random() < 0.4 else (None if rnd.random() < 0.03 else rnd.randint(1, 60))
+        day = None if rnd.random() < 0.02 else dt.date(2024, 1, 1) + dt.timedelta(days=rnd.randint(0, 40))
+        data.append((rnd.randint(1, 2500), c, day, rnd.randint(0, 9)))
+    df = spark.createDataFrame(data, "order_id long, customer_id long, order_date date, v int").repartition(3)
+    got = ordered_scan(df, "customer_id", ["order_date", "order_id"], ["order_date"],
+                       rank_name="seq", num_partitions=parts)
+    w = Window.partitionBy("customer_id").orderBy("order_date", "order_id")
+    exp = df.select("*", F.lag("order_date").over(w).alias("prev_order_date"),
+                    F.dense_rank().over(w).alias("seq"))
+    cols = ["customer_id", "order_date", "order_id", "prev_order_date", "seq"]
+    assert sorted(map(tuple, got.select(cols).collect()), key=repr) == sorted(
+        map(tuple, exp.select(cols).collect()), key=repr
+    )

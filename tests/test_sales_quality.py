@@ -1,0 +1,61 @@
+from __future__ import annotations
+
+from cohortlens.operators import quality, sales
+from cohortlens.operators.scope import segment_scope
+from cohortlens.operators import purchases
+from tests.conftest import customers_df, orders_df, products_df, rows
+
+
+def _star(spark):
+    c = customers_df(spark, [(1, "2024-01-03", "Retail"), (2, "2024-01-09", "Corporate"), (3, "2024-02-01", "Retail")])
+    p = products_df(spark, [(1, "Menswear"), (2, "Footwear")])
+    o = orders_df(
+        spark,
+        [(10, 1, "2024-01-05", 100, 2, 1), (11, 2, "2024-01-10", 50, 1, 2), (12, 1, "2024-02-07", 25, 1, 2)],
+    )
+    return c, p, o
+
+
+def test_kpis_all_and_segment(spark):
+    c, p, o = _star(spark)
+    k = sales.kpi_summary(c, o).first().asDict()
+    assert k == {"total_sales": 175.0, "total_customers": 3, "total_orders": 3,
+                 "avg_order_value": 175.0 / 3, "items_per_order": 4 / 3}
+    sc, so = segment_scope(c, o, "Corporate")
+    k2 = sales.kpi_summary(sc, so).first().asDict()
+    assert (k2["total_sales"], k2["total_customers"], k2["total_orders"]) == (50.0, 1, 1)
+
+
+def test_empty_scope(spark):
+    c, p, o = _star(spark)
+    sc, so = segment_scope(c, o, "Direct")
+    k = sales.kpi_summary(sc, so).first().asDict()
+    assert k == {"total_sales": 0.0, "total_customers": 0, "total_orders": 0,
+                 "avg_order_value": 0.0, "items_per_order": None}
+    assert purchases.interval_histogram(so).count() == 0
+    assert purchases.mean_interval(so).count() == 0
+
+
+def test_all_segment_means_no_filter(spark):
+    c, p, o = _star(spark)
+    sc, so = segment_scope(c, o, "All")
+    assert sc.count() == 3 and so.count() == 3
+
+
+def test_monthly_and_category_sales(spark):
+    c, p, o = _star(spark)
+    assert rows(sales.monthly_sales(o)) == [("2024-01", 150.0), ("2024-02", 25.0)]
+    got = rows(sales.category_sales(o, p))
+    assert got == [("Footwear", 75.0, 75.0 / 175.0), ("Menswear", 100.0, 100.0 / 175.0)]
+
+
+def test_key_violations(spark):
+    c = customers_df(spark, [(1, "2024-01-03"), (2, "2024-01-09")])
+    p = products_df(spark, [(1, "Menswear")])
+    o = orders_df(
+        spark,
+        [(10, 1, "2024-01-05", 1, 1, 1), (10, 2, "2024-01-05", 1, 1, 1), (11, 9, "2024-01-05", 1, 1, 5),
+         (12, None, "2024-01-05", 1, 1, None)],
+    )
+    assert rows(quality.pk_violations(o, ["order_id"])) == [(10, 2)]
+    assert rows(quality.fk_violations(o, c, p)) == [("customer_id", 9, 1), ("product_id", 5, 1)]
