@@ -31,7 +31,19 @@ from cohortlens.sources.schema import HISTOGRAM_BINS, MAX_PURCHASE_SEQUENCE, TOP
 ORDER_KEYS = ["order_date", "order_id"]
 
 
-def repeat_interval_stats(orders: DataFrame) -> DataFrame:
+def _scope(per_customer: DataFrame, customers: DataFrame | None) -> DataFrame:
+    """Keep rows of customers in ``customers`` (left semi join on customer_id).
+
+    Applied *after* a per-customer reduction: scoping and per-customer work
+    commute, and the semi join then sees at most a few rows per customer
+    instead of the raw orders of a possibly hot customer.
+    """
+    if customers is None:
+        return per_customer
+    return per_customer.join(customers.select("customer_id"), "customer_id", "left_semi")
+
+
+def repeat_interval_stats(orders: DataFrame, customers: DataFrame | None = None) -> DataFrame:
     """A7 for every repeat customer: ``customer_id, total_repeat_orders, avg_days_between``.
 
     Same result as ``LAG(order_date) OVER (PARTITION BY customer_id ORDER BY
@@ -40,6 +52,7 @@ def repeat_interval_stats(orders: DataFrame) -> DataFrame:
     customer: with m dated orders there are m-1 gaps summing to
     ``max(date) - min(date)``. Null-date orders sort first and never yield a
     gap; a null customer id is a group of its own, as in SQL windows.
+    ``customers`` optionally scopes the result to those customers.
     """
     per_customer = (
         orders.where(F.col("order_date").isNotNull())
@@ -52,7 +65,7 @@ def repeat_interval_stats(orders: DataFrame) -> DataFrame:
         .where(F.col("dated_orders") >= 2)
     )
     repeats = F.col("dated_orders") - 1
-    return per_customer.select(
+    return _scope(per_customer, customers).select(
         "customer_id",
         repeats.alias("total_repeat_orders"),
         (
@@ -61,7 +74,9 @@ def repeat_interval_stats(orders: DataFrame) -> DataFrame:
     )
 
 
-def repeat_intervals(orders: DataFrame, top_n: int = TOP_REPEATERS) -> DataFrame:
+def repeat_intervals(
+    orders: DataFrame, top_n: int = TOP_REPEATERS, customers: DataFrame | None = None
+) -> DataFrame:
     """Named query ``repeat_intervals``: the ``top_n`` customers by repeat orders.
 
     Descending repeat count, ties broken by ascending customer id (nulls
@@ -69,7 +84,7 @@ def repeat_intervals(orders: DataFrame, top_n: int = TOP_REPEATERS) -> DataFrame
     (``TakeOrderedAndProject``: per-partition top-k, then a merge).
     """
     return (
-        repeat_interval_stats(orders)
+        repeat_interval_stats(orders, customers)
         .orderBy(F.desc("total_repeat_orders"), F.asc_nulls_first("customer_id"))
         .limit(top_n)
     )
@@ -108,12 +123,17 @@ def purchase_sequence(orders: DataFrame, num_partitions: int | None = None) -> D
     )
 
 
-def dense_rank_orders(orders: DataFrame, max_sequence: int = MAX_PURCHASE_SEQUENCE) -> DataFrame:
+def dense_rank_orders(
+    orders: DataFrame,
+    max_sequence: int = MAX_PURCHASE_SEQUENCE,
+    customers: DataFrame | None = None,
+) -> DataFrame:
     """Named query ``dense_rank_orders``: ``purchase_sequence, total_orders, average_order_value_inr``.
 
     For the first ``max_sequence`` purchases of every customer: number of
     orders (non-null order ids) and the mean order value rounded half up to
-    2 places, per sequence number.
+    2 places, per sequence number. ``customers`` optionally scopes the
+    ranked rows (at most ``max_sequence`` per customer) to those customers.
     """
     w = Window.partitionBy("customer_id").orderBy(*ORDER_KEYS)
     ranked = orders.select(
@@ -122,7 +142,7 @@ def dense_rank_orders(orders: DataFrame, max_sequence: int = MAX_PURCHASE_SEQUEN
         order_cents(orders).alias("cents"),
         F.dense_rank().over(w).alias("purchase_sequence"),
     ).where(F.col("purchase_sequence") <= max_sequence)
-    return ranked.groupBy("purchase_sequence").agg(
+    return _scope(ranked, customers).groupBy("purchase_sequence").agg(
         F.count("order_id").alias("total_orders"),
         (half_up_div(F.sum("cents"), F.count("cents")).cast("double") / 100.0).alias(
             "average_order_value_inr"
@@ -130,13 +150,14 @@ def dense_rank_orders(orders: DataFrame, max_sequence: int = MAX_PURCHASE_SEQUEN
     )
 
 
-def mean_interval(orders: DataFrame) -> DataFrame:
+def mean_interval(orders: DataFrame, customers: DataFrame | None = None) -> DataFrame:
     """``n_intervals, mean_days_between`` over all repeat gaps (1 place, half up).
 
     One row, or no row when nobody repeats. Uses the same telescoping sums
     as :func:`repeat_interval_stats`: sum of all gaps = sum over customers of
     ``last - first``; number of gaps = sum of ``m - 1``. Orders without a
-    customer are excluded (they form no customer sequence).
+    customer are excluded (they form no customer sequence). ``customers``
+    optionally scopes the per-customer sums to those customers.
     """
     per_customer = (
         orders.where(F.col("customer_id").isNotNull() & F.col("order_date").isNotNull())
@@ -147,7 +168,7 @@ def mean_interval(orders: DataFrame) -> DataFrame:
         )
         .where(F.col("m") >= 2)
     )
-    total =per_customer.agg(
+    total = _scope(per_customer, customers).agg(
         F.sum(F.col("m") - 1).alias("n_intervals"), F.sum("span").alias("gap_days")
     )
     return total.where(F.col("n_intervals") > 0).select(

@@ -159,11 +159,15 @@ def ordered_scan(
     ``w = PARTITION BY group_col ORDER BY order_cols`` (ascending, nulls
     first, like Spark windows); a null group is a group of its own. Output
     columns: ``df``'s columns, then ``lag_names`` (default ``prev_<col>``),
-    then ``rank_name`` if given. ``num_partitions`` defaults to
-    ``spark.sql.shuffle.partitions``.
+    then ``rank_name`` if given. ``num_partitions`` defaults to the larger of
+    ``spark.sql.shuffle.partitions`` and the input's partition count (input
+    splits follow ``spark.sql.files.maxPartitionBytes``), so a range holds
+    about one input split of rows whatever the table size.
     """
     spark = df.sparkSession
-    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = num_partitions or max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions()
+    )
     lag_cols = list(lag_cols)
     lag_names = list(lag_names) if lag_names is not None else [f"prev_{c}" for c in lag_cols]
     keys = [group_col, *order_cols]

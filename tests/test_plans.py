@@ -59,3 +59,15 @@ def test_ordered_scan_has_no_per_customer_window_on_data(spark):
     # only the small summary windows remain; the data side is a broadcast join
     assert "BroadcastHashJoin" in p
     assert "partitionBy" not in p
+
+
+def test_segment_repeat_intervals_semi_joins_after_aggregate(spark):
+    from cohortlens.operators.scope import segment_customers
+
+    df = purchases.repeat_intervals(
+        td.orders(spark, SF), customers=segment_customers(td.customers(spark, SF), "BUILDING")
+    )
+    opt = optimized(df)
+    semi = opt.index("LeftSemi")
+    # the semi join's left input is the per-customer aggregate, not the raw orders
+    assert "Aggregate" in opt[semi:]

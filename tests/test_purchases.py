@@ -95,3 +95,19 @@ def test_ordered_scan_matches_window_under_skew(spark, parts):
     assert sorted(map(tuple, got.select(cols).collect()), key=repr) == sorted(
         map(tuple, exp.select(cols).collect()), key=repr
     )
+
+
+def test_scope_after_reduction_equals_scoped_orders(spark):
+    from cohortlens.operators.scope import segment_scope
+    from tests.conftest import customers_df
+
+    c = customers_df(spark, [(1, "2024-01-01", "Retail"), (2, "2024-01-01", "Corporate"), (3, "2024-01-01", "Retail")])
+    o = orders_df(
+        spark,
+        [(10, 1, "2024-01-02", 5), (11, 1, "2024-01-09", 7), (12, 2, "2024-01-02", 3), (13, 2, "2024-01-05", 4),
+         (14, 3, "2024-02-01", 1), (15, 3, "2024-02-02", 1), (16, 3, "2024-02-02", 2)],
+    )
+    sc, so = segment_scope(c, o, "Retail")
+    assert rows(purchases.repeat_intervals(o, customers=sc)) == rows(purchases.repeat_intervals(so))
+    assert rows(purchases.dense_rank_orders(o, customers=sc)) == rows(purchases.dense_rank_orders(so))
+    assert rows(purchases.mean_interval(o, customers=sc)) == rows(purchases.mean_interval(so))
