@@ -134,6 +134,22 @@ def ltv_latest_cohorts(
     return _dense_out(dense.join(F.broadcast(latest), "cohort_ord", "left_semi"))
 
 
+def cac_target_line(
+    customers: DataFrame, orders: DataFrame, cac: float = CAC_TARGET
+) -> DataFrame:
+    """``month_index, cac_target``: the CAC line drawn under the LTV curves.
+
+    One row per month index of the dense LTV matrix (indices observed in any
+    cohort), all with the constant ``cac``.
+    """
+    return (
+        spend_by_ordinal(customers, orders)
+        .select("month_index")
+        .distinct()
+        .select("month_index", F.lit(float(cac)).alias("cac_target"))
+    )
+
+
 def cac_payback(
     customers: DataFrame, orders: DataFrame, cac: float = CAC_TARGET
 ) -> DataFrame:

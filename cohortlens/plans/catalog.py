@@ -33,8 +33,20 @@ def named_query(name: str) -> Callable[[DataFrame, DataFrame, DataFrame], DataFr
         raise KeyError(f"unknown query {name!r}; known: {sorted(NAMED_QUERIES)}") from None
 
 
+# Presentation order of each named analysis (the ORDER BY of its SQL form).
+NAMED_ORDER: dict[str, list] = {
+    "retention_matrix": ["cohort_month", "month_index"],
+    "cohort_ltv": ["cohort_month", "month_index"],
+    "repeat_intervals": [],  # already ordered by its top-k
+    "dense_rank_orders": ["purchase_sequence"],
+}
+
+
 def run_named(name: str, customers: DataFrame, products: DataFrame, orders: DataFrame) -> DataFrame:
-    return named_query(name)(customers, products, orders)
+    """The named analysis, sorted for presentation like its SQL form (results are tiny)."""
+    df = named_query(name)(customers, products, orders)
+    order = NAMED_ORDER.get(name)
+    return df.orderBy(*order) if order else df
 
 
 def register_views(customers: DataFrame, products: DataFrame, orders: DataFrame) -> None:

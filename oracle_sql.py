@@ -262,6 +262,7 @@ SELECT {_label('cohort_ord')} AS cohort_month, cohort_size,
        min(CASE WHEN cum_cents >= {cac_cents} * cohort_size THEN month_index END) AS payback_month_index,
        min(CASE WHEN cum_cents >= {cac_cents} * cohort_size THEN month_index END) IS NOT NULL AS cac_reached
 FROM ltv GROUP BY cohort_ord, cohort_size""", _LTV_CELLS)
+    q["cac_target_line"] = _q(f"SELECT DISTINCT month_index, CAST({CAC_TEST} AS DOUBLE) AS cac_target FROM cells")
     # purchases
     q["purchase_intervals"] = _q(
         "SELECT order_id, customer_id, order_date, order_value, prev_order_date, days_between FROM intervals",
