@@ -20,6 +20,7 @@ from cohortlens.functions.calendar import month_label
 from cohortlens.functions.numeric import half_up_div
 from cohortlens.operators.cohorts import activity_by_ordinal, cohort_size_by_ordinal
 from cohortlens.operators.retention import pivot_months
+from cohortlens.plans.materialize import materialize
 from cohortlens.sources.schema import CAC_TARGET, LATEST_COHORTS
 
 
@@ -98,8 +99,13 @@ def _dense_grid(cells: DataFrame) -> DataFrame:
 
 
 def ltv_dense_by_ordinal(customers: DataFrame, orders: DataFrame) -> DataFrame:
-    """(cohort_ord, month_index, cohort_size, cum_cents) on the dense grid."""
-    cells = spend_by_ordinal(customers, orders)
+    """(cohort_ord, month_index, cohort_size, cum_cents) on the dense grid.
+
+    The grid reads the cell table several times (indices, range, cohorts,
+    values); the cells (at most months^2 rows) are materialized once so the
+    fact-table join behind them runs once.
+    """
+    cells = materialize(spend_by_ordinal(customers, orders), "ltv-cells")
     dense = _cumulative(_dense_grid(cells))
     sizes = cohort_size_by_ordinal(customers)
     return dense.join(F.broadcast(sizes), "cohort_ord")
@@ -128,8 +134,12 @@ def ltv_matrix_wide(
 def ltv_latest_cohorts(
     customers: DataFrame, orders: DataFrame, n: int = LATEST_COHORTS
 ) -> DataFrame:
-    """L3: dense LTV rows of the ``n`` most recent cohorts that have orders."""
-    dense = ltv_dense_by_ordinal(customers, orders)
+    """L3: dense LTV rows of the ``n`` most recent cohorts that have orders.
+
+    The dense table (at most months^2 rows) feeds both the cohort list and
+    the rows, so it is materialized once.
+    """
+    dense = materialize(ltv_dense_by_ordinal(customers, orders), "ltv-dense")
     latest = dense.select("cohort_ord").distinct().orderBy(F.desc("cohort_ord")).limit(n)
     return _dense_out(dense.join(F.broadcast(latest), "cohort_ord", "left_semi"))
 

@@ -65,8 +65,10 @@ def retention_first_index(customers: DataFrame, orders: DataFrame) -> DataFrame:
     ``retention_fraction = active_shoppers / first_index_shoppers`` where the
     denominator is the cohort's actives at the global minimum month index
     (a one-row aggregate); null when the cohort has no row at that index.
+    The cells (at most months^2 rows) are read three times and therefore
+    materialized once, so the fact-table join behind them runs once.
     """
-    cells = active_by_ordinal(customers, orders)
+    cells = materialize(active_by_ordinal(customers, orders), "retention-cells")
     first_idx = cells.agg(F.min("month_index").alias("first_index"))
     base = (
         cells.join(F.broadcast(first_idx), F.col("month_index") == F.col("first_index"))
