@@ -39,11 +39,13 @@ def signup_cohorts(customers: DataFrame) -> DataFrame:
 def cohort_size_by_ordinal(customers: DataFrame) -> DataFrame:
     """(cohort_ord, cohort_size): distinct customers per signup month.
 
-    Customers without orders count; a null signup date has no cohort.
+    Customers without orders count; a null signup date has no cohort (and a
+    null id is not counted). Built on :func:`signup_cohorts`, the same
+    subtree the cohort joins use, so one plan can share its exchanges.
     """
     return (
-        customers.where(F.col("signup_date").isNotNull())
-        .groupBy(month_ordinal("signup_date").alias("cohort_ord"))
+        signup_cohorts(customers)
+        .groupBy("cohort_ord")
         .agg(F.count_distinct("customer_id").alias("cohort_size"))
     )
 
