@@ -145,6 +145,14 @@ def _out_names(names: Sequence[str], lag_cols: Sequence[str]) -> list[str]:
     return list(names) + [f"_lag_{c}" for c in lag_cols] + [_PID, _SUMMARY, _FIRST, _RANK, _SFIRST]
 
 
+def _input_partitions(df: DataFrame) -> int:
+    """Partition count of ``df``'s physical plan (planning only, no job); 0 if unavailable."""
+    try:
+        return df.rdd.getNumPartitions()
+    except Exception:  # e.g. Spark Connect sessions have no RDD API
+        return 0
+
+
 def ordered_scan(
     df: DataFrame,
     group_col: str,
@@ -166,7 +174,7 @@ def ordered_scan(
     """
     spark = df.sparkSession
     parts = num_partitions or max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions()
+        int(spark.conf.get("spark.sql.shuffle.partitions")), _input_partitions(df)
     )
     lag_cols = list(lag_cols)
     lag_names = list(lag_names) if lag_names is not None else [f"prev_{c}" for c in lag_cols]

@@ -42,14 +42,21 @@ def build_session(
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; only when it is unset (local runs,
-    tests) a fresh temporary folder is created and registered.
+    A cluster names a shared folder there (or registers one with
+    ``SparkContext.setCheckpointDir``). Only a local-mode session with none
+    set gets a fresh temporary folder; on a cluster a machine-local folder
+    would split written tables across hosts, so an unset folder is an error.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
         return current
-    registered = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    registered = sc.getCheckpointDir()
     if registered:
         return registered
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cohortlens-ckpt-"))
-    return spark.sparkContext.getCheckpointDir()
+    if not sc.master.startswith("local"):
+        raise RuntimeError(
+            "set spark.checkpoint.dir to a folder shared by all executors (e.g. on HDFS or object storage)"
+        )
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="cohortlens-ckpt-"))
+    return sc.getCheckpointDir()
