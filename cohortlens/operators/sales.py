@@ -21,17 +21,19 @@ def kpi_summary(customers: DataFrame, orders: DataFrame) -> DataFrame:
     * ``total_customers``: distinct customers, with or without orders.
     * ``total_orders``: distinct order ids.
     * ``avg_order_value``: sales / orders, 0 when there are no orders.
-    * ``items_per_order``: mean ``quantity`` over order rows, null when empty.
+    * ``items_per_order``: mean ``quantity`` over order rows, null when empty
+      (or when the fact table carries no ``quantity`` column).
 
     Both inputs are reduced by global aggregates (partial per task, one row
     shuffled each); the customer count enters as a scalar subquery.
     """
     n_customers = customers.select(F.count_distinct("customer_id")).scalar()
+    quantity = F.col("quantity") if "quantity" in orders.columns else F.lit(None).cast("int")
     agg = orders.agg(
         F.coalesce(F.sum(order_cents(orders)), F.lit(0).cast("bigint")).alias("sales_cents"),
         F.count_distinct("order_id").alias("total_orders"),
-        F.sum("quantity").alias("qty_sum"),
-        F.count("quantity").alias("qty_n"),
+        F.sum(quantity).alias("qty_sum"),
+        F.count(quantity).alias("qty_n"),
     )
     return agg.select(
         (F.col("sales_cents").cast("double") / 100.0).alias("total_sales"),
@@ -85,5 +87,5 @@ def category_sales(orders: DataFrame, products: DataFrame) -> DataFrame:
     return per_category.select(
         "category",
         (F.col("cents").cast("double") / 100.0).alias("sales"),
-        (F.col("cents").cast("double") / total).alias("sales_share"),
+        F.try_divide(F.col("cents").cast("double"), total.cast("double")).alias("sales_share"),
     )
