@@ -123,3 +123,20 @@ def monthly_spend(customers: DataFrame, orders: DataFrame) -> DataFrame:
             (F.col("spend_cents").cast("double") / 100.0).alias("total_spend"),
         )
     )
+
+
+def cohort_cells(customers: DataFrame, orders: DataFrame) -> DataFrame:
+    """(cohort_ord, month_index, active_shoppers, spend_cents): every cohort cell in one pass.
+
+    Distinct active customers and summed spend per cell come from one
+    aggregation over the customer-month rows, so retention and LTV views can
+    share a single fact-table join (see :mod:`cohortlens.plans.dashboard`).
+    """
+    return (
+        activity_by_ordinal(customers, orders)
+        .groupBy("cohort_ord", "month_index")
+        .agg(
+            F.count_distinct("customer_id").alias("active_shoppers"),
+            F.sum("spend_cents").alias("spend_cents"),
+        )
+    )

@@ -106,12 +106,28 @@ def ltv_dense_by_ordinal(customers: DataFrame, orders: DataFrame) -> DataFrame:
     fact-table join behind them runs once.
     """
     cells = materialize(spend_by_ordinal(customers, orders), "ltv-cells")
-    dense = _cumulative(_dense_grid(cells))
-    sizes = cohort_size_by_ordinal(customers)
+    return dense_from_cells(cells, cohort_size_by_ordinal(customers))
+
+
+def dense_from_cells(cells: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Dense cumulative cells from ``cells (cohort_ord, month_index, spend_cents, ...)``.
+
+    Returns ``(cohort_ord, month_index, cohort_size, cum_cents)``; ``cells``
+    is read several times, so pass a materialized (or otherwise cheap) table.
+    ``sizes`` is ``(cohort_ord, cohort_size)``, one row per signup month.
+    """
+    dense = _cumulative(_dense_grid(cells.select("cohort_ord", "month_index", "spend_cents")))
     return dense.join(F.broadcast(sizes), "cohort_ord")
 
 
-def _dense_out(df: DataFrame) -> DataFrame:
+def latest_from_dense(dense: DataFrame, n: int = LATEST_COHORTS) -> DataFrame:
+    """Rows of the ``n`` most recent cohorts of a (materialized) dense table."""
+    latest = dense.select("cohort_ord").distinct().orderBy(F.desc("cohort_ord")).limit(n)
+    return dense.join(F.broadcast(latest), "cohort_ord", "left_semi")
+
+
+def dense_out(df: DataFrame) -> DataFrame:
+    """``cohort_month, month_index, ltv`` from dense cumulative cells."""
     return df.select(
         month_label("cohort_ord").alias("cohort_month"),
         "month_index",
@@ -121,7 +137,7 @@ def _dense_out(df: DataFrame) -> DataFrame:
 
 def ltv_matrix_long(customers: DataFrame, orders: DataFrame) -> DataFrame:
     """L2 (long): ``cohort_month, month_index, ltv`` = cumulative spend / signup size, unrounded."""
-    return _dense_out(ltv_dense_by_ordinal(customers, orders))
+    return dense_out(ltv_dense_by_ordinal(customers, orders))
 
 
 def ltv_matrix_wide(
@@ -140,8 +156,7 @@ def ltv_latest_cohorts(
     the rows, so it is materialized once.
     """
     dense = materialize(ltv_dense_by_ordinal(customers, orders), "ltv-dense")
-    latest = dense.select("cohort_ord").distinct().orderBy(F.desc("cohort_ord")).limit(n)
-    return _dense_out(dense.join(F.broadcast(latest), "cohort_ord", "left_semi"))
+    return dense_out(latest_from_dense(dense, n))
 
 
 def cac_target_line(
@@ -152,11 +167,13 @@ def cac_target_line(
     One row per month index of the dense LTV matrix (indices observed in any
     cohort), all with the constant ``cac``.
     """
-    return (
-        spend_by_ordinal(customers, orders)
-        .select("month_index")
-        .distinct()
-        .select("month_index", F.lit(float(cac)).alias("cac_target"))
+    return cac_line_from_cells(spend_by_ordinal(customers, orders), cac)
+
+
+def cac_line_from_cells(cells: DataFrame, cac: float = CAC_TARGET) -> DataFrame:
+    """P7 from a cell table ``(cohort_ord, month_index, ...)``."""
+    return cells.select("month_index").distinct().select(
+        "month_index", F.lit(float(cac)).alias("cac_target")
     )
 
 

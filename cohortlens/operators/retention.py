@@ -68,7 +68,17 @@ def retention_first_index(customers: DataFrame, orders: DataFrame) -> DataFrame:
     The cells (at most months^2 rows) are read three times and therefore
     materialized once, so the fact-table join behind them runs once.
     """
-    cells = materialize(active_by_ordinal(customers, orders), "retention-cells")
+    return first_index_from_cells(
+        materialize(active_by_ordinal(customers, orders), "retention-cells")
+    )
+
+
+def first_index_from_cells(cells: DataFrame) -> DataFrame:
+    """A4 from a cell table ``(cohort_ord, month_index, active_shoppers, ...)``.
+
+    ``cells`` is read three times; pass a materialized (or otherwise cheap)
+    table.
+    """
     first_idx = cells.agg(F.min("month_index").alias("first_index"))
     base = (
         cells.join(F.broadcast(first_idx), F.col("month_index") == F.col("first_index"))

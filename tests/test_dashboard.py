@@ -1,0 +1,55 @@
+from __future__ import annotations
+
+import datetime as dt
+import random
+
+import pytest
+
+from cohortlens.operators import ltv, purchases, retention, sales
+from cohortlens.operators.scope import segment_scope
+from cohortlens.plans.dashboard import dashboard
+from tests.conftest import customers_df, orders_df, products_df
+
+
+def _star(spark):
+    rnd = random.Random(5)
+    base = dt.date(2024, 1, 1)
+    cust = [(i, (base + dt.timedelta(days=rnd.randint(0, 150))).isoformat(), rnd.choice(["Retail", "Corporate"]))
+            for i in range(1, 40)]
+    ords = []
+    for oid in range(1, 300):
+        cid = rnd.randint(1, 39)
+        day = (base + dt.timedelta(days=rnd.randint(0, 300))).isoformat()
+        ords.append((oid, cid, day, rnd.randint(1, 900), rnd.randint(1, 3), rnd.randint(1, 4)))
+    return (customers_df(spark, cust), products_df(spark, [(1, "A"), (2, "B"), (3, "A"), (4, "C")]),
+            orders_df(spark, ords))
+
+
+def _same(a, b):
+    assert sorted(a.columns) == sorted(b.columns)
+    cols = sorted(a.columns)
+    ra = sorted(map(tuple, a.select(cols).collect()), key=repr)
+    rb = sorted(map(tuple, b.select(cols).collect()), key=repr)
+    assert ra == rb
+
+
+@pytest.mark.parametrize("segment", [None, "Retail"])
+def test_dashboard_equals_individual_operators(spark, segment):
+    c, p, o = _star(spark)
+    board = dashboard(c, p, o, segment=segment, cac=500.0)
+    sc, so = segment_scope(c, o, segment)
+    expected = {
+        "kpi_summary": sales.kpi_summary(sc, so),
+        "monthly_sales": sales.monthly_sales(so),
+        "category_sales": sales.category_sales(so, p),
+        "retention_counts_wide": retention.retention_wide(sc, o, "count"),
+        "retention_pct_wide": retention.retention_wide(sc, o, "pct"),
+        "ltv_matrix_wide": ltv.ltv_matrix_wide(sc, o),
+        "ltv_latest_cohorts": ltv.ltv_latest_cohorts(sc, o),
+        "cac_target_line": ltv.cac_target_line(sc, o, 500.0),
+        "interval_histogram": purchases.interval_histogram(so),
+        "mean_interval": purchases.mean_interval(so),
+    }
+    assert set(board) == set(expected)
+    for key, exp in expected.items():
+        _same(board[key], exp)
