@@ -194,8 +194,10 @@ def interval_histogram(
     span of the data in days), so min/max and the width are computed on that
     small table.
     """
+    # Only the keys enter the scan: its materialized table cannot be pruned later.
+    keys_only = orders.select("order_id", "customer_id", "order_date")
     per_day = (
-        purchase_intervals(orders, num_partitions)
+        purchase_intervals(keys_only, num_partitions)
         .groupBy("days_between")
         .agg(F.count(F.lit(1)).alias("n"))
     )
