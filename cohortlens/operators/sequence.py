@@ -145,14 +145,6 @@ def _out_names(names: Sequence[str], lag_cols: Sequence[str]) -> list[str]:
     return list(names) + [f"_lag_{c}" for c in lag_cols] + [_PID, _SUMMARY, _FIRST, _RANK, _SFIRST]
 
 
-def _input_partitions(df: DataFrame) -> int:
-    """Partition count of ``df``'s physical plan (planning only, no job); 0 if unavailable."""
-    try:
-        return df.rdd.getNumPartitions()
-    except Exception:  # e.g. Spark Connect sessions have no RDD API
-        return 0
-
-
 def ordered_scan(
     df: DataFrame,
     group_col: str,
@@ -167,20 +159,23 @@ def ordered_scan(
     ``w = PARTITION BY group_col ORDER BY order_cols`` (ascending, nulls
     first, like Spark windows); a null group is a group of its own. Output
     columns: ``df``'s columns, then ``lag_names`` (default ``prev_<col>``),
-    then ``rank_name`` if given. ``num_partitions`` defaults to the larger of
-    ``spark.sql.shuffle.partitions`` and the input's partition count (input
-    splits follow ``spark.sql.files.maxPartitionBytes``), so a range holds
-    about one input split of rows whatever the table size.
+    then ``rank_name`` if given.
+
+    Range count: ``num_partitions`` if given; otherwise
+    ``spark.sql.shuffle.partitions`` ranges, which AQE may merge when they
+    are small (merged ranges are adjacent, so each task still reads one
+    contiguous, sorted key range). Size ``spark.sql.shuffle.partitions`` for
+    the data (about 1 GB per partition) as for any shuffle.
     """
-    spark = df.sparkSession
-    parts = num_partitions or max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), _input_partitions(df)
-    )
     lag_cols = list(lag_cols)
     lag_names = list(lag_names) if lag_names is not None else [f"prev_{c}" for c in lag_cols]
     keys = [group_col, *order_cols]
 
-    ranged = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    ranged = (
+        df.repartitionByRange(num_partitions, *keys)
+        if num_partitions
+        else df.repartitionByRange(*keys)
+    ).sortWithinPartitions(*keys)
     in_fields = df.schema.fields
     out_schema = T.StructType(
         list(in_fields)
@@ -196,7 +191,7 @@ def ordered_scan(
     scanned = ranged.mapInArrow(_scan_fn(group_col, order_cols, lag_cols), out_schema)
     scanned = materialize(scanned, "ordered-scan")
 
-    # Per-range summaries: at most `parts` rows.
+    # Per-range summaries: one row per non-empty range (bounded by the range count).
     summary = scanned.where(F.col(_SUMMARY)).select(
         F.col(_PID).alias("s_pid"),
         F.col(_SFIRST).alias("first_g"),
@@ -207,7 +202,7 @@ def ordered_scan(
     by_group = Window.partitionBy("last_g").orderBy("s_pid").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    in_order = Window.orderBy("s_pid")  # single task over <= `parts` summary rows
+    in_order = Window.orderBy("s_pid")  # single task over <= range-count summary rows
     chained = summary.withColumn("cum_tail", F.sum("tail").over(by_group)).select(
         "s_pid",
         "first_g",
