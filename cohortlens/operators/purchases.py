@@ -9,9 +9,10 @@ Plan choices at scale (one customer may hold a third of all orders):
   between consecutive dates of a customer sum to ``last - first``, so the
   count and mean gap come from a plain ``count/min/max`` group-by, which is
   combined map-side before its shuffle.
-* ``dense_rank_orders`` keeps only sequence numbers <= 5; Spark plans this as
-  ``WindowGroupLimit`` on both sides of the shuffle, so a hot customer
-  ships at most 5 rows per map task.
+* ``dense_rank_orders`` first reduces copies of one (customer, date, order
+  id) key map-side, then keeps only sequence numbers <= 5; Spark plans this
+  as ``WindowGroupLimit`` on both sides of the shuffle, so a hot customer
+  ships at most 5 rows per map task and a hot group of copies one row.
 * Row-level LAG / DENSE_RANK (``purchase_intervals``, ``purchase_sequence``)
   use :func:`cohortlens.operators.sequence.ordered_scan`, which splits a hot
   customer over many range partitions.
@@ -135,16 +136,23 @@ def dense_rank_orders(
     2 places, per sequence number. ``customers`` optionally scopes the
     ranked rows (at most ``max_sequence`` per customer) to those customers.
     """
+    # Copies of one (customer, date, order id) share a dense rank, so they are
+    # first reduced to one row per key (map-side combine): a group of copies
+    # holding a third of all rows becomes one row per task, and the ranking
+    # below only sees distinct keys.
+    per_key = orders.groupBy("customer_id", *ORDER_KEYS).agg(
+        F.count("order_id").alias("n_ids"),
+        F.count(order_cents(orders)).alias("n_values"),
+        F.sum(order_cents(orders)).alias("cents"),
+    )
     w = Window.partitionBy("customer_id").orderBy(*ORDER_KEYS)
-    ranked = orders.select(
-        "order_id",
-        "customer_id",
-        order_cents(orders).alias("cents"),
+    ranked = per_key.select(
+        "customer_id", "n_ids", "n_values", "cents",
         F.dense_rank().over(w).alias("purchase_sequence"),
     ).where(F.col("purchase_sequence") <= max_sequence)
     return _scope(ranked, customers).groupBy("purchase_sequence").agg(
-        F.count("order_id").alias("total_orders"),
-        (half_up_div(F.sum("cents"), F.count("cents")).cast("double") / 100.0).alias(
+        F.sum("n_ids").alias("total_orders"),
+        (half_up_div(F.sum("cents"), F.sum("n_values")).cast("double") / 100.0).alias(
             "average_order_value_inr"
         ),
     )

@@ -51,6 +51,7 @@ except Exception:  # pragma: no cover - older cloudpickle
     pass
 
 _PID, _SUMMARY, _FIRST, _RANK, _SFIRST = "_pid", "_is_summary", "_loc_first", "_loc_rank", "_s_first"
+_SALT = "_row_salt"
 
 
 def _same_as_prev(arr: pa.Array, head: pa.Array | None) -> np.ndarray:
@@ -79,6 +80,7 @@ def _scan_fn(group_col: str, order_cols: Sequence[str], lag_cols: Sequence[str])
         pid = TaskContext.get().partitionId()
         carry = None  # last row of the previous batch: dict of 1-element arrays + rank
         first_group = None
+        first_order = []
         schema = None
         for rb in batches:
             n = rb.num_rows
@@ -104,14 +106,17 @@ def _scan_fn(group_col: str, order_cols: Sequence[str], lag_cols: Sequence[str])
             ]
             if first_group is None:
                 first_group = g.slice(0, 1)
+                first_order = [rb.column(c).slice(0, 1) for c in order_cols]
             cols = list(rb.columns) + prevs + [
                 pa.array(np.full(n, pid, dtype=np.int32)),
                 pa.array(np.zeros(n, dtype=bool)),
                 pa.array(grp_start),
                 pa.array(rank.astype(np.int64)),
                 pa.nulls(n, g.type),
-            ]
-            yield pa.RecordBatch.from_arrays(cols, names=_out_names(rb.schema.names, lag_cols))
+            ] + [pa.nulls(n, rb.column(c).type) for c in order_cols]
+            yield pa.RecordBatch.from_arrays(
+                cols, names=_out_names(rb.schema.names, lag_cols, len(order_cols))
+            )
             carry = {
                 "g": g.slice(n - 1, 1),
                 "o": [rb.column(c).slice(n - 1, 1) for c in order_cols],
@@ -126,6 +131,8 @@ def _scan_fn(group_col: str, order_cols: Sequence[str], lag_cols: Sequence[str])
                 cols.append(carry["g"])
             elif f.name in lag_cols:
                 cols.append(carry["lag"][list(lag_cols).index(f.name)])
+            elif f.name in order_cols:
+                cols.append(carry["o"][list(order_cols).index(f.name)])
             else:
                 cols.append(pa.nulls(1, f.type))
         cols += [pa.nulls(1, schema.field(c).type) for c in lag_cols]
@@ -136,13 +143,21 @@ def _scan_fn(group_col: str, order_cols: Sequence[str], lag_cols: Sequence[str])
             pa.array([carry["rank"]], pa.int64()),
             first_group,
         ]
-        yield pa.RecordBatch.from_arrays(cols, names=_out_names(schema.names, lag_cols))
+        cols += first_order
+        yield pa.RecordBatch.from_arrays(
+            cols, names=_out_names(schema.names, lag_cols, len(order_cols))
+        )
 
     return scan
 
 
-def _out_names(names: Sequence[str], lag_cols: Sequence[str]) -> list[str]:
-    return list(names) + [f"_lag_{c}" for c in lag_cols] + [_PID, _SUMMARY, _FIRST, _RANK, _SFIRST]
+def _out_names(names: Sequence[str], lag_cols: Sequence[str], n_order: int) -> list[str]:
+    return (
+        list(names)
+        + [f"_lag_{c}" for c in lag_cols]
+        + [_PID, _SUMMARY, _FIRST, _RANK, _SFIRST]
+        + [f"_s_first_o{j}" for j in range(n_order)]
+    )
 
 
 def ordered_scan(
@@ -168,17 +183,22 @@ def ordered_scan(
     the data (about 1 GB per partition) as for any shuffle.
     """
     lag_cols = list(lag_cols)
+    order_cols = list(order_cols)
     lag_names = list(lag_names) if lag_names is not None else [f"prev_{c}" for c in lag_cols]
-    keys = [group_col, *order_cols]
+    in_fields = df.schema.fields
+    # A row id as the last range key lets Spark cut even a group of identical
+    # (group, order) keys into several ranges; it plays no part in the values.
+    salted = df.withColumn(_SALT, F.monotonically_increasing_id())
+    keys = [group_col, *order_cols, _SALT]
 
     ranged = (
-        df.repartitionByRange(num_partitions, *keys)
+        salted.repartitionByRange(num_partitions, *keys)
         if num_partitions
-        else df.repartitionByRange(*keys)
+        else salted.repartitionByRange(*keys)
     ).sortWithinPartitions(*keys)
-    in_fields = df.schema.fields
+    # Every field nullable: the per-range summary rows leave most columns empty.
     out_schema = T.StructType(
-        list(in_fields)
+        [T.StructField(f.name, f.dataType, True) for f in salted.schema.fields]
         + [T.StructField(f"_lag_{c}", df.schema[c].dataType, True) for c in lag_cols]
         + [
             T.StructField(_PID, T.IntegerType(), True),
@@ -187,6 +207,7 @@ def ordered_scan(
             T.StructField(_RANK, T.LongType(), True),
             T.StructField(_SFIRST, df.schema[group_col].dataType, True),
         ]
+        + [T.StructField(f"_s_first_o{j}", df.schema[c].dataType, True) for j, c in enumerate(order_cols)]
     )
     scanned = ranged.mapInArrow(_scan_fn(group_col, order_cols, lag_cols), out_schema)
     scanned = materialize(scanned, "ordered-scan")
@@ -198,22 +219,41 @@ def ordered_scan(
         F.col(group_col).alias("last_g"),
         F.col(_RANK).alias("tail"),
         *[F.col(c).alias(f"s_last_{i}") for i, c in enumerate(lag_cols)],
+        *[F.col(c).alias(f"s_last_o{j}") for j, c in enumerate(order_cols)],
+        *[F.col(f"_s_first_o{j}").alias(f"s_first_o{j}") for j in range(len(order_cols))],
     )
-    by_group = Window.partitionBy("last_g").orderBy("s_pid").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
+    upto_here = (Window.unboundedPreceding, Window.currentRow)
     in_order = Window.orderBy("s_pid")  # single task over <= range-count summary rows
-    chained = summary.withColumn("cum_tail", F.sum("tail").over(by_group)).select(
+    same_group = F.lag("last_g").over(in_order).eqNullSafe(F.col("first_g"))
+    same_key = same_group
+    for j in range(len(order_cols)):
+        same_key = same_key & F.lag(f"s_last_o{j}").over(in_order).eqNullSafe(F.col(f"s_first_o{j}"))
+    linked = summary.select(
+        "*",
+        F.lag(F.lit(True)).over(in_order).alias("has_prev"),
+        same_group.alias("continues"),
+        same_key.cast("long").alias("dup_key"),
+    )
+    # Distinct keys of a group before a range: the range-local counts of the
+    # preceding ranges of that group, minus keys counted twice because a
+    # range began with the same key its predecessor ended with.
+    chained = linked.select(
+        "*",
+        F.sum("tail").over(Window.partitionBy("last_g").orderBy("s_pid").rowsBetween(*upto_here)).alias("cum_tail"),
+        F.sum(F.when(F.col("continues"), F.col("dup_key")).otherwise(F.lit(0).cast("long")))
+        .over(Window.partitionBy("first_g").orderBy("s_pid").rowsBetween(*upto_here))
+        .alias("cum_dup"),
+    ).select(
         "s_pid",
         "first_g",
-        F.lag(F.lit(True)).over(in_order).alias("has_prev"),
-        F.lag("last_g").over(in_order).alias("prev_last_g"),
-        F.lag("cum_tail").over(in_order).alias("fix_offset"),
+        "has_prev",
+        "continues",
+        (F.lag("cum_tail").over(in_order) - F.col("cum_dup")).alias("fix_offset"),
         *[F.lag(f"s_last_{i}").over(in_order).alias(f"fix_{i}") for i in range(len(lag_cols))],
     )
-    fixups = chained.where(
-        F.col("has_prev") & F.col("prev_last_g").eqNullSafe(F.col("first_g"))
-    ).select("s_pid", "first_g", "fix_offset", *[f"fix_{i}" for i in range(len(lag_cols))])
+    fixups = chained.where(F.col("has_prev") & F.col("continues")).select(
+        "s_pid", "first_g", "fix_offset", *[f"fix_{i}" for i in range(len(lag_cols))]
+    )
 
     data = scanned.where(~F.col(_SUMMARY))
     joined = data.join(

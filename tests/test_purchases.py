@@ -111,3 +111,26 @@ def test_scope_after_reduction_equals_scoped_orders(spark):
     assert rows(purchases.repeat_intervals(o, customers=sc)) == rows(purchases.repeat_intervals(so))
     assert rows(purchases.dense_rank_orders(o, customers=sc)) == rows(purchases.dense_rank_orders(so))
     assert rows(purchases.mean_interval(o, customers=sc)) == rows(purchases.mean_interval(so))
+
+
+@pytest.mark.parametrize("parts", [2, 5, 13])
+def test_ordered_scan_splits_a_hot_group_of_copies(spark, parts):
+    """30% of rows are copies of one (customer, date, order id) key; results must equal the window."""
+    rnd = random.Random(100 + parts)
+    data = [(99, 7, dt.date(2024, 1, 5), 1) for _ in range(900)]
+    for _ in range(2100):
+        c = 7 if rnd.random() < 0.3 else rnd.randint(1, 40)
+        day = dt.date(2024, 1, 1) + dt.timedelta(days=rnd.randint(0, 20))
+        data.append((rnd.randint(1, 300), c, day, rnd.randint(0, 9)))
+    rnd.shuffle(data)
+    df = spark.createDataFrame(data, "order_id long, customer_id long, order_date date, v int").repartition(4)
+    got = ordered_scan(df, "customer_id", ["order_date", "order_id"], ["order_date"],
+                       rank_name="seq", num_partitions=parts)
+    w = Window.partitionBy("customer_id").orderBy("order_date", "order_id")
+    exp = df.select("*", F.lag("order_date").over(w).alias("prev_order_date"),
+                    F.dense_rank().over(w).alias("seq"))
+    cols = ["customer_id", "order_date", "order_id", "prev_order_date", "seq"]
+    assert sorted(map(tuple, got.select(cols).collect()), key=repr) == sorted(
+        map(tuple, exp.select(cols).collect()), key=repr
+    )
+    assert got.columns == ["order_id", "customer_id", "order_date", "v", "prev_order_date", "seq"]

@@ -1,8 +1,9 @@
 """Measure per-task balance of the main operators when one customer holds a third of all orders.
 
-Builds a stand-in orders table from the test tables (the given orders, with
-every third order, by order id, reassigned to a single customer id) and
-writes it as 16 Parquet files under the checkpoint folder. Then runs the
+Builds two stand-in orders tables from the test tables and writes each as 16
+Parquet files under the checkpoint folder: ``hot_customer`` (every third
+order, by order id, moved to one customer) and ``hot_copies`` (every third
+order replaced by a copy of one order row). Then runs the
 operators with broadcast joins disabled (as for tables too large to
 broadcast) and AQE on, and reads per-task record counts from Spark's event
 log. For every stage with more than one task it reports
@@ -63,21 +64,32 @@ def main(argv: list[str]) -> None:
     )
     customers = td.customers(spark, sf_dir)
     base = td.orders(spark, sf_dir)
-    hot = base.agg(F.min("customer_id")).first()[0]
-    skewed = base.withColumn(
-        "customer_id", F.when(F.col("order_id") % 3 == 0, F.lit(hot)).otherwise(F.col("customer_id"))
-    ).repartition(16)
-    orders = materialize(skewed, "skewed-orders")
+    first = base.orderBy("order_id").first()
+    third = F.col("order_id") % 3 == 0
+    # Scenario 1: every third order moved to one customer.
+    hot_customer = base.withColumn(
+        "customer_id", F.when(third, F.lit(first["customer_id"])).otherwise(F.col("customer_id"))
+    )
+    # Scenario 2: every third order replaced by a copy of one order row.
+    hot_copies = base.select(
+        *[F.when(third, F.lit(first[c])).otherwise(F.col(c)).alias(c) for c in base.columns]
+    )
+    scenarios = {
+        "hot_customer": materialize(hot_customer.repartition(16), "skewed-orders"),
+        "hot_copies": materialize(hot_copies.repartition(16), "copied-orders"),
+    }
 
     w = Window.partitionBy("customer_id").orderBy("order_date", "order_id")
-    runs = {
-        "retention_matrix": lambda: retention.retention_matrix(customers, orders),
-        "cohort_ltv": lambda: ltv.cohort_ltv(customers, orders),
-        "repeat_intervals": lambda: purchases.repeat_intervals(orders),
-        "dense_rank_orders": lambda: purchases.dense_rank_orders(orders),
-        "purchase_intervals": lambda: purchases.purchase_intervals(orders),
-        "naive_window_lag": lambda: orders.withColumn("prev", F.lag("order_date").over(w)),
-    }
+    runs = {}
+    for label, orders in scenarios.items():
+        runs.update({
+            f"{label}:retention_matrix": lambda o=orders: retention.retention_matrix(customers, o),
+            f"{label}:cohort_ltv": lambda o=orders: ltv.cohort_ltv(customers, o),
+            f"{label}:repeat_intervals": lambda o=orders: purchases.repeat_intervals(o),
+            f"{label}:dense_rank_orders": lambda o=orders: purchases.dense_rank_orders(o),
+            f"{label}:purchase_intervals": lambda o=orders: purchases.purchase_intervals(o),
+            f"{label}:naive_window_lag": lambda o=orders: o.withColumn("prev", F.lag("order_date").over(w)),
+        })
     groups = {}
     for name, build in runs.items():
         spark.sparkContext.setJobGroup(name, name)
@@ -99,6 +111,10 @@ def main(argv: list[str]) -> None:
                 "Total Records Read", 0
             )
             stage_tasks.setdefault(e["Stage ID"], []).append(recs)
+    if os.environ.get("SKEW_PROBE_VERBOSE"):
+        for s, recs in sorted(stage_tasks.items()):
+            if stage_group.get(s) in runs and len(recs) > 1:
+                print("STAGE", stage_group[s], s, len(recs), sum(recs), max(recs))
     report = {}
     for s, recs in stage_tasks.items():
         g = stage_group.get(s)
