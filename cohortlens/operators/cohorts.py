@@ -30,10 +30,18 @@ def order_cents(orders: DataFrame) -> "F.Column":
 
 
 def signup_cohorts(customers: DataFrame) -> DataFrame:
-    """(customer_id, cohort_ord): customers with a known id and signup date."""
-    return customers.where(
-        F.col("customer_id").isNotNull() & F.col("signup_date").isNotNull()
-    ).select("customer_id", month_ordinal("signup_date").alias("cohort_ord"))
+    """(customer_id, cohort_ord, copies): customers with a known id and signup date.
+
+    Repeated customer rows are reduced map-side to one row per (customer,
+    cohort) with their multiplicity, so a customer copied many times is one
+    row per task before any shuffle; ``copies`` keeps SQL join semantics
+    (repeated rows multiply spend, not distinct counts).
+    """
+    return (
+        customers.where(F.col("customer_id").isNotNull() & F.col("signup_date").isNotNull())
+        .groupBy("customer_id", month_ordinal("signup_date").alias("cohort_ord"))
+        .agg(F.count(F.lit(1)).alias("copies"))
+    )
 
 
 def cohort_size_by_ordinal(customers: DataFrame) -> DataFrame:
@@ -82,9 +90,9 @@ def activity_by_ordinal(customers: DataFrame, orders: DataFrame) -> DataFrame:
     """(customer_id, cohort_ord, month_index, spend_cents): one row per customer row and active month.
 
     Inner join: customers without orders and orders of unknown customers drop
-    out, as in the cohort queries. A customer id repeated in ``customers``
-    yields one row per customer row (join semantics), which the distinct
-    counts of retention ignore and the spend sums of LTV include.
+    out, as in the cohort queries. A customer row repeated in ``customers``
+    counts as in a SQL join: its spend is multiplied by the number of copies
+    (``spend_cents``), while distinct customer counts are unaffected.
     """
     cm = customer_months(orders)
     sc = signup_cohorts(customers)
@@ -92,7 +100,7 @@ def activity_by_ordinal(customers: DataFrame, orders: DataFrame) -> DataFrame:
         "customer_id",
         "cohort_ord",
         (F.col("order_ord") - F.col("cohort_ord")).alias("month_index"),
-        "spend_cents",
+        (F.col("spend_cents") * F.col("copies")).alias("spend_cents"),
     )
 
 

@@ -3,8 +3,9 @@
 The operators use rewrites (pre-aggregation before the join, telescoping gap
 sums instead of LAG, integer half-up rounding); the SQL presets in
 ``cohortlens.plans.catalog`` state the same analyses directly. Both run on
-random star schemas with nulls, duplicate order ids, orders before signup and
-customers without orders.
+random star schemas with nulls, duplicate order ids, copied customer rows (and
+one customer id under two signup dates), orders before signup and customers
+without orders.
 
 Known, deliberate difference: an order with a null date yields a null month
 index in the SQL form (and, for LTV, its spend then enters the cumulative sum
@@ -32,6 +33,7 @@ def _star(spark, seed: int, null_dates: bool):
         signup = None if rnd.random() < 0.05 else (base + dt.timedelta(days=rnd.randint(0, 200))).isoformat()
         cust.append((cid, signup, rnd.choice(["Retail", "Corporate", "Direct"])))
     cust.append((None, "2024-01-05", "Retail"))
+    cust += [cust[2]] * 3 + [(cust[4][0], "2023-12-24", "Retail")]  # copied customer rows, one id in 2 cohorts
     ords = []
     for oid in range(1, 400):
         cid = None if rnd.random() < 0.03 else (7 if rnd.random() < 0.3 else rnd.randint(1, 70))
