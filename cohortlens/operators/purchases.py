@@ -41,7 +41,8 @@ def _scope(per_customer: DataFrame, customers: DataFrame | None) -> DataFrame:
     """
     if customers is None:
         return per_customer
-    return per_customer.join(customers.select("customer_id"), "customer_id", "left_semi")
+    keys = customers.select("customer_id").distinct()
+    return per_customer.join(keys, "customer_id", "left_semi")
 
 
 def repeat_interval_stats(orders: DataFrame, customers: DataFrame | None = None) -> DataFrame:

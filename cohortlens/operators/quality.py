@@ -25,14 +25,15 @@ def orphan_keys(fact: DataFrame, fk: str, dim: DataFrame, pk: str, name: str | N
     """Non-null ``fact.fk`` values absent from ``dim.pk``: ``fk_column, key_value, n_rows``.
 
     Fact rows are counted per key value first (map-side combine), then
-    anti-joined with the dimension keys.
+    anti-joined with the distinct dimension keys (a key repeated in the
+    dimension is one row per task before the shuffle).
     """
     counts = (
         fact.where(F.col(fk).isNotNull())
         .groupBy(F.col(fk).alias("key_value"))
         .agg(F.count(F.lit(1)).alias("n_rows"))
     )
-    keys = dim.select(F.col(pk).alias("key_value"))
+    keys = dim.select(F.col(pk).alias("key_value")).distinct()
     return counts.join(keys, "key_value", "left_anti").select(
         F.lit(name or fk).alias("fk_column"), "key_value", "n_rows"
     )

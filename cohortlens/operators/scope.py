@@ -21,10 +21,12 @@ def segment_customers(customers: DataFrame, segment: str | None) -> DataFrame:
 def segment_orders(orders: DataFrame, scoped_customers: DataFrame) -> DataFrame:
     """Orders whose customer is in ``scoped_customers`` (left semi join).
 
-    The customer side is only keys; AQE broadcasts it when measured small,
-    otherwise a sort-merge semi join runs with skew splitting of hot keys.
+    The customer side is reduced to distinct keys (map-side combined, so a
+    copied customer row is one key); AQE broadcasts it when measured small,
+    otherwise a sort-merge semi join runs with skew splitting of hot keys on
+    the orders side.
     """
-    keys = scoped_customers.select("customer_id")
+    keys = scoped_customers.select("customer_id").distinct()
     return orders.join(keys, "customer_id", "left_semi")
 
 
