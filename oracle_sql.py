@@ -277,7 +277,7 @@ FROM (
   FROM per_customer
 ) t WHERE n_intervals > 0""", _purchase_gaps("(SELECT * FROM orders_v WHERE customer_id IS NOT NULL)"), cohort=False)
     q["interval_histogram"] = _q("""
-SELECT CAST(floor(days_between / w) * w AS BIGINT) AS bin_start, w AS bin_width, count(*) AS n_intervals
+SELECT CAST(floor(days_between / w) * w AS BIGINT) AS bin_start, CAST(w AS BIGINT) AS bin_width, count(*) AS n_intervals
 FROM intervals, (
   SELECT min(w) AS w FROM (VALUES """ + _ROUND_WIDTHS + """) widths(w),
        (SELECT min(days_between) AS lo, max(days_between) AS hi FROM intervals) b

@@ -1,0 +1,36 @@
+"""Property tests of the exact arithmetic helpers (many examples per Spark job)."""
+
+from __future__ import annotations
+
+import datetime as dt
+from decimal import ROUND_HALF_UP, Decimal
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from cohortlens.functions import half_up_div, month_label, month_ordinal
+
+pairs = st.lists(
+    st.tuples(st.integers(-(10**12), 10**12), st.integers(1, 10**6)), min_size=1, max_size=300
+)
+
+
+@settings(max_examples=5, deadline=None)
+@given(pairs)
+def test_half_up_div_equals_decimal_rounding(spark, data):
+    df = spark.createDataFrame(data, "n long, d long")
+    got = [r[0] for r in df.select(half_up_div(F.col("n"), F.col("d"))).collect()]
+    exp = [int((Decimal(n) / Decimal(d)).quantize(Decimal(1), rounding=ROUND_HALF_UP)) for n, d in data]
+    assert got == exp
+
+
+dates = st.lists(st.dates(min_value=dt.date(1, 1, 1), max_value=dt.date(9999, 12, 31)), min_size=1, max_size=300)
+
+
+@settings(max_examples=5, deadline=None)
+@given(dates)
+def test_month_label_equals_date_format(spark, data):
+    df = spark.createDataFrame([(x,) for x in data], "x date")
+    got = df.select(month_label(month_ordinal("x")).alias("a"), F.date_format("x", "yyyy-MM").alias("b"))
+    assert all(r["a"] == r["b"] for r in got.collect())
