@@ -75,9 +75,21 @@ def read_jdbc(
 
 
 def load_star_schema(
-    spark: SparkSession, fmt: str, paths: dict[str, str], **jdbc_options
+    spark: SparkSession,
+    fmt: str,
+    paths: dict[str, str],
+    url: str | None = None,
+    properties: dict[str, str] | None = None,
+    partitioning: dict[str, tuple[str, int, int, int]] | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(customers, products, orders)`` from one format; ``paths`` maps table -> path/table name."""
+    """``(customers, products, orders)`` from one format.
+
+    ``paths`` maps each table to a file path (``parquet``, ``csv``) or a
+    database table name (``jdbc``, with ``url`` and ``properties``).
+    ``partitioning`` optionally maps a table to ``(integer column, lower,
+    upper, partitions)`` for a parallel JDBC read, e.g.
+    ``{"orders": ("order_id", 1, 10**9, 400)}``.
+    """
     out = []
     for table in ("customers", "products", "orders"):
         if fmt == "parquet":
@@ -85,7 +97,12 @@ def load_star_schema(
         elif fmt == "csv":
             out.append(read_csv(spark, paths[table], table))
         elif fmt == "jdbc":
-            out.append(read_jdbc(spark, dbtable=paths[table], table=table, **jdbc_options))
+            if url is None:
+                raise ValueError("jdbc needs url")
+            col, lo, hi, n = (partitioning or {}).get(table, (None, None, None, None))
+            out.append(
+                read_jdbc(spark, url, paths[table], table, properties, col, lo, hi, n)
+            )
         else:
             raise ValueError(f"unknown format {fmt!r}")
     return out[0], out[1], out[2]
