@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 import sys
+import tempfile
 from decimal import Decimal
 
 import pytest
@@ -15,9 +16,20 @@ from cohortlens.session import build_session, checkpoint_dir  # noqa: E402
 from cohortlens.sources.schema import CUSTOMERS, ORDERS, PRODUCTS  # noqa: E402
 
 
+EVENT_LOG_DIR = tempfile.mkdtemp(prefix="cohortlens-test-events-")
+
+
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("local[4]", shuffle_partitions=8)
+    s = build_session(
+        "local[4]",
+        shuffle_partitions=8,
+        extra={
+            "spark.eventLog.enabled": "true",
+            "spark.eventLog.dir": EVENT_LOG_DIR,
+            "spark.eventLog.compress": "false",
+        },
+    )
     checkpoint_dir(s)  # tests: no cluster folder configured, use a temporary one
     yield s
     s.stop()

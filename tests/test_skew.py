@@ -1,0 +1,122 @@
+"""Skew regression test: per-task record counts from Spark's event log.
+
+One customer receives every third order (a third of all rows). With 16
+shuffle partitions and AQE partition coalescing off, a per-customer window
+gives one task about six times the mean; the operators must keep every
+multi-task stage of at least 1000 records within twice the mean.
+"""
+
+from __future__ import annotations
+
+import glob
+import json
+import os
+import time
+
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from cohortlens.operators import purchases, retention
+from cohortlens.plans.materialize import materialize
+from cohortlens.sources import testdata as td
+from tests.conftest import EVENT_LOG_DIR
+
+SF = "/root/testdata/sf0.01"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
+
+
+def _stage_records(group: str, timeout: float = 30.0) -> list[list[int]]:
+    """Per-stage task record counts of the jobs run under job group ``group``."""
+    deadline = time.time() + timeout
+    while True:
+        stage_group, tasks, ended = {}, {}, set()
+        for f in glob.glob(f"{EVENT_LOG_DIR}/**/events_*", recursive=True) + glob.glob(f"{EVENT_LOG_DIR}/local-*"):
+            with open(f) as fh:
+                for line in fh:
+                    try:
+                        e = json.loads(line)
+                    except json.JSONDecodeError:
+                        continue
+                    ev = e["Event"]
+                    if ev == "SparkListenerJobStart":
+                        g = (e.get("Properties") or {}).get("spark.jobGroup.id")
+                        for sid in e["Stage IDs"]:
+                            stage_group[sid] = g
+                    elif ev == "SparkListenerTaskEnd" and e.get("Task Metrics"):
+                        m = e["Task Metrics"]
+                        n = m.get("Input Metrics", {}).get("Records Read", 0) + m.get(
+                            "Shuffle Read Metrics", {}
+                        ).get("Total Records Read", 0)
+                        tasks.setdefault(e["Stage ID"], []).append(n)
+                    elif ev == "SparkListenerStageCompleted":
+                        ended.add(e["Stage Info"]["Stage ID"])
+        mine = [sid for sid, g in stage_group.items() if g == group]
+        if mine and all(sid in ended or sid not in tasks for sid in mine):
+            return [tasks[sid] for sid in mine if sid in tasks]
+        if time.time() > deadline:
+            return [tasks[sid] for sid in mine if sid in tasks]
+        time.sleep(0.5)
+
+
+def _worst_ratio(stages: list[list[int]]) -> float:
+    """Largest ``max task records / mean task records`` over multi-task stages of >= 1000 records."""
+    ratios = [max(r) / (sum(r) / len(r)) for r in stages if len(r) > 1 and sum(r) >= 1000]
+    return max(ratios) if ratios else 0.0
+
+
+@pytest.fixture(scope="module")
+def skewed(spark):
+    base = td.orders(spark, SF)
+    hot = base.agg(F.min("customer_id")).first()[0]
+    moved = base.withColumn(
+        "customer_id", F.when(F.col("order_id") % 3 == 0, F.lit(hot)).otherwise(F.col("customer_id"))
+    )
+    return td.customers(spark, SF), materialize(moved.repartition(16), "skew-test-orders")
+
+
+@pytest.fixture()
+def scale_like(spark):
+    old = {k: spark.conf.get(k) for k in (
+        "spark.sql.shuffle.partitions",
+        "spark.sql.adaptive.coalescePartitions.enabled",
+        "spark.sql.autoBroadcastJoinThreshold",
+    )}
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def _run(spark, group, df):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        df.write.format("noop").mode("overwrite").save()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_naive_window_is_detected_as_skewed(spark, skewed, scale_like):
+    _, orders = skewed
+    w = Window.partitionBy("customer_id").orderBy("order_date", "order_id")
+    _run(spark, "skew-naive", orders.withColumn("prev", F.lag("order_date").over(w)))
+    assert _worst_ratio(_stage_records("skew-naive")) > 4
+
+
+@pytest.mark.parametrize("name", ["retention_matrix", "repeat_intervals", "dense_rank_orders", "purchase_intervals"])
+def test_operators_stay_balanced_with_a_hot_customer(spark, skewed, scale_like, name):
+    customers, orders = skewed
+    build = {
+        "retention_matrix": lambda: retention.retention_matrix(customers, orders),
+        "repeat_intervals": lambda: purchases.repeat_intervals(orders),
+        "dense_rank_orders": lambda: purchases.dense_rank_orders(orders),
+        "purchase_intervals": lambda: purchases.purchase_intervals(orders),
+    }[name]
+    group = f"skew-{name}"
+    spark.sparkContext.setJobGroup(group, group)
+    df = build()  # the ordered scan's materialization runs here, under the group
+    _run(spark, group, df)
+    ratio = _worst_ratio(_stage_records(group))
+    assert ratio < 2.0, ratio
