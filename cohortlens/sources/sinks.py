@@ -47,9 +47,22 @@ def write_csv(
 
 
 def export_star_schema(
-    customers: DataFrame, products: DataFrame, orders: DataFrame, out_dir: str, **kw
+    customers: DataFrame,
+    products: DataFrame,
+    orders: DataFrame,
+    out_dir: str,
+    segment: str | None = None,
+    **kw,
 ) -> dict[str, str]:
-    """Write ``dim_customers``, ``dim_products`` and ``fact_orders`` under ``out_dir``."""
+    """Write ``dim_customers``, ``dim_products`` and ``fact_orders`` under ``out_dir``.
+
+    With ``segment``, customers and their orders are narrowed to that segment
+    first (products are never filtered). ``kw`` goes to :func:`write_csv` for
+    the fact table (``with_order_month``, ``partition_by_month``).
+    """
+    from cohortlens.operators.scope import segment_scope
+
+    customers, orders = segment_scope(customers, orders, segment)
     paths = {
         "customers": f"{out_dir.rstrip('/')}/dim_customers",
         "products": f"{out_dir.rstrip('/')}/dim_products",

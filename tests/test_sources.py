@@ -113,3 +113,14 @@ def test_load_star_schema_parquet_and_csv(spark):
     csv = sinks.export_star_schema(c, p, o, f"{out}/csv")
     cc, cp, co = load_star_schema(spark, "csv", csv)
     assert (rows(cc), rows(cp), rows(co)) == (rows(c), rows(p), rows(o))
+
+
+def test_export_for_one_segment(spark):
+    out = tempfile.mkdtemp(prefix="csv-seg-")
+    c = customers_df(spark, [(1, "2024-01-03", "Retail"), (2, "2024-01-04", "Corporate")])
+    p = products_df(spark, [(1, "Menswear"), (2, "Footwear")])
+    o = orders_df(spark, [(10, 1, "2024-01-05", 1, 1, 1), (11, 2, "2024-01-06", 2, 1, 2)])
+    paths = sinks.export_star_schema(c, p, o, out, segment="Corporate")
+    assert [r.customer_id for r in readers.read_csv(spark, paths["customers"], "customers").collect()] == [2]
+    assert [r.order_id for r in readers.read_csv(spark, paths["orders"], "orders").collect()] == [11]
+    assert readers.read_csv(spark, paths["products"], "products").count() == 2
