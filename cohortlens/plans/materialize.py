@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from cohortlens.session import checkpoint_dir
 
+_written: dict[int, list[str]] = {}
+_lock = threading.Lock()
+
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Compute ``df`` once, store it as Parquet under ``spark.checkpoint.dir``, return a reader.
@@ -15,8 +19,28 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     Used where one result feeds several consumers (which would otherwise
     each recompute it) or where consumers must see the very same rows. The
     lineage is cut: a lost executor costs a re-read, not a recomputation.
+    The tables stay until :func:`release` (or the folder's own retention).
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    with _lock:
+        _written.setdefault(id(spark), []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables :func:`materialize` wrote for ``spark``; returns how many.
+
+    DataFrames that read those tables must not be used afterwards. Deletion
+    goes through the Hadoop FileSystem of each path, so it works for any
+    shared folder (HDFS, object stores, local).
+    """
+    with _lock:
+        paths = _written.pop(id(spark), [])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for p in paths:
+        jp = fs_path(p)
+        jp.getFileSystem(conf).delete(jp, True)
+    return len(paths)
