@@ -134,3 +134,27 @@ def test_ordered_scan_splits_a_hot_group_of_copies(spark, parts):
         map(tuple, exp.select(cols).collect()), key=repr
     )
     assert got.columns == ["order_id", "customer_id", "order_date", "v", "prev_order_date", "seq"]
+
+
+def test_ordered_scan_carries_state_across_arrow_batches(spark):
+    """Tiny Arrow batches: groups, ranks and lags must continue across batch borders."""
+    rnd = random.Random(42)
+    data = []
+    for _ in range(1500):
+        c = 3 if rnd.random() < 0.5 else (None if rnd.random() < 0.05 else rnd.randint(1, 30))
+        day = None if rnd.random() < 0.02 else dt.date(2024, 1, 1) + dt.timedelta(days=rnd.randint(0, 15))
+        data.append((rnd.randint(1, 400), c, day, 0))
+    data += [(7, 3, dt.date(2024, 1, 3), 0)] * 40  # copies spanning several batches
+    df = spark.createDataFrame(data, "order_id long, customer_id long, order_date date, v int").repartition(3)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = ordered_scan(df, "customer_id", ["order_date", "order_id"], ["order_date"],
+                           rank_name="seq", num_partitions=4)
+        cols = ["customer_id", "order_date", "order_id", "prev_order_date", "seq"]
+        got_rows = sorted(map(tuple, got.select(cols).collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    w = Window.partitionBy("customer_id").orderBy("order_date", "order_id")
+    exp = df.select("*", F.lag("order_date").over(w).alias("prev_order_date"), F.dense_rank().over(w).alias("seq"))
+    assert got_rows == sorted(map(tuple, exp.select(cols).collect()), key=repr)
