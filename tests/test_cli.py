@@ -1,0 +1,27 @@
+from __future__ import annotations
+
+import os
+import tempfile
+
+from cohortlens.__main__ import main
+from tests.conftest import customers_df, orders_df, products_df
+
+
+def test_cli_dashboard_query_and_sql(spark):
+    root = tempfile.mkdtemp(prefix="cli-")
+    c = customers_df(spark, [(1, "2024-01-03", "Retail"), (2, "2024-01-09", "Corporate")])
+    p = products_df(spark, [(1, "Menswear")])
+    o = orders_df(spark, [(10, 1, "2024-01-05", 5, 1, 1), (11, 1, "2024-02-07", 7, 2, 1), (12, 2, "2024-01-10", 3, 1, 1)])
+    for name, df in (("customers", c), ("products", p), ("orders", o)):
+        df.write.parquet(f"{root}/in/{name}")
+    own = spark.newSession()  # release() at the end only drops this session's tables
+    common = ["--customers", f"{root}/in/customers", "--products", f"{root}/in/products",
+              "--orders", f"{root}/in/orders"]
+    main(["dashboard", *common, "--segment", "Retail", "--out", f"{root}/dash"], own)
+    assert "retention_pct_wide" in os.listdir(f"{root}/dash") and "kpi_summary" in os.listdir(f"{root}/dash")
+    kpi = spark.read.option("header", True).csv(f"{root}/dash/kpi_summary").first()
+    assert float(kpi["total_sales"]) == 12.0
+    main(["query", "retention_matrix", *common, "--out", f"{root}/q"], own)
+    assert spark.read.option("header", True).csv(f"{root}/q/retention_matrix").count() == 2
+    main(["sql", "SELECT count(*) AS n FROM orders", *common, "--out", f"{root}/s"], own)
+    assert spark.read.option("header", True).csv(f"{root}/s/sql").first()["n"] == "3"
