@@ -52,6 +52,7 @@ except Exception:  # pragma: no cover - older cloudpickle
 
 _PID, _SUMMARY, _FIRST, _RANK, _SFIRST = "_pid", "_is_summary", "_loc_first", "_loc_rank", "_s_first"
 _SALT = "_row_salt"
+MAX_BROADCAST_RANGES = 200_000  # fix-up rows are ~40 bytes: <= ~8 MB broadcast
 
 
 def _same_as_prev(arr: pa.Array, head: pa.Array | None) -> np.ndarray:
@@ -256,8 +257,12 @@ def ordered_scan(
     )
 
     data = scanned.where(~F.col(_SUMMARY))
+    # The fix-ups have at most one row per range; the range count is known
+    # before running (num_partitions, or spark.sql.shuffle.partitions that
+    # AQE may only lower), so broadcast only under a known small bound.
+    ranges = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     joined = data.join(
-        F.broadcast(fixups),
+        F.broadcast(fixups) if ranges <= MAX_BROADCAST_RANGES else fixups,
         (data[_PID] == fixups["s_pid"]) & data[group_col].eqNullSafe(fixups["first_g"]),
         "left",
     )
