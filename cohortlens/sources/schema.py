@@ -44,3 +44,11 @@ LATEST_COHORTS = 8           # cohorts drawn in the LTV chart
 TOP_REPEATERS = 20           # rows of the repeat-interval report
 MAX_PURCHASE_SEQUENCE = 5    # purchase sequence cap
 ALL_SEGMENTS = "All"         # segment value meaning "no filter"
+
+# Output columns of the four named analyses, in order.
+NAMED_RESULT_COLUMNS = {
+    "retention_matrix": ["cohort_month", "cohort_size", "month_index", "active_shoppers", "retention_rate"],
+    "cohort_ltv": ["cohort_month", "cohort_size", "month_index", "average_ltv_inr"],
+    "repeat_intervals": ["customer_id", "total_repeat_orders", "avg_days_between"],
+    "dense_rank_orders": ["purchase_sequence", "total_orders", "average_order_value_inr"],
+}

@@ -124,3 +124,14 @@ def test_export_for_one_segment(spark):
     assert [r.customer_id for r in readers.read_csv(spark, paths["customers"], "customers").collect()] == [2]
     assert [r.order_id for r in readers.read_csv(spark, paths["orders"], "orders").collect()] == [11]
     assert readers.read_csv(spark, paths["products"], "products").count() == 2
+
+
+def test_named_analyses_produce_the_fixed_columns(spark):
+    from cohortlens.sources.schema import NAMED_RESULT_COLUMNS
+
+    c = customers_df(spark, [(1, "2024-01-03")])
+    p = products_df(spark, [(1, "Menswear")])
+    o = orders_df(spark, [(10, 1, "2024-01-05", 5), (11, 1, "2024-02-05", 5)])
+    for name, cols in NAMED_RESULT_COLUMNS.items():
+        assert catalog.run_named(name, c, p, o).columns == cols, name
+        assert catalog.adhoc_sql(spark, catalog.preset_sql(name), c, p, o).columns == cols, name
