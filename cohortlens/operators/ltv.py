@@ -144,7 +144,8 @@ def ltv_matrix_wide(
     customers: DataFrame, orders: DataFrame, indices: Sequence[int] | None = None
 ) -> DataFrame:
     """L2 (wide): one row per cohort, one DOUBLE column per observed month index."""
-    return pivot_months(ltv_matrix_long(customers, orders), "ltv", indices)
+    # the dense table is built from a materialized cell table: cheap to re-read
+    return pivot_months(ltv_matrix_long(customers, orders), "ltv", indices, cheap_input=True)
 
 
 def ltv_latest_cohorts(

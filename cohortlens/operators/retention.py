@@ -99,14 +99,17 @@ def first_index_from_cells(cells: DataFrame) -> DataFrame:
     )
 
 
-def pivot_months(long_df: DataFrame, value: str, indices: Sequence[int] | None) -> DataFrame:
+def pivot_months(
+    long_df: DataFrame, value: str, indices: Sequence[int] | None, cheap_input: bool = False
+) -> DataFrame:
     """``cohort_month`` rows x one column per month index holding ``value``.
 
-    Without ``indices``, Spark first finds the distinct indices; the long
-    result (at most months^2 rows) is materialized once so that pass does not
-    recompute it from the fact table.
+    Without ``indices``, Spark first finds the distinct indices. Unless the
+    long input is ``cheap_input`` (derived from an already materialized cell
+    table), it (at most months^2 rows) is materialized once so that pass does
+    not recompute it from the fact table.
     """
-    if indices is None:
+    if indices is None and not cheap_input:
         long_df = materialize(long_df.select("cohort_month", "month_index", value), "pivot-input")
     grouped = long_df.groupBy("cohort_month")
     pivoted = (
@@ -137,5 +140,6 @@ def retention_wide(
         long_df = retention_first_index(customers, orders).withColumn(
             "pct", F.col("retention_fraction") * 100.0
         )
-        return pivot_months(long_df, "pct", indices)
+        # retention_first_index reads a materialized cell table: cheap to re-read
+        return pivot_months(long_df, "pct", indices, cheap_input=True)
     raise ValueError("metric must be 'pct' or 'count'")

@@ -62,9 +62,9 @@ def dashboard(
         "kpi_summary": sales.kpi_summary(scoped_customers, scoped_orders),
         "monthly_sales": sales.monthly_sales(scoped_orders),
         "category_sales": sales.category_sales(scoped_orders, products),
-        "retention_counts_wide": retention.pivot_months(active, "active_shoppers", None),
-        "retention_pct_wide": retention.pivot_months(pct, "pct", None),
-        "ltv_matrix_wide": retention.pivot_months(ltv.dense_out(dense), "ltv", None),
+        "retention_counts_wide": retention.pivot_months(active, "active_shoppers", None, cheap_input=True),
+        "retention_pct_wide": retention.pivot_months(pct, "pct", None, cheap_input=True),
+        "ltv_matrix_wide": retention.pivot_months(ltv.dense_out(dense), "ltv", None, cheap_input=True),
         "ltv_latest_cohorts": ltv.dense_out(ltv.latest_from_dense(dense, latest)),
         "cac_target_line": ltv.cac_line_from_cells(cells, cac),
         "interval_histogram": purchases.interval_histogram(scoped_orders, nbins),
