@@ -187,6 +187,24 @@ def ordered_scan(
     order_cols = list(order_cols)
     lag_names = list(lag_names) if lag_names is not None else [f"prev_{c}" for c in lag_cols]
     in_fields = df.schema.fields
+    # Decimal columns the scan only carries along cross the Arrow boundary as
+    # their exact unscaled BIGINT (decimal <-> Arrow conversion is costly).
+    carried = {
+        f.name: f.dataType
+        for f in in_fields
+        if isinstance(f.dataType, T.DecimalType)
+        and f.dataType.precision <= 18
+        and f.name not in (group_col, *order_cols, *lag_cols)
+    }
+    if carried:
+        df = df.select(
+            *[
+                (F.col(f.name) * F.lit(10 ** carried[f.name].scale)).cast("bigint").alias(f.name)
+                if f.name in carried
+                else F.col(f.name)
+                for f in in_fields
+            ]
+        )
     # A row id as the last range key lets Spark cut even a group of identical
     # (group, order) keys into several ranges; it plays no part in the values.
     salted = df.withColumn(_SALT, F.monotonically_increasing_id())
@@ -267,7 +285,14 @@ def ordered_scan(
         "left",
     )
     fixed = joined.s_pid.isNotNull()
-    out_cols = [F.col(f.name) for f in in_fields]
+    out_cols = [
+        (F.col(f.name).cast(T.DecimalType(38, 0)) / F.lit(10 ** f.dataType.scale))
+        .cast(f.dataType)
+        .alias(f.name)
+        if f.name in carried
+        else F.col(f.name)
+        for f in in_fields
+    ]
     for i, (c, name) in enumerate(zip(lag_cols, lag_names)):
         out_cols.append(
             F.when(F.col(_FIRST) & fixed, F.col(f"fix_{i}")).otherwise(F.col(f"_lag_{c}")).alias(name)

@@ -158,3 +158,14 @@ def test_ordered_scan_carries_state_across_arrow_batches(spark):
     w = Window.partitionBy("customer_id").orderBy("order_date", "order_id")
     exp = df.select("*", F.lag("order_date").over(w).alias("prev_order_date"), F.dense_rank().over(w).alias("seq"))
     assert got_rows == sorted(map(tuple, exp.select(cols).collect()), key=repr)
+
+
+def test_ordered_scan_carries_decimals_exactly(spark):
+    from decimal import Decimal
+
+    data = [(1, 5, dt.date(2024, 1, 1), Decimal("12.34")), (2, 5, dt.date(2024, 1, 2), None),
+            (3, 5, dt.date(2024, 1, 3), Decimal("-0.01")), (4, 6, dt.date(2024, 1, 1), Decimal("99999999.99"))]
+    df = spark.createDataFrame(data, "order_id long, customer_id long, order_date date, order_value decimal(10,2)")
+    got = ordered_scan(df, "customer_id", ["order_date", "order_id"], ["order_date"], rank_name="seq")
+    assert dict(got.dtypes)["order_value"] == "decimal(10,2)"
+    assert sorted(map(tuple, got.select("order_id", "order_value").collect())) == [(r[0], r[3]) for r in data]
