@@ -144,8 +144,9 @@ def ltv_matrix_wide(
     customers: DataFrame, orders: DataFrame, indices: Sequence[int] | None = None
 ) -> DataFrame:
     """L2 (wide): one row per cohort, one DOUBLE column per observed month index."""
-    # the dense table is built from a materialized cell table: cheap to re-read
-    return pivot_months(ltv_matrix_long(customers, orders), "ltv", indices, cheap_input=True)
+    # The dense table takes several stages to rebuild from the cells, so the
+    # pivot input is materialized for the distinct-index pass (measured faster).
+    return pivot_months(ltv_matrix_long(customers, orders), "ltv", indices)
 
 
 def ltv_latest_cohorts(
