@@ -135,3 +135,16 @@ def test_named_analyses_produce_the_fixed_columns(spark):
     for name, cols in NAMED_RESULT_COLUMNS.items():
         assert catalog.run_named(name, c, p, o).columns == cols, name
         assert catalog.adhoc_sql(spark, catalog.preset_sql(name), c, p, o).columns == cols, name
+
+
+def test_jdbc_argument_checks(spark):
+    import pytest
+
+    from cohortlens.sources.readers import load_star_schema, read_jdbc
+
+    with pytest.raises(ValueError, match="bound"):
+        read_jdbc(spark, "jdbc:none://x", "orders", "orders", partition_column="order_id")
+    with pytest.raises(ValueError, match="url"):
+        load_star_schema(spark, "jdbc", {"customers": "c", "products": "p", "orders": "o"})
+    with pytest.raises(ValueError, match="unknown format"):
+        load_star_schema(spark, "xml", {"customers": "c", "products": "p", "orders": "o"})
