@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import decontam, line_dedup, quality, simhash
+from cohortlens.llm import bitpack, bpe, decontam, license_scan, line_dedup, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,11 +17,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = license_scan.scan(table(spark, sf_dir, "documents"))
+    word = F.transform("exact", lambda x: x["word"])
+    base = F.transform("exact", lambda x: x["label"])
+    extra = F.transform("fuzzy", lambda x: x["label"])
+    spans = F.transform("fuzzy", lambda x: F.concat_ws(":", x["label"], x["word"], x["to"], x["edits"]))
+
+    def joined(labels):
+        return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+
+    return r.select(
+        F.col("doc").alias("doc_id"),
+        "n_words",
+        F.size("exact").cast("long").alias("n_base"),
+        F.array_min(word).alias("first_word"),
+        F.array_max(word).alias("last_word"),
+        joined(base).alias("base_labels"),
+        joined(F.concat(base, extra)).alias("labels"),
+        "score",
+        F.array_join(spans, ",").alias("spans"),
+    )
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quality.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = bitpack.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return bitpack.read_digest(spark, files).select(
+        F.col("doc").alias("doc_id"), "start", "n_tokens", F.col("crc32").alias("ids_crc32")
+    )
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return r.select(
+        F.col("doc").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -49,7 +87,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
+    "op3_bitpack": op3_bitpack,
+    "op4_bpe": op4_bpe,
     "op8_line_dedup": op8_line_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
