@@ -41,7 +41,7 @@ from cohortlens.llm.graph import components
 
 SHINGLE = 4
 MAX_BITS = 4
-BLOCKS = 7
+BLOCKS = 8
 CELL_LIMIT = 64
 SEED = 42
 _LOW_BITS = 0x5555555555555555
