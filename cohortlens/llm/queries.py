@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bitpack, bpe, decontam, license_scan, line_dedup, quality, simhash, suffix_dedup
+from cohortlens.llm import bitpack, bpe, decontam, license_scan, line_dedup, pii, quality, simhash, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +63,28 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = pii.find(table(spark, sf_dir, "documents"))
+    place = F.array(*[F.lit(k) for k in pii.KINDS])
+
+    def joined(spans):
+        ranked = F.transform(
+            spans,
+            lambda x: F.struct(
+                F.coalesce(F.nullif(F.array_position(place, x["kind"]), F.lit(0)), F.lit(len(pii.KINDS) + 1)).alias("o"), x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")
+            ),
+        )
+        return F.array_join(F.transform(F.array_sort(ranked), lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in pii.KINDS]
+    return r.select(
+        F.col("doc").alias("doc_id"), *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans")
+    )
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -96,6 +118,7 @@ QUERIES: dict[str, Query] = {
     "op3_bitpack": op3_bitpack,
     "op4_bpe": op4_bpe,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_pii": op6_pii,
     "op8_line_dedup": op8_line_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
