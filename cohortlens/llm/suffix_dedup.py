@@ -9,9 +9,11 @@ Method:
 1. Split the work exactly. Every ``length``-byte window has an anchor, its
    ``GRAM``-byte substring of least hash (the first of several); equal windows
    have equal anchors at the same offset. Consecutive starts that share an
-   anchor make a run, whose bytes hold all their windows. Windows of different
-   anchor keys differ, so each key is a problem of its own. Keys met once are
-   unique; runs whose whole strings are equal (128-bit digest) are collapsed.
+   anchor, and the half of the possible offsets, make a run. All windows of one
+   anchor and half hold the same ``length / 2`` bytes and more around the
+   anchor; their digest is the run's key. Windows of different keys differ, so
+   each key is a problem of its own. Keys met once are unique; runs whose whole
+   strings are equal (128-bit digest) are collapsed.
 2. Where a key has different strings, their shards get Burrows-Wheeler
    transforms (:class:`ShardBwt`), which are merged by refining the interleave
    of their rows (:func:`repeated_rows`): the classes of rows with a common
@@ -81,11 +83,12 @@ def window_minimum(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
 
 
-def runs(buffer: bytes, ends: list[int], length: int) -> tuple[np.ndarray, ...]:
-    """Runs of the texts laid end to end in ``buffer``: text number, first and last start, anchor place (all in the buffer), key."""
+def runs(buffer: bytes, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Runs of the texts laid end to end in ``buffer``: text number, first and last start, anchor place, half (0: nearer the anchor)."""
     data = np.frombuffer(buffer, np.uint8)
     if len(data) < length:
         return tuple(np.empty(0, np.int64) for _ in range(5))
+    half_size = _half(length)
     h = gram_hashes(data, GRAM)
     # High half of the hash before the place: the least is the least hash, the first of equals.
     place = window_minimum((h >> np.uint64(32) << np.uint64(32)) | np.arange(len(h), dtype=np.uint64), length - GRAM + 1)
@@ -96,9 +99,15 @@ def runs(buffer: bytes, ends: list[int], length: int) -> tuple[np.ndarray, ...]:
     start, place, text = start[inside], place[inside], text[inside]
     if not len(start):
         return tuple(np.empty(0, np.int64) for _ in range(5))
-    fresh = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (text[1:] != text[:-1])]))
+    half = (place - start) >= half_size
+    fresh = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (text[1:] != text[:-1]) | (half[1:] != half[:-1])]))
     last = np.concatenate([fresh[1:], [len(start)]]) - 1
-    return text[fresh], start[fresh], start[last], place[fresh], h[place[fresh]].view(np.int64)
+    return text[fresh], start[fresh], start[last], place[fresh], half[fresh].astype(np.int64)
+
+
+def _half(length: int) -> int:
+    """Number of offsets in the nearer half of the ``length - GRAM + 1`` places an anchor can have in a window."""
+    return (length - GRAM + 2) // 2
 
 
 def _digest(b: bytes) -> tuple[int, int]:
@@ -108,6 +117,7 @@ def _digest(b: bytes) -> tuple[int, int]:
 
 def _find_runs(batches, length: int):
     """(doc, th, s, e, o, key, ra, rb) rows: starts s..e share the anchor ``o`` bytes after s; ra, rb digest their bytes."""
+    near = _half(length)
     for b in batches:
         texts = b.column(2).to_pylist()
         parts: list[tuple[int, int, bytes]] = []  # row, offset, bytes; long texts in overlapping segments
@@ -122,9 +132,15 @@ def _find_runs(batches, length: int):
                 size += len(some[-1][2])
             buffer = b"".join(x[2] for x in some)
             ends = np.cumsum([len(x[2]) for x in some])
-            text, s, e, place, key = runs(buffer, ends, length)
+            text, s, e, place, half = runs(buffer, ends, length)
             if not len(text):
                 continue
+            # Bytes common to all windows of the half: from its nearest start to its farthest start's end.
+            common = np.where(half == 0, place, place - near), np.where(half == 0, place - near + 1 + length, place + GRAM)
+            key = [
+                xxhash.xxh3_64_intdigest(buffer[a:b], seed) - (1 << 63)
+                for a, b, seed in zip(common[0].tolist(), common[1].tolist(), half.tolist(), strict=True)
+            ]
             digest = [_digest(buffer[x:y]) for x, y in zip(s.tolist(), (e + length).tolist(), strict=True)]
             row = np.array([x[0] for x in some])[text]
             move = np.array([x[1] for x in some])[text] - (ends - np.array([len(x[2]) for x in some]))[text]
@@ -135,7 +151,7 @@ def _find_runs(batches, length: int):
                     pa.array(s + move),
                     pa.array(e + move),
                     pa.array((place - s).astype(np.int32)),
-                    pa.array(key),
+                    pa.array(key, pa.int64()),
                     pa.array([x for x, _ in digest], pa.int64()),
                     pa.array([x for _, x in digest], pa.int64()),
                 ],
@@ -168,31 +184,37 @@ class ShardBwt:
 
     @staticmethod
     def _suffix_order(text: np.ndarray, marks: np.ndarray) -> np.ndarray:
-        """Sorted suffixes by doubling from four symbols; the end marks make all suffixes different."""
-        n = len(text)
-        padded = np.concatenate([text, np.zeros(4, np.uint16)]).astype(np.int64)
-        key = ((padded[:n] * 257 + padded[1 : n + 1]) * 257 + padded[2 : n + 2]) * 257 + padded[3 : n + 3]
-        # Beyond an end mark nothing counts: suffixes that reach one within four symbols are told apart by its place.
+        """Sorted suffixes by doubling from seven symbols; the end marks make all suffixes different."""
+        n, h = len(text), 7
+        padded = np.concatenate([text, np.zeros(h, np.uint16)]).astype(np.int64)
+        key = np.zeros(n, np.int64)
+        for i in range(h):
+            key = key * 257 + padded[i : n + i]
+        # Beyond an end mark nothing counts: suffixes that reach one so soon are told apart by its place.
         mark_at = np.minimum.accumulate(np.where(marks, np.arange(n), n)[::-1])[::-1]
         away = mark_at - np.arange(n)
-        near = away < 4
-        keep = np.array([257**3, 257**2, 257, 1])
-        key[near] -= key[near] % keep[away[near]]
-        order = np.lexsort((np.where(near, mark_at, 0), key))
-        k, m = key[order], np.where(near, mark_at, 0)[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], (k[1:] != k[:-1]) | (m[1:] != m[:-1])]))
-        h = 4
-        while rank[order[-1]] < n - 1:
-            ahead = np.zeros(n, np.int64)
-            ahead[: n - h] = rank[h:] + 1
-            key = rank * (n + 1) + ahead
-            order = np.argsort(key, kind="stable")
-            k = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.concatenate([[0], k[1:] != k[:-1]]))
+        soon = away < h
+        key[soon] -= key[soon] % (257 ** (h - away[soon]))
+        tail = np.where(soon, mark_at, 0)
+        order = np.lexsort((tail, key))
+        k, t = key[order], tail[order]
+        fresh = np.concatenate([[True], (k[1:] != k[:-1]) | (t[1:] != t[:-1])])
+        rank = np.empty(n, np.int64)  # place of the first suffix that is equal so far
+        rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+        at = np.arange(n)  # places in the order that are not settled
+        while True:
+            alone = fresh & np.concatenate([fresh[1:], [True]])
+            at = at[~alone]
+            if not len(at):
+                return order
+            some = order[at]
+            key = rank[some] * (n + 1) + np.where(some + h < n, rank[np.minimum(some + h, n - 1)] + 1, 0)
+            by = np.argsort(key, kind="stable")
+            some, key = some[by], key[by]
+            order[at] = some
+            fresh = np.concatenate([[True], key[1:] != key[:-1]])
+            rank[some] = np.maximum.accumulate(np.where(fresh, at, 0))
             h *= 2
-        return order
 
     def follow(self, h: int) -> np.ndarray:
         if h not in self._steps:
@@ -265,7 +287,7 @@ _RANGES = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 
 def _merge_buckets(batches, length: int):
-    """(rk, pa, pb, n, string) rows, sorted by rk -> (rk, pa, pb, ranges); whole keys are gathered up to the bucket size."""
+    """(rk, pa, pb, n, string) rows, sorted by rk -> (rk, pa, pb, ranges); whole keys are gathered up to about the bucket size."""
 
     def solve(rows):
         found = repeated_starts([r[4] for r in rows], length)
@@ -276,42 +298,50 @@ def _merge_buckets(batches, length: int):
         cols = [pa.array([r[i] for r, _ in kept], pa.int64()) for i in range(3)]
         return pa.RecordBatch.from_arrays([*cols, pa.array([x for _, x in kept], _RANGES)], ["rk", "pa", "pb", "ranges"])
 
-    held, size, key = [], 0, None
+    held, size, group, key = [], 0, [], None
     for b in batches:
         for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if row[0] != key and size >= BUCKET_BYTES:
-                yield solve(held)
-                held, size = [], 0
+            if group and row[0] != key:
+                if len(group) > 1 or group[0][3] > 1:  # a string alone under its key meets nothing
+                    held += group
+                    size += sum(len(r[4]) for r in group)
+                group = []
+                if size >= BUCKET_BYTES:
+                    yield solve(held)
+                    held, size = [], 0
             key = row[0]
-            held.append(row)
-            size += len(row[4])
+            group.append(row)
+    held += group
     if held:
         yield solve(held)
 
 
-def _pieces(batches, length: int, strings: bool, only: int):
-    """Pieces of the runs of tier ``only``: (rk, pa, pb, doc, th, at, single[, string]); ``at``: the piece's first start."""
+def _pieces(batches, length: int, strings: bool, tiers: tuple[int, ...]):
+    """Pieces of the runs of ``tiers``: (rk, pa, pb, doc, th, at[, string]); ``at``: the piece's first start.
+
+    Without ``strings`` only single runs count, those that wait for an answer.
+    """
     for b in batches:
         out: list[tuple] = []
         row_of: list[int] = []
         for i, (text, rs) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
             for r in rs:
-                if r["tier"] != only or not (strings or r["single"]):
+                if r["tier"] not in tiers or not (strings or r["single"]):
                     continue
-                if only == 0:
-                    found = [(r["key"], r["ra"], r["rb"], r["s"], text[r["s"] : r["e"] + length] if strings else None)]
+                if r["tier"] == 0:
+                    found = [(r["key"], r["ra"], r["rb"], r["s"], text[r["s"] : r["e"] + length])]
                 else:
-                    found = _cut(text, r, length, strings, BLOCK_STARTS if only == 1 else 1)
-                out += [(*x, r["single"]) for x in found]
+                    found = _cut(text, r, length, strings, BLOCK_STARTS if r["tier"] == 1 else 1)
+                out += found
                 row_of += [i] * len(found)
         if not out:
             continue
         doc, th = (b.column(c).take(pa.array(row_of)) for c in (0, 1))
-        cols = [pa.array(c, pa.int64()) for c in list(zip(*out, strict=True))[:4]]
-        arrays = [*cols[:3], doc, th, cols[3], pa.array([x[5] for x in out], pa.bool_())]
-        names = ["rk", "pa", "pb", "doc", "th", "at", "single"]
+        rk, pa_, pb, at, string = zip(*out, strict=True)
+        arrays = [*(pa.array(c, pa.int64()) for c in (rk, pa_, pb)), doc, th, pa.array(at, pa.int64())]
+        names = ["rk", "pa", "pb", "doc", "th", "at"]
         if strings:
-            arrays, names = [*arrays, pa.array([x[4] for x in out], pa.binary())], [*names, "string"]
+            arrays, names = [*arrays, pa.array(string, pa.binary())], [*names, "string"]
         yield pa.RecordBatch.from_arrays(arrays, names)
 
 
@@ -334,11 +364,13 @@ def _cut(text: bytes, r: dict, length: int, strings: bool, starts: int):
     return found
 
 
-def _candidates(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    """(doc, th, text, runs): documents with a run whose key is met again, and those runs.
+def _candidates(docs: DataFrame, id_col: str, text_col: str, length: int) -> tuple[DataFrame, DataFrame]:
+    """Runs whose key is met again, and the texts of the documents that have any.
 
-    A run is ``whole`` if its entire string is met again. Others are ``single``
-    and are to be compared, with one copy of each string of their key.
+    Runs: (doc, th, s, e, o, key, ra, rb, single, tier). A run that is not
+    ``single`` is repeated as a whole. Under a key of different strings the
+    single ones are to be compared, with one copy of each other string: tier 0
+    to 2; the rest has tier -1. Texts: (doc, th, text, runs of tier 0 to 2).
     """
     kind = docs.schema[id_col].dataType.simpleString()
     text = text_or_empty(text_col)
@@ -353,62 +385,50 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str, length: int) -> Dat
     several = materialize(strings.groupBy("key").agg(F.count("*").alias("strings")), "suffix-several")
     known = materialize(strings.join(several, "key"), "suffix-known")
     tier = F.when(F.col("strings") <= WHOLE_STRINGS, 0).when(F.col("strings") <= BLOCK_STRINGS, 1).otherwise(2)
-    # A copied string's copy takes part in the comparison, its other places need nothing more.
     is_copy = F.struct("doc", "th", "s").eqNullSafe(F.col("copy"))
-    marked = again.join(known, ["key", "ra", "rb"]).select(
-        "doc",
-        "th",
-        F.struct(
-            "s",
-            "e",
-            "o",
-            "key",
-            "ra",
-            "rb",
+    marked = materialize(
+        again.join(known, ["key", "ra", "rb"]).select(
+            *found.columns,
             (F.col("n") == 1).alias("single"),
             F.when((F.col("strings") > 1) & ((F.col("n") == 1) | is_copy), tier).otherwise(-1).alias("tier"),
-        ).alias("run"),
+        ),
+        "suffix-marked",
     )
-    of_doc = marked.groupBy("doc", "th").agg(F.collect_list("run").alias("runs"))
+    run = F.struct("s", "e", "o", "key", "ra", "rb", "single", "tier")
+    of_doc = marked.groupBy("doc", "th").agg(F.collect_list(F.when(F.col("tier") >= 0, run)).alias("runs"))
     r, d = of_doc.alias("r"), rows.alias("d")
     on = F.col("d.doc").eqNullSafe(F.col("r.doc")) & (F.col("d.th") == F.col("r.th"))
-    return materialize(d.join(r, on).select("d.doc", "d.th", "d.text", "r.runs"), "suffix-texts")
+    return marked, materialize(d.join(r, on).select("d.doc", "d.th", "d.text", "r.runs"), "suffix-texts")
 
 
-def _ranges(texts: DataFrame, length: int) -> DataFrame:
+def _ranges(marked: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     """(doc, th, a, b): ranges of repeated starts of the single runs."""
     kind = texts.schema["doc"].dataType.simpleString()
-    schema = f"rk bigint, pa bigint, pb bigint, doc {kind}, th bigint, at bigint, single boolean"
-    found = None
-    merge = []
-    for tier in (0, 1, 2):
-        cut = texts.mapInArrow(lambda it, t=tier: _pieces(it, length, True, t), f"{schema}, string binary")
-        if tier == 0:
-            merge.append(cut.select("rk", "pa", "pb", F.lit(1).cast("bigint").alias("n"), "string"))
-        else:
-            same = cut.groupBy("rk", "pa", "pb").agg(F.count("*").alias("n"), F.first("string").alias("string"))
-            if tier == 1:
-                merge.append(same)
-            else:
-                found = same.where(F.col("n") > 1).select(
-                    "rk", "pa", "pb", F.array(F.struct(F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"))).alias("ranges")
-                )
+    schema = f"rk bigint, pa bigint, pb bigint, doc {kind}, th bigint, at bigint"
+    ranges_type = "array<struct<a:bigint,b:bigint>>"
+
+    def pieces(strings: bool, *tiers: int) -> DataFrame:
+        some = texts.where(F.exists("runs", lambda r: r["tier"].isin(*tiers)))
+        return some.mapInArrow(lambda it: _pieces(it, length, strings, tiers), schema + ", string binary" * strings)
+
+    meet = pieces(True, 0).select("rk", "pa", "pb", F.lit(1).cast("bigint").alias("n"), "string")
+    places = marked.where("tier = 0 and single").select(F.col("key").alias("rk"), F.col("ra").alias("pa"), F.col("rb").alias("pb"), "doc", "th", F.col("s").alias("at"))
+    alike = None
+    if (marked.agg(F.max("tier")).first()[0] or 0) > 0:  # some key has many strings
+        same = materialize(pieces(True, 1, 2).groupBy("rk", "pa", "pb").agg(F.count("*").alias("n"), F.first("string").alias("string")), "suffix-same")
+        meet = meet.unionByName(same.where(F.col("string").isNotNull()))
+        one = F.struct(F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"))
+        alike = same.where(F.col("string").isNull() & (F.col("n") > 1)).select("rk", "pa", "pb", F.array(one).alias("ranges"))
+        places = places.unionByName(pieces(False, 1, 2))
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     merged = (
-        merge[0]
-        .unionByName(merge[1])
-        .repartition(parts, "rk")
+        meet.repartition(parts, "rk")
         .sortWithinPartitions("rk", "pa", "pb")
-        .mapInArrow(lambda it: _merge_buckets(it, length), "rk bigint, pa bigint, pb bigint, ranges array<struct<a:bigint,b:bigint>>")
+        .mapInArrow(lambda it: _merge_buckets(it, length), f"rk bigint, pa bigint, pb bigint, ranges {ranges_type}")
     )
-    ranges = materialize(merged.unionByName(found), "suffix-ranges")
-    places = None
-    for tier in (0, 1, 2):
-        p = texts.mapInArrow(lambda it, t=tier: _pieces(it, length, False, t), schema)
-        places = p if places is None else places.unionByName(p)
+    ranges = materialize(merged if alike is None else merged.unionByName(alike), "suffix-ranges")
     return (
-        places.where("single")
-        .join(ranges, ["rk", "pa", "pb"])
+        places.join(ranges, ["rk", "pa", "pb"])
         .select("doc", "th", "at", F.explode("ranges").alias("r"))
         .select("doc", "th", (F.col("at") + F.col("r.a")).alias("a"), (F.col("at") + F.col("r.b")).alias("b"))
     )
@@ -442,11 +462,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} or more")
-    texts = _candidates(docs, id_col, text_col, length)
-    whole = texts.select("doc", "th", F.explode(F.filter("runs", lambda r: ~r["single"])).alias("r")).select(
-        "doc", "th", F.col("r.s").alias("a"), F.col("r.e").alias("b")
-    )
-    ranges = whole.unionByName(_ranges(texts, length)).groupBy("doc", "th").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
+    marked, texts = _candidates(docs, id_col, text_col, length)
+    whole = marked.where("not single").select("doc", "th", F.col("s").alias("a"), F.col("e").alias("b"))
+    ranges = whole.unionByName(_ranges(marked, texts, length)).groupBy("doc", "th").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
     kind = docs.schema[id_col].dataType.simpleString()
     t, r = texts.alias("t"), ranges.alias("r")
     on = F.col("t.doc").eqNullSafe(F.col("r.doc")) & (F.col("t.th") == F.col("r.th"))
