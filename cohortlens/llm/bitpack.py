@@ -25,12 +25,13 @@ documents are integers.
 from __future__ import annotations
 
 import itertools
+import re
+import unicodedata
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -41,8 +42,10 @@ from cohortlens.session import checkpoint_dir
 
 MAGIC = b"IDPACK01"
 BLOCK = 1 << 16
-SHARD_IDS = 1 << 22
+SHARD_IDS = 1 << 21
 CACHE_WORDS = 400_000
+KEEP_CHARS = 8
+GROUP_CHARS = 1 << 20
 NULL_ID = -(1 << 63)
 #: Up to here the tokenizer's pattern and the regex library class all characters alike.
 SAME_CLASSES = "ɏ"
@@ -100,33 +103,96 @@ class Shard:
         return np.concatenate(parts)[a - first * self.block : b - first * self.block]
 
 
+def narrow(pattern: str) -> re.Pattern:
+    """``pattern`` for the standard library, right for texts of ``SAME_CLASSES`` characters: its classes are spelled out."""
+    chars = range(ord(SAME_CLASSES) + 1)
+    spelled = {
+        r"\p{L}": "".join(re.escape(chr(c)) for c in chars if unicodedata.category(chr(c))[0] == "L"),
+        r"\p{N}": "".join(re.escape(chr(c)) for c in chars if unicodedata.category(chr(c))[0] == "N"),
+        r"\s": r"\t\n\x0b\x0c\r \x85\xa0",
+    }
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        name = next((n for n in (*spelled, r"\S") if pattern.startswith(n, at)), pattern[at])
+        inside = (inside or name == "[") and name != "]"
+        if name == r"\S":
+            out.append(f"[^{spelled[r'\s']}]")
+        else:
+            out.append(name if name not in spelled else spelled[name] if inside else f"[{spelled[name]}]")
+        at += len(name)
+    return re.compile("".join(out))
+
+
 class TextEncoder:
-    """Encodes texts with the tokenizers library, once for each distinct word of a task where words are independent."""
+    """Encodes texts with the tokenizers library, once for each distinct word of a task where words are independent.
+
+    Words that are a space and letters are encoded many at a time as one
+    text, which the tokenizer's pattern cuts into the same words: each begins
+    at a token that begins with the space.
+    """
 
     def __init__(self, path: str, pattern: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.pattern, self.odd = regex.compile(pattern), regex.compile(f"[^\\x00-{SAME_CLASSES}]")
+        space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith(space)]] = True
+        self.bits = bits_for(self.tokenizer.get_vocab_size())
+        self.pattern, self.odd = narrow(pattern), re.compile(f"[^\\x00-{SAME_CLASSES}]")
         self.cache_words, self.cache = cache_words, {}
 
-    def encode(self, text: str) -> np.ndarray:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids per text. Words of several texts are learnt together, up to ``GROUP_CHARS`` of text."""
+        out: list[np.ndarray] = []
+        at = 0
+        while at < len(texts):
+            group, size = [], 0
+            while at < len(texts) and (not group or size + len(texts[at]) <= GROUP_CHARS):
+                group.append(texts[at])
+                size += len(texts[at])
+                at += 1
+            out += self._long(group[0]) if size > GROUP_CHARS else self._group(group)
+        return out
+
+    def _group(self, texts: list[str]) -> list[np.ndarray]:
+        words = [None if self.odd.search(t) else self.pattern.findall(t) for t in texts]
+        self._learn(set().union(*(w for w in words if w)))
+        return [
+            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4")
+            if w is None
+            else np.frombuffer(b"".join(map(self.cache.__getitem__, w)), "<u4")
+            for t, w in zip(texts, words, strict=True)
+        ]
+
+    def _long(self, text: str) -> list[np.ndarray]:
+        """One long text, some of its words at a time."""
         if self.odd.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        parts = []
-        found = iter(self.pattern.findall(text)) if len(text) < 1_000_000 else (m[0] for m in self.pattern.finditer(text))
-        while words := list(itertools.islice(found, self.cache_words // 2)):
-            self._learn(words)
+            return self._group([text])
+        found, parts = (m[0] for m in self.pattern.finditer(text)), []
+        while words := list(itertools.islice(found, self.cache_words // 4)):
+            self._learn(set(words))
             parts.append(b"".join(map(self.cache.__getitem__, words)))
-        return np.frombuffer(b"".join(parts), "<u4")
+        return [np.frombuffer(b"".join(parts), "<u4")]
 
-    def _learn(self, words: list[str]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self.cache]
+    def _learn(self, words: set[str]) -> None:
+        new = words.difference(self.cache)
         if len(self.cache) + len(new) > self.cache_words:
-            self.cache.clear()
-            new = list(dict.fromkeys(words))
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            # Short words are the frequent ones; the others go, and all of them if that is not enough.
+            self.cache = {w: x for w, x in self.cache.items() if len(w) <= KEEP_CHARS}
+            if len(self.cache) + len(words) > self.cache_words // 2:
+                self.cache = {}
+            new = words.difference(self.cache)
+        plain = [w for w in new if w[0] == " " and w[1:].isalpha()]
+        if plain:
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+            cut = (4 * np.flatnonzero(self.begins[ids])).tolist()
+            data = ids.tobytes()
+            self.cache.update(zip(plain, map(data.__getitem__, map(slice, cut, [*cut[1:], len(data)])), strict=True))
+        rest = list(new.difference(plain))
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.cache[w] = np.array(e.ids, "<u4").tobytes()
 
 
@@ -169,7 +235,6 @@ def write(
 
     def run(batches):
         encoder = TextEncoder(tokenizer_path, pattern)
-        bits = bits_for(encoder.tokenizer.get_vocab_size())
         store, root = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
         store.create_dir(root, recursive=True)
         ids: list[np.ndarray] = []
@@ -180,20 +245,23 @@ def write(
             name = f"{uuid.uuid4().hex}.ids"
             ends = np.cumsum([len(x) for x in ids])
             with store.open_output_stream(f"{root}/{name}") as f:
-                f.write(shard_bytes(held, ends, np.concatenate(ids), bits))
+                f.write(shard_bytes(held, ends, np.concatenate(ids), encoder.bits))
             return pa.RecordBatch.from_arrays(
                 [pa.array([x]) for x in (name, part, seq, len(held), int(ends[-1]))], ["name", "part", "seq", "n_docs", "n_ids"]
             )
 
-        part = 0
+        part, end = 0, np.uint32(end_id)
         for b in batches:
-            for doc, text, part in zip(*(c.to_pylist() for c in b.columns), strict=True):  # one part a task
-                if n >= shard_ids:
-                    yield put()
-                    ids, held, n, seq = [], [], 0, seq + 1
-                ids.append(np.append(encoder.encode(text), np.uint32(end_id)).astype("<u4"))
-                held.append(NULL_ID if doc is None else doc)
-                n += len(ids[-1])
+            for at in range(0, b.num_rows, 200):  # few rows at a time as Python objects
+                docs, texts, parts = (c.to_pylist() for c in b.slice(at, 200).columns)
+                part = parts[0]  # one part a task
+                for doc, x in zip(docs, encoder.encode(texts), strict=True):
+                    if n >= shard_ids:
+                        yield put()
+                        ids, held, n, seq = [], [], 0, seq + 1
+                    ids.append(np.append(x, end).astype("<u4"))
+                    held.append(NULL_ID if doc is None else doc)
+                    n += len(ids[-1])
         if held:
             yield put()
 
