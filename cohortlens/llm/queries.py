@@ -130,5 +130,35 @@ QUERIES: dict[str, Query] = {
     "op10_simhash": op10_simhash,
 }
 
-#: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op8_line_dedup": f"""
+WITH texts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+     lines AS (SELECT doc_id, ls[pos] AS line, pos,
+                      translate(trim(ls[pos], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UPPER}', '{_LOWER}') AS key
+               FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS pos FROM texts)),
+     held AS (SELECT key, max(doc_id) AS keeper FROM lines WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+     marked AS (SELECT l.*, coalesce(l.doc_id < h.keeper, false) AS gone FROM lines l LEFT JOIN held h USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id""",
+    "op9_decontamination": f"""
+WITH docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+     items AS (SELECT item_id, w, least(10, len(w)) AS k FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+     grams AS (SELECT DISTINCT item_id, k, list_slice(w, p, p + k - 1) AS gram
+               FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS p FROM items)),
+     windows AS (SELECT doc_id, k, p, list_slice(w, p, p + k - 1) AS gram
+                 FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p
+                       FROM docs, (SELECT DISTINCT k FROM grams) WHERE len(w) >= k)),
+     found AS (SELECT doc_id, item_id, p, k FROM windows JOIN grams USING (k, gram)),
+     hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit
+             FROM (SELECT doc_id, unnest(range(p, p + k)) AS place FROM found) GROUP BY doc_id),
+     held AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+              FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN held USING (doc_id)""",
+}

@@ -1,0 +1,148 @@
+"""Nulls, empty and very long texts, ties, repeated rows, empty tables, extra columns with clashing names."""
+
+from __future__ import annotations
+
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from cohortlens.llm import bitpack, bpe, decontam, html_extract, license_scan, line_dedup, pii, quality, simhash, suffix_dedup
+from tests.llm import brute as B
+from tests.llm.conftest import EDGE
+
+TIKTOKEN = public_tokenizers.path("byte_bpe_50k.tiktoken")
+JSON = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.fixture
+def edge(frame):
+    return frame(EDGE)
+
+
+@pytest.fixture
+def none(frame):
+    return frame([])
+
+
+def test_license_scan(edge, none):
+    got = license_scan.scan(edge).collect()
+    assert Counter((r["doc"], r["n_words"], len(r["exact"])) for r in got) == Counter(
+        (d, b["n_words"], b["n_base"]) for d, b in ((d, B.licenses_base(t)) for d, t in EDGE)
+    )
+    assert license_scan.scan(none).count() == 0
+
+
+def test_quality(edge, none):
+    got = quality.judge(edge).collect()
+    assert set(edge.columns) <= set(got[0].asDict())
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    assert Counter((r["doc_id"], *(r[n] for n in names)) for r in got) == Counter(
+        (d, *(s[n] for n in names)) for d, s in ((d, B.quality_stats(t)) for d, t in EDGE)
+    )
+    assert quality.judge(none).count() == 0
+    kept = quality.filter_quality(edge)
+    assert kept.columns == edge.columns and quality.filter_quality(none).count() == 0
+
+
+def test_packed_ids(edge, none):
+    files = bitpack.write(edge, JSON, public_tokenizers.PATTERN, shards=3, shard_ids=500)
+    got = sorted(bitpack.read(edge.sparkSession, files).collect(), key=lambda r: r["start"])
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(JSON)
+    tok.encode_special_tokens = True
+    ids = {t: [*tok.encode(t or "", add_special_tokens=False).ids, 0] for _, t in EDGE}
+    assert [r["doc"] for r in got] == sorted((d for d, _ in EDGE), key=lambda d: (d is not None, d))
+    assert Counter((r["doc"], tuple(np.frombuffer(r["ids"], "<u4"))) for r in got) == Counter((d, tuple(ids[t])) for d, t in EDGE)
+    at = 0
+    for r in got:
+        assert r["start"] == at and r["n_tokens"] == len(r["ids"]) // 4
+        at += r["n_tokens"]
+    empty = bitpack.write(none, JSON, public_tokenizers.PATTERN)
+    assert bitpack.read(none.sparkSession, empty).count() == 0 and bitpack.read_digest(none.sparkSession, empty).count() == 0
+
+
+def test_bpe(edge, none):
+    import tiktoken
+
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(TIKTOKEN), special_tokens={})
+    got = bpe.encode(edge, TIKTOKEN, public_tokenizers.PATTERN).collect()
+    expected = Counter((d, np.array(enc.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for d, t in EDGE)
+    assert Counter((r["doc"], bytes(r["ids"]), bytes(r["decoded"])) for r in got) == expected
+    assert bpe.encode(none, TIKTOKEN, public_tokenizers.PATTERN).count() == 0
+
+
+def test_suffix_dedup(edge, none):
+    got = Counter((r["doc"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.report(edge).collect())
+    numbered = list(enumerate(t for _, t in EDGE))
+    expected = B.suffix_repeats(numbered)
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert got == Counter((EDGE[i][0], *(expected[i][n] for n in names)) for i in expected)
+    assert suffix_dedup.report(none).count() == 0
+
+
+def test_pii(edge, none):
+    got = pii.find(edge).collect()
+    assert Counter(r["doc"] for r in got) == Counter(d for d, _ in EDGE)
+    assert all(not r["base"] for r in got) and pii.find(none).count() == 0
+
+
+def test_html(frame, spark):
+    rows = [(1, None, "u"), (2, "", None), (3, "no markup", "u"), (None, "<article><p>Some text.</p></article>", "u"), (3, "no markup", "u")]
+    rows.append((4, "<div>" * 50_000 + "deep", "u"))
+    pages = spark.createDataFrame(rows, "page_id bigint, html string, text string")
+    got = html_extract.extract(pages)
+    assert got.columns == ["page_id", "text"]
+    texts = Counter((r["page_id"], r["text"]) for r in got.collect())
+    assert texts[1, ""] == 1 and texts[2, ""] == 1 and texts[None, "Some text."] == 1 and sum(texts.values()) == 6
+    assert html_extract.extract(pages.limit(0)).count() == 0
+
+
+def test_line_dedup(frame, none):
+    line = "A line that is long enough to count"
+    rows = EDGE + [(20, f"{line}\nx"), (21, f"y\n  {line.upper()}\t\n{line}"), (22, f"{line}\n{line}"), (22, f"{line}\nagain"), (None, line)]
+    docs = frame(rows)
+    out = line_dedup.dedup_lines(docs, counts=True)
+    assert out.columns == [*docs.columns, "n_lines", "n_dropped"]
+    got = Counter((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"], r["keys"], r["d"]) for r in out.collect())
+    after = {(20, f"{line}\nx"): "x", (21, f"y\n  {line.upper()}\t\n{line}"): "y"}
+    assert got == Counter((d, after.get((d, t), t), (t or "").count("\n") + 1, {20: 1, 21: 2}.get(d, 0), "x", "x") for d, t in rows)
+    assert line_dedup.dedup_lines(none).count() == 0
+
+
+def test_decontamination(frame, none, spark):
+    words = [f"w{i}" for i in range(30)]
+    rows = EDGE + [(30, " ".join(words[3:20])), (31, "before SHORT-item after"), (31, "before SHORT-item after"), (None, "a short item")]
+    docs = frame(rows)
+    bench = spark.createDataFrame(
+        [(1, " ".join(words)), (2, "short item"), (3, None), (4, ""), (None, "five words that nobody has"), (2, "short item")], "item_id bigint, text string"
+    )
+    expected = B.decontam([(i, t) for i, (_, t) in enumerate(rows)], [(1, " ".join(words)), (2, "short item")])
+    want = Counter((d, expected[i]["n_words"], expected[i]["n_hit"], expected[i]["n_items"]) for i, (d, _) in enumerate(rows))
+    assert Counter((r["doc"], r["n_words"], r["n_hit"], len(r["items"])) for r in decontam.report(docs, bench).collect()) == want
+    clean = decontam.decontaminate(docs, bench)
+    assert clean.columns == docs.columns and clean.count() == len(rows) - 4
+    cut = {(r["doc_id"], r["text"]) for r in decontam.decontaminate(docs, bench, remove="spans").collect()}
+    assert (31, "before after") in cut and (30, "") in cut and (None, "a") in cut and (1, None) in cut
+    # The shuffle join beyond the broadcast bound gives the same hits.
+    small = {(r["doc"], r["text_hash"], tuple(r["spans"])) for r in decontam.hits(docs, bench).collect()}
+    assert small == {(r["doc"], r["text_hash"], tuple(r["spans"])) for r in decontam.hits(docs, bench, broadcast_windows=0).collect()}
+    assert decontam.report(none, bench).count() == 0
+    assert {r["n_hit"] for r in decontam.report(docs, bench.limit(0)).collect()} == {0}
+
+
+def test_simhash(frame, none):
+    docs = frame(EDGE)
+    got = simhash.near_duplicates(docs).collect()
+    fps = [(d, B.simhash_fp(t)) for d, t in EDGE]
+    assert Counter((r["doc"], r["fp"] % (1 << 64)) for r in got) == Counter(fps)
+    assert all((r["component"] is None) == (r["doc"] is None) for r in got)
+    at = {d: r for d, r in ((r["doc"], r["component"]) for r in got)}
+    assert at[1] == at[2] == at[3] == 1 and at[4] == 4  # no words: fingerprint zero, one group
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    stay = Counter(r["doc_id"] for r in kept.select("doc_id").collect())
+    assert stay[4] == 2 and stay[None] == 2 and stay[2] == 0 and stay[1] == 1
+    assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0

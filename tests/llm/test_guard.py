@@ -1,0 +1,25 @@
+"""The registered names, and that the rest works without this subpackage."""
+
+from __future__ import annotations
+
+import subprocess
+import sys
+
+
+def test_names():
+    import __spark_entry__ as entry
+
+    assert {int(k[2:].split("_")[0]) for k in entry.queries() if k.startswith("op")} == set(range(1, 11))
+    assert "pipeline" in entry.queries()
+
+
+def test_entry_works_without_the_subpackage(tmp_path):
+    import os
+    import shutil
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    copy = tmp_path / "repo"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    code = "import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op') for k in e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-B", "-c", code], cwd=copy, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(copy)})
+    assert out.returncode == 0 and out.stdout.split()[1] == "False", out.stderr
