@@ -42,7 +42,7 @@ from cohortlens.llm.graph import components
 SHINGLE = 4
 MAX_BITS = 4
 BLOCKS = 8
-CELL_LIMIT = 64
+CELL_LIMIT = 64  # at least 2
 SEED = 42
 _LOW_BITS = 0x5555555555555555
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -111,17 +111,18 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, cell_l
         "fp", "p", F.explode(F.array(*[F.struct(F.lit(i).alias("grid"), F.col("p").bitwiseAND(F.lit(m)).alias("at")) for i, m in enumerate(masks)])).alias("c")
     ).select("fp", "p", F.xxhash64("c.grid", "c.at").alias("cell"))  # equal hashes of two cells only add comparisons
     cells = materialize(cells.select("fp", "cell"), "simhash-cells")
-    shared = materialize(cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > 1), "simhash-shared")
-    held = materialize(cells.join(shared, "cell"), "simhash-held")
+    counted = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
+    shared = materialize(counted.where(F.col("n") > 1), "simhash-shared")
+    # Cells of two, by far the most, are pairs already. The merge join keeps one plan at every size.
+    held = materialize(cells.join(shared.where(F.col("n") > 2).select("cell", "n").hint("merge"), "cell"), "simhash-held")
 
     sparse = held.where(F.col("n") <= cell_limit)
     x, y = sparse.select("cell", F.col("fp").alias("a")), sparse.select("cell", F.col("fp").alias("b"))
+    pairs = x.join(y.hint("merge"), "cell").where(F.col("a") < F.col("b")).select("a", "b")
     near = (
-        x.join(y, "cell")
-        .where(F.col("a") < F.col("b"))
+        pairs.unionByName(shared.where(F.col("n") == 2).select("a", "b"))
         .where(F.bit_count(embedding(F.col("a")).bitwiseXOR(embedding(F.col("b")))) <= max_bits)
         .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-        .select("a", "b")
     )
     # Dense cells: meet in the middle. Flips are grouped in the task before they are shuffled.
     flips = F.array(*[F.lit(m) for m in _flips(max_bits // 2)])
