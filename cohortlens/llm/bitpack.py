@@ -25,8 +25,6 @@ documents are integers.
 from __future__ import annotations
 
 import itertools
-import re
-import unicodedata
 import uuid
 import zlib
 
@@ -38,6 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import materialize, text_or_empty
+from cohortlens.llm.narrow import ODD, narrow
 from cohortlens.session import checkpoint_dir
 
 MAGIC = b"IDPACK01"
@@ -47,8 +46,6 @@ CACHE_WORDS = 400_000
 KEEP_CHARS = 8
 GROUP_CHARS = 1 << 20
 NULL_ID = -(1 << 63)
-#: Up to here the tokenizer's pattern and the regex library class all characters alike.
-SAME_CLASSES = "ɏ"
 
 
 def bits_for(vocabulary: int) -> int:
@@ -103,26 +100,6 @@ class Shard:
         return np.concatenate(parts)[a - first * self.block : b - first * self.block]
 
 
-def narrow(pattern: str) -> re.Pattern:
-    """``pattern`` for the standard library, right for texts of ``SAME_CLASSES`` characters: its classes are spelled out."""
-    chars = range(ord(SAME_CLASSES) + 1)
-    spelled = {
-        r"\p{L}": "".join(re.escape(chr(c)) for c in chars if unicodedata.category(chr(c))[0] == "L"),
-        r"\p{N}": "".join(re.escape(chr(c)) for c in chars if unicodedata.category(chr(c))[0] == "N"),
-        r"\s": r"\t\n\x0b\x0c\r \x85\xa0",
-    }
-    out, inside, at = [], False, 0
-    while at < len(pattern):
-        name = next((n for n in (*spelled, r"\S") if pattern.startswith(n, at)), pattern[at])
-        inside = (inside or name == "[") and name != "]"
-        if name == r"\S":
-            out.append(f"[^{spelled[r'\s']}]")
-        else:
-            out.append(name if name not in spelled else spelled[name] if inside else f"[{spelled[name]}]")
-        at += len(name)
-    return re.compile("".join(out))
-
-
 class TextEncoder:
     """Encodes texts with the tokenizers library, once for each distinct word of a task where words are independent.
 
@@ -141,7 +118,7 @@ class TextEncoder:
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         self.begins[[i for token, i in vocabulary.items() if token.startswith(space)]] = True
         self.bits = bits_for(self.tokenizer.get_vocab_size())
-        self.pattern, self.odd = narrow(pattern), re.compile(f"[^\\x00-{SAME_CLASSES}]")
+        self.pattern, self.odd = narrow(pattern), ODD
         self.cache_words, self.cache = cache_words, {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:

@@ -32,17 +32,21 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORDS_AT_ONCE = 300_000
-CACHE_WORDS = 400_000
+from cohortlens.llm.narrow import ODD, narrow
+
+WORDS_AT_ONCE = 500_000
+CACHE_WORDS = 600_000
+KEEP_CHARS = 8
 QUERY_BYTES = 1 << 19
 
 _STEPS = """
-WITH RECURSIVE step(w, pos, nxt, tok, it) AS (
-  SELECT w, pos, pos + 1, tok, 0 FROM bytes_in
+WITH RECURSIVE step(w, pos, nxt, tok, done) AS (
+  SELECT w, pos, pos + 1, tok, false FROM bytes_in
   UNION ALL
-  (WITH pairs AS (
+  (WITH live AS (SELECT w, pos, nxt, tok FROM step WHERE NOT done),
+   pairs AS (
      SELECT a.w, a.pos, b.pos AS other, b.nxt AS after, m.rank, m.safe, a.tok = b.tok AS twin
-     FROM step a JOIN step b ON a.w = b.w AND b.pos = a.nxt JOIN merges m ON m.l = a.tok AND m.r = b.tok),
+     FROM live a JOIN live b ON a.w = b.w AND b.pos = a.nxt JOIN merges m ON m.l = a.tok AND m.r = b.tok),
    best AS (SELECT w, min(rank) AS rank FROM pairs GROUP BY w),
    least AS (SELECT p.* FROM pairs p JOIN best b ON b.w = p.w AND b.rank = p.rank),
    leftmost AS (SELECT w, min(pos) AS pos FROM least GROUP BY w),
@@ -54,14 +58,16 @@ WITH RECURSIVE step(w, pos, nxt, tok, it) AS (
    pick AS (
      SELECT w, pos, other, after, rank FROM least WHERE safe AND NOT twin
      UNION ALL SELECT w, pos, other, after, rank FROM counted WHERE n % 2 = 1
-     UNION ALL SELECT l.w, l.pos, l.other, l.after, l.rank FROM least l JOIN leftmost f ON f.w = l.w AND f.pos = l.pos WHERE NOT l.safe)
-   SELECT s.w, s.pos, coalesce(p.after, s.nxt), coalesce(p.rank, s.tok), s.it + 1
-   FROM step s LEFT JOIN pick p ON p.w = s.w AND p.pos = s.pos
-   WHERE s.w IN (SELECT w FROM best) AND NOT EXISTS (SELECT 1 FROM pick d WHERE d.w = s.w AND d.other = s.pos))
-),
-final AS (SELECT w, max(it) AS it FROM step GROUP BY w)
-SELECT s.w, list(s.tok ORDER BY s.pos) AS ids, unhex(string_agg(hex(v.bytes), '' ORDER BY s.pos)) AS decoded
-FROM step s JOIN final f ON f.w = s.w AND f.it = s.it JOIN vocab v ON v.id = s.tok
+     UNION ALL SELECT l.w, l.pos, l.other, l.after, l.rank FROM least l JOIN leftmost f ON f.w = l.w AND f.pos = l.pos WHERE NOT l.safe),
+   -- a contracted pair's second row goes, its first becomes the new token; a word without a pair is done
+   change AS (SELECT w, pos, after, rank FROM pick UNION ALL SELECT w, other, NULL, NULL FROM pick)
+   SELECT s.w, s.pos, coalesce(c.after, s.nxt), coalesce(c.rank, s.tok), b.w IS NULL
+   FROM live s LEFT JOIN best b ON b.w = s.w LEFT JOIN change c ON c.w = s.w AND c.pos = s.pos
+   WHERE c.w IS NULL OR c.rank IS NOT NULL)
+)
+SELECT s.w, list(s.tok ORDER BY s.pos) AS ids, string_agg(v.hex, '' ORDER BY s.pos) AS decoded
+FROM step s JOIN vocab v ON v.id = s.tok
+WHERE s.done
 GROUP BY s.w ORDER BY s.w
 """
 
@@ -90,7 +96,7 @@ class WordEncoder:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
         self.db.register("m", pa.table({"l": left, "r": right, "rank": rank, "safe": least[rank] >= rank}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m")
-        self.db.register("v", pa.table({"id": pa.array(ranks.values(), pa.int32()), "bytes": pa.array(ranks.keys(), pa.binary())}))
+        self.db.register("v", pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [x.hex() for x in ranks]}))
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM v")
         self.byte_rank = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.cache_words = cache_words
@@ -99,10 +105,14 @@ class WordEncoder:
 
     def learn(self, words: set[str]) -> None:
         """Encode and decode the words that the cache lacks."""
-        new = [w for w in words if w not in self.ids]
+        new = list(words.difference(self.ids))
         if len(self.ids) + len(new) > self.cache_words:
-            self.ids.clear(), self.decoded.clear()
-            new = list(words)
+            # Short words are the frequent ones; the others go, and all of them if that is not enough.
+            stay = [w for w in self.ids if len(w) <= KEEP_CHARS]
+            if len(stay) + len(words) > self.cache_words // 2:
+                stay = []
+            self.ids, self.decoded = ({w: x[w] for w in stay} for x in (self.ids, self.decoded))
+            new = list(words.difference(self.ids))
         begin = 0
         while begin < len(new):
             part, size = [], 0
@@ -121,22 +131,23 @@ class WordEncoder:
         pos = np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)
         rows = pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), length), "pos": pos.astype(np.int32), "tok": self.byte_rank[flat]})
         self.db.register("bytes_in", rows)
-        out = self.db.execute(_STEPS).to_arrow_table().combine_chunks()
+        out = self.db.sql(_STEPS).to_arrow_table().combine_chunks()
         self.db.unregister("bytes_in")
         lists = out.column("ids").chunk(0)
         flat_ids = np.asarray(lists.flatten()).astype("<u4").tobytes()
         ends = (4 * np.asarray(lists.value_lengths()).cumsum()).tolist()
-        return [flat_ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], out.column("decoded").to_pylist()
+        return [flat_ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], list(map(bytes.fromhex, out.column("decoded").to_pylist()))
 
 
-def encode_texts(texts: list[str | None], encoder: WordEncoder, pattern: regex.Pattern) -> tuple[list[bytes], list[bytes]]:
+def encode_texts(texts: list[str | None], encoder: WordEncoder, pattern: str) -> tuple[list[bytes], list[bytes]]:
     """Per text its ids (little-endian unsigned 32-bit) and its decoded bytes."""
+    general, narrowed, odd = regex.compile(pattern), narrow(pattern), ODD
     ids, decoded = [bytearray() for _ in texts], [bytearray() for _ in texts]
     waiting: list[tuple[int, list[str]]] = []
     n = 0
 
     def flush() -> None:
-        encoder.learn({w for _, words in waiting for w in words})
+        encoder.learn(set().union(*(words for _, words in waiting)))
         for i, words in waiting:
             ids[i] += b"".join(map(encoder.ids.__getitem__, words))
             decoded[i] += b"".join(map(encoder.decoded.__getitem__, words))
@@ -145,7 +156,8 @@ def encode_texts(texts: list[str | None], encoder: WordEncoder, pattern: regex.P
     for i, t in enumerate(texts):
         if t is None:
             continue
-        found = iter(pattern.findall(t)) if len(t) < 1_000_000 else (m[0] for m in pattern.finditer(t))
+        split = general if odd.search(t) else narrowed
+        found = iter(split.findall(t)) if len(t) < 1_000_000 else (m[0] for m in split.finditer(t))
         while words := list(islice(found, WORDS_AT_ONCE)):
             waiting.append((i, words))
             n += len(words)
@@ -163,11 +175,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     """
 
     def run(batches):
-        encoder, split = WordEncoder(read_ranks(ranks_path)), regex.compile(pattern)
+        encoder = WordEncoder(read_ranks(ranks_path))
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                ids, decoded = encode_texts(part.column(1).to_pylist(), encoder, split)
+                ids, decoded = encode_texts(part.column(1).to_pylist(), encoder, pattern)
                 cols = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
                 names = ["doc", "n_tokens", "ids"]
                 if decode:
