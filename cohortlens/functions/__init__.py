@@ -6,10 +6,9 @@ from cohortlens.functions.calendar import (
     month_label,
     month_ordinal,
 )
-from cohortlens.functions.numeric import cents_to_money, half_up_div, money_cents
+from cohortlens.functions.numeric import half_up_div, money_cents
 
 __all__ = [
-    "cents_to_money",
     "day_gap",
     "half_up_div",
     "money_cents",

@@ -17,11 +17,11 @@ from pyspark.sql.types import DataType, DecimalType, FractionalType, IntegralTyp
 def money_cents(value: Column, dtype: DataType) -> Column:
     """An amount column as BIGINT cents.
 
-    Decimals with scale <= 2 convert exactly; floating amounts are rounded to
-    the nearest cent.
+    Decimals with scale <= 2 convert exactly; longer ones and floating amounts
+    are rounded to the nearest cent, halves away from zero.
     """
     if isinstance(dtype, DecimalType):
-        return (value * F.lit(100)).cast("bigint")
+        return F.round(value * F.lit(100)).cast("bigint")
     if isinstance(dtype, IntegralType):
         return (value * F.lit(100)).cast("bigint")
     if isinstance(dtype, FractionalType):
@@ -29,11 +29,6 @@ def money_cents(value: Column, dtype: DataType) -> Column:
     raise TypeError(f"amount column must be numeric, got {dtype}")
 
 
-def cents_to_money(cents: Column) -> Column:
-    """Cents back to currency units as DOUBLE (exact for |cents| < 2**53)."""
-    return cents.cast("double") / F.lit(100.0)
-
-
 def half_up_div(num: Column, den: Column) -> Column:
     """``round(num / den)`` for integers, halves away from zero; null if den is 0/null.
 

@@ -126,16 +126,11 @@ def customer_activity(customers: DataFrame, orders: DataFrame) -> DataFrame:
 
 def monthly_spend(customers: DataFrame, orders: DataFrame) -> DataFrame:
     """A5: ``customer_id, cohort_month, month_index, total_spend`` (spend summed per cell)."""
-    return (
-        activity_by_ordinal(customers, orders)
-        .groupBy("customer_id", "cohort_ord", "month_index")
-        .agg(F.sum("spend_cents").alias("spend_cents"))
-        .select(
-            "customer_id",
-            month_label("cohort_ord").alias("cohort_month"),
-            "month_index",
-            (F.col("spend_cents").cast("double") / 100.0).alias("total_spend"),
-        )
+    return activity_by_ordinal(customers, orders).select(  # unique per customer cell already
+        "customer_id",
+        month_label("cohort_ord").alias("cohort_month"),
+        "month_index",
+        (F.col("spend_cents").cast("double") / 100.0).alias("total_spend"),
     )
 
 

@@ -20,7 +20,6 @@ from cohortlens.functions.calendar import month_label
 from cohortlens.functions.numeric import half_up_div
 from cohortlens.operators.cohorts import activity_by_ordinal, cohort_size_by_ordinal
 from cohortlens.operators.retention import pivot_months
-from cohortlens.plans.materialize import materialize
 from cohortlens.sources.schema import CAC_TARGET, LATEST_COHORTS
 
 
@@ -72,58 +71,44 @@ def cohort_ltv(customers: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def _dense_grid(cells: DataFrame) -> DataFrame:
-    """Observed cohorts x observed month indices, missing cells with 0 spend.
+    """Observed cohorts x observed month indices, missing cells with 0 spend; reads ``cells`` once.
 
-    Per cohort, the global index range is generated with ``sequence`` and
-    narrowed to the indices observed in some cohort (semi join). Both sides
-    are bounded by the number of calendar months, so the grid is at most
-    (#months)^2 rows.
+    A cohort's cells become one map (at most one entry per calendar month);
+    the observed indices are the union of the maps' keys, gathered by a window
+    over one row per cohort. The grid is at most (#months)^2 rows.
     """
-    idx = cells.select("month_index").distinct()
-    lo = cells.select(F.min("month_index")).scalar()
-    hi = cells.select(F.max("month_index")).scalar()
-    grid = (
-        cells.select("cohort_ord")
-        .distinct()
-        .select("cohort_ord", F.explode(F.sequence(lo, hi)).alias("month_index"))
-        .join(F.broadcast(idx), "month_index", "left_semi")
+    per_cohort = cells.groupBy("cohort_ord").agg(
+        F.map_from_entries(F.collect_list(F.struct("month_index", "spend_cents"))).alias("spend")
     )
-    return (
-        grid.join(cells, ["cohort_ord", "month_index"], "left")
-        .select(
-            "cohort_ord",
-            "month_index",
-            F.coalesce(F.col("spend_cents"), F.lit(0).cast("bigint")).alias("spend_cents"),
-        )
+    indices = F.collect_list("indices").over(Window.partitionBy())
+    observed = per_cohort.withColumn("indices", F.map_keys("spend")).select("cohort_ord", "spend", indices.alias("indices"))
+    grid = observed.select("cohort_ord", "spend", F.explode(F.array_distinct(F.flatten("indices"))).alias("month_index"))
+    return grid.select(
+        "cohort_ord",
+        "month_index",
+        F.coalesce(F.try_element_at("spend", F.col("month_index")), F.lit(0).cast("bigint")).alias("spend_cents"),
     )
 
 
 def ltv_dense_by_ordinal(customers: DataFrame, orders: DataFrame) -> DataFrame:
-    """(cohort_ord, month_index, cohort_size, cum_cents) on the dense grid.
-
-    The grid reads the cell table several times (indices, range, cohorts,
-    values); the cells (at most months^2 rows) are materialized once so the
-    fact-table join behind them runs once.
-    """
-    cells = materialize(spend_by_ordinal(customers, orders), "ltv-cells")
-    return dense_from_cells(cells, cohort_size_by_ordinal(customers))
+    """(cohort_ord, month_index, cohort_size, cum_cents) on the dense grid."""
+    return dense_from_cells(spend_by_ordinal(customers, orders), cohort_size_by_ordinal(customers))
 
 
 def dense_from_cells(cells: DataFrame, sizes: DataFrame) -> DataFrame:
     """Dense cumulative cells from ``cells (cohort_ord, month_index, spend_cents, ...)``.
 
-    Returns ``(cohort_ord, month_index, cohort_size, cum_cents)``; ``cells``
-    is read several times, so pass a materialized (or otherwise cheap) table.
-    ``sizes`` is ``(cohort_ord, cohort_size)``, one row per signup month.
+    Returns ``(cohort_ord, month_index, cohort_size, cum_cents)``. ``sizes``
+    is ``(cohort_ord, cohort_size)``, one row per signup month.
     """
     dense = _cumulative(_dense_grid(cells.select("cohort_ord", "month_index", "spend_cents")))
     return dense.join(F.broadcast(sizes), "cohort_ord")
 
 
 def latest_from_dense(dense: DataFrame, n: int = LATEST_COHORTS) -> DataFrame:
-    """Rows of the ``n`` most recent cohorts of a (materialized) dense table."""
-    latest = dense.select("cohort_ord").distinct().orderBy(F.desc("cohort_ord")).limit(n)
-    return dense.join(F.broadcast(latest), "cohort_ord", "left_semi")
+    """Rows of the ``n`` most recent cohorts of a dense table (at most months^2 rows, ranked in one task)."""
+    place = F.dense_rank().over(Window.orderBy(F.desc("cohort_ord")))
+    return dense.withColumn("place", place).where(F.col("place") <= n).drop("place")
 
 
 def dense_out(df: DataFrame) -> DataFrame:
@@ -143,22 +128,15 @@ def ltv_matrix_long(customers: DataFrame, orders: DataFrame) -> DataFrame:
 def ltv_matrix_wide(
     customers: DataFrame, orders: DataFrame, indices: Sequence[int] | None = None
 ) -> DataFrame:
-    """L2 (wide): one row per cohort, one DOUBLE column per observed month index."""
-    # The dense table takes several stages to rebuild from the cells, so the
-    # pivot input is materialized for the distinct-index pass (measured faster).
+    """L2 (wide): one row per cohort, one DOUBLE column per month index; ``indices`` as in ``pivot_months``."""
     return pivot_months(ltv_matrix_long(customers, orders), "ltv", indices)
 
 
 def ltv_latest_cohorts(
     customers: DataFrame, orders: DataFrame, n: int = LATEST_COHORTS
 ) -> DataFrame:
-    """L3: dense LTV rows of the ``n`` most recent cohorts that have orders.
-
-    The dense table (at most months^2 rows) feeds both the cohort list and
-    the rows, so it is materialized once.
-    """
-    dense = materialize(ltv_dense_by_ordinal(customers, orders), "ltv-dense")
-    return dense_out(latest_from_dense(dense, n))
+    """L3: dense LTV rows of the ``n`` most recent cohorts that have orders."""
+    return dense_out(latest_from_dense(ltv_dense_by_ordinal(customers, orders), n))
 
 
 def cac_target_line(

@@ -9,13 +9,13 @@ Plan choices at scale (one customer may hold a third of all orders):
   between consecutive dates of a customer sum to ``last - first``, so the
   count and mean gap come from a plain ``count/min/max`` group-by, which is
   combined map-side before its shuffle.
-* ``dense_rank_orders`` first reduces copies of one (customer, date, order
-  id) key map-side, then keeps only sequence numbers <= 5; Spark plans this
-  as ``WindowGroupLimit`` on both sides of the shuffle, so a hot customer
-  ships at most 5 rows per map task and a hot group of copies one row.
-* Row-level LAG / DENSE_RANK (``purchase_intervals``, ``purchase_sequence``)
-  use :func:`cohortlens.operators.sequence.ordered_scan`, which splits a hot
-  customer over many range partitions.
+* ``dense_rank_orders`` keeps only sequence numbers <= 5; Spark plans this as
+  ``WindowGroupLimit`` on both sides of the shuffle, so a hot customer ships
+  the rows of at most 5 distinct (date, id) keys per map task.
+* Row-level results (``purchase_intervals``, ``purchase_sequence``) order a
+  customer's *days*, at most one row per calendar day, and join the answer
+  back to the orders on (customer, day): a hot customer's orders spread over
+  their days, and Spark may split the join further.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from cohortlens.functions.calendar import day_gap
 from cohortlens.functions.numeric import half_up_div
 from cohortlens.operators.cohorts import order_cents
-from cohortlens.operators.sequence import ordered_scan
 from cohortlens.sources.schema import HISTOGRAM_BINS, MAX_PURCHASE_SEQUENCE, TOP_REPEATERS
 
 ORDER_KEYS = ["order_date", "order_id"]
@@ -92,37 +91,80 @@ def repeat_intervals(
     )
 
 
-def purchase_intervals(orders: DataFrame, num_partitions: int | None = None) -> DataFrame:
+def _dated(orders: DataFrame) -> DataFrame:
+    return orders.where(F.col("customer_id").isNotNull() & F.col("order_date").isNotNull())
+
+
+def _previous_days(days: DataFrame) -> DataFrame:
+    """``days`` (one row per customer and order date) with the customer's previous order date."""
+    return days.withColumn("prev", F.lag("order_date").over(Window.partitionBy("customer_id").orderBy("order_date")))
+
+
+def purchase_intervals(orders: DataFrame) -> DataFrame:
     """Every repeat order with ``prev_order_date`` and ``days_between``.
 
     All columns of ``orders`` plus the previous order date of the same
     customer (order by date, then order id) and the day gap; first orders
     are dropped, as are orders without customer or date (they have no
     place in a customer's dated sequence).
+
+    The first order of a day follows the customer's previous day, all others
+    follow an order of the same day. Rows that repeat the first order's id on
+    its day count one after another, by their other columns.
     """
-    dated = orders.where(F.col("customer_id").isNotNull() & F.col("order_date").isNotNull())
-    scanned = ordered_scan(
-        dated,
-        "customer_id",
-        ORDER_KEYS,
-        lag_cols=["order_date"],
-        lag_names=["prev_order_date"],
-        num_partitions=num_partitions,
+    dated = _dated(orders)
+    day_keys = ["customer_id", "order_date"]
+    days = _previous_days(
+        dated.groupBy(*day_keys, F.struct("order_id").alias("id"))  # a null id comes first, as in a sort
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy(*day_keys)
+        .agg(F.min("id").alias("id"), F.min_by("n", "id").alias("n"))
     )
-    return scanned.where(F.col("prev_order_date").isNotNull()).withColumn(
-        "days_between", day_gap("order_date", "prev_order_date")
+    d, o = days.alias("d"), dated.alias("o")
+    on = (F.col("o.customer_id") == F.col("d.customer_id")) & (F.col("o.order_date") == F.col("d.order_date"))
+    first = F.struct("o.order_id").eqNullSafe(F.col("d.id"))
+    joined = o.join(d, on).select(F.struct("o.*").alias("o"), F.col("d.prev").alias("prev"), first.alias("first"), (F.col("d.n") > 1).alias("copies"))
+    plain = joined.where(~(F.col("first") & F.col("copies"))).select("o", F.when(F.col("first"), F.col("prev")).otherwise(F.col("o.order_date")).alias("prev"))
+    # Copies of a day's first order: equal rows are counted, then one of them follows the previous day.
+    tied = Window.partitionBy("o.customer_id", "o.order_date").orderBy("o")
+    copies = (
+        joined.where(F.col("first") & F.col("copies"))
+        .groupBy("o", "prev")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("leads", F.row_number().over(tied) == 1)
+        .select("o", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"), "prev", "leads")
+        .select("o", F.when(F.col("leads") & (F.col("i") == 1), F.col("prev")).otherwise(F.col("o.order_date")).alias("prev"))
     )
+    out = plain.unionByName(copies).where(F.col("prev").isNotNull())
+    return out.select("o.*", F.col("prev").alias("prev_order_date"), day_gap("o.order_date", "prev").alias("days_between"))
 
 
-def purchase_sequence(orders: DataFrame, num_partitions: int | None = None) -> DataFrame:
+def purchase_sequence(orders: DataFrame) -> DataFrame:
     """W3 row level: every order with ``purchase_sequence``.
 
     ``DENSE_RANK() OVER (PARTITION BY customer_id ORDER BY order_date,
-    order_id)``; a repeated (date, id) pair shares its number.
+    order_id)``; a repeated (date, id) pair shares its number. Null customers
+    form a group, null dates and ids come first, as in a SQL window.
+
+    The number is the count of distinct (date, id) pairs on the customer's
+    earlier days plus the rank within the day, so that only the orders of one
+    customer *and* day are ranked together.
     """
-    return ordered_scan(
-        orders, "customer_id", ORDER_KEYS, rank_name="purchase_sequence", num_partitions=num_partitions
-    )
+    keys = orders.select("customer_id", "order_date", "order_id").distinct()
+    per_day = keys.groupBy("customer_id", "order_date").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("customer_id").orderBy("order_date").rowsBetween(Window.unboundedPreceding, -1)
+    before = per_day.select("customer_id", "order_date", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
+    in_day = F.row_number().over(Window.partitionBy("customer_id", "order_date").orderBy("order_id"))
+    k, b, o = keys.withColumn("in_day", in_day).alias("k"), before.alias("b"), orders.alias("o")
+
+    def same(left: str, right: str, *names: str):
+        on = F.lit(True)
+        for n in names:
+            on = on & F.col(f"{left}.{n}").eqNullSafe(F.col(f"{right}.{n}"))
+        return on
+
+    rank = k.join(b, same("k", "b", "customer_id", "order_date")).select("k.*", (F.col("before") + F.col("in_day")).cast("int").alias("place")).alias("r")
+    return o.join(rank, same("o", "r", "customer_id", "order_date", "order_id")).select("o.*", F.col("r.place").alias("purchase_sequence"))
 
 
 def dense_rank_orders(
@@ -137,23 +179,13 @@ def dense_rank_orders(
     2 places, per sequence number. ``customers`` optionally scopes the
     ranked rows (at most ``max_sequence`` per customer) to those customers.
     """
-    # Copies of one (customer, date, order id) share a dense rank, so they are
-    # first reduced to one row per key (map-side combine): a group of copies
-    # holding a third of all rows becomes one row per task, and the ranking
-    # below only sees distinct keys.
-    per_key = orders.groupBy("customer_id", *ORDER_KEYS).agg(
-        F.count("order_id").alias("n_ids"),
-        F.count(order_cents(orders)).alias("n_values"),
-        F.sum(order_cents(orders)).alias("cents"),
-    )
     w = Window.partitionBy("customer_id").orderBy(*ORDER_KEYS)
-    ranked = per_key.select(
-        "customer_id", "n_ids", "n_values", "cents",
-        F.dense_rank().over(w).alias("purchase_sequence"),
+    ranked = orders.select(
+        "customer_id", "order_id", order_cents(orders).alias("cents"), F.dense_rank().over(w).alias("purchase_sequence")
     ).where(F.col("purchase_sequence") <= max_sequence)
     return _scope(ranked, customers).groupBy("purchase_sequence").agg(
-        F.sum("n_ids").alias("total_orders"),
-        (half_up_div(F.sum("cents"), F.sum("n_values")).cast("double") / 100.0).alias(
+        F.count("order_id").alias("total_orders"),
+        (half_up_div(F.sum("cents"), F.count("cents")).cast("double") / 100.0).alias(
             "average_order_value_inr"
         ),
     )
@@ -192,23 +224,28 @@ def mean_interval(orders: DataFrame, customers: DataFrame | None = None) -> Data
 _ROUND_WIDTHS = [m * 10**k for k in range(0, 16) for m in (1, 2, 5)]
 
 
-def interval_histogram(
-    orders: DataFrame, nbins: int = HISTOGRAM_BINS, num_partitions: int | None = None
-) -> DataFrame:
+def interval_histogram(orders: DataFrame, nbins: int = HISTOGRAM_BINS, customers: DataFrame | None = None) -> DataFrame:
     """``bin_start, bin_width, n_intervals`` of the repeat gaps (non-empty bins).
 
     Width: smallest ``w`` in {1, 2, 5} x 10^k with
     ``floor(max/w) - floor(min/w) + 1 <= nbins``; bins are ``[k*w, (k+1)*w)``.
-    The gaps are first counted per distinct day value (at most the calendar
-    span of the data in days), so min/max and the width are computed on that
-    small table.
+    A customer's day with n orders has n - 1 gaps of 0 and one gap to the
+    customer's previous day, so the orders are first reduced to (customer, day,
+    n). The gaps are then counted per distinct day value (at most the calendar
+    span of the data in days), on which min/max and the width are computed.
+    ``customers`` optionally scopes the reduced rows to those customers.
     """
-    # Only the keys enter the scan: its materialized table cannot be pruned later.
-    keys_only = orders.select("order_id", "customer_id", "order_date")
+    days = _dated(orders).groupBy("customer_id", "order_date").agg(F.count(F.lit(1)).alias("n"))
+    days = _previous_days(_scope(days, customers))
+    gaps = F.array(
+        F.struct(day_gap("order_date", "prev").alias("days_between"), F.lit(1).cast("bigint").alias("n")),
+        F.struct(F.lit(0).alias("days_between"), (F.col("n") - 1).alias("n")),
+    )
     per_day = (
-        purchase_intervals(keys_only, num_partitions)
+        days.select(F.inline(gaps))
+        .where(F.col("days_between").isNotNull() & (F.col("n") > 0))
         .groupBy("days_between")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("n").alias("n"))
     )
     everything = Window.partitionBy()  # one task over <= (date span in days) rows
     lo = F.min("days_between").over(everything).cast("bigint")

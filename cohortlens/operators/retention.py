@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.calendar import month_label
@@ -67,35 +67,31 @@ def retention_first_index(customers: DataFrame, orders: DataFrame) -> DataFrame:
     """A4: ``cohort_month, month_index, active_shoppers, first_index_shoppers, retention_fraction``.
 
     ``retention_fraction = active_shoppers / first_index_shoppers`` where the
-    denominator is the cohort's actives at the global minimum month index
-    (a one-row aggregate); null when the cohort has no row at that index.
-    The cells (at most months^2 rows) are read three times and therefore
-    materialized once, so the fact-table join behind them runs once.
+    denominator is the cohort's actives at the global minimum month index;
+    null when the cohort has no row at that index.
     """
-    return first_index_from_cells(
-        materialize(active_by_ordinal(customers, orders), "retention-cells")
-    )
+    return first_index_from_cells(active_by_ordinal(customers, orders))
 
 
 def first_index_from_cells(cells: DataFrame) -> DataFrame:
-    """A4 from a cell table ``(cohort_ord, month_index, active_shoppers, ...)``.
+    """A4 from a cell table ``(cohort_ord, month_index, active_shoppers, ...)``, read once.
 
-    ``cells`` is read three times; pass a materialized (or otherwise cheap)
-    table.
+    The windows run over the cells, at most months^2 rows.
     """
-    first_idx = cells.agg(F.min("month_index").alias("first_index"))
-    base = (
-        cells.join(F.broadcast(first_idx), F.col("month_index") == F.col("first_index"))
-        .select("cohort_ord", F.col("active_shoppers").alias("first_index_shoppers"))
-    )
-    return cells.join(F.broadcast(base), "cohort_ord", "left").select(
-        month_label("cohort_ord").alias("cohort_month"),
-        "month_index",
-        "active_shoppers",
-        "first_index_shoppers",
-        (F.col("active_shoppers").cast("double") / F.col("first_index_shoppers")).alias(
-            "retention_fraction"
-        ),
+    first_index = F.min("month_index").over(Window.partitionBy())
+    base = F.max(F.when(F.col("month_index") == F.col("first_index"), F.col("active_shoppers")))
+    return (
+        cells.select("cohort_ord", "month_index", "active_shoppers", first_index.alias("first_index"))
+        .withColumn("first_index_shoppers", base.over(Window.partitionBy("cohort_ord")))
+        .select(
+            month_label("cohort_ord").alias("cohort_month"),
+            "month_index",
+            "active_shoppers",
+            "first_index_shoppers",
+            (F.col("active_shoppers").cast("double") / F.col("first_index_shoppers")).alias(
+                "retention_fraction"
+            ),
+        )
     )
 
 
@@ -104,20 +100,23 @@ def pivot_months(
 ) -> DataFrame:
     """``cohort_month`` rows x one column per month index holding ``value``.
 
-    Without ``indices``, Spark first finds the distinct indices. Unless the
-    long input is ``cheap_input`` (derived from an already materialized cell
-    table), it (at most months^2 rows) is materialized once so that pass does
+    With ``indices`` the columns are exactly these, in their order; an
+    observed index that is not listed fails the query, so no cell is lost.
+
+    Without, every observed index becomes a column. Spark then runs a job for
+    the distinct indices while the plan is built; unless the long input is
+    ``cheap_input`` (derived from an already written cell table), it (at most
+    months^2 rows) is written once in the shared folder so that this job does
     not recompute it from the fact table.
     """
-    if indices is None and not cheap_input:
+    if indices is not None:
+        known = F.col("month_index").isin([int(i) for i in indices])
+        unlisted = F.raise_error(F.concat(F.lit("month index not in the column list: "), F.col("month_index").cast("string")))
+        checked = long_df.withColumn("month_index", F.when(known, F.col("month_index")).otherwise(unlisted.cast("int")))
+        return checked.groupBy("cohort_month").pivot("month_index", [int(i) for i in indices]).agg(F.first(value))
+    if not cheap_input:
         long_df = materialize(long_df.select("cohort_month", "month_index", value), "pivot-input")
-    grouped = long_df.groupBy("cohort_month")
-    pivoted = (
-        grouped.pivot("month_index", list(indices))
-        if indices is not None
-        else grouped.pivot("month_index")
-    )
-    return pivoted.agg(F.first(value))
+    return long_df.groupBy("cohort_month").pivot("month_index").agg(F.first(value))
 
 
 def retention_wide(
@@ -129,9 +128,8 @@ def retention_wide(
     """Cohort rows x month-index columns; a missing cell stays null.
 
     ``metric="count"``: active shoppers. ``metric="pct"``: the first-index
-    fraction times 100. Column names are the month indices as strings. Pass
-    ``indices`` to fix the column list (saves Spark's distinct-value pass);
-    by default every observed index becomes a column.
+    fraction times 100. Column names are the month indices as strings;
+    ``indices`` as in :func:`pivot_months`.
     """
     if metric == "count":
         long_df = active_shoppers(customers, orders)
@@ -140,6 +138,5 @@ def retention_wide(
         long_df = retention_first_index(customers, orders).withColumn(
             "pct", F.col("retention_fraction") * 100.0
         )
-        # retention_first_index reads a materialized cell table: cheap to re-read
-        return pivot_months(long_df, "pct", indices, cheap_input=True)
+        return pivot_months(long_df, "pct", indices)
     raise ValueError("metric must be 'pct' or 'count'")

@@ -6,12 +6,11 @@ for segment figures.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.calendar import month_label, month_ordinal
 from cohortlens.operators.cohorts import order_cents
-from cohortlens.plans.materialize import materialize
 
 
 def kpi_summary(customers: DataFrame, orders: DataFrame) -> DataFrame:
@@ -68,9 +67,8 @@ def category_sales(orders: DataFrame, products: DataFrame) -> DataFrame:
     """``category, sales, sales_share`` (inner join of orders and products on product_id).
 
     Orders are first summed per product (map-side combine, so a hot product
-    is one row per task), then joined to the product dimension. The
-    per-category sums are materialized (one row per category) so the share's
-    denominator, a scalar subquery over them, does not rerun the join.
+    is one row per task), then joined to the product dimension. The share's
+    denominator is a window over the per-category sums, one row per category.
     """
     per_product = (
         orders.where(F.col("product_id").isNotNull())
@@ -82,8 +80,7 @@ def category_sales(orders: DataFrame, products: DataFrame) -> DataFrame:
         .groupBy("category")
         .agg(F.sum("cents").alias("cents"))
     )
-    per_category = materialize(per_category, "category-sales")
-    total = per_category.select(F.sum("cents")).scalar()
+    total = F.sum("cents").over(Window.partitionBy())
     return per_category.select(
         "category",
         (F.col("cents").cast("double") / 100.0).alias("sales"),

@@ -1,17 +1,19 @@
 """Named queries (X1), lookup by name (X3) and ad hoc SQL.
 
-The four named analyses are DataFrame functions; ``PRESET_SQL`` holds the
-same analyses as Spark SQL text for a SQL console. Ad hoc SQL runs through
-``spark.sql`` over temp views ``customers``, ``products``, ``orders`` of the
-frames passed in (unscoped unless the caller scopes them), so Catalyst plans
-it exactly like the DataFrame versions.
+The four named analyses are DataFrame functions. Ad hoc SQL runs through
+``spark.sql`` over the tables ``customers``, ``products``, ``orders`` of the
+frames passed in (unscoped unless the caller scopes them) and over the named
+analyses, each a view made from its operator, so that ``SELECT * FROM
+cohort_ltv ORDER BY ...`` gives what the operator gives.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortlens.operators import ltv, purchases, retention
 
@@ -33,113 +35,58 @@ def named_query(name: str) -> Callable[[DataFrame, DataFrame, DataFrame], DataFr
         raise KeyError(f"unknown query {name!r}; known: {sorted(NAMED_QUERIES)}") from None
 
 
-# Presentation order of each named analysis (the ORDER BY of its SQL form).
-NAMED_ORDER: dict[str, list] = {
+# Presentation order of each named analysis.
+NAMED_ORDER: dict[str, list[str]] = {
     "retention_matrix": ["cohort_month", "month_index"],
     "cohort_ltv": ["cohort_month", "month_index"],
-    "repeat_intervals": [],  # already ordered by its top-k
+    "repeat_intervals": ["total_repeat_orders DESC", "customer_id ASC NULLS FIRST"],
     "dense_rank_orders": ["purchase_sequence"],
 }
 
 
 def run_named(name: str, customers: DataFrame, products: DataFrame, orders: DataFrame) -> DataFrame:
-    """The named analysis, sorted for presentation like its SQL form (results are tiny)."""
-    df = named_query(name)(customers, products, orders)
-    order = NAMED_ORDER.get(name)
-    return df.orderBy(*order) if order else df
+    """The named analysis, sorted for presentation (results are tiny)."""
+    return named_query(name)(customers, products, orders).orderBy(*map(_sort, NAMED_ORDER[name]))
 
 
-def register_views(customers: DataFrame, products: DataFrame, orders: DataFrame) -> None:
-    """Temp views ``customers``, ``products``, ``orders`` in the frames' session."""
-    customers.createOrReplaceTempView("customers")
-    products.createOrReplaceTempView("products")
-    orders.createOrReplaceTempView("orders")
+def _sort(spec: str) -> Column:
+    name, *rest = spec.split()
+    return F.desc(name) if rest[:1] == ["DESC"] else F.asc_nulls_first(name)
+
+
+@contextmanager
+def views(spark: SparkSession, customers: DataFrame, products: DataFrame, orders: DataFrame) -> Iterator[None]:
+    """Temp views of the three tables and the named analyses, for the time of the block.
+
+    A user's own temp view of the same name is put back afterwards. A result
+    of ``spark.sql`` keeps the tables it was analysed with, so that it may be
+    used after the block.
+    """
+    frames = {"customers": customers, "products": products, "orders": orders}
+    frames |= {name: query(customers, products, orders) for name, query in NAMED_QUERIES.items()}
+    temporary = {t.name for t in spark.catalog.listTables() if t.isTemporary}
+    before = {name: spark.table(name) for name in frames if name in temporary}
+    try:
+        for name, df in frames.items():
+            df.createOrReplaceTempView(name)
+        yield
+    finally:
+        for name in frames:
+            if name in before:
+                before[name].createOrReplaceTempView(name)
+            else:
+                spark.catalog.dropTempView(name)
 
 
 def adhoc_sql(
     spark: SparkSession, text: str, customers: DataFrame, products: DataFrame, orders: DataFrame
 ) -> DataFrame:
-    """Run any Spark SQL ``text`` over the three tables; returns the lazy result."""
-    register_views(customers, products, orders)
-    return spark.sql(text)
-
-
-# The named analyses as Spark SQL (presets of a SQL console), written with
-# month ordinals (year * 12 + month - 1) like the DataFrame operators; orders
-# without a date are in no cohort cell, as in the operators. The output
-# column names are the fixed names of the named analyses.
-PRESET_SQL: dict[str, str] = {
-    "retention_matrix": """
-WITH signup AS (
-  SELECT customer_id, year(signup_date) * 12 + month(signup_date) - 1 AS cohort_ord
-  FROM customers WHERE signup_date IS NOT NULL
-),
-sizes AS (
-  SELECT cohort_ord, count(DISTINCT customer_id) AS cohort_size FROM signup GROUP BY cohort_ord
-),
-active AS (
-  SELECT DISTINCT s.cohort_ord, o.customer_id,
-         year(o.order_date) * 12 + month(o.order_date) - 1 - s.cohort_ord AS month_index
-  FROM orders o JOIN signup s ON s.customer_id = o.customer_id
-  WHERE o.order_date IS NOT NULL
-)
-SELECT date_format(make_date(sz.cohort_ord DIV 12, sz.cohort_ord % 12 + 1, 1), 'yyyy-MM') AS cohort_month,
-       sz.cohort_size, a.month_index,
-       count(*) AS active_shoppers,
-       round(count(*) * 100.0 / sz.cohort_size, 2) AS retention_rate
-FROM active a JOIN sizes sz ON sz.cohort_ord = a.cohort_ord
-GROUP BY sz.cohort_ord, sz.cohort_size, a.month_index
-ORDER BY cohort_month, month_index""",
-    "cohort_ltv": """
-WITH signup AS (
-  SELECT customer_id, year(signup_date) * 12 + month(signup_date) - 1 AS cohort_ord
-  FROM customers WHERE signup_date IS NOT NULL
-),
-sizes AS (
-  SELECT cohort_ord, count(DISTINCT customer_id) AS cohort_size FROM signup GROUP BY cohort_ord
-),
-spend AS (
-  SELECT s.cohort_ord, year(o.order_date) * 12 + month(o.order_date) - 1 - s.cohort_ord AS month_index,
-         sum(o.order_value) AS cell_spend
-  FROM orders o JOIN signup s ON s.customer_id = o.customer_id
-  WHERE o.order_date IS NOT NULL
-  GROUP BY 1, 2
-)
-SELECT date_format(make_date(sz.cohort_ord DIV 12, sz.cohort_ord % 12 + 1, 1), 'yyyy-MM') AS cohort_month,
-       sz.cohort_size, sp.month_index,
-       round(sum(sp.cell_spend) OVER (PARTITION BY sp.cohort_ord ORDER BY sp.month_index)
-             / sz.cohort_size, 2) AS average_ltv_inr
-FROM spend sp JOIN sizes sz ON sz.cohort_ord = sp.cohort_ord
-ORDER BY cohort_month, month_index""",
-    "repeat_intervals": """
-WITH gaps AS (
-  SELECT customer_id,
-         datediff(order_date, lag(order_date) OVER w) AS gap_days
-  FROM orders
-  WINDOW w AS (PARTITION BY customer_id ORDER BY order_date, order_id)
-)
-SELECT customer_id, count(*) AS total_repeat_orders, round(avg(gap_days), 1) AS avg_days_between
-FROM gaps WHERE gap_days IS NOT NULL
-GROUP BY customer_id
-ORDER BY total_repeat_orders DESC, customer_id
-LIMIT 20""",
-    "dense_rank_orders": """
-SELECT seq AS purchase_sequence, count(order_id) AS total_orders,
-       round(avg(order_value), 2) AS average_order_value_inr
-FROM (
-  SELECT order_id, order_value,
-         dense_rank() OVER (PARTITION BY customer_id ORDER BY order_date, order_id) AS seq
-  FROM orders
-) ranked
-WHERE seq <= 5
-GROUP BY seq
-ORDER BY purchase_sequence""",
-}
+    """Run any Spark SQL ``text`` over the three tables and the named analyses; returns the lazy result."""
+    with views(spark, customers, products, orders):
+        return spark.sql(text)
 
 
 def preset_sql(name: str) -> str:
-    """Spark SQL text of a named analysis; ``KeyError`` lists the known names."""
-    try:
-        return PRESET_SQL[name]
-    except KeyError:
-        raise KeyError(f"no SQL preset {name!r}; known: {sorted(PRESET_SQL)}") from None
+    """Spark SQL of a named analysis over its view; ``KeyError`` lists the known names."""
+    named_query(name)
+    return f"SELECT * FROM {name} ORDER BY {', '.join(NAMED_ORDER[name])}"

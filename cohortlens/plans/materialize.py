@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cohortlens.session import checkpoint_dir
 
-_written: dict[int, list[str]] = {}
+_WRITTEN = "_cohortlens_written"  # a list of paths on the session object itself
 _lock = threading.Lock()
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Compute ``df`` once, store it as Parquet under ``spark.checkpoint.dir``, return a reader.
+    """Compute ``df`` once, store it as Parquet in the shared folder, return a reader.
 
     Used where one result feeds several consumers (which would otherwise
     each recompute it) or where consumers must see the very same rows. The
@@ -23,9 +23,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    with _lock:  # before the write, so that a failed one is released too
+        paths = getattr(spark, _WRITTEN, None)
+        if paths is None:
+            setattr(spark, _WRITTEN, paths := [])
+        paths.append(path)
     df.write.mode("errorifexists").parquet(path)
-    with _lock:
-        _written.setdefault(id(spark), []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -34,10 +37,12 @@ def release(spark: SparkSession) -> int:
 
     DataFrames that read those tables must not be used afterwards. Deletion
     goes through the Hadoop FileSystem of each path, so it works for any
-    shared folder (HDFS, object stores, local).
+    shared folder (HDFS, object stores, local). Needs a classic session
+    (not Spark Connect).
     """
     with _lock:
-        paths = _written.pop(id(spark), [])
+        paths = list(getattr(spark, _WRITTEN, []))
+        setattr(spark, _WRITTEN, [])
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     for p in paths:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -40,23 +38,12 @@ def build_session(
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared folder for written intermediate tables.
 
-    A cluster names a shared folder there (or registers one with
-    ``SparkContext.setCheckpointDir``). Only a local-mode session with none
-    set gets a fresh temporary folder; on a cluster a machine-local folder
-    would split written tables across hosts, so an unset folder is an error.
+    A cluster names it in ``spark.checkpoint.dir`` (or registers one with
+    ``SparkContext.setCheckpointDir``). Where neither is set, a folder in the
+    session's warehouse is used, which executors share too; never a
+    machine-local temporary folder.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        return current
-    sc = spark.sparkContext
-    registered = sc.getCheckpointDir()
-    if registered:
-        return registered
-    if not sc.master.startswith("local"):
-        raise RuntimeError(
-            "set spark.checkpoint.dir to a folder shared by all executors (e.g. on HDFS or object storage)"
-        )
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="cohortlens-ckpt-"))
-    return sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"

@@ -1,4 +1,4 @@
-"""Column-projected loads of the star schema from Parquet, CSV or JDBC.
+"""Column-projected loads of the star schema from Parquet, CSV, INSERT dumps or JDBC.
 
 Every reader applies the fixed schema of :mod:`cohortlens.sources.schema`,
 normalises date columns with ``to_date`` and selects only the schema columns,
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from cohortlens.sources.schema import DATE_COLUMNS, SCHEMAS
 
@@ -29,16 +30,21 @@ def read_parquet(spark: SparkSession, path: str, table: str) -> DataFrame:
     return normalize(spark.read.parquet(path), table)
 
 
-def read_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """CSV with a header row, ISO dates, RFC-4180 quoting (``""`` inside quotes)."""
-    raw = (
-        spark.read.schema(SCHEMAS[table])
-        .option("header", True)
-        .option("escape", '"')
-        .option("mode", "FAILFAST")
-        .csv(path)
-    )
-    return normalize(raw, table)
+def read_csv(spark: SparkSession, path: str, table: str, multiline: bool = False) -> DataFrame:
+    """CSV with a header row, ISO dates, RFC-4180 quoting (``""`` inside quotes).
+
+    Columns are matched by their header names, in any order; further columns
+    (such as an exported ``order_month``) are ignored, missing ones fail, and
+    so does a part file whose header differs from the first one's. Malformed
+    rows and values fail. ``multiline`` allows line breaks inside quoted
+    values; a file is then read by one task.
+    """
+    def reader():
+        return spark.read.option("header", True).option("escape", '"').option("mode", "FAILFAST").option("multiLine", multiline)
+
+    names = reader().csv(path).columns  # Spark reads the first header only
+    strings = StructType([StructField(n, StringType()) for n in names])
+    return normalize(reader().schema(strings).option("enforceSchema", False).csv(path), table)
 
 
 def read_jdbc(
@@ -84,25 +90,29 @@ def load_star_schema(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(customers, products, orders)`` from one format.
 
-    ``paths`` maps each table to a file path (``parquet``, ``csv``) or a
-    database table name (``jdbc``, with ``url`` and ``properties``).
-    ``partitioning`` optionally maps a table to ``(integer column, lower,
-    upper, partitions)`` for a parallel JDBC read, e.g.
-    ``{"orders": ("order_id", 1, 10**9, 400)}``.
+    ``paths`` maps each table to a file path (``parquet``, ``csv``,
+    ``sql_dump``; one dump may hold all three) or a database table name
+    (``jdbc``, with ``url`` and ``properties``). ``partitioning`` maps a table
+    to ``(integer column, lower, upper, partitions)`` for a parallel JDBC
+    read, e.g. ``{"orders": ("order_id", 1, 10**9, 400)}``; ``orders`` must be
+    in it, since a fact table through one cursor is no bulk load. Dimensions
+    without an entry are read by one cursor.
     """
-    out = []
-    for table in ("customers", "products", "orders"):
-        if fmt == "parquet":
-            out.append(read_parquet(spark, paths[table], table))
-        elif fmt == "csv":
-            out.append(read_csv(spark, paths[table], table))
-        elif fmt == "jdbc":
-            if url is None:
-                raise ValueError("jdbc needs url")
-            col, lo, hi, n = (partitioning or {}).get(table, (None, None, None, None))
-            out.append(
-                read_jdbc(spark, url, paths[table], table, properties, col, lo, hi, n)
-            )
-        else:
-            raise ValueError(f"unknown format {fmt!r}")
-    return out[0], out[1], out[2]
+    from cohortlens.sources.sql_dump import read_sql_dump
+
+    if fmt == "jdbc":
+        if url is None:
+            raise ValueError("jdbc needs url")
+        if "orders" not in (partitioning or {}):
+            raise ValueError('jdbc needs partitioning for "orders": (integer column, lower, upper, partitions)')
+
+    def load(table: str) -> DataFrame:
+        if fmt == "jdbc":
+            split = (partitioning or {}).get(table, (None, None, None, None))
+            return read_jdbc(spark, url, paths[table], table, properties, *split)
+        return files[fmt](spark, paths[table], table)
+
+    files = {"parquet": read_parquet, "csv": read_csv, "sql_dump": read_sql_dump}
+    if fmt != "jdbc" and fmt not in files:
+        raise ValueError(f"unknown format {fmt!r}")
+    return load("customers"), load("products"), load("orders")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from cohortlens.functions.calendar import month_label, month_ordinal
 from cohortlens.sources.schema import SCHEMAS
@@ -20,20 +21,30 @@ def export_rows(df: DataFrame, table: str, with_order_month: bool = False) -> Da
     return out
 
 
+def _single_line(name: str) -> Column:
+    broken = F.raise_error(F.lit(f"line break in a value of {name}; write with multiline=True"))
+    return F.when(F.col(name).rlike("[\\r\\n]"), broken.cast("string")).otherwise(F.col(name))
+
+
 def write_csv(
     df: DataFrame,
     path: str,
     table: str,
     with_order_month: bool = False,
     partition_by_month: bool = False,
+    multiline: bool = False,
 ) -> None:
     """Write ``df`` as a directory of CSV part files with a header row.
 
     A quote inside a quoted value is doubled, as common CSV writers do; read back with :func:`cohortlens.sources.readers.read_csv`.
     ``partition_by_month`` lays the fact out as ``order_month=yyyy-MM/``
-    folders, so later month filters prune files.
+    folders, so later month filters prune files. A line break in a value fails
+    the write, since such a file can't be split on reading, unless
+    ``multiline`` allows it; read it back with ``multiline`` then.
     """
     rows = export_rows(df, table, with_order_month or partition_by_month)
+    if not multiline:
+        rows = rows.withColumns({c: _single_line(c) for c, kind in rows.dtypes if kind == "string"})
     writer = (
         rows.write.mode("overwrite")
         .option("header", True)

@@ -1,54 +1,93 @@
 """Read star-schema rows held as SQL ``INSERT ... VALUES (..),(..);`` statements (K5).
 
-A seed script of ``INSERT INTO <table> VALUES`` batches is ingested as a
-distributed text source, not replayed through a database:
-
-1. ``spark.read.text(lineSep=";\\n")``: one record per statement, split across
-   tasks like any text file.
-2. The target table is taken from the statement head; other statements
-   (DDL, other tables) are dropped.
-3. ``regexp_extract_all`` pulls every parenthesised row tuple after
-   ``VALUES``, ``explode`` makes one record per tuple, a second
-   ``regexp_extract_all`` splits its fields (single-quoted strings with ``''``
-   escapes, or bare literals such as numbers and ``NULL``).
-4. Fields are unquoted and cast positionally to the fixed schema.
-
-Limitation: a literal ``;`` directly followed by a newline inside a quoted
-value would end the record early.
+A seed script of ``INSERT INTO <table> VALUES`` batches is ingested as a text
+source, not replayed through a database:
+
+1. Each file is one record, since only the text before a place tells whether
+   it stands inside a quoted value. Large dumps are to be split into several
+   files between statements; files are read in parallel. (A file over 2 GB
+   fails.)
+2. The file is cut into statements at semicolons outside quotes and comments.
+   Comments before and inside a statement's head are skipped.
+3. INSERT statements of the table (schema-qualified or quoted names, with or
+   without a column list) are cut into row tuples and those into fields. Values
+   are taken by the column list, or by the fixed schema's order without one;
+   columns that a list leaves out are null.
+
+Nothing is dropped in silence: text after VALUES that is no row tuple, a row
+whose number of fields differs from its columns, and an INSERT without VALUES
+all fail the query. Strings may use doubled quotes and backslash escapes.
+
+All patterns repeat possessively over runs of characters, so that long values
+cost neither backtracking nor stack depth.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.sources.readers import normalize
 from cohortlens.sources.schema import SCHEMAS
 
 # Fixed patterns of the dump format.
-_HEAD = r"^\s*(?i:INSERT)\s+(?i:INTO)\s+`?(\w+)`?"
-_VALUES = r"(?is)\bVALUES\s*(.*)$"
-_TUPLE = r"\((?:[^()']|'(?:[^']|'')*')*\)"
-_FIELD = r"'(?:[^']|'')*'|[^,\s()]+"
+_STRING = r"'(?:[^'\\]++|''|\\[\s\S])*+'"
+_NAME = r"(?:`[^`]++`|\"[^\"]++\"|\w++)"
+_COMMENT = r"(?:--[^\n]*+(?:\n|\z)|#[^\n]*+(?:\n|\z)|/\*(?:[^*]++|\*(?!/))*+\*/)"
+_GAP = rf"(?:\s++|{_COMMENT})*+"
+_STATEMENT = rf"(?:{_COMMENT}|{_STRING}|\"[^\"]*+\"|`[^`]*+`|[^;'\"`#/-]++|[#/-])++"
+_HEAD = rf"^{_GAP}(?i:INSERT)(?:\s++(?i:IGNORE))?+\s++(?i:INTO)\s++(?:{_NAME}\s*+\.\s*+)?+({_NAME}){_GAP}(\([^()]*+\))?+{_GAP}(?i:VALUES)?+"
+_TUPLE = rf"\((?:{_STRING}|[^()'])*+\)"
+_FIELD = rf"{_STRING}|[^,\s()']++"
+_REST = rf"^(?:[\s,]++|{_COMMENT})*+$"
+
+
+def _unquoted(raw: Column) -> Column:
+    """A quoted literal's text: escapes resolved between doubled backslashes."""
+    inner = raw.substr(F.lit(2), F.length(raw) - 2)
+
+    def resolve(part: Column) -> Column:
+        for escape, char in (("''", "'"), ("\\'", "'"), ('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\0", "\0"), ("\\Z", "\x1a"), ("\\b", "\b")):
+            part = F.replace(part, F.lit(escape), F.lit(char))
+        return F.replace(part, F.lit("\\"), F.lit(""))  # any other escaped character stands for itself
+
+    return F.array_join(F.transform(F.split(inner, r"\\\\"), resolve), "\\")
+
+
+def _fail(message: Column, kind: str) -> Column:
+    return F.raise_error(message).cast(kind)
 
 
 def read_sql_dump(spark: SparkSession, path: str, table: str) -> DataFrame:
     """Rows of ``table`` from the INSERT statements in the text file(s) at ``path``."""
     schema = SCHEMAS[table]
-    statements = spark.read.option("lineSep", ";\n").text(path)
-    fields = (
-        statements.where(F.regexp_extract("value", _HEAD, 1) == F.lit(table))
-        .select(F.regexp_extract("value", _VALUES, 1).alias("body"))
-        .select(F.explode(F.regexp_extract_all("body", F.lit(_TUPLE), 0)).alias("t"))
-        .select(F.regexp_extract_all("t", F.lit(_FIELD), 0).alias("f"))
+    names = [f.name for f in schema.fields]
+    text = spark.read.text(path, wholetext=True)
+    statement = text.select(F.explode(F.regexp_extract_all("value", F.lit(_STATEMENT), 0)).alias("s"))
+    name = F.lower(F.regexp_replace(F.regexp_extract("s", _HEAD, 1), "[`\"]", ""))
+    inserts = statement.where(name == F.lit(table)).select(
+        F.regexp_extract("s", _HEAD, 0).alias("head"),
+        F.regexp_extract("s", _HEAD, 2).alias("listed"),
+        F.regexp_replace("s", _HEAD, "").alias("body"),
     )
-    cols = []
-    for i, field in enumerate(schema.fields):
-        raw = F.get(F.col("f"), i)
-        quoted = raw.startswith("'")
-        text = F.when(
-            quoted, F.regexp_replace(raw.substr(F.lit(2), F.length(raw) - 2), "''", "'")
-        ).otherwise(raw)
-        value = F.when(~quoted & (F.upper(raw) == "NULL"), F.lit(None)).otherwise(text)
-        cols.append(value.alias(field.name))
-    return normalize(fields.select(*cols), table)
+    rest = F.regexp_replace("body", _TUPLE, "")
+    whole = F.col("head").rlike(r"(?i)VALUES$") & rest.rlike(_REST)
+    listed = F.transform(F.split(F.regexp_replace("listed", r"[()`\"\s]", ""), ","), F.lower)
+    columns = F.when(F.col("listed") == "", F.array(*map(F.lit, names))).otherwise(listed)
+    tuples = F.regexp_extract_all("body", F.lit(_TUPLE), 0)
+    rows = inserts.select(
+        columns.alias("columns"),
+        F.explode(
+            F.when(whole, tuples).otherwise(_fail(F.concat(F.lit(f"INSERT of {table} is not a list of rows: "), F.substring("body", 1, 200)), "array<string>"))
+        ).alias("t"),
+    ).select("columns", "t", F.regexp_extract_all("t", F.lit(_FIELD), 0).alias("f"))
+    matched = F.when(F.size("f") == F.size("columns"), F.map_from_arrays("columns", "f")).otherwise(
+        _fail(F.concat(F.lit(f"row of {table} has another number of fields than columns: "), F.substring("t", 1, 200)), "map<string,string>")
+    )
+    values = rows.select(matched.alias("m"))
+
+    def value(column: str) -> Column:
+        raw = F.try_element_at("m", F.lit(column))
+        return F.when(raw.startswith("'"), _unquoted(raw)).when(F.upper(raw) != "NULL", raw)
+
+    return normalize(values.select(*[value(n).alias(n) for n in names]), table)

@@ -13,6 +13,7 @@ were made.
 * ``products``: ``part`` with ``p_type`` as category.
 * ``order_lines``: ``lineitem`` rows as one-product order lines
   (``l_partkey`` product, ``l_quantity`` quantity, ``l_extendedprice`` value).
+* ``order_facts``: ``order_lines`` with the order's customer and date.
 * ``orders_with_quantity``: ``orders`` plus the order's total line quantity.
 """
 
@@ -86,6 +87,14 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines with their order's customer and date: rows of the full fact schema."""
+    o = orders(spark, sf_dir).select("order_id", "customer_id", "order_date")
+    return order_lines(spark, sf_dir).join(o, "order_id").select(
+        "order_id", "customer_id", "product_id", "order_date", "quantity", "order_value"
+    )
+
+
 def orders_with_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
     qty = (
         order_lines(spark, sf_dir)

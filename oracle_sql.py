@@ -60,19 +60,13 @@ def _label(o: str) -> str:
 
 
 def _cohort_ctes(cust: str, ords: str) -> str:
+    """Orders joined to signups row by row; distinct customers and sums per cell in one step each."""
     return f"""
-cm AS (
-  SELECT customer_id, {_month_ord('order_date')} AS order_ord, count(*) AS order_count, sum(cents) AS spend_cents
-  FROM {ords} WHERE customer_id IS NOT NULL AND order_date IS NOT NULL
-  GROUP BY customer_id, {_month_ord('order_date')}
-),
-sc AS (
-  SELECT customer_id, {_month_ord('signup_date')} AS cohort_ord FROM {cust}
-  WHERE customer_id IS NOT NULL AND signup_date IS NOT NULL
-),
 act AS (
-  SELECT cm.customer_id, sc.cohort_ord, CAST(cm.order_ord - sc.cohort_ord AS INTEGER) AS month_index, cm.spend_cents
-  FROM cm JOIN sc ON cm.customer_id = sc.customer_id
+  SELECT o.customer_id, {_month_ord('c.signup_date')} AS cohort_ord,
+         CAST({_month_ord('o.order_date')} - {_month_ord('c.signup_date')} AS INTEGER) AS month_index, o.cents
+  FROM {ords} o JOIN {cust} c ON o.customer_id = c.customer_id
+  WHERE o.order_date IS NOT NULL AND c.signup_date IS NOT NULL
 ),
 sizes AS (
   SELECT {_month_ord('signup_date')} AS cohort_ord, count(DISTINCT customer_id) AS cohort_size
@@ -80,7 +74,7 @@ sizes AS (
 ),
 cells AS (
   SELECT cohort_ord, month_index, count(DISTINCT customer_id) AS active_shoppers,
-         CAST(sum(spend_cents) AS BIGINT) AS spend_cents
+         CAST(sum(cents) AS BIGINT) AS spend_cents
   FROM act GROUP BY cohort_ord, month_index
 )"""
 
@@ -147,15 +141,17 @@ fi AS (
 
 
 def _purchase_gaps(ords: str) -> str:
+    """Gaps between consecutive orders by LAG, then their count and mean per customer."""
     return f"""
-per_customer AS (
-  SELECT customer_id, count(*) AS dated_orders, min(order_date) AS first_date, max(order_date) AS last_date
-  FROM {ords} WHERE order_date IS NOT NULL GROUP BY customer_id HAVING count(*) >= 2
+gaps AS (
+  SELECT customer_id, CAST(date_diff('day', lag(order_date) OVER w, order_date) AS BIGINT) AS gap
+  FROM {ords}
+  WINDOW w AS (PARTITION BY customer_id ORDER BY order_date ASC NULLS FIRST, order_id ASC NULLS FIRST)
 ),
 stats AS (
-  SELECT customer_id, dated_orders - 1 AS total_repeat_orders,
-         CAST({_half_up('CAST(date_diff(' + "'day'" + ', first_date, last_date) AS BIGINT) * 10', 'dated_orders - 1')} AS DOUBLE) / 10 AS avg_days_between
-  FROM per_customer
+  SELECT customer_id, count(*) AS total_repeat_orders,
+         CAST({_half_up('CAST(sum(gap) AS BIGINT) * 10', 'count(*)')} AS DOUBLE) / 10 AS avg_days_between
+  FROM gaps WHERE gap IS NOT NULL GROUP BY customer_id
 )"""
 
 
@@ -200,6 +196,13 @@ FROM (
 ) a""", *extra, scoped=scoped, cohort=False)
 
 
+_FACTS = """
+facts AS (
+  SELECT l.l_orderkey AS order_id, o.customer_id, l.l_partkey AS product_id, o.order_date,
+         CAST(l.l_quantity AS INTEGER) AS quantity, CAST(l.l_extendedprice AS DECIMAL(12,2)) AS order_value
+  FROM lineitem l JOIN orders_v o ON o.order_id = l.l_orderkey
+)"""
+
 _ORDERS_Q = """
 qty AS (SELECT order_id, CAST(sum(quantity) AS INTEGER) AS quantity FROM lines_v GROUP BY order_id),
 orders_q AS (
@@ -208,8 +211,12 @@ orders_q AS (
 )"""
 
 
+MONTH_COLUMNS = range(120)  # the same fixed column list as the Spark queries
+
+
 def _pivot(src: str, value: str) -> str:
-    return f"SELECT * FROM (PIVOT (SELECT cohort_month, month_index, {value} FROM {src}) ON month_index USING first({value}) GROUP BY cohort_month)"
+    columns = ",\n  ".join(f'max(CASE WHEN month_index = {i} THEN {value} END) AS "{i}"' for i in MONTH_COLUMNS)
+    return f"SELECT cohort_month,\n  {columns}\nFROM {src} GROUP BY cohort_month"
 
 
 def oracle_queries() -> dict[str, str]:
@@ -223,9 +230,21 @@ def oracle_queries() -> dict[str, str]:
 SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem
 GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1"""
     q["fk_violations"] = _q("""
-SELECT 'customer_id' AS fk_column, customer_id AS key_value, count(*) AS n_rows FROM orders_v
-WHERE customer_id IS NOT NULL AND customer_id NOT IN (SELECT customer_id FROM seg_customers WHERE customer_id IS NOT NULL)
-GROUP BY customer_id""", scoped=True, cohort=False)
+SELECT 'customer_id' AS fk_column, customer_id AS key_value, count(*) AS n_rows FROM facts
+WHERE customer_id IS NOT NULL AND customer_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey IS NOT NULL)
+GROUP BY customer_id
+UNION ALL
+SELECT 'product_id', product_id, count(*) FROM facts
+WHERE product_id IS NOT NULL AND product_id NOT IN (SELECT p_partkey FROM part WHERE p_partkey IS NOT NULL)
+GROUP BY product_id""", _FACTS, cohort=False)
+    q["fk_violations_product"] = """
+SELECT 'product_id' AS fk_column, l_partkey AS key_value, count(*) AS n_rows FROM lineitem
+WHERE l_partkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey)
+GROUP BY l_partkey"""
+    q["export_fact_all"] = _q("""
+SELECT order_id, customer_id, product_id, order_date, quantity, order_value,
+       strftime(order_date, '%Y-%m') AS order_month
+FROM facts""", _FACTS, cohort=False)
     q["export_fact"] = _q("""
 SELECT order_id, customer_id, order_date, quantity, order_value FROM orders_q
 WHERE customer_id IN (SELECT customer_id FROM seg_customers)""", _ORDERS_Q, scoped=True, cohort=False)
@@ -245,7 +264,7 @@ FROM fi""", _FIRST_INDEX)
     # LTV
     q["monthly_spend"] = _q(f"""
 SELECT customer_id, {_label('cohort_ord')} AS cohort_month, month_index,
-       CAST(CAST(sum(spend_cents) AS BIGINT) AS DOUBLE) / 100 AS total_spend
+       CAST(CAST(sum(cents) AS BIGINT) AS DOUBLE) / 100 AS total_spend
 FROM act GROUP BY customer_id, cohort_ord, month_index""")
     q["cohort_monthly_spend"] = _q(
         f"SELECT {_label('cohort_ord')} AS cohort_month, month_index, CAST(spend_cents AS DOUBLE) / 100 AS cohort_spend FROM cells")
@@ -271,11 +290,8 @@ FROM ltv GROUP BY cohort_ord, cohort_size""", _LTV_CELLS)
     q["repeat_intervals_segment"] = repeat_intervals(scoped=True)
     q["mean_interval"] = _q(f"""
 SELECT n_intervals, CAST({_half_up('gap_days * 10', 'n_intervals')} AS DOUBLE) / 10 AS mean_days_between
-FROM (
-  SELECT CAST(sum(dated_orders - 1) AS BIGINT) AS n_intervals,
-         CAST(sum(date_diff('day', first_date, last_date)) AS BIGINT) AS gap_days
-  FROM per_customer
-) t WHERE n_intervals > 0""", _purchase_gaps("(SELECT * FROM orders_v WHERE customer_id IS NOT NULL)"), cohort=False)
+FROM (SELECT count(gap) AS n_intervals, CAST(sum(gap) AS BIGINT) AS gap_days FROM gaps) t
+WHERE n_intervals > 0""", _purchase_gaps("(SELECT * FROM orders_v WHERE customer_id IS NOT NULL)"), cohort=False)
     q["interval_histogram"] = _q("""
 SELECT CAST(floor(days_between / w) * w AS BIGINT) AS bin_start, CAST(w AS BIGINT) AS bin_width, count(*) AS n_intervals
 FROM intervals, (
@@ -311,9 +327,9 @@ per_cat AS (
   WHERE l.product_id IS NOT NULL GROUP BY p.category
 )""", cohort=False)
     q["adhoc_sql"] = _q("""
-SELECT strftime(c.signup_date, '%Y-%m') AS cohort_month,
-       CAST((year(o.order_date) - year(c.signup_date)) * 12 + (month(o.order_date) - month(c.signup_date)) AS INTEGER) AS month_index,
-       count(DISTINCT o.customer_id) AS active_shoppers
-FROM orders_v o JOIN customers_v c ON o.customer_id = c.customer_id
-GROUP BY 1, 2""", cohort=False)
+SELECT c.segment, p.category, count(*) AS order_lines, CAST(sum(f.quantity) AS BIGINT) AS items,
+       max(f.order_date) AS last_day, count(DISTINCT f.customer_id) AS buyers
+FROM facts f, products_v p, customers_v c
+WHERE f.product_id = p.product_id AND f.customer_id = c.customer_id AND f.quantity >= 10
+GROUP BY ALL""", _FACTS, cohort=False)
     return q

@@ -12,7 +12,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 os.environ.setdefault("PYTHONPATH", ROOT)
 
-from cohortlens.session import build_session, checkpoint_dir  # noqa: E402
+from cohortlens.session import build_session  # noqa: E402
 from cohortlens.sources.schema import CUSTOMERS, ORDERS, PRODUCTS  # noqa: E402
 
 
@@ -28,9 +28,9 @@ def spark():
             "spark.eventLog.enabled": "true",
             "spark.eventLog.dir": EVENT_LOG_DIR,
             "spark.eventLog.compress": "false",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="cohortlens-test-shared-"),
         },
     )
-    checkpoint_dir(s)  # tests: no cluster folder configured, use a temporary one
     yield s
     s.stop()
 

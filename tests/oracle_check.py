@@ -45,6 +45,20 @@ def _norm(v):
     return str(v)
 
 
+_FAMILIES = {
+    "integer": "bigint int integer smallint tinyint hugeint ubigint uinteger",
+    "float": "double float real",
+    "text": "string varchar",
+    "time": "timestamp timestamp_ntz timestamp_ns",
+}
+
+
+def family(kind: str) -> str:
+    """Type family of a Spark or DuckDB type name: widths may differ, kinds may not."""
+    name = kind.lower().split("(")[0]
+    return next((f for f, names in _FAMILIES.items() if name in names.split()), name)
+
+
 def canon(cols: list[str], rows: list[tuple]) -> tuple[list[str], list[tuple]]:
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     out = sorted(tuple(_norm(r[i]) for i in order) for r in rows)
@@ -64,12 +78,17 @@ def compare(spark, key: str, sf_dir: str, con=None) -> dict:
     if sql is None:
         res["oracle"] = "none"
         return res
-    cur = con.execute(sql)
-    dcols = [d[0] for d in cur.description]
+    con.execute(f"CREATE OR REPLACE VIEW oracle_of_{key} AS {sql}")  # the text must stand in a view
+    cur = con.execute(f"SELECT * FROM oracle_of_{key}")
+    dcols, kinds = [d[0] for d in cur.description], [str(d[1]) for d in cur.description]
     drows = cur.fetchall()
     scols, s = canon(sdf.columns, srows)
     dc, d = canon(dcols, drows)
-    res.update(duck_rows=len(drows), cols_match=scols == dc, rows_match=s == d)
+    types = {f.name: family(f.dataType.simpleString()) for f in sdf.schema.fields}
+    others = {c: family(k) for c, k in zip(dcols, kinds)}
+    res.update(duck_rows=len(drows), cols_match=scols == dc, rows_match=s == d, types_match=types == others)
+    if types != others:
+        res["types"] = {c: (t, others.get(c)) for c, t in types.items() if others.get(c) != t}
     if scols != dc:
         res["spark_cols"], res["duck_cols"] = scols, dc
     elif s != d:
@@ -93,7 +112,7 @@ def main(argv: list[str]) -> int:
             r = compare(spark, k, sf_dir, con)
         except Exception as e:  # report and continue
             r = {"key": k, "error": repr(e)[:500]}
-        ok = r.get("rows_match") and r.get("cols_match") or r.get("oracle") == "none"
+        ok = r.get("rows_match") and r.get("cols_match") and r.get("types_match") or r.get("oracle") == "none"
         bad += not ok
         print(("OK   " if ok else "FAIL ") + str(r), flush=True)
     return 1 if bad else 0

@@ -25,3 +25,10 @@ def test_cli_dashboard_query_and_sql(spark):
     assert spark.read.option("header", True).csv(f"{root}/q/retention_matrix").count() == 2
     main(["sql", "SELECT count(*) AS n FROM orders", *common, "--out", f"{root}/s"], own)
     assert spark.read.option("header", True).csv(f"{root}/s/sql").first()["n"] == "3"
+    main(["export", *common, "--segment", "Corporate", "--out", f"{root}/e"], own)
+    assert spark.read.option("header", True).csv(f"{root}/e/fact_orders").first()["order_id"] == "12"
+    o.union(orders_df(spark, [(10, 9, "2024-01-05", 5, 1, 8)])).write.parquet(f"{root}/in/bad")
+    main(["check", *common[:-1], f"{root}/in/bad", "--out", f"{root}/k"], own)
+    read = lambda name: spark.read.option("header", True).csv(f"{root}/k/{name}").collect()
+    assert [(r["order_id"], r["n_rows"]) for r in read("repeated_orders")] == [("10", "2")] and not read("repeated_customers")
+    assert sorted((r["fk_column"], r["key_value"]) for r in read("orphans")) == [("customer_id", "9"), ("product_id", "8")]

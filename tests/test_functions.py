@@ -50,3 +50,12 @@ def test_money_cents_decimal_and_double(spark):
         money_cents(F.col("a"), df.schema["a"].dataType), money_cents(F.col("b"), df.schema["b"].dataType)
     ).first()
     assert tuple(r) == (1234, 30)
+
+
+def test_money_cents_rounds_long_decimals(spark):
+    from decimal import Decimal
+
+    from cohortlens.functions import money_cents
+
+    df = spark.createDataFrame([(Decimal("1.999"),), (Decimal("-0.006"),), (Decimal("0.005"),), (Decimal("2.494"),), (None,)], "v decimal(10,3)")
+    assert [r[0] for r in df.select(money_cents(df.v, df.schema["v"].dataType)).collect()] == [200, -1, 1, 249, None]

@@ -19,14 +19,15 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(E._QUERIES) <= set(E.oracle_sql()) <= set(E.queries())
 
 
-@pytest.mark.parametrize("key", sorted(E.queries()))
+@pytest.mark.parametrize("key", sorted(E._QUERIES))
 def test_query_matches_oracle(spark, con, key):
     res = compare(spark, key, SF, con)
     assert res.get("cols_match"), res
     assert res.get("rows_match"), res
+    assert res.get("types_match"), res
 
 
 def test_entry_smoke(spark):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from cohortlens.operators import purchases, retention, sales
+from cohortlens.operators import cohorts, ltv, purchases, retention, sales
 from cohortlens.operators.scope import segment_scope
 from cohortlens.sources import testdata as td
 
@@ -53,14 +53,45 @@ def test_scan_reads_only_needed_columns(spark):
     assert "ReadSchema: struct<o_totalprice:double,o_orderdate:timestamp_ntz>" in plan(df)
 
 
-def test_ordered_scan_has_no_per_customer_window_on_data(spark):
-    df = purchases.purchase_intervals(td.orders(spark, SF))
-    p = plan(df)
-    # the data side is the materialized scan joined with broadcast fix-ups;
-    # the only windows are over the per-range summaries (s_pid, last_g)
-    assert "BroadcastHashJoin" in p
-    for spec in re.findall(r"windowspecdefinition\(([^,]*)", p):
-        assert "s_pid" in spec or "last_g" in spec, spec
+def test_row_level_results_stay_in_the_jvm(spark):
+    for df in (purchases.purchase_intervals(td.orders(spark, SF)), purchases.purchase_sequence(td.orders(spark, SF))):
+        assert not re.search("Python|Arrow|Pandas", plan(df))
+
+
+def test_interval_histogram_reads_and_shuffles_orders_once(spark):
+    p = plan(purchases.interval_histogram(td.orders(spark, SF)))
+    assert p.count("FileScan") == 1
+    assert p.index("HashAggregate") < p.index("FileScan")  # reduced to customer days before the first exchange
+
+
+def test_dense_rank_orders_shuffles_orders_once(spark):
+    p = plan(purchases.dense_rank_orders(td.orders(spark, SF)))
+    assert p.count("Exchange hashpartitioning") == 2  # customer_id, purchase_sequence
+
+
+def test_monthly_spend_aggregates_once_after_the_join(spark):
+    p = plan(cohorts.monthly_spend(td.customers(spark, SF), td.orders(spark, SF)))
+    assert "HashAggregate" not in p[: p.index("Join")]
+
+
+def test_building_a_plan_starts_no_job(spark):
+    """Exceptions, documented as eager: a wide matrix without a column list, and the dashboard."""
+    sc = spark.sparkContext
+    c, o, p = td.customers(spark, SF), td.order_facts(spark, SF), td.products(spark, SF)
+    months = list(range(120))
+    sc.setJobGroup("lazy", "lazy")
+    try:
+        purchases.purchase_intervals(o), purchases.purchase_sequence(o), purchases.interval_histogram(o)
+        purchases.repeat_intervals(o), purchases.dense_rank_orders(o), purchases.mean_interval(o)
+        retention.retention_matrix(c, o), retention.retention_first_index(c, o)
+        retention.retention_wide(c, o, "pct", months), retention.retention_wide(c, o, "count", months)
+        ltv.cohort_ltv(c, o), ltv.ltv_matrix_long(c, o), ltv.ltv_matrix_wide(c, o, months)
+        ltv.ltv_latest_cohorts(c, o), ltv.cac_payback(c, o), ltv.cac_target_line(c, o)
+        sales.category_sales(o, p), sales.kpi_summary(c, o), sales.monthly_sales(o)
+        cohorts.cohort_sizes(c), cohorts.monthly_spend(c, o)
+        assert not sc.statusTracker().getJobIdsForGroup("lazy")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_segment_repeat_intervals_semi_joins_after_aggregate(spark):

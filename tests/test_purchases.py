@@ -8,7 +8,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortlens.operators import purchases
-from cohortlens.operators.sequence import ordered_scan
 from tests.conftest import orders_df, rows
 
 
@@ -76,25 +75,55 @@ def test_empty_histogram_and_mean(spark):
     assert purchases.mean_interval(o).count() == 0
 
 
-@pytest.mark.parametrize("parts", [1, 2, 7, 31])
-def test_ordered_scan_matches_window_under_skew(spark, parts):
-    """Brute-force check: one customer holds 40% of rows; nulls and duplicate keys included."""
-    rnd = random.Random(parts)
+def _windows(df):
+    w = Window.partitionBy("customer_id").orderBy("order_date", "order_id")
+    return df.select("*", F.lag("order_date").over(w).alias("prev_order_date"), F.dense_rank().over(w).alias("purchase_sequence"))
+
+
+def _sorted(df, cols):
+    return sorted(map(tuple, df.select(cols).collect()), key=repr)
+
+
+def _check_against_windows(df):
+    """Row-level results against the plain windows (ties on date and id may swap their other columns)."""
+    cols = ["customer_id", "order_date", "order_id", "purchase_sequence"]
+    seq = purchases.purchase_sequence(df)
+    assert seq.columns == [*df.columns, "purchase_sequence"]
+    assert _sorted(seq, cols) == _sorted(_windows(df), cols)
+    assert _sorted(seq, df.columns) == _sorted(df, df.columns)
+    cols = ["customer_id", "order_date", "order_id", "prev_order_date"]
+    dated = df.where("customer_id IS NOT NULL AND order_date IS NOT NULL")
+    got = purchases.purchase_intervals(df)
+    assert got.columns == [*df.columns, "prev_order_date", "days_between"]
+    assert _sorted(got, cols) == _sorted(_windows(dated).where("prev_order_date IS NOT NULL"), cols)
+    assert got.where("days_between <> datediff(order_date, prev_order_date)").count() == 0
+    gaps = {r["days_between"]: r["n"] for r in got.groupBy("days_between").agg(F.count("*").alias("n")).collect()}
+    bins = purchases.interval_histogram(df, nbins=10**6).collect()
+    assert {r["bin_start"]: r["n_intervals"] for r in bins} == gaps and {r["bin_width"] for r in bins} <= {1}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_row_level_results_match_windows_under_skew(spark, seed):
+    """One customer holds 40% of rows; nulls, duplicate ids and clashing column names included."""
+    rnd = random.Random(seed)
     data = []
-    for i in range(3000):
+    for _ in range(2000):
         c = 7 if rnd.random() < 0.4 else (None if rnd.random() < 0.03 else rnd.randint(1, 60))
         day = None if rnd.random() < 0.02 else dt.date(2024, 1, 1) + dt.timedelta(days=rnd.randint(0, 40))
-        data.append((rnd.randint(1, 2500), c, day, rnd.randint(0, 9)))
-    df = spark.createDataFrame(data, "order_id long, customer_id long, order_date date, v int").repartition(3)
-    got = ordered_scan(df, "customer_id", ["order_date", "order_id"], ["order_date"],
-                       rank_name="seq", num_partitions=parts)
-    w = Window.partitionBy("customer_id").orderBy("order_date", "order_id")
-    exp = df.select("*", F.lag("order_date").over(w).alias("prev_order_date"),
-                    F.dense_rank().over(w).alias("seq"))
-    cols = ["customer_id", "order_date", "order_id", "prev_order_date", "seq"]
-    assert sorted(map(tuple, got.select(cols).collect()), key=repr) == sorted(
-        map(tuple, exp.select(cols).collect()), key=repr
-    )
+        data.append((None if rnd.random() < 0.01 else rnd.randint(1, 1500), c, day, rnd.randint(0, 9), 1, None))
+    _check_against_windows(spark.createDataFrame(data, "order_id long, customer_id long, order_date date, n int, prev int, first int").repartition(3))
+
+
+def test_row_level_results_with_a_hot_group_of_copies(spark):
+    """30% of rows are copies of one (customer, date, order id) key."""
+    rnd = random.Random(100)
+    data = [(0, 7, dt.date(2024, 1, 5), 1 + i % 2) for i in range(600)]
+    for _ in range(1400):
+        c = 7 if rnd.random() < 0.3 else rnd.randint(1, 40)
+        day = dt.date(2024, 1, 1) + dt.timedelta(days=rnd.randint(0, 20))
+        data.append((rnd.randint(0, 300), c, day, rnd.randint(0, 9)))
+    rnd.shuffle(data)
+    _check_against_windows(spark.createDataFrame(data, "order_id long, customer_id long, order_date date, v int").repartition(4))
 
 
 def test_scope_after_reduction_equals_scoped_orders(spark):
@@ -111,61 +140,3 @@ def test_scope_after_reduction_equals_scoped_orders(spark):
     assert rows(purchases.repeat_intervals(o, customers=sc)) == rows(purchases.repeat_intervals(so))
     assert rows(purchases.dense_rank_orders(o, customers=sc)) == rows(purchases.dense_rank_orders(so))
     assert rows(purchases.mean_interval(o, customers=sc)) == rows(purchases.mean_interval(so))
-
-
-@pytest.mark.parametrize("parts", [2, 5, 13])
-def test_ordered_scan_splits_a_hot_group_of_copies(spark, parts):
-    """30% of rows are copies of one (customer, date, order id) key; results must equal the window."""
-    rnd = random.Random(100 + parts)
-    data = [(99, 7, dt.date(2024, 1, 5), 1) for _ in range(900)]
-    for _ in range(2100):
-        c = 7 if rnd.random() < 0.3 else rnd.randint(1, 40)
-        day = dt.date(2024, 1, 1) + dt.timedelta(days=rnd.randint(0, 20))
-        data.append((rnd.randint(1, 300), c, day, rnd.randint(0, 9)))
-    rnd.shuffle(data)
-    df = spark.createDataFrame(data, "order_id long, customer_id long, order_date date, v int").repartition(4)
-    got = ordered_scan(df, "customer_id", ["order_date", "order_id"], ["order_date"],
-                       rank_name="seq", num_partitions=parts)
-    w = Window.partitionBy("customer_id").orderBy("order_date", "order_id")
-    exp = df.select("*", F.lag("order_date").over(w).alias("prev_order_date"),
-                    F.dense_rank().over(w).alias("seq"))
-    cols = ["customer_id", "order_date", "order_id", "prev_order_date", "seq"]
-    assert sorted(map(tuple, got.select(cols).collect()), key=repr) == sorted(
-        map(tuple, exp.select(cols).collect()), key=repr
-    )
-    assert got.columns == ["order_id", "customer_id", "order_date", "v", "prev_order_date", "seq"]
-
-
-def test_ordered_scan_carries_state_across_arrow_batches(spark):
-    """Tiny Arrow batches: groups, ranks and lags must continue across batch borders."""
-    rnd = random.Random(42)
-    data = []
-    for _ in range(1500):
-        c = 3 if rnd.random() < 0.5 else (None if rnd.random() < 0.05 else rnd.randint(1, 30))
-        day = None if rnd.random() < 0.02 else dt.date(2024, 1, 1) + dt.timedelta(days=rnd.randint(0, 15))
-        data.append((rnd.randint(1, 400), c, day, 0))
-    data += [(7, 3, dt.date(2024, 1, 3), 0)] * 40  # copies spanning several batches
-    df = spark.createDataFrame(data, "order_id long, customer_id long, order_date date, v int").repartition(3)
-    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    try:
-        got = ordered_scan(df, "customer_id", ["order_date", "order_id"], ["order_date"],
-                           rank_name="seq", num_partitions=4)
-        cols = ["customer_id", "order_date", "order_id", "prev_order_date", "seq"]
-        got_rows = sorted(map(tuple, got.select(cols).collect()), key=repr)
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
-    w = Window.partitionBy("customer_id").orderBy("order_date", "order_id")
-    exp = df.select("*", F.lag("order_date").over(w).alias("prev_order_date"), F.dense_rank().over(w).alias("seq"))
-    assert got_rows == sorted(map(tuple, exp.select(cols).collect()), key=repr)
-
-
-def test_ordered_scan_carries_decimals_exactly(spark):
-    from decimal import Decimal
-
-    data = [(1, 5, dt.date(2024, 1, 1), Decimal("12.34")), (2, 5, dt.date(2024, 1, 2), None),
-            (3, 5, dt.date(2024, 1, 3), Decimal("-0.01")), (4, 6, dt.date(2024, 1, 1), Decimal("99999999.99"))]
-    df = spark.createDataFrame(data, "order_id long, customer_id long, order_date date, order_value decimal(10,2)")
-    got = ordered_scan(df, "customer_id", ["order_date", "order_id"], ["order_date"], rank_name="seq")
-    assert dict(got.dtypes)["order_value"] == "decimal(10,2)"
-    assert sorted(map(tuple, got.select("order_id", "order_value").collect())) == [(r[0], r[3]) for r in data]

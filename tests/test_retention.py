@@ -1,6 +1,8 @@
 from __future__ import annotations
 
-from cohortlens.operators import cohorts, retention
+import pytest
+
+from cohortlens.operators import cohorts, ltv, retention
 from tests.conftest import customers_df, orders_df, rows
 
 
@@ -78,3 +80,17 @@ def test_wide_forms(spark):
     assert pct == {"2024-01": (100.0, 50.0), "2024-02": (100.0, None)}
     fixed = retention.retention_wide(c, o, "count", indices=[0, 1, 2])
     assert sorted(fixed.columns) == ["0", "1", "2", "cohort_month"]
+
+
+def test_unlisted_month_index_fails(spark):
+    c = customers_df(spark, [(1, "2024-01-03")])
+    o = orders_df(spark, [(10, 1, "2024-01-05", 1), (11, 1, "2024-04-06", 1)])  # months 0 and 3
+    for build in (
+        lambda: retention.retention_wide(c, o, "count", indices=[0, 1]),
+        lambda: retention.retention_wide(c, o, "pct", indices=[0, 1]),
+        lambda: ltv.ltv_matrix_wide(c, o, indices=[0, 1]),
+    ):
+        with pytest.raises(Exception, match="not in the column list: 3"):
+            build().collect()
+    wide = retention.retention_wide(c, o, "count", indices=[3, 0, 1])
+    assert wide.columns == ["cohort_month", "3", "0", "1"] and rows(wide) == [("2024-01", 1, 1, None)]

@@ -5,6 +5,8 @@ import os
 import tempfile
 from decimal import Decimal
 
+import pytest
+
 from cohortlens.plans import catalog
 from cohortlens.sources import readers, sinks, testdata
 from cohortlens.sources.schema import CUSTOMERS, ORDERS, PRODUCTS
@@ -39,29 +41,116 @@ def test_csv_partitioned_by_month(spark):
     ]
 
 
+def _dump(text: str) -> str:
+    path = os.path.join(tempfile.mkdtemp(prefix="dump-"), "seed.sql")
+    with open(path, "w", newline="") as f:
+        f.write(text)
+    return path
+
+
 def test_sql_dump_ingest(spark):
-    text = (
+    path = _dump(
         "CREATE TABLE customers (\n    customer_id INT PRIMARY KEY\n);\n\n"
-        "INSERT INTO products VALUES\n(101, 'Wrap (Top)', 'Womenswear', 4999.0);\n\n"
+        "INSERT INTO products VALUES\n(7, 'Cap (Wool)', 'Hats', 12.5);\n\n"
         "INSERT INTO customers VALUES\n"
-        "(1001, 'O''Neil, \"A\"', '2025-01-01', 'Retail'),\n"
-        "(1002, 'x; y', '2025-01-08', NULL),\n"
-        "(1003, 'Plain', NULL, 'Direct');\n\n"
-        "INSERT INTO orders VALUES\n(50001, 1001, 101, '2025-01-01', 2, 1199.5);\n"
+        "(31, 'O''Neil, \"A\"', '2023-06-11', 'Retail'),\n"
+        "(32, 'x; y', '2023-07-18', NULL),\n"
+        "(33, 'Plain', NULL, 'Direct');\n\n"
+        "INSERT INTO orders VALUES\n(900, 31, 7, '2023-06-12', 2, 25.0);\n"
     )
-    path = os.path.join(tempfile.mkdtemp(prefix="dump-"), "seed.sql")
-    with open(path, "w") as f:
-        f.write(text)
-    cust = read_sql_dump(spark, path, "customers")
-    assert rows(cust) == [
-        (1001, 'O\'Neil, "A"', dt.date(2025, 1, 1), "Retail"),
-        (1002, "x; y", dt.date(2025, 1, 8), None),
-        (1003, "Plain", None, "Direct"),
-    ]
-    assert rows(read_sql_dump(spark, path, "products")) == [(101, "Wrap (Top)", "Womenswear", Decimal("4999.00"))]
-    assert rows(read_sql_dump(spark, path, "orders")) == [
-        (50001, 1001, 101, dt.date(2025, 1, 1), 2, Decimal("1199.50"))
+    assert rows(read_sql_dump(spark, path, "customers")) == [
+        (31, 'O\'Neil, "A"', dt.date(2023, 6, 11), "Retail"),
+        (32, "x; y", dt.date(2023, 7, 18), None),
+        (33, "Plain", None, "Direct"),
     ]
+    assert rows(read_sql_dump(spark, path, "products")) == [(7, "Cap (Wool)", "Hats", Decimal("12.50"))]
+    assert rows(read_sql_dump(spark, path, "orders")) == [(900, 31, 7, dt.date(2023, 6, 12), 2, Decimal("25.00"))]
+
+
+def _names(spark, text):
+    return [r[1] for r in rows(read_sql_dump(spark, _dump(text), "products"))]
+
+
+def test_sql_dump_statement_forms(spark):
+    row = "'Hats', 1.0)"
+    # a comment in front of the statement, and inside it
+    assert _names(spark, f"-- seed; 'quoted\n/* two; */ # three\nINSERT INTO products VALUES (1, 'a', {row}, /* x */ (2, 'b', {row};") == ["a", "b"]
+    # schema-qualified and quoted names, lower case, INSERT IGNORE
+    assert _names(spark, f"insert ignore into `shop`.`products` values (1, 'a', {row}; INSERT INTO shop.products VALUES (2, 'b', {row};") == ["a", "b"]
+    # backslash escapes
+    assert _names(spark, rf"INSERT INTO products VALUES (1, 'O\'N\\', {row}, (2, 'a\nb\"c\\\'', {row};") == ["O'N\\", 'a\nb"c\\\'']
+    # a semicolon and a line end inside a value
+    assert _names(spark, f"INSERT INTO products VALUES (1, 'a;\nINSERT INTO products VALUES', {row}, (2, 'b', {row};\n") == ["a;\nINSERT INTO products VALUES", "b"]
+    # two statements on a line, CRLF line ends, CREATE TABLE in front, another table with rows of the same types
+    text = f"CREATE TABLE products (\r\n x INT);\r\nINSERT INTO products VALUES\r\n(1, 'a', {row};INSERT INTO other VALUES (9, 'z', {row};\r\nINSERT INTO products VALUES (2, 'b', {row};\r\n"
+    assert _names(spark, text) == ["a", "b"]
+    # a column list in another order, and with a column left out
+    text = "INSERT INTO products (category, `price`, product_id, product_name) VALUES ('Hats', 3.5, 1, 'a');INSERT INTO products (product_id, product_name) VALUES (2, 'b')"
+    assert rows(read_sql_dump(spark, _dump(text), "products")) == [(1, "a", "Hats", Decimal("3.50")), (2, "b", None, None)]
+    # a very long value, and no statement at all
+    long = "x(y'';" * 20_000
+    assert _names(spark, f"INSERT INTO products VALUES (1, '{long}', {row};") == [long.replace("''", "'")]
+    assert _names(spark, "-- nothing here\n") == []
+
+
+def test_sql_dump_drops_nothing_in_silence(spark):
+    for text, message in (
+        ("INSERT INTO products VALUES (1, 'a', 'Hats', 1.0), oops (2, 'b', 'Hats', 1.0);", "not a list of rows"),
+        ("INSERT INTO products SELECT * FROM other;", "not a list of rows"),
+        ("INSERT INTO products VALUES (1, 'a', 'Hats');", "another number of fields"),
+        ("INSERT INTO products (product_id) VALUES (1, 'a');", "another number of fields"),
+    ):
+        with pytest.raises(Exception, match=message):
+            read_sql_dump(spark, _dump(text), "products").collect()
+
+
+def test_csv_columns_are_matched_by_name(spark):
+    out = tempfile.mkdtemp(prefix="csv-order-")
+    with open(f"{out}/p.csv", "w") as f:
+        f.write("product_id,category,extra,product_name,price\n1,Hats,9,Cap,2.50\n")
+    assert rows(readers.read_csv(spark, f"{out}/p.csv", "products")) == [(1, "Cap", "Hats", Decimal("2.50"))]
+    with open(f"{out}/bad.csv", "w") as f:
+        f.write("product_id,category,price\n1,Hats,2.50\n")
+    with pytest.raises(Exception, match="product_name"):
+        readers.read_csv(spark, f"{out}/bad.csv", "products")
+    with open(f"{out}/short.csv", "w") as f:
+        f.write("product_id,product_name,category,price\n1,Cap\n")
+    with pytest.raises(Exception):
+        readers.read_csv(spark, f"{out}/short.csv", "products").collect()
+
+
+def test_every_export_reads_back(spark):
+    out = tempfile.mkdtemp(prefix="csv-all-")
+    o = orders_df(spark, [(10, 1, "2024-01-05", 1), (11, 1, "2024-02-05", 2), (12, None, None, None)])
+    for i, options in enumerate(({}, {"with_order_month": True}, {"partition_by_month": True})):
+        sinks.write_csv(o, f"{out}/{i}", "orders", **options)
+        assert rows(readers.read_csv(spark, f"{out}/{i}", "orders"), *o.columns) == rows(o)
+    c = customers_df(spark, [(1, "2024-01-03", "Retail", 'two\nlines, "quoted"')])
+    with pytest.raises(Exception, match="line break"):
+        sinks.write_csv(c, f"{out}/c", "customers")
+    sinks.write_csv(c, f"{out}/c2", "customers", multiline=True)
+    assert rows(readers.read_csv(spark, f"{out}/c2", "customers", multiline=True)) == rows(c)
+
+
+def test_adhoc_sql_leaves_the_users_views(spark):
+    c, p, o = customers_df(spark, [(1, "2024-01-03")]), products_df(spark, [(1, "Hats")]), orders_df(spark, [(10, 1, "2024-01-05", 5)])
+    spark.range(3).createOrReplaceTempView("orders")
+    try:
+        res = catalog.adhoc_sql(spark, "SELECT max(month_index) AS m, (SELECT count(*) FROM orders) AS n FROM cohort_ltv", c, p, o)
+        assert tuple(res.first()) == (0, 1)
+        assert spark.table("orders").count() == 3
+        assert not spark.catalog.tableExists("cohort_ltv") and not spark.catalog.tableExists("products")
+    finally:
+        spark.catalog.dropTempView("orders")
+
+
+def test_load_star_schema_from_a_dump(spark):
+    from cohortlens.sources.readers import load_star_schema
+
+    path = _dump("INSERT INTO customers VALUES (1, 'a', '2024-01-03', 'Retail'); INSERT INTO products VALUES (2, 'Cap', 'Hats', 1); INSERT INTO orders VALUES (3, 1, 2, '2024-01-05', 1, 4.5);")
+    c, p, o = load_star_schema(spark, "sql_dump", dict.fromkeys(("customers", "products", "orders"), path))
+    assert rows(c) == [(1, "a", dt.date(2024, 1, 3), "Retail")] and rows(p) == [(2, "Cap", "Hats", Decimal("1.00"))]
+    assert rows(o) == [(3, 1, 2, dt.date(2024, 1, 5), 1, Decimal("4.50"))]
 
 
 def test_parquet_reader_projects_schema(spark):
@@ -138,13 +227,13 @@ def test_named_analyses_produce_the_fixed_columns(spark):
 
 
 def test_jdbc_argument_checks(spark):
-    import pytest
-
     from cohortlens.sources.readers import load_star_schema, read_jdbc
 
     with pytest.raises(ValueError, match="bound"):
         read_jdbc(spark, "jdbc:none://x", "orders", "orders", partition_column="order_id")
     with pytest.raises(ValueError, match="url"):
         load_star_schema(spark, "jdbc", {"customers": "c", "products": "p", "orders": "o"})
+    with pytest.raises(ValueError, match="partitioning"):
+        load_star_schema(spark, "jdbc", {"customers": "c", "products": "p", "orders": "o"}, url="jdbc:none://x")
     with pytest.raises(ValueError, match="unknown format"):
         load_star_schema(spark, "xml", {"customers": "c", "products": "p", "orders": "o"})
