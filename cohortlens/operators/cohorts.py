@@ -3,7 +3,8 @@
 Plan shape used by retention and LTV (scale notes):
 
 1. ``customer_months``: orders are reduced to one row per (customer, order
-   month) with a map-side partial aggregate *before* any join. A customer
+   month) with a map-side partial aggregate *before* any join. Where no spend
+   is needed, ``active_months`` reduces them to one set of months per customer. A customer
    holding a third of all orders becomes at most one row per month per map
    task, so no later exchange is skewed by it.
 2. ``customer_activity``: that reduced table is joined to the customer's
@@ -108,14 +109,33 @@ def activity_by_ordinal(customers: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
+def active_months(customers: DataFrame, orders: DataFrame) -> DataFrame:
+    """(customer_id, cohort_ord, month_index): one row per customer, cohort and active month, without spend.
+
+    A customer's months are gathered as one set (at most one element per
+    calendar month, combined map-side), so the orders cross a single exchange,
+    on the customer, which the join with the signups uses too.
+    """
+    months = (
+        orders.where(F.col("customer_id").isNotNull() & F.col("order_date").isNotNull())
+        .groupBy("customer_id")
+        .agg(F.collect_set(month_ordinal("order_date")).alias("months"))
+    )
+    return (
+        months.join(signup_cohorts(customers), "customer_id")
+        .select("customer_id", "cohort_ord", F.explode("months").alias("order_ord"))
+        .select("customer_id", "cohort_ord", (F.col("order_ord") - F.col("cohort_ord")).alias("month_index"))
+    )
+
+
 def customer_activity(customers: DataFrame, orders: DataFrame) -> DataFrame:
     """Distinct ``customer_id, cohort_month, month_index`` of active customers.
 
     The activity rows are already unique on these columns (see
-    :func:`activity_by_ordinal`), so no extra distinct shuffle is needed.
+    :func:`active_months`), so no extra distinct shuffle is needed.
     """
     return (
-        activity_by_ordinal(customers, orders)
+        active_months(customers, orders)
         .select(
             "customer_id",
             month_label("cohort_ord").alias("cohort_month"),

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.calendar import month_label
 from cohortlens.functions.numeric import half_up_div
-from cohortlens.operators.cohorts import activity_by_ordinal, cohort_size_by_ordinal
+from cohortlens.operators.cohorts import active_months, cohort_size_by_ordinal
 from cohortlens.plans.materialize import materialize
 
 
@@ -29,7 +29,7 @@ def active_by_ordinal(customers: DataFrame, orders: DataFrame) -> DataFrame:
     distinct count is a plain count, combined map-side.
     """
     return (
-        activity_by_ordinal(customers, orders)
+        active_months(customers, orders)
         .groupBy("cohort_ord", "month_index")
         .agg(F.count(F.lit(1)).alias("active_shoppers"))
     )

@@ -35,8 +35,8 @@ def test_repeat_intervals_needs_no_window(spark):
 def test_retention_pre_aggregates_orders_before_join(spark):
     df = retention.retention_matrix(td.customers(spark, SF), td.orders(spark, SF))
     p = plan(df)
-    # orders are reduced to (customer, month) by a hash aggregate before the customer join
-    assert re.search(r"HashAggregate\(keys=\[customer_id#\d+L, order_ord#\d+\]", p)
+    # orders are reduced to one set of months per customer before the customer join, in one exchange
+    assert re.search(r"ObjectHashAggregate\(keys=\[customer_id#\d+L\], functions=\[partial_collect_set", p)
     assert "PushedFilters: [IsNotNull(o_orderdate), IsNotNull(o_custkey)]" in p
     # the orders scan reads only the two columns it needs
     assert "o_orderpriority" not in p and "o_orderstatus" not in p
