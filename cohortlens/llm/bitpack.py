@@ -24,6 +24,7 @@ documents are integers.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import uuid
 import zlib
@@ -42,7 +43,7 @@ from cohortlens.session import checkpoint_dir
 MAGIC = b"IDPACK01"
 BLOCK = 1 << 16
 SHARD_IDS = 1 << 21
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 KEEP_CHARS = 8
 GROUP_CHARS = 1 << 20
 NULL_ID = -(1 << 63)
@@ -173,6 +174,12 @@ class TextEncoder:
             self.cache[w] = np.array(e.ids, "<u4").tobytes()
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str, pattern: str) -> TextEncoder:
+    """One encoder for all tasks of a worker process, which find its bounded cache filled."""
+    return TextEncoder(path, pattern)
+
+
 def _spread(docs: DataFrame, id_col: str, text_col: str, shards: int) -> DataFrame:
     """(doc, text) rows dealt to ``shards`` tasks by ranges of the id, sorted by id in each task."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_or_empty(text_col).alias("text"))
@@ -211,7 +218,7 @@ def write(
     folder = folder or f"{checkpoint_dir(spark).rstrip('/')}/ids-{uuid.uuid4().hex}"
 
     def run(batches):
-        encoder = TextEncoder(tokenizer_path, pattern)
+        encoder = _encoder(tokenizer_path, pattern)
         store, root = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
         store.create_dir(root, recursive=True)
         ids: list[np.ndarray] = []

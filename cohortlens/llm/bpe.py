@@ -12,8 +12,8 @@ A step contracts every (non-overlapping) occurrence of the word's minimum pair
 at once where that provably gives the same ids: no token that the new one
 could form has a lower rank. Other pairs contract one at a time.
 
-Memory of a task: one Arrow batch, ``WORDS_AT_ONCE`` words, and a cache of at
-most ``CACHE_WORDS`` distinct words, emptied when full.
+Memory of a worker: one Arrow batch, ``WORDS_AT_ONCE`` words, and a cache of at
+most ``CACHE_WORDS`` distinct words; when full, only short words stay.
 
 Defined cases: a null or empty text has no ids; ids of any type, null and
 repeated ones included, pass through row by row; an empty table gives an empty
@@ -23,6 +23,7 @@ result. Text is ordinary text: strings of special tokens get no special id.
 from __future__ import annotations
 
 import base64
+import functools
 from itertools import islice
 
 import duckdb
@@ -139,6 +140,12 @@ class WordEncoder:
         return [flat_ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], list(map(bytes.fromhex, out.column("decoded").to_pylist()))
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(ranks_path: str) -> WordEncoder:
+    """One encoder for all tasks of a worker process, which find its bounded cache filled."""
+    return WordEncoder(read_ranks(ranks_path))
+
+
 def encode_texts(texts: list[str | None], encoder: WordEncoder, pattern: str) -> tuple[list[bytes], list[bytes]]:
     """Per text its ids (little-endian unsigned 32-bit) and its decoded bytes."""
     general, narrowed, odd = regex.compile(pattern), narrow(pattern), ODD
@@ -175,7 +182,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     """
 
     def run(batches):
-        encoder = WordEncoder(read_ranks(ranks_path))
+        encoder = _encoder(ranks_path)
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
