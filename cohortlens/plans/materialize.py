@@ -13,6 +13,17 @@ _WRITTEN = "_cohortlens_written"  # a list of paths on the session object itself
 _lock = threading.Lock()
 
 
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A fresh path in the shared folder, which :func:`release` deletes with whatever is written there."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    with _lock:
+        paths = getattr(spark, _WRITTEN, None)
+        if paths is None:
+            setattr(spark, _WRITTEN, paths := [])
+        paths.append(path)
+    return path
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Compute ``df`` once, store it as Parquet in the shared folder, return a reader.
 
@@ -22,12 +33,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     The tables stay until :func:`release` (or the folder's own retention).
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    with _lock:  # before the write, so that a failed one is released too
-        paths = getattr(spark, _WRITTEN, None)
-        if paths is None:
-            setattr(spark, _WRITTEN, paths := [])
-        paths.append(path)
+    path = new_path(spark, tag)  # known before the write, so that a failed one is released too
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

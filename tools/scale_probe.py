@@ -3,9 +3,9 @@
 Stand-in input only: for each K, ``orders`` and ``customer`` are replicated K
 times with ids remapped to disjoint ranges (``id * K + copy``), so the data
 grows K-fold without adding skew, and written as several Parquet files (so
-scans run in parallel) under a fresh folder. Every query runs once untimed
+scans run in parallel) under FOLDER. Every query runs once untimed
 and once timed, with the ``noop`` sink. Usage:
-``python tools/scale_probe.py [sf_dir] [K ...]``.
+``python tools/scale_probe.py FOLDER [sf_dir] [K ...]``.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
 
 HERE = os.path.dirname(os.path.abspath(__file__))
@@ -21,8 +20,9 @@ sys.path.insert(0, os.path.dirname(HERE))
 
 
 def main(argv: list[str]) -> None:
-    sf_dir = argv[0] if argv else "/root/testdata/sf0.1"
-    factors = [int(x) for x in argv[1:]] or [1, 4, 16]
+    out, *rest = argv
+    sf_dir = rest[0] if rest else "/root/testdata/sf0.1"
+    factors = [int(x) for x in rest[1:]] or [1, 4, 16]
     from pyspark.sql import functions as F
 
     from cohortlens.operators import ltv, purchases, retention
@@ -30,8 +30,8 @@ def main(argv: list[str]) -> None:
     from cohortlens.session import build_session
     from cohortlens.sources import testdata as td
 
-    spark = build_session("local[8]", shuffle_partitions=16)
-    out = tempfile.mkdtemp(prefix="scale-probe-")
+    out = out.rstrip("/")
+    spark = build_session("local[8]", shuffle_partitions=16, extra={"spark.checkpoint.dir": f"{out}/tables"})
     for k in factors:
         d = f"{out}/x{k}"
         copy = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("copy")

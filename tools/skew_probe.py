@@ -10,7 +10,8 @@ log. For every stage with more than one task it reports
 ``max task records / mean task records``; 1.0 is perfectly even, and a plan
 that sends the hot customer to one task shows about ``tasks / 3``.
 
-Usage: ``python tools/skew_probe.py [sf_dir]``. A plain
+Usage: ``python tools/skew_probe.py FOLDER [sf_dir]``; event logs and stand-in
+tables go to FOLDER. A plain
 ``Window.partitionBy("customer_id")`` LAG is run as a contrast.
 """
 
@@ -20,7 +21,6 @@ import glob
 import json
 import os
 import sys
-import tempfile
 import time
 
 HERE = os.path.dirname(os.path.abspath(__file__))
@@ -40,8 +40,10 @@ def _events(log_dir: str):
 
 
 def main(argv: list[str]) -> None:
-    sf_dir = argv[0] if argv else "/root/testdata/sf0.1"
-    log_dir = tempfile.mkdtemp(prefix="skew-probe-events-")
+    folder, *rest = argv
+    sf_dir = rest[0] if rest else "/root/testdata/sf0.1"
+    log_dir = f"{folder.rstrip('/')}/events"
+    os.makedirs(log_dir, exist_ok=True)
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
@@ -56,6 +58,7 @@ def main(argv: list[str]) -> None:
         extra={
             "spark.eventLog.enabled": "true",
             "spark.eventLog.dir": log_dir,
+            "spark.checkpoint.dir": f"{folder.rstrip('/')}/tables",
             "spark.eventLog.compress": "false",
             "spark.sql.autoBroadcastJoinThreshold": "-1",
             # keep every shuffle partition a task of its own, so balance is visible
@@ -88,6 +91,8 @@ def main(argv: list[str]) -> None:
             f"{label}:repeat_intervals": lambda o=orders: purchases.repeat_intervals(o),
             f"{label}:dense_rank_orders": lambda o=orders: purchases.dense_rank_orders(o),
             f"{label}:purchase_intervals": lambda o=orders: purchases.purchase_intervals(o),
+            f"{label}:purchase_sequence": lambda o=orders: purchases.purchase_sequence(o),
+            f"{label}:interval_histogram": lambda o=orders: purchases.interval_histogram(o),
             f"{label}:naive_window_lag": lambda o=orders: o.withColumn("prev", F.lag("order_date").over(w)),
         })
     groups = {}
