@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm.common import materialize, text_or_empty
 from cohortlens.llm.narrow import ODD, narrow
-from cohortlens.session import checkpoint_dir
+from cohortlens.plans.materialize import new_path
 
 MAGIC = b"IDPACK01"
 BLOCK = 1 << 16
@@ -215,7 +215,7 @@ def write(
     """
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    folder = folder or f"{checkpoint_dir(spark).rstrip('/')}/ids-{uuid.uuid4().hex}"
+    folder = folder or new_path(spark, "ids")
 
     def run(batches):
         encoder = _encoder(tokenizer_path, pattern)
