@@ -150,7 +150,7 @@ def rules() -> dict[str, Column]:
         "variety": _vote((F.col("n_distinct") / n < 0.1) & (F.col("n_words").between(50, 2000)), F.col("n_distinct") / n > 0.4),
         # One-sided rules: nothing odd in one respect is no sign of quality, so they abstain.
         "symbols": _vote(F.col("n_symbols") / n > 0.15, F.lit(False)),
-        "repeats": _vote(F.col("n_repeat_words") / n > 0.4, F.lit(False)),
+        "repeats": _vote(100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n, F.lit(False)),
         "lines": _vote(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)) > 0.5, F.lit(False)),
         "capitals": _vote(2 * F.col("n_upper") / chars > 0.4, F.lit(False)),
         "exclamations": _vote(F.col("n_bangs") / n > 0.3, F.lit(False)),
