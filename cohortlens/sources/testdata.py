@@ -10,6 +10,8 @@ were made.
 * ``customers``: one row per ``customer`` row; ``signup_date`` is the
   customer's first order date minus ``c_custkey % 40`` days (null when the
   customer has no orders), ``segment`` is ``c_mktsegment``.
+* ``customers_late``: the same with ``signup_date`` that many days *after* the
+  first order for every third customer.
 * ``products``: ``part`` with ``p_type`` as category.
 * ``order_lines``: ``lineitem`` rows as one-product order lines
   (``l_partkey`` product, ``l_quantity`` quantity, ``l_extendedprice`` value).
@@ -67,6 +69,15 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def customers_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``customers`` with every third signup after the first order, so that month indices below 0 occur."""
+    shift = (F.col("customer_id") % SIGNUP_OFFSET_DAYS).cast("int")
+    late = F.date_add("signup_date", 2 * shift)  # first order date plus, not minus, the offset
+    return customers(spark, sf_dir).withColumn(
+        "signup_date", F.when(F.col("customer_id") % 3 == 0, late).otherwise(F.col("signup_date"))
+    )
+
+
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _table(spark, sf_dir, "part")
     return p.select(

@@ -29,6 +29,12 @@ customers_v AS (
          c.c_mktsegment AS segment
   FROM customer c LEFT JOIN first_order f ON f.customer_id = c.c_custkey
 ),
+customers_late_v AS (
+  SELECT customer_id, customer_name, segment,
+         CAST(CASE WHEN customer_id % 3 = 0 THEN f.first_order_date + CAST(customer_id % 40 AS INTEGER)
+                   ELSE signup_date END AS DATE) AS signup_date
+  FROM customers_v LEFT JOIN first_order f USING (customer_id)
+),
 products_v AS (
   SELECT p_partkey AS product_id, p_name AS product_name, p_type AS category,
          CAST(p_retailprice AS DECIMAL(12,2)) AS price
@@ -211,11 +217,12 @@ orders_q AS (
 )"""
 
 
-MONTH_COLUMNS = range(120)  # the same fixed column list as the Spark queries
+MONTH_COLUMNS = range(120)  # the same fixed column lists as the Spark queries
+LATE_COLUMNS = range(-3, 120)
 
 
-def _pivot(src: str, value: str) -> str:
-    columns = ",\n  ".join(f'max(CASE WHEN month_index = {i} THEN {value} END) AS "{i}"' for i in MONTH_COLUMNS)
+def _pivot(src: str, value: str, months: range = MONTH_COLUMNS) -> str:
+    columns = ",\n  ".join(f'max(CASE WHEN month_index = {i} THEN {value} END) AS "{i}"' for i in months)
     return f"SELECT cohort_month,\n  {columns}\nFROM {src} GROUP BY cohort_month"
 
 
@@ -261,6 +268,12 @@ SELECT {_label('cohort_ord')} AS cohort_month, month_index, active_shoppers, fir
 FROM fi""", _FIRST_INDEX)
     q["retention_counts_wide"] = _q(_pivot(f"(SELECT {_label('cohort_ord')} AS cohort_month, month_index, active_shoppers FROM cells)", "active_shoppers"))
     q["retention_pct_wide"] = _q(_pivot(f"(SELECT {_label('cohort_ord')} AS cohort_month, month_index, retention_fraction * 100.0 AS pct FROM fi)", "pct"), _FIRST_INDEX)
+    late = {"cust": "customers_late_v"}
+    q["retention_pct_first_index_late"] = _q(f"""
+SELECT {_label('cohort_ord')} AS cohort_month, month_index, active_shoppers, first_index_shoppers, retention_fraction
+FROM fi""", _FIRST_INDEX, **late)
+    q["retention_pct_wide_late"] = _q(_pivot(f"(SELECT {_label('cohort_ord')} AS cohort_month, month_index, retention_fraction * 100.0 AS pct FROM fi)", "pct", LATE_COLUMNS), _FIRST_INDEX, **late)
+    q["ltv_matrix_long_late"] = _q("SELECT cohort_month, month_index, ltv FROM dense_out", _DENSE, **late)
     # LTV
     q["monthly_spend"] = _q(f"""
 SELECT customer_id, {_label('cohort_ord')} AS cohort_month, month_index,
