@@ -106,7 +106,9 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, cell_l
     if not 0 <= max_bits < blocks <= 32 or max_bits % 2:
         raise ValueError("max_bits must be even, blocks over max_bits and at most 32")
     masks = _masks(blocks, blocks - max_bits)
-    points = fps.select("fp", embedding(F.col("fp")).alias("p"))
+    # A few bytes a point become many cells: dealt out first, as the points lie in few files.
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    points = fps.repartition(parts, "fp").select("fp", embedding(F.col("fp")).alias("p"))
     cells = points.select(
         "fp", "p", F.explode(F.array(*[F.struct(F.lit(i).alias("grid"), F.col("p").bitwiseAND(F.lit(m)).alias("at")) for i, m in enumerate(masks)])).alias("c")
     ).select("fp", "p", F.xxhash64("c.grid", "c.at").alias("cell"))  # equal hashes of two cells only add comparisons
