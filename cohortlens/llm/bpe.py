@@ -12,7 +12,8 @@ A step contracts every (non-overlapping) occurrence of the word's minimum pair
 at once where that provably gives the same ids: no token that the new one
 could form has a lower rank. Other pairs contract one at a time.
 
-Memory of a worker: one Arrow batch, ``WORDS_AT_ONCE`` words, and a cache of at
+Memory of a worker: one Arrow batch, the texts and results of ``BATCH_BYTES`` of it
+(of one text, if that is longer), ``WORDS_AT_ONCE`` words, and a cache of at
 most ``CACHE_WORDS`` distinct words; when full, only short words stay.
 
 Defined cases: a null or empty text has no ids; ids of any type, null and
@@ -33,12 +34,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.llm.common import slices
 from cohortlens.llm.narrow import ODD, narrow
 
 WORDS_AT_ONCE = 500_000
 CACHE_WORDS = 600_000
 KEEP_CHARS = 8
 QUERY_BYTES = 1 << 19
+BATCH_BYTES = 1 << 22
 
 _STEPS = """
 WITH RECURSIVE step(w, pos, nxt, tok, done) AS (
@@ -184,8 +187,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def run(batches):
         encoder = _encoder(ranks_path)
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
+            for part in slices(b, 1, BATCH_BYTES):
                 ids, decoded = encode_texts(part.column(1).to_pylist(), encoder, pattern)
                 cols = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
                 names = ["doc", "n_tokens", "ids"]

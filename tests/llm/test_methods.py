@@ -214,3 +214,17 @@ def test_html_markup():
         "<head><title>no</title></head><p>A&amp;B &eacute;&#33;<br>c  d<b>e</b>\n f<p>g<script>if (a < b) '</p>'</script>h<ul><li>i<li>j</ul><!-- k --><textarea>l</textarea>m < n<style>o"
     )
     assert [t for _, t in page.blocks] == ["A&B é! c de f", "gh", "i", "j", "m < n"]
+
+
+def test_slices_cover_the_batch():
+    import pyarrow as pa
+
+    from cohortlens.llm.common import slices
+
+    texts = ["a", None, "bb" * 50, "", "ccc", "d" * 9, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["i", "t"])
+    for size in (1, 10, 1000):
+        parts = list(slices(batch, 1, size))
+        assert [t for p in parts for t in p.column(1).to_pylist()] == texts
+        assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= size for p in parts)
+    assert not list(slices(batch.slice(0, 0), 1, 10))
