@@ -43,7 +43,7 @@ from cohortlens.plans.materialize import new_path
 MAGIC = b"IDPACK01"
 BLOCK = 1 << 16
 SHARD_IDS = 1 << 21
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_200_000
 KEEP_CHARS = 8
 GROUP_CHARS = 1 << 20
 NULL_ID = -(1 << 63)

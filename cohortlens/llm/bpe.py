@@ -38,7 +38,7 @@ from cohortlens.llm.common import slices
 from cohortlens.llm.narrow import ODD, narrow
 
 WORDS_AT_ONCE = 500_000
-CACHE_WORDS = 600_000
+CACHE_WORDS = 900_000
 KEEP_CHARS = 8
 QUERY_BYTES = 1 << 19
 BATCH_BYTES = 1 << 22
