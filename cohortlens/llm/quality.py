@@ -231,10 +231,12 @@ def judge(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None
     )
 
 
-def filter_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
-    """``docs`` without the rows judged bad. Verdicts are joined back by id and text, so equal rows fare alike."""
-    keyed = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_or_empty(text_col)).alias("text_hash"), text_or_empty(text_col).alias("t"))
-    bad = judge(keyed, "t", ["doc", "text_hash"], **parameters).where(~F.col("kept")).select("doc", "text_hash").distinct().alias("b")
-    d = docs.alias("d")
-    on = F.col(f"d.`{id_col}`").eqNullSafe(F.col("b.doc")) & (F.xxhash64(text_or_empty(F.col(f"d.`{text_col}`"))) == F.col("b.text_hash"))
-    return d.join(bad, on, "left_anti")
+def filter_quality(docs: DataFrame, text_col: str = "text", **parameters) -> DataFrame:
+    """``docs`` without the rows judged bad.
+
+    The rows are written once beside their votes, so that no text is shuffled and each row bears its own verdict.
+    """
+    columns = docs.columns
+    renamed = docs.toDF(*[f"column_{i}" for i in range(len(columns))])  # no clash with the verdict's columns
+    judged = judge(renamed, f"column_{columns.index(text_col)}", **parameters)
+    return judged.where("kept").select(*[F.col(c).alias(n) for c, n in zip(renamed.columns, columns, strict=True)])
