@@ -40,7 +40,7 @@ from cohortlens.llm.narrow import ODD, narrow
 WORDS_AT_ONCE = 500_000
 CACHE_WORDS = 900_000
 KEEP_CHARS = 8
-QUERY_BYTES = 1 << 19
+QUERY_BYTES = 1 << 18
 BATCH_BYTES = 1 << 22
 
 _STEPS = """
