@@ -13,8 +13,9 @@ come from one ``cohort_cells`` table (distinct actives and spend per cohort
 cell, at most months^2 rows) materialized once, and the dense LTV table is
 materialized once for both of its views. Sales metrics read the segment's
 orders (left semi join). Per-customer interval metrics take the segment as
-``customers=``, so they scope after their per-customer reduction. Every value
-is a lazy DataFrame except the two small materialized tables.
+``customers=``, so they scope after their per-customer reduction. Calling
+:func:`dashboard` runs the jobs that write these two tables and those that
+find the matrices' month indices; the rest is lazy.
 """
 
 from __future__ import annotations
@@ -67,6 +68,6 @@ def dashboard(
         "ltv_matrix_wide": retention.pivot_months(ltv.dense_out(dense), "ltv", None, cheap_input=True),
         "ltv_latest_cohorts": ltv.dense_out(ltv.latest_from_dense(dense, latest)),
         "cac_target_line": ltv.cac_line_from_cells(cells, cac),
-        "interval_histogram": purchases.interval_histogram(scoped_orders, nbins),
+        "interval_histogram": purchases.interval_histogram(orders, nbins, customers=in_scope),
         "mean_interval": purchases.mean_interval(orders, customers=in_scope),
     }
