@@ -119,3 +119,20 @@ def orders_with_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "lineitem")
+
+
+def write_customer_dump(spark: SparkSession, sf_dir: str, path: str, rows_per_file: int = 500) -> None:
+    """``customers`` as text files of INSERT statements, the input of the dump reader (quotes doubled, nulls bare)."""
+
+    def literal(name: str):
+        quoted = F.concat(F.lit("'"), F.replace(F.col(name).cast("string"), F.lit("'"), F.lit("''")), F.lit("'"))
+        return F.coalesce(quoted, F.lit("NULL"))
+
+    row = F.concat(
+        F.lit("("), F.col("customer_id").cast("string"), F.lit(", "),
+        F.concat_ws(", ", literal("customer_name"), literal("signup_date"), literal("segment")), F.lit(")"),
+    )
+    statement = F.concat(F.lit("INSERT INTO customers VALUES\n"), F.array_join(F.collect_list("row"), ",\n"), F.lit(";\n"))
+    customers(spark, sf_dir).select(
+        F.floor(F.col("customer_id") / rows_per_file).alias("file"), row.alias("row")
+    ).groupBy("file").agg(statement.alias("value")).select("value").write.text(path)

@@ -255,6 +255,10 @@ FROM facts""", _FACTS, cohort=False)
     q["export_fact"] = _q("""
 SELECT order_id, customer_id, order_date, quantity, order_value FROM orders_q
 WHERE customer_id IN (SELECT customer_id FROM seg_customers)""", _ORDERS_Q, scoped=True, cohort=False)
+    q["csv_round_trip"] = _q("""
+SELECT order_id, customer_id, product_id, order_date, quantity, CAST(order_value AS DECIMAL(10,2)) AS order_value
+FROM facts""", _FACTS, cohort=False)
+    q["sql_dump_customers"] = _q("SELECT customer_id, customer_name, signup_date, segment FROM customers_v", cohort=False)
     # retention
     q["cohort_sizes"] = _q(f"SELECT {_label('cohort_ord')} AS cohort_month, cohort_size FROM sizes")
     q["customer_activity"] = _q(
@@ -282,6 +286,7 @@ FROM act GROUP BY customer_id, cohort_ord, month_index""")
     q["cohort_monthly_spend"] = _q(
         f"SELECT {_label('cohort_ord')} AS cohort_month, month_index, CAST(spend_cents AS DOUBLE) / 100 AS cohort_spend FROM cells")
     q["cohort_ltv"] = cohort_ltv()
+    q["named_view_cohort_ltv"] = cohort_ltv()
     q["cohort_ltv_segment"] = cohort_ltv(scoped=True)
     q["ltv_matrix_long"] = _q("SELECT cohort_month, month_index, ltv FROM dense_out", _DENSE)
     q["ltv_matrix_wide"] = _q(_pivot("dense_out", "ltv"), _DENSE)
