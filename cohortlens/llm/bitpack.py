@@ -9,7 +9,8 @@ Documents are dealt to shards by ranges of the id column (quantiles, so that
 shards are alike in size), sorted in each task, encoded, and written as files
 of about ``SHARD_IDS`` ids; the manifest of the files that finished tasks wrote
 gives each file's place in the whole. Files go to the shared folder, through
-its own filesystem; a file left by a lost task is in no manifest.
+its own filesystem, and get their names when complete; a file left by a lost
+task is in no manifest.
 
 File: 8 bytes magic, then little-endian unsigned 64-bit numbers: bits,
 documents, ids, block length, then per document its id (signed) and its end in
@@ -228,8 +229,9 @@ def write(
         def put():
             name = f"{uuid.uuid4().hex}.ids"
             ends = np.cumsum([len(x) for x in ids])
-            with store.open_output_stream(f"{root}/{name}") as f:
+            with store.open_output_stream(f"{root}/{name}.part") as f:
                 f.write(shard_bytes(held, ends, np.concatenate(ids), encoder.bits))
+            store.move(f"{root}/{name}.part", f"{root}/{name}")  # a task lost before leaves no file that readers take
             return pa.RecordBatch.from_arrays(
                 [pa.array([x]) for x in (name, part, seq, len(held), int(ends[-1]))], ["name", "part", "seq", "n_docs", "n_ids"]
             )
