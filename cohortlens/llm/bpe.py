@@ -38,7 +38,7 @@ from cohortlens.llm.common import slices
 from cohortlens.llm.narrow import ODD, narrow
 
 WORDS_AT_ONCE = 500_000
-CACHE_WORDS = 900_000
+CACHE_WORDS = 500_000
 KEEP_CHARS = 8
 QUERY_BYTES = 1 << 18
 BATCH_BYTES = 1 << 22
@@ -97,7 +97,7 @@ class WordEncoder:
         least = np.full(max(ranks.values(), default=0) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, left, rank)
         np.minimum.at(least, right, rank)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         self.db.register("m", pa.table({"l": left, "r": right, "rank": rank, "safe": least[rank] >= rank}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m")
         self.db.register("v", pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [x.hex() for x in ranks]}))
