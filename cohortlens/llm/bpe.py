@@ -144,9 +144,9 @@ class WordEncoder:
 
 
 @functools.lru_cache(maxsize=1)
-def _encoder(ranks_path: str) -> WordEncoder:
+def _encoder(ranks_path: str, cache_words: int) -> WordEncoder:
     """One encoder for all tasks of a worker process, which find its bounded cache filled."""
-    return WordEncoder(read_ranks(ranks_path))
+    return WordEncoder(read_ranks(ranks_path), cache_words)
 
 
 def encode_texts(texts: list[str | None], encoder: WordEncoder, pattern: str) -> tuple[list[bytes], list[bytes]]:
@@ -178,14 +178,15 @@ def encode_texts(texts: list[str | None], encoder: WordEncoder, pattern: str) ->
     return [bytes(x) for x in ids], [bytes(x) for x in decoded]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True, cache_words: int = CACHE_WORDS) -> DataFrame:
     """(doc, n_tokens, ids, decoded): per row of ``docs`` its ids as little-endian unsigned 32-bit integers, and their bytes.
 
-    ``ranks_path`` is the ranks file's path on every executor.
+    ``ranks_path`` is the ranks file's path on every executor. Idle workers
+    keep their cache, of ``cache_words`` words, for a minute or so.
     """
 
     def run(batches):
-        encoder = _encoder(ranks_path)
+        encoder = _encoder(ranks_path, cache_words)
         for b in batches:
             for part in slices(b, 1, BATCH_BYTES):
                 ids, decoded = encode_texts(part.column(1).to_pylist(), encoder, pattern)

@@ -17,6 +17,9 @@ from cohortlens.llm.queries import table
 from cohortlens.plans.materialize import new_path
 
 
+CACHE_WORDS = 100_000
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents judged bad go."""
     return quality.filter_quality(docs)
@@ -39,7 +42,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, and the digests of the ids (little-endian unsigned 32-bit) and of the bytes they decode to."""
-    encoded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    # A small cache: idle workers keep it beside whatever runs next.
+    encoded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, cache_words=CACHE_WORDS)
     return encoded.select(
         F.col("doc").alias("doc_id"),
         "n_tokens",
