@@ -5,8 +5,10 @@ Method: rule matches are the seed entities. The words around every mention
 patterns. Spark scores the graph of patterns and instances in rounds: a
 pattern's confidence for a kind is the score of that kind among its distinct
 instances, an instance's score comes from the patterns it stands in, seeds
-keep score 1. Patterns of high confidence and support then mark their other
-mentions, identifiers that no rule knows.
+keep score 1. Instances of high score count as support in the next round, so
+that every round reaches contexts around found instances. Patterns of high
+confidence and support then mark their other mentions, instances of high score
+all theirs: identifiers that no rule knows.
 
 The texts are read once; what is kept of them, spans and mentions of texts
 that have any, is written to the shared folder. The graph holds hashes only,
@@ -33,7 +35,8 @@ from cohortlens.llm.common import materialize, text_or_empty
 KINDS = ("email", "ip", "card", "phone")
 SECRET = "secret"
 ROUNDS = 3
-#: A pattern marks new mentions from this confidence on, if it stands around so many different seeds.
+#: A pattern marks new mentions from this confidence on, if it stands around so many different seeds or found
+#: instances; an instance is found from the same score on.
 MIN_CONFIDENCE = 0.8
 MIN_SUPPORT = 5
 MIN_CHARS = 6
@@ -142,33 +145,45 @@ def _read(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, _SPANS), pa.array(found, _MENTIONS)], ["doc", "th", "base", "mentions"])
 
 
-def pattern_confidence(mention: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """(pat, kind, confidence, support) from the mentions (kind, inst, pat), by rounds over the pattern-instance graph."""
+def bootstrap(
+    mention: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE, min_support: int = MIN_SUPPORT
+) -> tuple[DataFrame, DataFrame]:
+    """(pat, kind, confidence, support) and (inst, kind, score) from the mentions (kind, inst, pat), by rounds over their graph."""
+    kinds = (*KINDS, SECRET)
     edges = materialize(mention.groupBy("pat", "inst").agg(F.max("kind").alias("kind")), "pii-edges")
-    size = materialize(edges.groupBy("pat").agg(F.count("*").alias("n"), F.count("kind").alias("seeds")).where(F.col("seeds") >= min_support), "pii-size")
-    # Only patterns around enough seeds can ever mark anything; the graph is theirs.
-    edges = materialize(edges.join(size.select("pat"), "pat"), "pii-graph")
-    seeds = edges.where(F.col("kind").isNotNull()).select("inst", "kind", F.lit(1.0).alias("score")).distinct()
-    scores = materialize(seeds, "pii-scores")
-    support = edges.where(F.col("kind").isNotNull()).groupBy("pat", "kind").agg(F.count("*").alias("support"))
-    support = materialize(support, "pii-support")
+    seeds = materialize(edges.where(F.col("kind").isNotNull()).select("inst", "kind", F.lit(1.0).alias("score")).distinct(), "pii-seeds")
+    # A pattern around fewer instances than the support can never reach it, in no round.
+    size = materialize(edges.groupBy("pat").agg(F.count("*").alias("n")).where(F.col("n") >= min_support), "pii-size")
+    edges = materialize(edges.select("pat", "inst").join(size.select("pat"), "pat"), "pii-graph")
+    free = materialize(edges.join(seeds.select("inst"), "inst", "left_anti"), "pii-free")
+    scores = seeds
     for _ in range(rounds):
-        total = materialize(
-            edges.select("pat", "inst").join(scores, "inst").groupBy("pat", "kind").agg(F.sum("score").alias("score")), "pii-total"
-        )
+        # Support: seeds, and instances that an earlier round found.
+        total = edges.join(scores, "inst").groupBy("pat", "kind")
+        total = total.agg(F.sum("score").alias("score"), F.count_if(F.col("score") >= min_confidence).alias("support"))
         # One instance without a score is added, so that few instances never make a sure pattern.
         confidence = materialize(
-            total.join(size, "pat").select("pat", "kind", (F.col("score") / (F.col("n") + 1)).alias("confidence")), "pii-confidence"
+            total.join(size, "pat").select("pat", "kind", (F.col("score") / (F.col("n") + 1)).alias("confidence"), "support"), "pii-confidence"
+        )
+        supported = confidence.groupBy("pat").agg(
+            *[F.coalesce(F.max(F.when(F.col("kind") == k, F.col("confidence"))), F.lit(0.0)).alias(k) for k in kinds], F.sum("support").alias("support")
         )
+        # An instance that mostly stands in supported patterns of low confidence, as common numbers do, is scored down.
         reached = (
-            edges.where(F.col("kind").isNull())
-            .select("pat", "inst")
-            .join(confidence, "pat")
-            .groupBy("inst", "kind")
-            .agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
+            free.join(supported.where(F.col("support") >= min_support), "pat")
+            .groupBy("inst")
+            .agg(
+                F.array(
+                    *[
+                        F.struct(F.lit(k).alias("kind"), ((1 - F.exp(F.sum(F.log(1 - F.col(k))))) * F.least(F.lit(1.0), 2 * F.avg(k))).alias("score"))
+                        for k in kinds
+                    ]
+                ).alias("found")
+            )
+            .select("inst", F.inline("found"))
         )
         scores = materialize(seeds.unionByName(reached.where(F.col("score") >= 0.5)), "pii-scores")
-    return confidence.join(support, ["pat", "kind"])
+    return confidence, scores
 
 
 def find(
@@ -194,14 +209,18 @@ def find(
         docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(_read, schema), "pii-read"
     )
     places = read.select("doc", "th", F.explode("mentions").alias("m")).select("doc", "th", "m.kind", "m.s", "m.e", "m.inst", F.explode("m.pats").alias("pat"))
+    confidence, scores = bootstrap(places.select("kind", "inst", "pat"), rounds, min_confidence, min_support)
     confident = materialize(
-        pattern_confidence(places.select("kind", "inst", "pat"), rounds, min_support)
-        .where((F.col("confidence") >= min_confidence) & (F.col("support") >= min_support))
+        confidence.where((F.col("confidence") >= min_confidence) & (F.col("support") >= min_support))
         .groupBy("pat")
         .agg(F.max_by("kind", F.struct("confidence", "kind")).alias("as_kind")),
         "pii-confident",
     )
-    marked = places.where(F.col("kind").isNull()).join(confident, "pat").select("doc", "th", F.col("as_kind").alias("kind"), "s", "e")
+    accepted = materialize(
+        scores.where(F.col("score") >= min_confidence).groupBy("inst").agg(F.max_by("kind", F.struct("score", "kind")).alias("as_kind")), "pii-accepted"
+    )
+    free = places.where(F.col("kind").isNull())
+    marked = free.join(confident, "pat").unionByName(free.join(accepted, "inst")).select("doc", "th", F.col("as_kind").alias("kind"), "s", "e")
     secret = read.select("doc", "th", F.explode(F.filter("mentions", lambda m: m["kind"] == SECRET)).alias("m")).select("doc", "th", "m.kind", "m.s", "m.e")
     added = (
         marked.unionByName(secret)

@@ -145,6 +145,19 @@ def test_pii_contexts_find_what_no_rule_knows(frame):
     assert all(not got[200 + i]["added"] for i in range(40)) and all(len(got[i]["base"]) == 1 for i in range(40))
 
 
+def test_pii_found_instances_induce_patterns(frame):
+    """Identifiers found beside e-mail seeds are marked in a second context, and make it mark identifiers of its own."""
+    rows = [(i, f"for help contact: user{i}@mail.example.com today") for i in range(40)]
+    rows += [(100 + i, f"for help contact: EMP-{10000 + i} today") for i in range(20)]
+    rows += [(200 + i, f"the employee id EMP-{10000 + i} was given out") for i in range(23)]
+    rows += [(300, "see EMP-10000 about it"), (301, "in the year 190501 something happened")]
+    got = {r["doc"]: r["added"] for r in pii.find(frame(rows)).collect()}
+    for d, t in rows[40:84]:
+        i = t.index("EMP")
+        assert {(a["kind"], a["s"], a["e"]) for a in got[d]} == {("email", i, i + 9)}, t
+    assert not got[301]
+
+
 def test_label_model_separates_planted_quality(spark):
     """Rules of known accuracy: the posterior beats every rule alone and recovers who is reliable."""
     rng = random.Random(7)
