@@ -1,8 +1,9 @@
 """Personal data: exact rules for a few kinds, and identifiers found by bootstrapped contexts.
 
-Method: rule matches are the seed entities. The words around every mention
-(a seed, or any other token with a digit or an at sign) are its lexical
-patterns. Spark scores the graph of patterns and instances in rounds: a
+Method: rule matches are the seed entities. The words around every mention (a
+seed; any other token with a digit or an at sign, of any length; the longest
+runs of such words, with or without words of capitals, joined by one blank or
+hyphen; an address spelt with "at" and "dot") are its lexical patterns. Spark scores the graph of patterns and instances in rounds: a
 pattern's confidence for a kind is the score of that kind among its distinct
 instances, an instance's score comes from the patterns it stands in, seeds
 keep score 1. Instances of high score count as support in the next round, so
@@ -26,7 +27,7 @@ import re
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import materialize, text_or_empty
@@ -39,7 +40,6 @@ ROUNDS = 3
 #: instances; an instance is found from the same score on.
 MIN_CONFIDENCE = 0.8
 MIN_SUPPORT = 5
-MIN_CHARS = 6
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -49,6 +49,10 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SECRET = re.compile(r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])")
 _DIGIT = re.compile("[0-9]")
 _TOKEN = re.compile(r"\S+")
+#: A word with a digit, or one of capital letters.
+_GROUP = re.compile(r"(?<![^\W_])(?:[A-Z]++(?![^\W_])|[^\W0-9_]*+[0-9][^\W_]*+)")
+_SPELT = re.compile(r"(?<!\S)\S+[\x20][(\[]?at[)\]]?[\x20][\w-]+(?:[\x20][(\[]?dot[)\]]?[\x20][\w-]+)+", re.I)
+_DOT = re.compile(r"[\x20(\[]dot[)\]\x20]", re.I)
 _CONTEXT = re.compile(r"\w+|[^\w\s]")
 _CONTEXT_CHARS = 80
 
@@ -99,28 +103,70 @@ def _patterns(text: str, a: int, b: int) -> list[str]:
     return [f"{' '.join(left)} _", f"{left[-1]} _ {right}"]
 
 
+def _runs(text: str) -> list[tuple[int, int]]:
+    """Longest runs of groups joined by one blank or hyphen: of groups with a digit; with the capitals between, one beside and all around them."""
+    found: list[tuple[int, int]] = []
+    chain: list[tuple[int, int, bool]] = []
+
+    def close() -> None:
+        digits: list[tuple[int, int]] = []
+        for a, b, digit in [*chain, (0, 0, False)]:
+            if digit:
+                digits.append((a, b))
+                continue
+            if len(digits) > 1:
+                found.append((digits[0][0], digits[-1][1]))
+            digits = []
+        at = [i for i, (_, _, digit) in enumerate(chain) if digit]
+        if at and len(chain) > 1:
+            near = max(0, at[0] - 1), min(len(chain), at[-1] + 2) - 1
+            found.extend((chain[i][0], chain[j][1]) for i, j in ((at[0], at[-1]), near, (0, len(chain) - 1)))
+
+    for m in _GROUP.finditer(text):
+        a, b = m.span()
+        if chain and not (a == chain[-1][1] + 1 and text[a - 1] in " -"):
+            close()
+            chain = []
+        chain.append((a, b, bool(_DIGIT.search(m[0]))))
+    close()
+    return found
+
+
 def mentions(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
-    """Seeds and other tokens with a digit or an at sign: place, kind (null if not a seed), instance and pattern hashes."""
-    if not spans and not _DIGIT.search(text) and "@" not in text:
+    """Seeds, other tokens with a digit or an at sign, runs of groups, addresses in words: place, kind (null if not a seed), instance and pattern hashes."""
+    spelt = _DOT.search(text)
+    digit = _DIGIT.search(text)
+    if not spans and not digit and "@" not in text and not spelt:
         return []
     seeds = spans + [(SECRET, *m.span()) for m in _SECRET.finditer(text) if any(c.isdigit() for c in m[0])]
     taken = sorted((a, b) for _, a, b in seeds)
-    places = [(kind, a, b) for kind, a, b in seeds]
-    i = 0
+    other = []
     for m in _TOKEN.finditer(text):
-        a, b = m.span()
-        while i < len(taken) and taken[i][1] <= a:
-            i += 1
-        if i < len(taken) and taken[i][0] < b:
-            continue
         token = m[0]
         if not ("@" in token or _DIGIT.search(token)):
             continue
+        a, b = m.span()
         while a < b and not text[a].isalnum():
             a += 1
         while b > a and not text[b - 1].isalnum():
             b -= 1
-        if b - a >= MIN_CHARS:
+        if a < b:
+            other.append((a, b))
+    if digit:
+        # Seeds end a run.
+        at = 0
+        for a, b in [*taken, (len(text), len(text))]:
+            if at < a:
+                other += [(at + x, at + y) for x, y in _runs(text[at:a])]
+            at = max(at, b)
+    if spelt:
+        other += [m.span() for m in _SPELT.finditer(text)]
+    places = [(kind, a, b) for kind, a, b in seeds]
+    i = 0
+    for a, b in sorted(set(other)):
+        while i < len(taken) and taken[i][1] <= a:
+            i += 1
+        if i == len(taken) or taken[i][0] >= b:
             places.append((None, a, b))
     h = lambda s: xxhash.xxh3_64_intdigest(s.encode("utf-8", "replace")) - (1 << 63)
     return [
@@ -226,6 +272,9 @@ def find(
         marked.unionByName(secret)
         .groupBy("doc", "th", "s", "e")
         .agg(F.min("kind").alias("kind"))
+        # A span inside a longer one is left to that one.
+        .withColumn("to", F.max("e").over(Window.partitionBy("doc", "th").orderBy("s", F.desc("e")).rowsBetween(Window.unboundedPreceding, -1)))
+        .where(F.col("to").isNull() | (F.col("e") > F.col("to")))
         .groupBy("doc", "th")
         .agg(F.collect_set(F.struct("kind", "s", "e")).alias("added"))
     )

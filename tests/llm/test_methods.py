@@ -158,6 +158,18 @@ def test_pii_found_instances_induce_patterns(frame):
     assert not got[301]
 
 
+def test_pii_grouped_and_short_identifiers(frame):
+    """Groups joined by blanks or hyphens, short tokens and addresses in words are mentions; the longest marked one counts."""
+    rows = [(i, f"please mail to user{i}@mail.example.com now") for i in range(60)]
+    whole = ["020 7946 0958", "4111 1111 111 1111", "AB 12 34 56 C", "ann at example dot org", "12-34", "X7", "GB29 NWBK 6016 1331 9268 19"]
+    rows += [(100 + i, f"please mail to {w} now") for i, w in enumerate(whole)]
+    got = {r["doc"]: r["added"] for r in pii.find(frame(rows)).collect()}
+    for i, w in enumerate(whole):
+        assert {(a["kind"], a["s"], a["e"]) for a in got[100 + i]} == {("email", 15, 15 + len(w))}, w
+    t = "NI AB 12 34 56 C was"
+    assert {"AB 12 34 56 C", "12 34 56", "34"} <= {t[m["s"] : m["e"]] for m in pii.mentions(t, [])}
+
+
 def test_label_model_separates_planted_quality(spark):
     """Rules of known accuracy: the posterior beats every rule alone and recovers who is reliable."""
     rng = random.Random(7)
