@@ -11,7 +11,10 @@ small set) before the job starts; tasks get them as a few hundred numbers.
 
 Scripts, styles, the head, comments in the markup and form controls never give
 text. Pages are parsed tolerantly: void elements, implied ends of paragraphs,
-list items and cells, stray end tags, missing ends.
+list items and cells, stray end tags, missing ends. A head without an end tag
+ends at the first tag or text that can't stand in it, a button, select or option
+without one at the next flow element. Fallback content of objects, canvases and
+media, and formulas, are text like other.
 
 Defined cases: null or empty html: empty text; html without any markup is a
 body; ids of any type, null and repeated ones included, pass through row by
@@ -38,10 +41,17 @@ FLOW_WEIGHT = 0.3
 # HTML's void elements, elements whose content is no text, and inline elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea noscript template iframe svg title".split())
-HIDDEN = frozenset("head select option button object canvas audio video math".split()) | RAW
+HIDDEN = frozenset("head select option button".split()) | RAW
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr"
+    " audio canvas object param source track video"
+    " math semantics annotation annotation-xml maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt"
+    " mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none".split()
 )
+#: Start tags that leave an open head open; any other, and text, ends it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript template".split())
+#: Start tags that an open form control may hold without an end of its own.
+_IN_CONTROL = frozenset("option optgroup datalist select button".split())
 #: Start tags that end an open element of the second set, up to the nearest of the third.
 _PARAGRAPH_ENDS = frozenset(
     "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
@@ -72,6 +82,8 @@ _MARKUP = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _NAME = re.compile("[a-z]+")
+#: The next start or end (group 1) of a control: one that is followed by a start before an end has none of its own.
+_CONTROL = {t: re.compile(f"<(/)?{t}(?=[\\s/>])", re.I) for t in ("button", "select")}
 
 
 @dataclass
@@ -95,6 +107,8 @@ class Page:
         self._parts: list[str] = []
         self._links = 0
         self._hidden = 0
+        self._head = False
+        self._loose: list[int] = []  # places in the stack of form controls that may have no end tag
         self._parse(html)
 
     def _parse(self, html: str) -> None:
@@ -110,16 +124,24 @@ class Page:
             elif m[2] or m[4]:
                 tag, attributes = (m[2] or m[4]).lower(), m[3] if m[2] else m[5]
                 closed = attributes.rstrip().endswith("/")
+                if self._head and tag not in IN_HEAD:
+                    self._close({"head"}, set())
                 if tag in RAW and not closed:
                     end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I).search(html, at)
                     at = end.end() if end else len(html)
                     continue
-                self._start(tag, attributes, closed)
+                if tag in ("button", "select"):
+                    following = _CONTROL[tag].search(html, at)
+                    self._start(tag, attributes, closed, not (following and following[1]))
+                else:
+                    self._start(tag, attributes, closed, tag == "option")
         if at < len(html):
             self._text(html[at:])
         self._flush()
 
     def _text(self, raw: str) -> None:
+        if self._head and raw.strip():
+            self._close({"head"}, set())
         if self._hidden:
             return
         self._parts.append(raw)
@@ -137,12 +159,16 @@ class Page:
                 self.nodes[node].chars += len(text)
                 self.blocks.append((node, text))
 
-    def _start(self, tag: str, attributes: str, closed: bool) -> None:
+    def _start(self, tag: str, attributes: str, closed: bool, loose: bool) -> None:
         if tag == "br" or tag == "wbr":
             self._parts.append(" " if tag == "br" else "")
             return
         if tag not in INLINE:
             self._flush()
+            if self._loose and tag not in _IN_CONTROL and (tag not in VOID or tag == "hr"):
+                self._pop(self._loose[0])
+        if tag == "button":
+            self._close({"button"}, {"table", "td", "th"})
         if tag in _PARAGRAPH_ENDS:
             self._close({"p"}, {"table", "td", "th", "li", "div", "section", "article", "blockquote", "body", "html"})
         if tag in _ITEM_ENDS:
@@ -157,7 +183,10 @@ class Page:
             words = {WORDS[w] for k in ("class", "id", "role") for w in _NAME.findall(values.get(k, "").lower()) if w in WORDS}
             self.nodes.append(Node(tag, node, tuple(sorted(words)), values.get("y")))
             node = len(self.nodes) - 1
+        if loose:
+            self._loose.append(len(self._stack))
         self._stack.append((tag, node))
+        self._head |= tag == "head"
         self._links += tag == "a"
         self._hidden += tag in HIDDEN
 
@@ -174,6 +203,8 @@ class Page:
     def _end(self, tag: str) -> None:
         if tag not in INLINE:
             self._flush()
+        if self._head and tag in ("body", "html", "br"):
+            self._close({"head"}, set())
         for i in range(len(self._stack) - 1, 0, -1):
             if self._stack[i][0] == tag:
                 self._pop(i)
@@ -185,7 +216,10 @@ class Page:
         for t, _ in self._stack[i:]:
             self._links -= t == "a"
             self._hidden -= t in HIDDEN
+            self._head &= t != "head"
         del self._stack[i:]
+        while self._loose and self._loose[-1] >= i:
+            self._loose.pop()
 
 
 def _features(n: Node) -> list[str]:

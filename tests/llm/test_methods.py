@@ -241,6 +241,27 @@ def test_html_markup():
     assert [t for _, t in page.blocks] == ["A&B é! c de f", "gh", "i", "j", "m < n"]
 
 
+@pytest.mark.parametrize(
+    ("html", "blocks"),
+    [
+        ("<html><head><meta charset=utf-8><title>t</title><body><article>x<p>y", ["x", "y"]),
+        ("<head><link href=a><script>s</script><p>x<p>y", ["x", "y"]),
+        ("<head><title>t</title>\n x <b>y</b>", ["x y"]),
+        ("<head><svg><p>no</p></svg>x", ["x"]),
+        ("<head><style>s</style></html>x", ["x"]),
+        ("<div><button>no<p>x</p>y</div>z", ["x", "y", "z"]),
+        ("<div><button>no<button>no</button>x</div>", ["x"]),
+        ("<div><button><div>no</div></button>x</div>", ["x"]),
+        ("<div><select><option>no<option>no<p>x</p></div>y", ["x", "y"]),
+        ("<div><select><option>no<option>no</select>x</div>", ["x"]),
+        ("<p>so <math><mi>a</mi><mo>=</mo><mn>1</mn></math> holds", ["so a=1 holds"]),
+        ("<object data=f>v</object> <canvas>w</canvas> <audio src=a>x</audio> <video><source src=b>y</video>", ["v w x y"]),
+    ],
+)
+def test_html_missing_ends_and_fallback(html, blocks):
+    assert [t for _, t in html_extract.Page(html).blocks] == blocks
+
+
 def test_slices_cover_the_batch():
     import pyarrow as pa
 
