@@ -6,7 +6,10 @@ have ``k`` edits is split into ``k + 1`` pieces; by the pigeonhole principle
 one piece at least stands unchanged in every match, so an Aho-Corasick pass
 over all pieces locates the candidates. Each candidate's surroundings are
 verified by the regex library's bounded-error matching, which reports the span
-and its edits. Exact phrases are looked up as consecutive words besides.
+and its edits. Each candidate is searched in a window of its own, so that notices
+that stand side by side are all found; of overlapping alignments of a notice the
+one of least edits counts. Exact phrases are looked up as consecutive words
+besides.
 
 Tasks work row by row on whole texts; nothing is shuffled.
 
@@ -17,6 +20,8 @@ table gives an empty result.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import ahocorasick
 import pyarrow as pa
 import regex
@@ -86,26 +91,32 @@ class Scanner:
         return len(words), exact, self.fuzzy(line)
 
     def fuzzy(self, line: str) -> list[tuple[str, int, int, int]]:
-        windows: dict[int, list[list[int]]] = {}
+        windows: dict[int, set[tuple[int, int]]] = {}
         for end, (size, uses) in self.seeds.iter(line):
             for n, offset in uses:
                 notice, _, k, _ = self.notices[n]
                 a = max(0, end + 1 - size - offset - k)
                 b = min(len(line), end + 1 - size - offset + len(notice) + k)
-                near = windows.setdefault(n, [])
-                if near and a <= near[-1][1]:  # windows that touch become one
-                    near[-1][1] = max(near[-1][1], b)
-                    near[-1][0] = min(near[-1][0], a)
-                else:
-                    near.append([a, b])
+                windows.setdefault(n, set()).add((a, b))
         found = []
         for n, near in windows.items():
             _, label, _, match = self.notices[n]
-            for a, b in near:
-                for m in match.finditer(line, a, b):
-                    first = line.count(" ", 0, m.start() + (line[m.start()] == " ")) - 1
-                    inside = line[m.start() : m.end()].strip()
-                    found.append((label, max(0, first), max(0, first) + inside.count(" ") + 1, sum(m.fuzzy_counts)))
+            hits = set()
+            ranges = list(near)
+            while ranges:  # the best match of a window, then what is left on its two sides
+                a, b = ranges.pop()
+                m = match.search(line, a, b)
+                if m:
+                    hits.add((sum(m.fuzzy_counts), m.start(), m.end()))
+                    ranges += [(a, m.start()), (m.end(), b)]
+            taken: list[tuple[int, int]] = []
+            for edits, a, b in sorted(hits):  # of overlapping alignments the best
+                i = bisect_left(taken, (a, b))
+                if (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or b <= taken[i][0]):
+                    taken.insert(i, (a, b))
+                    first = line.count(" ", 0, a + (line[a] == " ")) - 1
+                    inside = line[a:b].strip()
+                    found.append((label, max(0, first), max(0, first) + inside.count(" ") + 1, edits))
         return sorted(set(found))
 
 

@@ -125,6 +125,48 @@ def test_license_seeds_lose_no_match_within_the_bound():
             assert label in {f[0] for f in s.fuzzy(f" some words {''.join(x)} and more ")}
 
 
+def _bounded_matches(notice: str, line: str, k: int) -> list[tuple[int, int, int]]:
+    """(start, end, edits) by plain edit distance at every place, the best of overlapping ones."""
+    hits = []
+    for a in range(len(line)):
+        row = list(range(len(notice) + 1))
+        for b in range(a, min(len(line), a + len(notice) + k)):
+            new = [b + 1 - a]
+            for j, c in enumerate(notice):
+                new.append(min(row[j] + (c != line[b]), row[j + 1] + 1, new[j] + 1))
+            row = new
+            if row[-1] <= k:
+                hits.append((row[-1], a, b + 1))
+    taken: list[tuple[int, int, int]] = []
+    for edits, a, b in sorted(hits):
+        if all(b <= x or y <= a for x, y, _ in taken):
+            taken.append((a, b, edits))
+    return sorted(taken)
+
+
+def test_license_notices_side_by_side():
+    """Repeated notices, misspelt and exact ones in any order: as many matches of as many edits as by plain edit distance."""
+    s = license_scan.Scanner({}, [("all rights reserved", "reserved")], license_scan.CHARS_PER_EDIT)
+    bad, good = "all rights reservd", "all rights reserved"
+    got = s.scan(" ".join([bad] * 4 + [good, bad]).encode())[2]
+    assert got == [("reserved", 3 * i, 3 * i + 3, int(i != 4)) for i in range(6)]
+    rng = random.Random(8)
+    for notice, label in license_scan.NOTICES[:2] + license_scan.NOTICES[4:7]:
+        s = license_scan.Scanner({}, [(notice, label)], license_scan.CHARS_PER_EDIT)
+        k = len(notice) // license_scan.CHARS_PER_EDIT
+        for _ in range(6):
+            parts = []
+            for _ in range(rng.randint(2, 5)):
+                x = list(notice)
+                for _ in range(rng.randint(0, k)):
+                    x[rng.randrange(1, len(x) - 1)] = rng.choice(["q", ""])
+                parts.append("".join(x))
+            line = f" {' '.join(parts)} "
+            expected = _bounded_matches(notice, line, k)
+            assert len(expected) == len(parts)
+            assert sorted(x[3] for x in s.fuzzy(line)) == sorted(e for _, _, e in expected), line
+
+
 def test_pii_rules_against_the_patterns():
     rng = random.Random(6)
     parts = ["a@b.c", "x.y@z-1.co.uk", "@", "@@a@b", "1.2.3.4", "1.2.3.4.5", "256.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (042) 555-7845", "+1", "99999999999999999999", " ", "word", "\n", ".", "a@b.c@d.e", "٣٤"]
