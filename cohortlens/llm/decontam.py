@@ -1,9 +1,11 @@
 """Benchmark decontamination: find benchmark word windows in documents, remove documents or spans.
 
-Method: a hash set of the benchmark's normalised n-grams is broadcast (its
-size is checked first; a larger set is joined by a shuffle), every document's
-token windows are scanned against it, hits are verified word by word, and the
-hit documents or word spans are removed. Built-in functions only.
+Method: the distinct hashes of the benchmark's normalised n-grams are broadcast
+(their number is checked first; a larger set is joined by a shuffle), every
+document's token windows are scanned against them, hits are joined with the
+n-grams and verified word by word, and the hit documents or word spans are
+removed. Items come in after the scan from a plain table of (item set, item).
+Built-in functions only.
 
 Words: A-Z lower-cased, ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. A window is
 ``n`` consecutive words of an item; an item of fewer words, but not none, is
@@ -12,7 +14,7 @@ one window.
 Defined cases: a null or empty text has no words and no hit; a null id is a
 document of its own per text; rows repeating both id and text get the same
 result each; an item without words gives no window, an empty benchmark gives
-no hit; null item ids are ignored.
+no hit; an item with a null id hits like any other, without a name in ``items``.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from cohortlens.llm.common import ALNUM_SPLIT, ascii_lower, empty_as, materialize, text_or_empty, words_of
 
 WINDOW = 10
-#: The n-gram set is broadcast up to this many windows (about 200 bytes each); beyond, Spark joins by shuffle.
+#: The hashes are broadcast up to this many windows (8 bytes each, less than 100 in the hash table); beyond, Spark joins by shuffle.
 BROADCAST_WINDOWS = 500_000
 
 
@@ -32,20 +34,25 @@ def _words(text_col: str) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, n: int, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(size, hash, gram, items): each distinct window once, with the sorted ids of the items holding it."""
+    """(size, hash, gram, item): each distinct window once for each item holding it."""
     return (
-        benchmark.where(F.col(item_col).isNotNull())
-        .select(F.col(item_col).alias("item"), _words(text_col).alias("w"))
+        benchmark.select(F.col(item_col).alias("item"), _words(text_col).alias("w"))
         .where(F.size("w") > 0)
         .withColumn("size", F.least(F.size("w"), F.lit(n)))
         .select("item", "size", "w", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("size") + 1)).alias("at"))
-        .select("item", "size", F.slice("w", F.col("at"), F.col("size")).alias("gram"))
-        .groupBy("size", "gram")
-        .agg(F.collect_set("item").alias("items"))
-        .select("size", F.xxhash64("gram").alias("hash"), "gram", "items")
+        .select("size", F.slice("w", F.col("at"), F.col("size")).alias("gram"), "item")
+        .select("size", F.xxhash64("gram").alias("hash"), "gram", "item")
+        .distinct()
     )
 
 
+def _item_set() -> Column:
+    """Key of the set of a group's distinct items: their number and 128 bits of their hashes."""
+    named = F.col("item").isNotNull()
+    hashes = [F.coalesce(F.bit_xor(F.when(named, F.xxhash64(F.lit(seed), "item"))), F.lit(0).cast("long")) for seed in (1, 2)]
+    return F.struct(F.count("item").alias("n"), hashes[0].alias("a"), hashes[1].alias("b"))
+
+
 def hits(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -58,9 +65,14 @@ def hits(
     """(doc, text_hash, spans, items): one row per document text with a hit.
 
     ``spans``: sorted (start, end) word ranges of the occurrences, end
-    exclusive; ``items``: distinct item ids. Only occurrences are shuffled.
+    exclusive; ``items``: distinct item ids, nulls left out. Only occurrences
+    are shuffled.
     """
-    grams = materialize(benchmark_windows(benchmark, n, item_col), "bench-grams")
+    pairs = materialize(benchmark_windows(benchmark, n, item_col), "bench-pairs")
+    window = ["size", "hash", "gram"]
+    grams = materialize(pairs.groupBy(*window).agg(_item_set().alias("set")), "bench-grams")
+    # Windows of the same items share a set, whose items stand in the table once.
+    sets = materialize(pairs.where(F.col("item").isNotNull()).join(grams, window).select("set", "item").distinct(), "bench-sets")
     sizes = {r["size"]: r["count"] for r in grams.groupBy("size").count().collect()}  # at most n rows
     if not sizes:
         item_type = benchmark.schema[item_col].dataType.simpleString()
@@ -75,17 +87,26 @@ def hits(
         at = words.where(F.size("w") >= size).select(
             "doc", "text_hash", "w", F.explode(F.sequence(F.lit(1), F.size("w") - (size - 1))).alias("at")
         )
-        g = grams.where(F.col("size") == size).drop("size")
+        h = grams.where(F.col("size") == size).select("hash").distinct()
         here = F.slice("w", F.col("at"), F.lit(size))
-        # The join is on the hash; the words are compared for equal hashes only.
+        # The scan is against the hashes; the words are compared for equal hashes only.
         scan = at.select("doc", "text_hash", "at", F.xxhash64(here).alias("hash"), here.alias("here"))
-        occ = scan.join(F.broadcast(g) if small else g, "hash").where(F.col("here") == F.col("gram"))
-        occ = occ.select("doc", "text_hash", (F.col("at") - 1).alias("s"), (F.col("at") + (size - 1)).alias("e"), "items")
+        occ = scan.join(F.broadcast(h) if small else h, "hash").select("doc", "text_hash", "at", F.lit(size).alias("size"), "hash", "here")
         found = occ if found is None else found.unionByName(occ)
-    return found.groupBy("doc", "text_hash").agg(
-        F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
+    found = found.join(grams, ["size", "hash"]).where(F.col("here") == F.col("gram"))
+    found = materialize(
+        found.groupBy("doc", "text_hash").agg(
+            F.array_sort(F.collect_set(F.struct((F.col("at") - 1).alias("s"), (F.col("at") + F.col("size") - 1).alias("e")))).alias("spans"),
+            F.collect_set("set").alias("sets"),
+        ),
+        "bench-spans",
     )
+    items = found.select("doc", "text_hash", F.explode("sets").alias("set")).join(sets, "set")
+    items = items.groupBy("doc", "text_hash").agg(F.collect_set("item").alias("items"))
+    d, i = found.alias("d"), items.alias("i")
+    on = F.col("d.doc").eqNullSafe(F.col("i.doc")) & (F.col("d.text_hash") == F.col("i.text_hash"))
+    named = F.coalesce("i.items", F.array().cast(items.schema["items"].dataType))
+    return d.join(i, on, "left").select("d.doc", "d.text_hash", "d.spans", named.alias("items"))
 
 
 def covered_words(spans: Column) -> Column:

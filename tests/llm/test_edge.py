@@ -133,6 +133,18 @@ def test_decontamination(frame, none, spark):
     assert {r["n_hit"] for r in decontam.report(docs, bench.limit(0)).collect()} == {0}
 
 
+@pytest.mark.parametrize("bound", [decontam.BROADCAST_WINDOWS, 0])
+def test_decontamination_by_items_without_an_id_and_shared_passages(frame, spark, bound):
+    rows = [(1, "a passage without any name here"), (2, "both share this and more"), (3, "nothing of it"), (None, "both share this")]
+    items = [(None, "without any name"), (None, "share this")] + [(i, "share this") for i in range(50)] + [(99, "this and")]
+    docs, bench = frame(rows), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {r["doc"]: r for r in decontam.hits(docs, bench, broadcast_windows=bound).collect()}
+    assert {d: [tuple(x) for x in r["spans"]] for d, r in got.items()} == {1: [(2, 5)], 2: [(1, 3), (2, 4)], None: [(1, 3)]}
+    assert got[1]["items"] == [] and sorted(got[2]["items"]) == [*range(50), 99] and sorted(got[None]["items"]) == [*range(50)]
+    assert {r["doc"]: r["n_hit"] for r in decontam.report(docs, bench).collect()} == {1: 3, 2: 3, 3: 0, None: 2}
+    assert [r["doc_id"] for r in decontam.decontaminate(docs, bench).collect()] == [3]
+
+
 def test_simhash(frame, none):
     docs = frame(EDGE)
     got = simhash.near_duplicates(docs).collect()
