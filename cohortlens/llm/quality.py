@@ -11,9 +11,9 @@ the input, and the driver sees one row of parameters a round.
 Statistics per text (words ``[^\\x20\\x09-\\x0D]+``): n_words; word_chars, their
 code points; n_symbols, characters of ``[#*$%&|<>]``; n_dup_lines, lines with
 a word that equal an earlier line; n_repeat_words, words inside 3-word windows
-that the text holds twice or more. Windows are compared by the upper bits of
-their 64-bit hash next to their position (16 bits at least are left for the
-hash at any length, 50 at 10,000 words).
+that the text holds twice or more. Windows are compared by their 64-bit
+hash: sorted by its upper bits next to their position, then those with an
+equal neighbour by the whole of it.
 
 Defined cases: a null or empty text has no words and fails the base rule; an
 empty table gives an empty result; repeated rows and ids are judged row by
@@ -43,21 +43,21 @@ BELIEF, BELIEF_WEIGHT = 0.9, 2.0
 START = 0.9
 
 
+def _window_hash(words: Column, i: Column) -> Column:
+    return F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+
+
 def _sorted_windows(words: Column, n: Column) -> tuple[Column, Column]:
     """Sorted 3-word windows of ``words`` (``n`` > 3 elements) and the mask of their position bits.
 
     Hashes are packed with their positions into one long, so that a plain
-    sort of longs brings equal windows together.
+    sort of longs brings equal windows together. The positions take bits of
+    the hashes: equal neighbours are candidates, to be told apart by whole hashes.
     """
     bits = F.length(F.bin(n))  # positions 0..n-1 fit
     place = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
     packed = F.sort_array(
-        F.transform(
-            F.sequence(F.lit(0), n - 3),
-            lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
-            .bitwiseAND(F.bitwise_not(place))
-            .bitwiseOR(i.cast("long")),
-        )
+        F.transform(F.sequence(F.lit(0), n - 3), lambda i: _window_hash(words, i).bitwiseAND(F.bitwise_not(place)).bitwiseOR(i.cast("long")))
     )
     return packed, place
 
@@ -86,30 +86,33 @@ def statistics(docs: DataFrame, text_col: str = "text", keep: list[str] | None =
     )
     n = F.col("n")
     packed, place = _sorted_windows(F.col("w"), n)
-    t = t.select(
-        "row",
-        "n",
-        "word_chars",
-        "n_symbols",
-        "n_upper",
-        "n_bangs",
-        F.size("lines").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
-        F.size(F.array_distinct("w")).alias("n_distinct"),
-        F.when(n > 3, packed).alias("p"),
-        F.when(n > 3, place).alias("place"),
-    )
+    counts = ["row", "n", "word_chars", "n_symbols", "n_upper", "n_bangs", "n_lines", "n_dup_lines", "n_distinct"]
+    t = t.withColumns(
+        {
+            "n_lines": F.size("lines"),
+            "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
+            "n_distinct": F.size(F.array_distinct("w")),
+            "p": F.when(n > 3, packed),
+            "place": F.when(n > 3, place),
+        }
+    ).select(*counts, "w", "p", "place")
     p, place = F.col("p"), F.col("place")
-    # A window is repeated if its neighbour in hash order has the same hash.
-    twice = F.transform(
-        F.filter(
-            p,
-            lambda x, i: F.coalesce(_apart(x, place) == _apart(F.get(p, i - 1), place), F.lit(False))
-            | F.coalesce(_apart(x, place) == _apart(F.get(p, i + 1), place), F.lit(False)),
-        ),
-        lambda x: x.bitwiseAND(place),
+    # A window is repeated if its neighbour in hash order has the same hash: first by the bits beside the position ...
+    near = F.filter(
+        p,
+        lambda x, i: F.coalesce(_apart(x, place) == _apart(F.get(p, i - 1), place), F.lit(False))
+        | F.coalesce(_apart(x, place) == _apart(F.get(p, i + 1), place), F.lit(False)),
+    )
+    t = t.select(*counts, "w", F.transform(near, lambda x: x.bitwiseAND(place).cast("int")).alias("near"))
+    # ... then, among those, by all bits.
+    whole = F.transform("near", lambda i: F.struct(_window_hash(F.col("w"), i).alias("h"), i.cast("long").alias("i")))
+    t = t.select(*counts, F.sort_array(whole).alias("q"))
+    q = F.col("q")
+    twice = F.filter(
+        q,
+        lambda x, i: F.coalesce(x["h"] == F.get(q, i - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(q, i + 1)["h"], F.lit(False)),
     )
-    t = t.select("row", "n", "word_chars", "n_symbols", "n_upper", "n_bangs", "n_lines", "n_dup_lines", "n_distinct", F.sort_array(twice).alias("at"))
+    t = t.select(*counts, F.sort_array(F.transform(twice, lambda x: x["i"])).alias("at"))
     at = F.col("at")
     covered = F.aggregate(
         F.transform(at, lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(at, i + 1) - x, F.lit(3).cast("long")))),

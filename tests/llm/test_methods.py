@@ -230,6 +230,14 @@ def test_label_model_separates_planted_quality(spark):
     assert votes.withColumn("p", quality._posterior(model, names)).where("r0 >= 0 and r1 >= 0 and r2 >= 0 and r3 >= 0 and p < 0.79").count() == 0
 
 
+def test_quality_repeats_in_a_long_text_go_by_whole_hashes(spark):
+    """Two different windows whose hashes differ in their lower 18 bits only, in a text whose positions take 18 bits."""
+    fill = [f"f{i}" for i in range(140_000)]
+    words = [*fill[:50_000], "q", "q", "4139091", *fill[50_000:60_000], "q", "q", "3334575", "a", "b", "c", *fill[60_000:], "a", "b", "c"]
+    docs = spark.createDataFrame([(1, " ".join(words))], "doc_id bigint, text string")
+    assert [r["n_repeat_words"] for r in quality.statistics(docs, keep=["doc_id"]).collect()] == [6]
+
+
 def test_quality_against_labels(spark):
     """Held-out labels of the test tables: junk goes, good documents stay."""
     sf = "/root/testdata/sf0.01"
