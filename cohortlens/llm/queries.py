@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bitpack, bpe, decontam, html_extract, license_scan, line_dedup, pii, quality, simhash, suffix_dedup
+from cohortlens.llm import (
+    bitpack,
+    bpe,
+    decontam,
+    filter_audit,
+    html_extract,
+    license_scan,
+    line_dedup,
+    pii,
+    quality,
+    simhash,
+    spelling,
+    suffix_dedup,
+    word_bpe,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -117,6 +131,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = word_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return r.select(
+        F.col("doc").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
@@ -128,6 +157,9 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
+    "op11_spelling": op11_spelling,
+    "op12_word_bpe": op12_word_bpe,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -161,4 +193,33 @@ WITH docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN held USING (doc_id)""",
+    "op13_filter_audit": r"""
+WITH docs AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+     words AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS least FROM docs),
+     known AS (SELECT doc_id, max(quality) FILTER (WHERE quality = 1) AS good, max(toxic) FILTER (WHERE toxic = 1) AS toxic
+               FROM labels GROUP BY doc_id),
+     failed AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                       CASE WHEN len(w) < 200 THEN 'A' ELSE '' END
+                       || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+                       || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END
+                       || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+                       || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS fails
+                FROM words LEFT JOIN known USING (doc_id)),
+     sets AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY part, fails),
+     letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+     orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e
+                WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+     gone AS (SELECT part, fails, o, n, good, toxic,
+                     CASE WHEN fails = '' THEN 9 ELSE list_min([strpos(o, l) FOR l IN string_split(fails, '')]) END AS place
+              FROM sets, orders),
+     steps AS (SELECT part, o, s, substr(o, s, 1) AS f,
+                      sum(CASE WHEN place > s THEN n ELSE 0 END) AS kept, sum(CASE WHEN place = s THEN n ELSE 0 END) AS removed,
+                      sum(CASE WHEN place < s AND contains(fails, substr(o, s, 1)) THEN n ELSE 0 END) AS redundant,
+                      sum(CASE WHEN fails = substr(o, s, 1) THEN n ELSE 0 END) AS unique_fails,
+                      sum(CASE WHEN place = s THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN place = s THEN toxic ELSE 0 END) AS toxic_lost
+               FROM gone, (SELECT unnest([1, 2, 3, 4, 5]) AS s) GROUP BY part, o, s)
+SELECT part, o AS filter_order, CAST(s AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM steps""",
 }

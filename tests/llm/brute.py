@@ -161,3 +161,85 @@ def crc_of(ids: list[int]) -> int:
     import numpy as np
 
     return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def spelling_words(docs) -> dict[str, int]:
+    counts = Counter()
+    for d, t in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = low(run)
+            h = zlib.crc32(f"{'' if d is None else d}:{run}".encode())
+            counts[run[: h % len(run)] + run[h % len(run) + 1 :] if h % 97 == 0 else run] += 1
+    return {w: n for w, n in counts.items() if len(w) >= 5 and n >= 3}
+
+
+def one_edit(a: str, b: str) -> bool:
+    a, b = sorted((a, b), key=len)
+    if a == b or len(b) - len(a) > 1:
+        return False
+    i = next((i for i, c in enumerate(a) if c != b[i]), len(a))
+    return a[i + (len(a) == len(b)) :] == b[i + 1 :]
+
+
+def spelling(words: dict[str, int]) -> dict[str, dict]:
+    by_rest = defaultdict(set)  # words that are near or equal share a word with at most one letter gone
+    for w in words:
+        for rest in {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}:
+            by_rest[rest].add(w)
+    near = defaultdict(set)
+    for group in by_rest.values():
+        for a in group:
+            near[a].update(b for b in group if one_edit(a, b))
+    form = {}
+    for w, n in words.items():
+        best = min(near[w], key=lambda x: (-words[x], x), default=None)
+        form[w] = best if best and words[best] >= 2 * n else None
+    out = {}
+    for w, n in words.items():
+        root = w
+        while form[root]:
+            root = form[root]
+        out[w] = dict(form=form[w], root=root, n=n, n_near=len(near[w]), form_n=words.get(form[w]))
+    return out
+
+
+def filter_audit(docs, labels) -> dict[tuple, dict]:
+    """``docs``: (doc_id, text, lang); ``labels``: (doc_id, quality, toxic)."""
+    from itertools import permutations
+
+    ids = defaultdict(list)
+    for d, t, _ in docs:
+        ids[t or ""].append(d)
+    good, toxic = ({r[0] for r in labels if r[i] == 1} for i in (1, 2))
+    parts = defaultdict(list)
+    for d, t, lang in docs:
+        t = t or ""
+        w = SPACED.findall(t)
+        fails = {
+            "A": len(w) < 200,
+            "B": 100 * len(set(w)) < 50 * len(w),
+            "C": 100 * len(re.findall("[A-Z]", t)) > 3 * len(t),
+            "D": re.search("[#$%&*|]", t) is not None,
+            "E": d is not None and any(x is not None and x < d for x in ids[t]),
+        }
+        parts[lang or ""].append(({f for f in fails if fails[f]}, d is not None and d in good, d is not None and d in toxic))
+    out = {}
+    for part, rows in parts.items():
+        total = Counter()
+        for order in map("".join, permutations("ABCDE")):
+            left = rows
+            for step, f in enumerate(order, 1):
+                gone = [r for r in left if f in r[0]]
+                left = [r for r in left if f not in r[0]]
+                total[f] += len(gone)
+                out[part, order, step] = dict(
+                    kept=len(left),
+                    removed=len(gone),
+                    redundant=sum(f in r[0] for r in rows) - len(gone),
+                    unique_fails=sum(r[0] == {f} for r in rows),
+                    good_lost=sum(r[1] for r in gone),
+                    toxic_lost=sum(r[2] for r in gone),
+                )
+        for key in [k for k in out if k[0] == part]:
+            out[key]["shapley"] = total[key[1][key[2] - 1]]
+    return out

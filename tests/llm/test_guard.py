@@ -9,7 +9,7 @@ import sys
 def test_names():
     import __spark_entry__ as entry
 
-    assert {int(k[2:].split("_")[0]) for k in entry.queries() if k.startswith("op")} == set(range(1, 11))
+    assert {int(k[2:].split("_")[0]) for k in entry.queries() if k.startswith("op")} == set(range(1, 14))
     assert "pipeline" in entry.queries()
 
 
