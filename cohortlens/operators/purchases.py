@@ -12,10 +12,11 @@ Plan choices at scale (one customer may hold a third of all orders):
 * ``dense_rank_orders`` keeps only sequence numbers <= 5; Spark plans this as
   ``WindowGroupLimit`` on both sides of the shuffle, so a hot customer ships
   the rows of at most 5 distinct (date, id) keys per map task.
-* Row-level results (``purchase_intervals``, ``purchase_sequence``) order a
-  customer's *days*, at most one row per calendar day, and join the answer
-  back to the orders on (customer, day): a hot customer's orders spread over
-  their days, and Spark may split the join further.
+* Row-level results (``purchase_intervals``, ``purchase_sequence``) rank in
+  two levels: rows within (customer, day), which is the one exchange of whole
+  rows, and a customer's *days*, at most one row per calendar day, whose answer
+  is joined to the rows where they are. A hot customer's orders spread over
+  their days.
 """
 
 from __future__ import annotations
@@ -100,6 +101,11 @@ def _previous_days(days: DataFrame) -> DataFrame:
     return days.withColumn("prev", F.lag("order_date").over(Window.partitionBy("customer_id").orderBy("order_date")))
 
 
+def _by_day(orders: DataFrame) -> DataFrame:
+    """``o`` (the whole row) and ``day`` (customer and date): null parts compare equal inside a struct, as in a SQL window."""
+    return orders.select(F.struct("*").alias("o"), F.struct("customer_id", "order_date").alias("day"))
+
+
 def purchase_intervals(orders: DataFrame) -> DataFrame:
     """Every repeat order with ``prev_order_date`` and ``days_between``.
 
@@ -111,31 +117,17 @@ def purchase_intervals(orders: DataFrame) -> DataFrame:
     The first order of a day follows the customer's previous day, all others
     follow an order of the same day. Rows that repeat the first order's id on
     its day count one after another, by their other columns.
+
+    Whole rows move once, by (customer, day); the customer's days, combined
+    before they move, come to them.
     """
     dated = _dated(orders)
-    day_keys = ["customer_id", "order_date"]
-    days = _previous_days(
-        dated.groupBy(*day_keys, F.struct("order_id").alias("id"))  # a null id comes first, as in a sort
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy(*day_keys)
-        .agg(F.min("id").alias("id"), F.min_by("n", "id").alias("n"))
-    )
-    d, o = days.alias("d"), dated.alias("o")
-    on = (F.col("o.customer_id") == F.col("d.customer_id")) & (F.col("o.order_date") == F.col("d.order_date"))
-    first = F.struct("o.order_id").eqNullSafe(F.col("d.id"))
-    joined = o.join(d, on).select(F.struct("o.*").alias("o"), F.col("d.prev").alias("prev"), first.alias("first"), (F.col("d.n") > 1).alias("copies"))
-    plain = joined.where(~(F.col("first") & F.col("copies"))).select("o", F.when(F.col("first"), F.col("prev")).otherwise(F.col("o.order_date")).alias("prev"))
-    # Copies of a day's first order: equal rows are counted, then one of them follows the previous day.
-    tied = Window.partitionBy("o.customer_id", "o.order_date").orderBy("o")
-    copies = (
-        joined.where(F.col("first") & F.col("copies"))
-        .groupBy("o", "prev")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("leads", F.row_number().over(tied) == 1)
-        .select("o", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"), "prev", "leads")
-        .select("o", F.when(F.col("leads") & (F.col("i") == 1), F.col("prev")).otherwise(F.col("o.order_date")).alias("prev"))
-    )
-    out = plain.unionByName(copies).where(F.col("prev").isNotNull())
+    previous = _previous_days(dated.select("customer_id", "order_date").distinct())
+    days = previous.select(F.struct("customer_id", "order_date").alias("day"), "prev")
+    first = F.row_number().over(Window.partitionBy("day").orderBy("o.order_id", "o")) == 1
+    joined = _by_day(dated).select("o", "day", first.alias("first")).join(days, "day")
+    prev = F.when(F.col("first"), F.col("prev")).otherwise(F.col("o.order_date"))
+    out = joined.select("o", prev.alias("prev")).where(F.col("prev").isNotNull())
     return out.select("o.*", F.col("prev").alias("prev_order_date"), day_gap("o.order_date", "prev").alias("days_between"))
 
 
@@ -148,23 +140,17 @@ def purchase_sequence(orders: DataFrame) -> DataFrame:
 
     The number is the count of distinct (date, id) pairs on the customer's
     earlier days plus the rank within the day, so that only the orders of one
-    customer *and* day are ranked together.
+    customer *and* day are ranked together. Whole rows move once, by
+    (customer, day); beside them the distinct keys and the customer's days.
     """
-    keys = orders.select("customer_id", "order_date", "order_id").distinct()
-    per_day = keys.groupBy("customer_id", "order_date").agg(F.count(F.lit(1)).alias("n"))
+    per_day = orders.groupBy("customer_id", "order_date").agg(F.count_distinct(F.struct("order_id")).alias("n"))
     w = Window.partitionBy("customer_id").orderBy("order_date").rowsBetween(Window.unboundedPreceding, -1)
-    before = per_day.select("customer_id", "order_date", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
-    in_day = F.row_number().over(Window.partitionBy("customer_id", "order_date").orderBy("order_id"))
-    k, b, o = keys.withColumn("in_day", in_day).alias("k"), before.alias("b"), orders.alias("o")
-
-    def same(left: str, right: str, *names: str):
-        on = F.lit(True)
-        for n in names:
-            on = on & F.col(f"{left}.{n}").eqNullSafe(F.col(f"{right}.{n}"))
-        return on
-
-    rank = k.join(b, same("k", "b", "customer_id", "order_date")).select("k.*", (F.col("before") + F.col("in_day")).cast("int").alias("place")).alias("r")
-    return o.join(rank, same("o", "r", "customer_id", "order_date", "order_id")).select("o.*", F.col("r.place").alias("purchase_sequence"))
+    before = per_day.select(
+        F.struct("customer_id", "order_date").alias("day"), F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before")
+    )
+    in_day = F.dense_rank().over(Window.partitionBy("day").orderBy("o.order_id"))
+    ranked = _by_day(orders).select("o", "day", in_day.alias("in_day")).join(before, "day")
+    return ranked.select("o.*", (F.col("before") + F.col("in_day")).cast("int").alias("purchase_sequence"))
 
 
 def dense_rank_orders(

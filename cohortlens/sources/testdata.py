@@ -121,8 +121,8 @@ def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "lineitem")
 
 
-def write_customer_dump(spark: SparkSession, sf_dir: str, path: str, rows_per_file: int = 500) -> None:
-    """``customers`` as text files of INSERT statements, the input of the dump reader (quotes doubled, nulls bare)."""
+def _customer_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(customer_id, row): ``customers`` as row tuples of an INSERT (quotes doubled, nulls bare)."""
 
     def literal(name: str):
         quoted = F.concat(F.lit("'"), F.replace(F.col(name).cast("string"), F.lit("'"), F.lit("''")), F.lit("'"))
@@ -132,7 +132,19 @@ def write_customer_dump(spark: SparkSession, sf_dir: str, path: str, rows_per_fi
         F.lit("("), F.col("customer_id").cast("string"), F.lit(", "),
         F.concat_ws(", ", literal("customer_name"), literal("signup_date"), literal("segment")), F.lit(")"),
     )
+    return customers(spark, sf_dir).select("customer_id", row.alias("row"))
+
+
+def write_customer_dump(spark: SparkSession, sf_dir: str, path: str, rows_per_file: int = 500) -> None:
+    """``customers`` as text files of INSERT statements, the input of the dump reader."""
     statement = F.concat(F.lit("INSERT INTO customers VALUES\n"), F.array_join(F.collect_list("row"), ",\n"), F.lit(";\n"))
-    customers(spark, sf_dir).select(
-        F.floor(F.col("customer_id") / rows_per_file).alias("file"), row.alias("row")
-    ).groupBy("file").agg(statement.alias("value")).select("value").write.text(path)
+    _customer_tuples(spark, sf_dir).groupBy(F.floor(F.col("customer_id") / rows_per_file).alias("file")).agg(
+        statement.alias("value")
+    ).select("value").write.text(path)
+
+
+def write_customer_script(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """``customers`` as one file with one INSERT statement, as a seed script holds them; one task streams the file."""
+    tuples = _customer_tuples(spark, sf_dir).select(F.lit(1).alias("o"), F.concat("row", F.lit(",")).alias("value"))
+    edges = spark.createDataFrame([(0, "INSERT INTO customers VALUES"), (2, ";")], "o int, value string")
+    tuples.unionByName(edges).repartitionByRange(1, "o").sortWithinPartitions("o").select("value").write.text(path)

@@ -259,6 +259,7 @@ WHERE customer_id IN (SELECT customer_id FROM seg_customers)""", _ORDERS_Q, scop
 SELECT order_id, customer_id, product_id, order_date, quantity, CAST(order_value AS DECIMAL(10,2)) AS order_value
 FROM facts""", _FACTS, cohort=False)
     q["sql_dump_customers"] = _q("SELECT customer_id, customer_name, signup_date, segment FROM customers_v", cohort=False)
+    q["sql_dump_one_file"] = q["sql_dump_customers"]
     # retention
     q["cohort_sizes"] = _q(f"SELECT {_label('cohort_ord')} AS cohort_month, cohort_size FROM sizes")
     q["customer_activity"] = _q(

@@ -1,0 +1,61 @@
+"""The driver contract without the corpus folders, and where they can't be imported."""
+
+from __future__ import annotations
+
+import os
+import shutil
+import subprocess
+import sys
+
+import pytest
+
+import __spark_entry__ as E
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+CORPUS = shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "spark-warehouse")
+
+
+def _run(folder, *args: str) -> subprocess.CompletedProcess:
+    env = {**os.environ, "PYTHONPATH": str(folder)}
+    return subprocess.run([sys.executable, "-B", *args], cwd=folder, capture_output=True, text=True, env=env, timeout=900)
+
+
+def _keys(folder) -> set[str]:
+    code = "import __spark_entry__ as e; print(*e.queries()); assert set(e.oracle_sql()) <= set(e.queries())"
+    out = _run(folder, "-W", "ignore", "-c", code)
+    assert out.returncode == 0, out.stderr
+    return set(out.stdout.split())
+
+
+@pytest.fixture(scope="module")
+def bare(tmp_path_factory):
+    copy = tmp_path_factory.mktemp("bare") / "repo"
+    shutil.copytree(ROOT, copy, ignore=CORPUS)
+    return copy
+
+
+def test_without_the_corpus_folders(bare):
+    assert _keys(bare) == set(E._QUERIES)
+
+
+def test_with_a_folder_that_was_left_over(bare):
+    (bare / "cohortlens" / "llm" / "__pycache__").mkdir(parents=True)
+    try:
+        assert _keys(bare) == set(E._QUERIES)
+    finally:
+        shutil.rmtree(bare / "cohortlens" / "llm")
+
+
+def test_with_a_missing_dependency(tmp_path):
+    copy = tmp_path / "repo"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "spark-warehouse"))
+    (copy / "duckdb.py").write_text("raise ImportError('not here')\n")
+    (copy / "ahocorasick.py").write_text("raise ImportError('not here')\n")
+    assert _keys(copy) == set(E._QUERIES)
+
+
+def test_the_rest_of_the_suite_runs_without_the_corpus_folders(bare):
+    listed = _run(bare, "-m", "pytest", "tests", "--collect-only", "-q", "-p", "no:cacheprovider")
+    assert listed.returncode == 0, listed.stdout[-2000:]
+    some = _run(bare, "-m", "pytest", "tests/test_functions.py", "tests/test_ltv.py", "tests/test_cli.py", "-q", "-x", "-p", "no:cacheprovider")
+    assert some.returncode == 0, some.stdout[-2000:]

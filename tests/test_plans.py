@@ -110,3 +110,19 @@ def test_segment_repeat_intervals_semi_joins_after_aggregate(spark):
         left.append(l)
     # the semi join's left input is the per-customer aggregate, not the raw orders
     assert any(re.search(r"Aggregate \[customer_id#\d+L?\]", l) and "count(1)" in l for l in left), "\n".join(left)
+
+
+def test_row_level_purchases_move_whole_rows_once(spark):
+    """Neither rows nor days are moved again for the join of the two levels; days are combined before they move."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for query, narrow in ((purchases.purchase_intervals, 0), (purchases.purchase_sequence, 1)):
+            p = plan(query(td.orders(spark, SF)))
+            below = re.findall(r"Exchange hashpartitioning.*\n[^\n]*?(Project|HashAggregate|Filter|Window)([^\n]*)", p)
+            whole = [text for _, text in below if "order_value" in text]
+            assert len(whole) == 1, p
+            # distinct keys of the sequence; then the days, by day, by customer and back by day
+            assert len(below) == 1 + narrow + 3, p
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
