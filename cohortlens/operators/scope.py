@@ -46,3 +46,24 @@ def segment_scope(
     if segment is None or segment == ALL_SEGMENTS or not semi_join_orders:
         return scoped, orders
     return scoped, segment_orders(orders, scoped)
+
+
+def all_scopes(customers: DataFrame, orders: DataFrame) -> DataFrame:
+    """``orders`` once for the whole and once for each segment of its customer: ``all_segments, segment`` and all columns.
+
+    One pass over the fact serves every choice of segment: the customers'
+    segments, one row a customer, are joined to it and each order is expanded
+    in place. ``all_segments`` tells the whole (its ``segment`` is null) from
+    customers whose segment is null. As in :func:`segment_scope`, repeated
+    customer rows don't repeat orders, a customer in two segments counts in
+    both, and the whole keeps orders without a customer.
+    """
+    of_customer = customers.groupBy("customer_id").agg(F.collect_set(F.struct("segment")).alias("of"))
+    whole = F.array(F.struct(F.lit(True).alias("all_segments"), F.lit(None).cast("string").alias("segment")))
+    own = F.transform("of", lambda x: F.struct(F.lit(False).alias("all_segments"), x["segment"].alias("segment")))
+    joined = orders.select("customer_id", F.struct("*").alias("o")).join(of_customer, "customer_id", "left")
+    scopes = F.concat(whole, F.when(F.col("of").isNotNull(), own).otherwise(F.array().cast(_SCOPES)))
+    return joined.select("o", F.explode(scopes).alias("scope")).select("scope.*", "o.*")
+
+
+_SCOPES = "array<struct<all_segments: boolean, segment: string>>"

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.operators import ltv, purchases, retention
@@ -86,6 +86,19 @@ def adhoc_sql(
         return spark.sql(text)
 
 
+def adhoc_sql_counted(
+    spark: SparkSession, text: str, customers: DataFrame, products: DataFrame, orders: DataFrame
+) -> tuple[DataFrame, Callable[[], int]]:
+    """X2 with its row count in the same run: the lazy result, and a function that gives the number of its rows.
+
+    The count is an observed metric of the result's first action that reads all
+    rows (a write, ``collect``, ``toPandas``); the function waits for it, so call it afterwards. No second run of the statement.
+    """
+    seen = Observation()
+    rows = adhoc_sql(spark, text, customers, products, orders).observe(seen, F.count(F.lit(1)).alias("n_rows"))
+    return rows, lambda: seen.get["n_rows"]
+
+
 def preset_sql(name: str) -> str:
     """Spark SQL of a named analysis over its view; ``KeyError`` lists the known names."""
     named_query(name)

@@ -30,21 +30,29 @@ def read_parquet(spark: SparkSession, path: str, table: str) -> DataFrame:
     return normalize(spark.read.parquet(path), table)
 
 
-def read_csv(spark: SparkSession, path: str, table: str, multiline: bool = False) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, table: str, multiline: bool = False, months: list[str] | None = None
+) -> DataFrame:
     """CSV with a header row, ISO dates, RFC-4180 quoting (``""`` inside quotes).
 
     Columns are matched by their header names, in any order; further columns
     (such as an exported ``order_month``) are ignored, missing ones fail, and
     so does a part file whose header differs from the first one's. Malformed
     rows and values fail. ``multiline`` allows line breaks inside quoted
-    values; a file is then read by one task.
+    values; a file is then read by one task. ``months`` (``yyyy-MM``) keeps
+    the rows of an export with ``order_month``; of one laid out by month
+    only these months' files are read.
     """
+
     def reader():
         return spark.read.option("header", True).option("escape", '"').option("mode", "FAILFAST").option("multiLine", multiline)
 
     names = reader().csv(path).columns  # Spark reads the first header only
     strings = StructType([StructField(n, StringType()) for n in names])
-    return normalize(reader().schema(strings).option("enforceSchema", False).csv(path), table)
+    rows = reader().schema(strings).option("enforceSchema", False).csv(path)
+    if months is not None:
+        rows = rows.where(F.col("order_month").isin(months))
+    return normalize(rows, table)
 
 
 def read_jdbc(

@@ -9,6 +9,10 @@ from cohortlens.functions.calendar import month_label, month_ordinal
 from cohortlens.sources.schema import SCHEMAS
 
 
+#: About 100 MB of the fact table's CSV.
+ROWS_PER_FILE = 2_000_000
+
+
 def export_rows(df: DataFrame, table: str, with_order_month: bool = False) -> DataFrame:
     """Rows to export for ``table``: the documented columns present in ``df``, in schema order.
 
@@ -17,7 +21,7 @@ def export_rows(df: DataFrame, table: str, with_order_month: bool = False) -> Da
     names = [f.name for f in SCHEMAS[table].fields if f.name in df.columns]
     out = df.select(*names)
     if with_order_month and table == "orders":
-        out = out.withColumn("order_month", month_label(month_ordinal("order_date")))
+        out = out.withColumn("order_month", F.when(F.col("order_date").isNotNull(), month_label(month_ordinal("order_date"))))
     return out
 
 
@@ -26,6 +30,15 @@ def _single_line(name: str) -> Column:
     return F.when(F.col(name).rlike("[\\r\\n]"), broken.cast("string")).otherwise(F.col(name))
 
 
+def _by_month(rows: DataFrame, rows_per_file: int) -> DataFrame:
+    """``rows`` in ranges of (order_month, order_id); the input's partition splits what copies of one order would keep together."""
+    if rows_per_file < 1:
+        raise ValueError("rows_per_file must be positive")
+    ranges = max(1, -(-rows.count() // rows_per_file))
+    keys = ["order_month"] + ["order_id"] * ("order_id" in rows.columns)
+    return rows.withColumn("_source", F.spark_partition_id()).repartitionByRange(ranges, *keys, "_source").sortWithinPartitions(*keys).drop("_source")
+
+
 def write_csv(
     df: DataFrame,
     path: str,
@@ -33,24 +46,32 @@ def write_csv(
     with_order_month: bool = False,
     partition_by_month: bool = False,
     multiline: bool = False,
+    rows_per_file: int = ROWS_PER_FILE,
 ) -> None:
     """Write ``df`` as a directory of CSV part files with a header row.
 
     A quote inside a quoted value is doubled, as common CSV writers do; read back with :func:`cohortlens.sources.readers.read_csv`.
     ``partition_by_month`` lays the fact out as ``order_month=yyyy-MM/``
-    folders, so later month filters prune files. A line break in a value fails
+    folders, so later month filters prune files; rows are dealt by ranges of
+    (month, order id) of about ``rows_per_file`` rows each, so that a month has
+    about its rows / ``rows_per_file`` files and at most two more, however many tasks
+    write, and each file holds a range of order ids. No file has more than twice
+    that many rows. Orders without a date go to a folder of their own. A line break in a value fails
     the write, since such a file can't be split on reading, unless
     ``multiline`` allows it; read it back with ``multiline`` then.
     """
     rows = export_rows(df, table, with_order_month or partition_by_month)
     if not multiline:
         rows = rows.withColumns({c: _single_line(c) for c, kind in rows.dtypes if kind == "string"})
+    if partition_by_month:
+        rows = _by_month(rows, rows_per_file)
     writer = (
         rows.write.mode("overwrite")
         .option("header", True)
         .option("escape", '"')
         .option("quoteAll", False)
         .option("dateFormat", "yyyy-MM-dd")
+        .option("maxRecordsPerFile", 2 * rows_per_file)
     )
     if partition_by_month:
         writer = writer.partitionBy("order_month")

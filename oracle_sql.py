@@ -202,6 +202,22 @@ FROM (
 ) a""", *extra, scoped=scoped, cohort=False)
 
 
+def kpi_by_segment() -> str:
+    return _q("""
+SELECT p.all_segments, p.segment, CAST(coalesce(sales_cents, 0) AS DOUBLE) / 100 AS total_sales, total_customers,
+       coalesce(total_orders, 0) AS total_orders,
+       CASE WHEN total_orders > 0 THEN CAST(sales_cents AS DOUBLE) / (total_orders * 100) ELSE 0.0 END AS avg_order_value,
+       CASE WHEN qty_n > 0 THEN CAST(qty_sum AS DOUBLE) / qty_n END AS items_per_order
+FROM (
+  SELECT grouping(segment) = 1 AS all_segments, segment, count(DISTINCT customer_id) AS total_customers
+  FROM customers_v GROUP BY GROUPING SETS ((segment), ())
+) p LEFT JOIN (
+  SELECT grouping(c.segment) = 1 AS all_segments, c.segment, CAST(sum(o.cents) AS BIGINT) AS sales_cents,
+         count(DISTINCT o.order_id) AS total_orders, CAST(sum(o.quantity) AS BIGINT) AS qty_sum, count(o.quantity) AS qty_n
+  FROM orders_q o JOIN customers_v c ON c.customer_id = o.customer_id GROUP BY GROUPING SETS ((c.segment), ())
+) o ON o.all_segments = p.all_segments AND o.segment IS NOT DISTINCT FROM p.segment""", _ORDERS_Q, cohort=False)
+
+
 _FACTS = """
 facts AS (
   SELECT l.l_orderkey AS order_id, o.customer_id, l.l_partkey AS product_id, o.order_date,
@@ -258,6 +274,7 @@ WHERE customer_id IN (SELECT customer_id FROM seg_customers)""", _ORDERS_Q, scop
     q["csv_round_trip"] = _q("""
 SELECT order_id, customer_id, product_id, order_date, quantity, CAST(order_value AS DECIMAL(10,2)) AS order_value
 FROM facts""", _FACTS, cohort=False)
+    q["csv_months"] = q["csv_round_trip"] + " WHERE strftime(order_date, '%Y-%m') IN ('1995-03', '1996-12')"
     q["sql_dump_customers"] = _q("SELECT customer_id, customer_name, signup_date, segment FROM customers_v", cohort=False)
     q["sql_dump_one_file"] = q["sql_dump_customers"]
     # retention
@@ -334,6 +351,21 @@ FROM (
     # sales
     q["kpi_summary"] = kpi_summary()
     q["kpi_summary_segment"] = kpi_summary(scoped=True)
+    q["kpi_summary_dense_ids"] = kpi_summary()
+    q["kpi_by_segment"] = q["kpi_by_segment_dense_ids"] = kpi_by_segment()
+    q["monthly_sales_by_segment"] = _q(f"""
+SELECT grouping(c.segment) = 1 AS all_segments, c.segment, {_label(_month_ord('order_date'))} AS order_month,
+       CAST(CAST(sum(cents) AS BIGINT) AS DOUBLE) / 100 AS sales
+FROM orders_v JOIN customers_v c USING (customer_id) WHERE order_date IS NOT NULL
+GROUP BY GROUPING SETS ((c.segment, {_month_ord('order_date')}), ({_month_ord('order_date')}))""", cohort=False)
+    q["category_sales_by_segment"] = _q("""
+SELECT all_segments, segment, category, CAST(cents AS DOUBLE) / 100 AS sales,
+       CAST(cents AS DOUBLE) / CAST(sum(cents) OVER (PARTITION BY all_segments, segment) AS DOUBLE) AS sales_share
+FROM (
+  SELECT grouping(c.segment) = 1 AS all_segments, c.segment, p.category,
+         CAST(sum(CAST(round(f.order_value * 100) AS BIGINT)) AS BIGINT) AS cents
+  FROM facts f JOIN products_v p USING (product_id) JOIN customers_v c ON c.customer_id = f.customer_id
+  GROUP BY GROUPING SETS ((c.segment, p.category), (p.category)))""", _FACTS, cohort=False)
     q["monthly_sales"] = _q(f"""
 SELECT {_label(_month_ord('order_date'))} AS order_month, CAST(CAST(sum(cents) AS BIGINT) AS DOUBLE) / 100 AS sales
 FROM orders_v WHERE order_date IS NOT NULL GROUP BY {_month_ord('order_date')}""", cohort=False)
