@@ -101,11 +101,6 @@ def _previous_days(days: DataFrame) -> DataFrame:
     return days.withColumn("prev", F.lag("order_date").over(Window.partitionBy("customer_id").orderBy("order_date")))
 
 
-def _by_day(orders: DataFrame) -> DataFrame:
-    """``o`` (the whole row) and ``day`` (customer and date): null parts compare equal inside a struct, as in a SQL window."""
-    return orders.select(F.struct("*").alias("o"), F.struct("customer_id", "order_date").alias("day"))
-
-
 def purchase_intervals(orders: DataFrame) -> DataFrame:
     """Every repeat order with ``prev_order_date`` and ``days_between``.
 
@@ -122,11 +117,12 @@ def purchase_intervals(orders: DataFrame) -> DataFrame:
     before they move, come to them.
     """
     dated = _dated(orders)
-    previous = _previous_days(dated.select("customer_id", "order_date").distinct())
-    days = previous.select(F.struct("customer_id", "order_date").alias("day"), "prev")
-    first = F.row_number().over(Window.partitionBy("day").orderBy("o.order_id", "o")) == 1
-    joined = _by_day(dated).select("o", "day", first.alias("first")).join(days, "day")
-    prev = F.when(F.col("first"), F.col("prev")).otherwise(F.col("o.order_date"))
+    days = _previous_days(dated.select("customer_id", "order_date").distinct())
+    day = ["customer_id", "order_date"]
+    rows = dated.select(*day, F.struct("*").alias("o"))
+    first = F.row_number().over(Window.partitionBy(*day).orderBy("o.order_id", "o")) == 1
+    joined = rows.withColumn("first", first).join(days, day)
+    prev = F.when(F.col("first"), F.col("prev")).otherwise(F.col("order_date"))
     out = joined.select("o", prev.alias("prev")).where(F.col("prev").isNotNull())
     return out.select("o.*", F.col("prev").alias("prev_order_date"), day_gap("o.order_date", "prev").alias("days_between"))
 
@@ -148,8 +144,10 @@ def purchase_sequence(orders: DataFrame) -> DataFrame:
     before = per_day.select(
         F.struct("customer_id", "order_date").alias("day"), F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before")
     )
+    # Null customers and dates: inside a struct, null parts are equal, as in a SQL window.
+    rows = orders.select(F.struct("*").alias("o"), F.struct("customer_id", "order_date").alias("day"))
     in_day = F.dense_rank().over(Window.partitionBy("day").orderBy("o.order_id"))
-    ranked = _by_day(orders).select("o", "day", in_day.alias("in_day")).join(before, "day")
+    ranked = rows.select("o", "day", in_day.alias("in_day")).join(before, "day")
     return ranked.select("o.*", (F.col("before") + F.col("in_day")).cast("int").alias("purchase_sequence"))
 
 

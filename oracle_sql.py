@@ -285,6 +285,7 @@ FROM facts""", _FACTS, cohort=False)
         f"SELECT {_label('cohort_ord')} AS cohort_month, month_index, active_shoppers FROM cells")
     q["retention_matrix"] = retention_matrix()
     q["retention_matrix_segment"] = retention_matrix(scoped=True)
+    q["retention_matrix_bucketed"] = q["retention_matrix"]
     q["retention_pct_first_index"] = _q(f"""
 SELECT {_label('cohort_ord')} AS cohort_month, month_index, active_shoppers, first_index_shoppers, retention_fraction
 FROM fi""", _FIRST_INDEX)
@@ -301,6 +302,7 @@ FROM fi""", _FIRST_INDEX, **late)
 SELECT customer_id, {_label('cohort_ord')} AS cohort_month, month_index,
        CAST(CAST(sum(cents) AS BIGINT) AS DOUBLE) / 100 AS total_spend
 FROM act GROUP BY customer_id, cohort_ord, month_index""")
+    q["monthly_spend_bucketed"] = q["monthly_spend"]
     q["cohort_monthly_spend"] = _q(
         f"SELECT {_label('cohort_ord')} AS cohort_month, month_index, CAST(spend_cents AS DOUBLE) / 100 AS cohort_spend FROM cells")
     q["cohort_ltv"] = cohort_ltv()
