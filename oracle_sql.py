@@ -252,6 +252,12 @@ def oracle_queries() -> dict[str, str]:
     q["pk_violations"] = """
 SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem
 GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1"""
+    q["pk_violations_dense_ids"] = """
+SELECT l_orderkey AS order_id, count(*) AS n_rows FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1"""
+    q["fk_violations_dense_ids"] = """
+SELECT 'product_id' AS fk_column, l_partkey AS key_value, count(*) AS n_rows FROM lineitem
+WHERE l_partkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_type LIKE 'S%')
+GROUP BY l_partkey"""
     q["fk_violations"] = _q("""
 SELECT 'customer_id' AS fk_column, customer_id AS key_value, count(*) AS n_rows FROM facts
 WHERE customer_id IS NOT NULL AND customer_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey IS NOT NULL)
