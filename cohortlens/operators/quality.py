@@ -64,7 +64,7 @@ def orphan_keys(
 
     ``dense_ids`` is for integer keys that are numbered densely: bitmaps of
     both sides, one a block of 32,768 ids and task, tell the blocks in which the fact has ids that the
-    dimension lacks; only the fact rows of those are counted and joined.
+    dimension lacks; only the rows and keys of those are counted and joined.
     """
     known = fact.where(F.col(fk).isNotNull())
     if dense_ids:
@@ -76,7 +76,7 @@ def orphan_keys(
             F.bitmap_or_agg("ids").alias("ids"), F.max(F.when(F.col("of_dim"), F.col("ids"))).alias("dim_ids")
         )
         blocks = both.where(F.bitmap_count("ids") > F.coalesce(F.bitmap_count("dim_ids"), F.lit(0)))
-        known = _in_blocks(known.select(fk), fk, blocks)
+        known, dim = _in_blocks(known.select(fk), fk, blocks), _in_blocks(dim.select(pk), pk, blocks)
     counts = known.groupBy(F.col(fk).alias("key_value")).agg(F.count(F.lit(1)).alias("n_rows"))
     keys = dim.select(F.col(pk).alias("key_value")).distinct()
     return counts.join(keys, "key_value", "left_anti").select(
