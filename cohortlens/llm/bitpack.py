@@ -20,13 +20,15 @@ bit first.
 Defined cases: a null or empty text is one end id; a null document id comes
 first; rows that repeat an id stay next to each other, in order of their
 texts' hashes; an empty table gives no files and an empty result. Ids of
-documents are integers.
+documents are integers. An added token's string in a text gives that token's
+id, as in the library's plain ``encode``.
 """
 
 from __future__ import annotations
 
 import functools
 import itertools
+import re
 import uuid
 import zlib
 
@@ -114,13 +116,14 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
         vocabulary = self.tokenizer.get_vocab()
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         self.begins[[i for token, i in vocabulary.items() if token.startswith(space)]] = True
         self.bits = bits_for(self.tokenizer.get_vocab_size())
-        self.pattern, self.odd = narrow(pattern), ODD
+        # Texts that hold an added token's string go through the library whole, as it gives the token's id.
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pattern, self.odd = narrow(pattern), re.compile("|".join([ODD.pattern, *added]))
         self.cache_words, self.cache = cache_words, {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:

@@ -74,7 +74,8 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.report(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
+    r = suffix_dedup.report(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
+    return r.withColumn("has_repeat", F.col("n_removed") > 0)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,7 +52,6 @@ def test_packed_ids(edge, none):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(JSON)
-    tok.encode_special_tokens = True
     ids = {t: [*tok.encode(t or "", add_special_tokens=False).ids, 0] for _, t in EDGE}
     assert [r["doc"] for r in got] == sorted((d for d, _ in EDGE), key=lambda d: (d is not None, d))
     assert Counter((r["doc"], tuple(np.frombuffer(r["ids"], "<u4"))) for r in got) == Counter((d, tuple(ids[t])) for d, t in EDGE)
