@@ -2,11 +2,15 @@
 
 Method: each rule looks at a few text statistics and votes good (1), bad (-1)
 or abstains (0). Votes are taken as independent given the hidden quality;
-expectation-maximisation estimates every rule's accuracy on good and on bad
-documents from the counts of vote patterns (the share of good ones is a
-parameter), and the posterior probability of good quality replaces all-must-pass filtering. Built-in functions only; the
+expectation-maximisation estimates the share of good documents and, for every
+rule, how often its votes are bad on good and on bad documents, from the counts
+of vote patterns. The posterior probability of good quality replaces
+all-must-pass filtering: a bad vote counts by its rule's estimated accuracy, so
+that the good votes of the others can outvote one of an inaccurate rule. The
+model is estimated on the documents it decides on, those that pass the base
+rule. Built-in functions only; the
 estimation runs on the table of vote patterns, at most 3^rules rows whatever
-the input, and the driver sees one row of parameters a round.
+the input, and the driver sees one row of sums a round.
 
 Statistics per text (words ``[^\\x20\\x09-\\x0D]+``): n_words; word_chars, their
 code points; n_symbols, characters of ``[#*$%&|<>]``; n_dup_lines, lines with
@@ -32,15 +36,13 @@ from cohortlens.llm.common import SPACE_SPLIT, materialize, text_or_empty, words
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
-ROUNDS = 25
+ROUNDS = 40
 KEEP_AT = 0.5
-#: P(good) before any vote. A fixed assumption: estimated from abstaining documents it would drift.
-GOOD_SHARE = 0.8
-#: Prior belief that a rule's bad vote is right, and its weight against the rule's own votes. A rule whose
-#: defect no other rule sees has nothing else to be measured by.
-BELIEF, BELIEF_WEIGHT = 0.9, 2.0
-#: Where the estimation starts: P(good) of a document without a bad vote, and P(bad) of one with.
-START = 0.9
+#: Prior belief that a rule's bad vote is right, and its weight against what the other rules' votes say of it. At weight 1
+#: a rule whose bad votes go with no other rule's ends at less than half of them right.
+BELIEF, BELIEF_WEIGHT = 0.9, 1.0
+#: Added to each count, so that no probability is 0.
+SMOOTHING = 0.1
 
 
 def _window_hash(words: Column, i: Column) -> Column:
@@ -143,20 +145,22 @@ def _vote(bad: Column, good: Column) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """Name -> vote over the statistics' columns. Fixed thresholds, in shares of words or characters."""
+    """Name -> graded vote over the statistics' columns: bad beyond one threshold, good within another, abstaining between."""
     n = F.greatest(F.col("n_words"), F.lit(1))
-    chars = F.greatest(F.col("word_chars"), F.lit(1))
+    lines = F.greatest(F.col("n_lines"), F.lit(1))
     mean = F.col("word_chars") / n
+    variety = F.col("n_distinct") / n
+    capitals = 2 * F.col("n_upper") / F.greatest(F.col("word_chars"), F.lit(1))
     return {
-        "length": _vote(F.col("n_words") < 20, F.col("n_words") >= 80),
-        "word_size": _vote((mean < 2) | (mean > 15), (mean >= 3) & (mean <= 10)),
-        "variety": _vote((F.col("n_distinct") / n < 0.1) & (F.col("n_words").between(50, 2000)), F.col("n_distinct") / n > 0.4),
-        # One-sided rules: nothing odd in one respect is no sign of quality, so they abstain.
-        "symbols": _vote(F.col("n_symbols") / n > 0.15, F.lit(False)),
-        "repeats": _vote(100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n, F.lit(False)),
-        "lines": _vote(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)) > 0.5, F.lit(False)),
-        "capitals": _vote(2 * F.col("n_upper") / chars > 0.4, F.lit(False)),
-        "exclamations": _vote(F.col("n_bangs") / n > 0.3, F.lit(False)),
+        "length": _vote(F.col("n_words") < MIN_WORDS, F.col("n_words") >= 80),
+        "word_size": _vote((mean < 3) | (mean > 7), (mean >= 4) & (mean <= 6.5)),
+        # The share of different words falls with the length of any text.
+        "variety": _vote((variety < 0.3) & (n <= 2000), variety > 0.5),
+        "symbols": _vote(F.col("n_symbols") / n > 0.1, F.col("n_symbols") / n <= 0.01),
+        "repeats": _vote(F.col("n_repeat_words") / n > 0.3, F.col("n_repeat_words") / n <= 0.1),
+        "lines": _vote(F.col("n_dup_lines") / lines > 0.3, F.col("n_dup_lines") / lines <= 0.1),
+        "capitals": _vote(capitals > 0.2, capitals <= 0.05),
+        "exclamations": _vote(F.col("n_bangs") / n > 0.1, F.col("n_bangs") / n <= 0.02),
     }
 
 
@@ -169,67 +173,78 @@ def _posterior(model: dict, names: list[str]) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-score))
 
 
-def fit(votes: DataFrame, names: list[str], rounds: int = ROUNDS, good_share: float = GOOD_SHARE) -> dict:
-    """The label model {prior, good, bad}: per class and rule the probability of each vote, by EM over vote patterns.
+def _estimate(sums: dict, names: list[str]) -> dict:
+    """The model from a round's sums: ``docs``, ``good``, and per rule the bad and good votes of either class."""
+    total, n_good = sums["docs"] or 0, sums["good"] or 0.0
+    model = {"prior": (n_good + SMOOTHING) / (total + 2 * SMOOTHING), "good": {}, "bad": {}}
+    for i, r in enumerate(names):
+        votes = {(c, v): sums[f"s_{c}_{i}_{v + 1}"] or 0.0 for c in ("good", "bad") for v in (-1, 1)}
+        cast_bad = votes["good", -1] + votes["bad", -1]
+        for c, belief in (("good", 1 - BELIEF), ("bad", BELIEF)):
+            bad = (votes[c, -1] + BELIEF_WEIGHT * belief * cast_bad) / (1 + BELIEF_WEIGHT) + SMOOTHING
+            good = votes[c, 1] + SMOOTHING
+            model[c][r] = {-1: bad / (bad + good), 1: good / (bad + good)}
+    return model
+
 
-    Round one starts from the posterior ``START`` (a document with a bad vote
-    is probably bad). Estimates are smoothed by one document per outcome and
-    by the prior ``BELIEF`` in the rules' bad votes, and a rule is never read against its meaning: its bad vote is at least as
-    likely for bad documents, its good vote for good ones. So a document
-    without a bad vote never falls below ``good_share``. An empty table gives
-    an uninformative model.
+def fit(votes: DataFrame, names: list[str], rounds: int = ROUNDS) -> dict:
+    """The label model {prior, good, bad}: the share of good documents, and per class and rule the probabilities of a bad
+    and a good vote among those cast, by EM over vote patterns.
+
+    Round one starts from the share of good votes among a document's votes.
+    Of each rule's bad votes, a part in proportion to ``BELIEF_WEIGHT`` is
+    taken as right in ``BELIEF`` of the cases; nothing else is assumed. An
+    empty table gives an uninformative model.
     """
     patterns = materialize(votes.groupBy(*names).agg(F.count("*").alias("docs")), "vote-patterns").coalesce(1)
-    any_bad = F.lit(False)
-    for r in names:
-        any_bad = any_bad | (F.col(r) == -1)
-    good, model = F.when(any_bad, F.lit(1 - START)).otherwise(F.lit(START)), None
+    n_bad, n_good = (sum(((F.col(r) == v).cast("double") for r in names), F.lit(0.0)) for v in (-1, 1))
+    good, model = (n_good + 1) / (n_good + n_bad + 2), None
     d, g = F.col("docs"), F.col("good")
     sums = [
         F.sum(d * w * (F.col(r) == v).cast("double")).alias(f"s_{c}_{i}_{v + 1}")
         for i, r in enumerate(names)
-        for v in (-1, 0, 1)
+        for v in (-1, 1)
         for c, w in (("good", g), ("bad", 1 - g))
     ]
     for _ in range(rounds):
-        row = patterns.withColumn("good", good).agg(F.sum(d).alias("docs"), F.sum(d * g).alias("good"), *sums).first()
-        total, n_good = row["docs"] or 0, row["good"] or 0.0
-        new = {"prior": good_share, "good": {}, "bad": {}}
-        for i, r in enumerate(names):
-            p, q = ([(row[f"s_{c}_{i}_{v}"] or 0.0) + 1 for v in range(3)] for c in ("good", "bad"))
-            bad_votes = p[0] + q[0]
-            p[0] = (p[0] + BELIEF_WEIGHT * (1 - BELIEF) * bad_votes) / (1 + BELIEF_WEIGHT)
-            q[0] = (q[0] + BELIEF_WEIGHT * BELIEF * bad_votes) / (1 + BELIEF_WEIGHT)
-            p, q = ([x / (n + 3) for x in y] for y, n in ((p, n_good), (q, total - n_good)))
-            p[0], q[0] = min(p[0], q[0]), max(p[0], q[0])
-            p[2], q[2] = max(p[2], q[2]), min(p[2], q[2])
-            new["good"][r], new["bad"][r] = ({v: x[v + 1] / sum(x) for v in (-1, 0, 1)} for x in (p, q))
-        moved = 1.0 if model is None else max(abs(new[c][r][v] - model[c][r][v]) for c in ("good", "bad") for r in names for v in (-1, 0, 1))
+        row = patterns.withColumn("good", good).agg(F.sum(d).alias("docs"), F.sum(d * g).alias("good"), *sums).first().asDict()
+        new = _estimate(row, names)
+        moved = 1.0 if model is None else max(abs(new[c][r][v] - model[c][r][v]) for c in ("good", "bad") for r in names for v in (-1, 1))
         model, good = new, _posterior(new, names)
-        if moved < 1e-5 or not total:
+        if moved < 1e-4 or not row["docs"]:
             break
     return model
 
 
-def judge(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, keep_at: float = KEEP_AT, rounds: int = ROUNDS) -> DataFrame:
-    """``keep`` columns, the statistics, base_failed, p_good and kept (false if base_failed, else p_good >= keep_at).
+def judge(
+    docs: DataFrame,
+    text_col: str = "text",
+    keep: list[str] | None = None,
+    keep_at: float = KEEP_AT,
+    rounds: int = ROUNDS,
+    votes: dict[str, Column] | None = None,
+) -> DataFrame:
+    """``keep`` columns, the statistics, base_failed, p_good, n_bad_votes and kept (false if base_failed, else p_good >= keep_at).
 
-    Statistics and votes are written once (about 100 bytes a document) and read by the estimation and the verdict.
+    ``votes`` are the rules, name -> vote over the statistics' columns (default: ``rules()``). Statistics and votes are
+    written once (about 100 bytes a document) and read by the estimation and the verdict.
     """
-    named = {f"vote_{k}": v for k, v in rules().items()}
+    named = {f"vote_{k}": v for k, v in (rules() if votes is None else votes).items()}
     keep = docs.columns if keep is None else keep
     # Stored under positional names, so that a column named like a statistic can't clash.
     inner = docs.select(*[F.col(f"`{c}`").alias(f"keep_{i}") for i, c in enumerate(keep)], text_or_empty(text_col).alias("text_"))
     s = statistics(inner, "text_", [f"keep_{i}" for i in range(len(keep))])
-    s = materialize(s.withColumns(named), "quality-votes")
-    model = fit(s, list(named), rounds)
-    s = s.withColumn("p_good", _posterior(model, list(named))).withColumn("base_failed", base_failed())
+    s = materialize(s.withColumns({**named, "base_failed": base_failed()}), "quality-votes")
+    model = fit(s.where(~F.col("base_failed")), list(named), rounds)
+    n_bad = sum(((F.col(r) == -1).cast("long") for r in named), F.lit(0).cast("long"))
+    s = s.withColumns({"p_good": _posterior(model, list(named)), "n_bad_votes": n_bad})
     stats = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return s.select(
         *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)],
         *stats,
         "base_failed",
         "p_good",
+        "n_bad_votes",
         (~F.col("base_failed") & (F.col("p_good") >= keep_at)).alias("kept"),
     )
 

@@ -54,6 +54,61 @@ def quality_stats(text: str | None) -> dict:
     )
 
 
+def quality_votes(text: str | None) -> list[int]:
+    """The rules' votes in plain Python: -1 bad, 1 good, 0 abstains."""
+    t, s = text or "", quality_stats(text)
+    w = SPACED.findall(t)
+    n, lines = max(1, len(w)), max(1, sum(1 for x in t.split("\n") if SPACED.search(x)))
+    graded = [
+        (s["word_chars"] / n, (3, 7), (4, 6.5)),
+        (s["n_symbols"] / n, (None, 0.1), (None, 0.01)),
+        (s["n_repeat_words"] / n, (None, 0.3), (None, 0.1)),
+        (s["n_dup_lines"] / lines, (None, 0.3), (None, 0.1)),
+        (2 * len(re.findall("[A-Z]{2}", t)) / max(1, s["word_chars"]), (None, 0.2), (None, 0.05)),
+        (t.count("!") / n, (None, 0.1), (None, 0.02)),
+    ]
+    votes = [-1 if len(w) < 50 else int(len(w) >= 80)]
+    variety = len(set(w)) / n
+    votes.append(-1 if variety < 0.3 and n <= 2000 else int(variety > 0.5))
+    for x, (low, high), (least, most) in graded:
+        bad = x > high or (low is not None and x < low)
+        votes.append(-1 if bad else int((least is None or x >= least) and x <= most))
+    return votes
+
+
+def label_model(votes: list[list[int]], rounds: int = 40, belief: float = 0.9, weight: float = 1.0, smooth: float = 0.1) -> list[float]:
+    """P(good) of each row of votes, document by document."""
+    good = [(v.count(1) + 1) / (v.count(1) + v.count(-1) + 2) for v in votes]
+    last = None
+    for _ in range(rounds):
+        share = (sum(good) + smooth) / (len(good) + 2 * smooth)
+        rates = []
+        for r in range(len(votes[0]) if votes else 0):
+            bad = [sum(g for g, v in zip(good, votes, strict=True) if v[r] == -1), sum(1 - g for g, v in zip(good, votes, strict=True) if v[r] == -1)]
+            fine = [sum(g for g, v in zip(good, votes, strict=True) if v[r] == 1), sum(1 - g for g, v in zip(good, votes, strict=True) if v[r] == 1)]
+            n = sum(bad)
+            bad = [(b + weight * x * n) / (1 + weight) for b, x in zip(bad, (1 - belief, belief), strict=True)]
+            rates.append([(b + smooth) / (b + f + 2 * smooth) for b, f in zip(bad, fine, strict=True)])
+        good = []
+        for v in votes:
+            a, b = share, 1 - share
+            for vote, (p, q) in zip(v, rates, strict=True):
+                if vote:
+                    a, b = (a * p, b * q) if vote < 0 else (a * (1 - p), b * (1 - q))
+            good.append(a / (a + b))
+        flat = [x for pair in rates for x in pair]
+        if last and max(abs(x - y) for x, y in zip(flat, last, strict=True)) < 1e-4:
+            break
+        last = flat
+    return good
+
+
+def quality_kept(rows: list[tuple[int, str | None]]) -> set[int]:
+    """Ids that pass the base rule and the label model, which is estimated on those that pass the base rule."""
+    passed = [(d, quality_votes(t)) for d, t in rows if not quality_stats(t)["base_failed"]]
+    return {d for (d, _), p in zip(passed, label_model([v for _, v in passed]), strict=True) if p >= 0.5}
+
+
 def suffix_repeats(docs: list[tuple[int, str | None]], length: int = 400) -> dict[int, dict]:
     texts = [(d, (t or "").encode()) for d, t in docs]
     seen = Counter(b[i : i + length] for _, b in texts for i in range(len(b) - length + 1))

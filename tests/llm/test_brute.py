@@ -37,6 +37,7 @@ def test_license_scan(spark, rows):
 def test_quality_rules(spark, rows):
     got = run(spark, "op2_quality_rules")
     same(got, {d: B.quality_stats(t) for d, t in rows}, ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"])
+    assert {d for d, r in got.items() if r["kept"]} == B.quality_kept(rows)
     assert not any(r["kept"] and r["base_failed"] for r in got.values())
 
 
@@ -131,7 +132,7 @@ def test_pipeline(spark, rows):
     from cohortlens.llm.bpe import read_ranks
 
     result = {r["doc_id"]: r for r in corpus_pipeline.run(spark, SF).collect()}
-    kept = {r["doc_id"] for r in Q.QUERIES["op2_quality_rules"](spark, SF).collect() if r["kept"]}
+    kept = B.quality_kept(rows)
     docs = [(d, t) for d, t in rows if d in kept]
     lines = B.line_dedup(docs)
     docs = [(d, lines[d]["kept"]) for d, _ in docs]

@@ -226,8 +226,27 @@ def test_label_model_separates_planted_quality(spark):
     assert model["bad"]["r0"][-1] / model["good"]["r0"][-1] > model["bad"]["r3"][-1] / model["good"]["r3"][-1]
     right = votes.withColumn("p", quality._posterior(model, names)).where((F.col("p") >= 0.5) == F.col("good")).count()
     assert right > 0.92 * len(rows)
-    # Without a bad vote a document never falls below the prior share.
-    assert votes.withColumn("p", quality._posterior(model, names)).where("r0 >= 0 and r1 >= 0 and r2 >= 0 and r3 >= 0 and p < 0.79").count() == 0
+
+
+def test_label_model_beats_all_must_pass(spark):
+    """Rules of planted accuracy through ``judge``: a vote is a base-3 digit of the text's length beyond 50 words."""
+    rng = random.Random(11)
+    # (a good document's bad votes, a bad document's bad votes, share of abstentions); r4 is noise.
+    rules = {"r0": (0.03, 0.9, 0.3), "r1": (0.05, 0.9, 0.3), "r2": (0.05, 0.85, 0.3), "r3": (0.1, 0.8, 0.6), "r4": (0.3, 0.3, 0.1)}
+    rows, truth = [], {}
+    for i in range(3000):
+        truth[i] = good = rng.random() < 0.35
+        votes = [0 if rng.random() < skip else (-1 if rng.random() < (a if good else b) else 1) for a, b, skip in rules.values()]
+        rows.append((i, " ".join(f"w{j}" for j in range(50 + sum((v + 1) * 3**k for k, v in enumerate(votes))))))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    digit = {r: (F.floor((F.col("n_words") - 50) / 3**k) % 3 - 1).cast("int") for k, r in enumerate(rules)}
+    got = {r["doc_id"]: r for r in quality.judge(docs, keep=["doc_id"], votes=digit).collect()}
+    must = {d: r["n_bad_votes"] == 0 for d, r in got.items()}
+    right = sum(r["kept"] == truth[d] for d, r in got.items())
+    assert right > 0.93 * len(rows) and right > sum(must[d] == truth[d] for d in got) + 0.05 * len(rows)
+    # Both ways: votes of inaccurate rules are outvoted, and documents that no accurate rule speaks for go.
+    assert sum(r["kept"] and not must[d] and truth[d] for d, r in got.items()) > 200
+    assert sum(must[d] and not r["kept"] and not truth[d] for d, r in got.items()) > 10
 
 
 def test_quality_repeats_in_a_long_text_go_by_whole_hashes(spark):
@@ -239,13 +258,15 @@ def test_quality_repeats_in_a_long_text_go_by_whole_hashes(spark):
 
 
 def test_quality_against_labels(spark):
-    """Held-out labels of the test tables: junk goes, good documents stay."""
+    """Held-out labels of the test tables: junk goes, good documents stay, also those that fail a single rule."""
     sf = "/root/testdata/sf0.01"
     q = quality.judge(spark.read.parquet(f"{sf}/documents.parquet"), keep=["doc_id"])
     rows = q.where(~F.col("base_failed")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
     good = [r["kept"] for r in rows if r["quality"] == 1]
     junk = [r["kept"] for r in rows if r["quality"] == 0]
     assert sum(good) >= 0.98 * len(good) and sum(junk) <= 0.2 * len(junk)
+    must = [r["n_bad_votes"] == 0 for r in rows if r["quality"] == 1]
+    assert sum(good) >= sum(must)
 
 
 def test_html_on_held_out_layouts():
