@@ -81,17 +81,24 @@ _MARKUP = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-_NAME = re.compile("[a-z]+")
+#: Words of a name: runs of letters, cut where a capital follows a small letter (userComments) or begins a word (HTMLBody).
+_NAME = re.compile("[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: The next start or end (group 1) of a control: one that is followed by a start before an end has none of its own.
 _CONTROL = {t: re.compile(f"<(/)?{t}(?=[\\s/>])", re.I) for t in ("button", "select")}
 
 
+#: Elements that hold main text by their name, and those that are apart from the text around them by theirs.
+_ARTICLE = frozenset(("article", "main"))
+_APART = frozenset("nav aside footer form dialog".split())
+
+
 @dataclass
 class Node:
     tag: str
     parent: int
     words: tuple[str, ...] = ()
     y: str | None = None
+    inside: bool = False
     blocks: list[int] = field(default_factory=list)
     chars: int = 0
     link_chars: int = 0
@@ -180,8 +187,13 @@ class Page:
         node = self._stack[-1][1]
         if tag not in INLINE and tag != "html":
             values = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)} if attributes else {}
-            words = {WORDS[w] for k in ("class", "id", "role") for w in _NAME.findall(values.get(k, "").lower()) if w in WORDS}
-            self.nodes.append(Node(tag, node, tuple(sorted(words)), values.get("y")))
+            words = {WORDS[w] for k in ("class", "id", "role") for w in map(str.lower, _NAME.findall(values.get(k, ""))) if w in WORDS}
+            parent = self.nodes[node]
+            # Inside the article: below an article element or a box named as main text, with no named box of another kind between.
+            # A word of main text beside another kind (page-header, post-footer) only says whose box it is.
+            words = words if words <= {"main"} else words - {"main"}
+            inside = words <= {"main", "head"} and tag not in _APART and (parent.inside or parent.tag in _ARTICLE or "main" in parent.words)
+            self.nodes.append(Node(tag, node, tuple(sorted(words)), values.get("y"), inside))
             node = len(self.nodes) - 1
         if loose:
             self._loose.append(len(self._stack))
@@ -224,11 +236,13 @@ class Page:
 
 def _features(n: Node) -> list[str]:
     tag = "h" if re.fullmatch("h[1-6]", n.tag) else n.tag
-    found = [f"tag {tag}"] + [f"word {w}" for w in n.words]
+    # An article's own header holds its heading; a page's header is none of the text. Links in an article are references.
+    place = " inside" if n.inside else ""
+    found = [f"tag {tag}{place if tag == 'header' else ''}"] + [f"word {w}{place if w == 'head' else ''}" for w in n.words]
     if n.chars:
         size = "tiny" if n.chars < 25 else "short" if n.chars < 80 else "long"
         link = n.link_chars / n.chars
-        found += [f"size {size}", f"link {'no' if link < 0.2 else 'some' if link < 0.6 else 'all'}"]
+        found += [f"size {size}", f"link {'no' if link < 0.2 else 'some' if link < 0.6 else 'all'}{place}"]
     return found
 
 

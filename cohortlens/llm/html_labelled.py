@@ -52,3 +52,15 @@ for _fill in ("A few words here.", _LONG, _LONGER):
             f'<html><body><nav><ul>{_MENU}</ul></nav><main y="1"><h1>Title</h1><p>{_fill}</p><ul><li>A point.</li><li>{_fill}</li></ul><{_box} y="0"><h3>Box</h3><p>{_fill}</p></{_end}><p>{_LONG}</p></main><footer><p>{_fill}</p></footer></body></html>',
             f'<html><body><div class="header">{_fill}</div><{_box}>{_fill}<ul>{_MENU}</ul></{_end}><div class="content" y="1"><p>{_LONG}</p><div><p>{_fill}</p></div></div><div class="footer">{_fill}</div></body></html>',
         ]
+
+# Articles with a header of their own, lists of references that are links, and named boxes inside that are none of the text.
+_REFERENCES = "".join(f'<li><a href="/{w}">{w}</a></li>' for w in ("a source", "another work", "the report of the year"))
+_SHARE = '<div class="shareButtons" y="0"><a href="#">Tweet</a> <a href="#">Mail</a></div>'
+_TAGS = '<div class="related" y="0"><h3>More</h3><ul><li><a href="/a">A story</a></li><li><a href="/b">And one more</a></li></ul></div>'
+for _title in ("<h1>A heading</h1>", "<h2>The heading of it</h2><p>By ann, in May</p>", '<h1><a href="/it">A heading that is a link</a></h1>'):
+    for _list in (f"<ul>{_REFERENCES}</ul>", f"<h2>References</h2><ol>{_REFERENCES}</ol>", '<p><a href="/s">See the source</a></p>'):
+        PAGES += [
+            f'<html><body><header><a href="/">The site</a><nav><ul>{_MENU}</ul></nav></header><article y="1"><div class="entry-header">{_title}</div><p>{_LONG}</p>{_list}<p>{_LONG}</p></article><footer><ul>{_MENU}</ul></footer></body></html>',
+            f'<html><body><nav>{_MENU}</nav><main y="1"><article><header>{_title}</header>{_SHARE}<p>{_LONG}</p>{_list}</article>{_TAGS}</main><aside><ul>{_REFERENCES}</ul></aside></body></html>',
+            f'<html><body><div class="siteHeader"><ul>{_MENU}</ul></div><div class="articleBody" y="1">{_title}<p>{_LONGER}</p>{_list}<div class="userComments" y="0"><p>{_LONG}</p></div></div><div class="pageFooter">{_LONG}</div></body></html>',
+        ]

@@ -1,0 +1,44 @@
+"""Held-out page layouts, (html, expected blocks): other markup, boxes and wording than the labelled pages'."""
+
+_P1 = "The river rose by two metres overnight, and the lower town was under water before the sirens were heard at all."
+_P2 = "Engineers had warned of it for years; the dam, they said, was built for a climate that no longer exists, and nobody listened."
+_P3 = "Short and to the point."
+_CRUMBS = '<ol class="breadcrumb"><li><a href="/">Start</a></li><li><a href="/w">Weather</a></li></ol>'
+_LINKS = '<ul><li><a href="/1">Politics</a></li><li><a href="/2">Economy</a></li><li><a href="/3">Culture</a></li><li><a href="/4">Opinion</a></li></ul>'
+
+LAYOUTS = [
+    # an article's header holds its heading
+    (f'<body><nav>{_LINKS}</nav><article><header><h1>Flood in the valley</h1></header><p>{_P1}</p><p>{_P2}</p></article><footer>Imprint</footer></body>',
+     ["Flood in the valley", _P1, _P2]),
+    # a list of references that are links only
+    (f'<body><header>{_LINKS}</header><article><h1>Flood</h1><p>{_P1}</p><ul><li><a href="/r1">Report one</a></li><li><a href="/r2">Report two</a></li></ul></article></body>',
+     ["Flood", _P1, "Report one", "Report two"]),
+    # camel case and joined names
+    (f'<body><div class="pageHeader">{_LINKS}</div><div class="postContent"><h1>Flood</h1><p>{_P1}</p><p>{_P2}</p></div><div class="userComments"><p>{_P2}</p></div></body>',
+     ["Flood", _P1, _P2]),
+    # comments inside the article, by id
+    (f'<body><article><h2>Flood</h2><p>{_P1}</p><div id="commentList"><p>{_P3}</p><p>{_P2}</p></div></article></body>', ["Flood", _P1]),
+    # main with sections and a sidebar beside them
+    (f'<body>{_CRUMBS}<main><section><h2>Cause</h2><p>{_P1}</p></section><section><h2>Blame</h2><p>{_P2}</p></section></main><aside><h3>Most read</h3>{_LINKS}</aside></body>',
+     ["Cause", _P1, "Blame", _P2]),
+    # a cookie notice and a newsletter form around the text
+    (f'<body><div id="cookieBanner"><p>This site sets cookies, as you surely know by now. <button>Fine</button></p></div><div class="article"><p>{_P1}</p><form class="newsletter"><p>Get our letter every week</p><input></form><p>{_P2}</p></div></body>',
+     [_P1, _P2]),
+    # a table, a quotation and a list
+    (f'<body><nav>{_LINKS}</nav><article><h1>Flood</h1><table><tr><th>Town</th><th>Level</th></tr><tr><td>Ahn</td><td>2 m</td></tr></table><blockquote>{_P2}</blockquote><ul><li>{_P3}</li></ul></article></body>',
+     ["Flood", "Town", "Level", "Ahn", "2 m", _P2, _P3]),
+    # an advert between paragraphs, no article element
+    (f'<body><div id="nav">{_LINKS}</div><div id="content"><h1>Flood</h1><p>{_P1}</p><div class="adBox">Cheap boats, today only</div><p>{_P2}</p></div><div id="footer"><p>{_P2}</p></div></body>',
+     ["Flood", _P1, _P2]),
+    # bare paragraphs
+    (f"<html><body><h1>Flood</h1><p>{_P1}<p>{_P2}<p>{_P1} {_P2}</body></html>", ["Flood", _P1, _P2, f"{_P1} {_P2}"]),
+    # a dialog and a share bar inside main
+    (f'<body><main role="main"><h1>Flood</h1><div class="social-share"><a href="#">Post</a></div><p>{_P1}</p><p><a href="/x">All about the dam</a></p><p>{_P2}</p></main><footer><p>{_P1}</p></footer></body>',
+     ["Flood", _P1, "All about the dam", _P2]),
+    # figure with a caption and a definition list
+    (f'<body><header class="masthead"><h2>The Gazette</h2></header><article><h1>Flood</h1><figure><figcaption>The dam in May</figcaption></figure><dl><dt>Dam</dt><dd>{_P2}</dd></dl><p>{_P1}</p></article></body>',
+     ["Flood", "The dam in May", "Dam", _P2, _P1]),
+    # related stories behind the text, in the article
+    (f'<body><article><header><h1>Flood</h1><p>By our reporter</p></header><p>{_P1}</p><p>{_P2}</p><section class="relatedStories"><h2>Read on</h2>{_LINKS}</section></article></body>',
+     ["Flood", "By our reporter", _P1, _P2]),
+]

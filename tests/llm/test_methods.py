@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cohortlens.llm import bitpack, graph, html_extract, license_scan, pii, quality, simhash, suffix_dedup
 from cohortlens.llm.html_labelled import PAGES
 from tests.llm import brute as B
+from tests.llm.html_layouts import LAYOUTS
 
 
 def test_bwt_merge_finds_repeated_windows():
@@ -283,6 +284,27 @@ def test_html_on_held_out_layouts():
     assert right >= 0.97 * total
 
 
+def test_html_on_layouts_of_other_markup():
+    """Pages that are no variation of the labelled ones: article headers, link-only references, camel case, bare markup."""
+    model = html_extract.Model(PAGES)
+    right = found = wanted = 0
+    for html, blocks in LAYOUTS:
+        got = model.text(html).split("\n")
+        right += sum((Counter(got) & Counter(blocks)).values())
+        found, wanted = found + len(got), wanted + len(blocks)
+        assert [x for x in got if x in blocks] == [x for x in blocks if x in got]  # page order
+    assert right >= 0.97 * found and right >= 0.97 * wanted
+
+
+def test_html_very_long_page(spark):
+    """A page of some megabytes, whole, beside columns named like the operator's own."""
+    text = "\n".join(f"Paragraph {i} of a very long page with a few words in it." for i in range(60_000))
+    html = f"<body><nav><a href='/'>Home</a></nav><article>{''.join(f'<p>{x}</p>' for x in text.split(chr(10)))}</article></body>"
+    pages = spark.createDataFrame([(1, html, "x", "y", "z")], "page_id bigint, html string, c0 string, n_chars string, url string")
+    row = html_extract.extract(pages).first()
+    assert row["text"] == text and (row["c0"], row["n_chars"], row["url"]) == ("x", "y", "z")
+
+
 def test_html_marginals_are_those_of_the_joint_distribution():
     """Sum-product against summing over all labellings of a small tree."""
     from itertools import product
