@@ -9,7 +9,12 @@ instances, an instance's score comes from the patterns it stands in, seeds
 keep score 1. Instances of high score count as support in the next round, so
 that every round reaches contexts around found instances. Patterns of high
 confidence and support then mark their other mentions, instances of high score
-all theirs: identifiers that no rule knows.
+all theirs: identifiers that no rule knows. Whatever they are, they get the kind
+``identifier``; seeds keep theirs.
+
+A rule need not know all of its kind. Where only a share of a kind's members
+are seeds, a pattern is expected to stand around many more mentions than seeds,
+and each of the others speaks against it by that share only.
 
 The texts are read once; what is kept of them, spans and mentions of texts
 that have any, is written to the shared folder. The graph holds hashes only,
@@ -35,6 +40,7 @@ from cohortlens.llm.common import materialize, text_or_empty
 # Fixed order of the contract's kinds; kinds of the method follow.
 KINDS = ("email", "ip", "card", "phone")
 SECRET = "secret"
+IDENTIFIER = "identifier"
 ROUNDS = 3
 #: A pattern marks new mentions from this confidence on, if it stands around so many different seeds or found
 #: instances; an instance is found from the same score on.
@@ -132,13 +138,17 @@ def _runs(text: str) -> list[tuple[int, int]]:
     return found
 
 
-def mentions(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
-    """Seeds, other tokens with a digit or an at sign, runs of groups, addresses in words: place, kind (null if not a seed), instance and pattern hashes."""
+def _hash(s: str) -> int:
+    return xxhash.xxh3_64_intdigest(s.encode("utf-8", "replace")) - (1 << 63)
+
+
+def mentions(text: str, spans: list[tuple[str, int, int]], secret_seeds: int = 1) -> list[dict]:
+    """Seeds (of the strings of the ``secret`` rule one in ``secret_seeds``, by their hash), other tokens with a digit or an at sign, runs of groups, addresses in words: place, kind (null if not a seed), instance and pattern hashes."""
     spelt = _DOT.search(text)
     digit = _DIGIT.search(text)
     if not spans and not digit and "@" not in text and not spelt:
         return []
-    seeds = spans + [(SECRET, *m.span()) for m in _SECRET.finditer(text) if any(c.isdigit() for c in m[0])]
+    seeds = spans + [(SECRET, *m.span()) for m in _SECRET.finditer(text) if any(c.isdigit() for c in m[0]) and _hash(m[0]) % secret_seeds == 0]
     taken = sorted((a, b) for _, a, b in seeds)
     other = []
     for m in _TOKEN.finditer(text):
@@ -168,9 +178,8 @@ def mentions(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
             i += 1
         if i == len(taken) or taken[i][0] >= b:
             places.append((None, a, b))
-    h = lambda s: xxhash.xxh3_64_intdigest(s.encode("utf-8", "replace")) - (1 << 63)
     return [
-        {"kind": kind, "s": a, "e": b, "inst": h(text[a:b].lower()), "pats": [h(p) for p in dict.fromkeys(_patterns(text, a, b))]}
+        {"kind": kind, "s": a, "e": b, "inst": _hash(text[a:b].lower()), "pats": [_hash(p) for p in dict.fromkeys(_patterns(text, a, b))]}
         for kind, a, b in places
     ]
 
@@ -181,35 +190,51 @@ _MENTIONS = pa.list_(
 )
 
 
-def _read(batches):
+def _read(batches, secret_seeds: int):
     for b in batches:
         spans, found = [], []
         for t in b.column(2).to_pylist():
             s = rule_spans(t)
             spans.append([dict(zip(("kind", "s", "e"), x, strict=True)) for x in s])
-            found.append(mentions(t, s))
+            found.append(mentions(t, s, secret_seeds))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, _SPANS), pa.array(found, _MENTIONS)], ["doc", "th", "base", "mentions"])
 
 
 def bootstrap(
-    mention: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE, min_support: int = MIN_SUPPORT
+    mention: DataFrame,
+    rounds: int = ROUNDS,
+    min_confidence: float = MIN_CONFIDENCE,
+    min_support: int = MIN_SUPPORT,
+    seed_share: dict[str, float] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(pat, kind, confidence, support) and (inst, kind, score) from the mentions (kind, inst, pat), by rounds over their graph."""
+    """(pat, kind, confidence, support) and (inst, kind, score) from the mentions (kind, inst, pat), by rounds over their graph.
+
+    ``seed_share``: the share of a kind's members that its rule makes seeds (1 where not named).
+    """
     kinds = (*KINDS, SECRET)
     edges = materialize(mention.groupBy("pat", "inst").agg(F.max("kind").alias("kind")), "pii-edges")
-    seeds = materialize(edges.where(F.col("kind").isNotNull()).select("inst", "kind", F.lit(1.0).alias("score")).distinct(), "pii-seeds")
+    seeds = materialize(edges.where(F.col("kind").isNotNull()).select("inst", "kind", F.lit(1.0).alias("score"), F.lit(True).alias("seed")).distinct(), "pii-seeds")
     # A pattern around fewer instances than the support can never reach it, in no round.
-    size = materialize(edges.groupBy("pat").agg(F.count("*").alias("n")).where(F.col("n") >= min_support), "pii-size")
+    size = edges.groupBy("pat").agg(F.count("*").alias("n"), F.count("kind").alias("n_seeds")).where(F.col("n") >= min_support)
+    size = materialize(size, "pii-size")
+    share = F.lit(1.0)
+    for k, v in (seed_share or {}).items():
+        share = F.when(F.col("kind") == k, F.lit(v)).otherwise(share)
     edges = materialize(edges.select("pat", "inst").join(size.select("pat"), "pat"), "pii-graph")
     free = materialize(edges.join(seeds.select("inst"), "inst", "left_anti"), "pii-free")
     scores = seeds
     for _ in range(rounds):
         # Support: seeds, and instances that an earlier round found.
         total = edges.join(scores, "inst").groupBy("pat", "kind")
-        total = total.agg(F.sum("score").alias("score"), F.count_if(F.col("score") >= min_confidence).alias("support"))
-        # One instance without a score is added, so that few instances never make a sure pattern.
+        total = total.agg(
+            F.sum("score").alias("score"), F.count_if(F.col("score") >= min_confidence).alias("support"), F.count_if("seed").alias("own_seeds")
+        )
+        # Against a pattern speak other kinds' seeds and, by the seeds' share, what no round has found (of found ones, the rest
+        # of their score). One instance without a score is added, so that few instances never make a sure pattern.
+        unknown = F.col("n") - F.col("n_seeds") - (F.col("score") - F.col("own_seeds"))
+        against = F.col("n_seeds") - F.col("own_seeds") + share * unknown + 1
         confidence = materialize(
-            total.join(size, "pat").select("pat", "kind", (F.col("score") / (F.col("n") + 1)).alias("confidence"), "support"), "pii-confidence"
+            total.join(size, "pat").select("pat", "kind", (F.col("score") / (F.col("score") + against)).alias("confidence"), "support"), "pii-confidence"
         )
         supported = confidence.groupBy("pat").agg(
             *[F.coalesce(F.max(F.when(F.col("kind") == k, F.col("confidence"))), F.lit(0.0)).alias(k) for k in kinds], F.sum("support").alias("support")
@@ -226,7 +251,7 @@ def bootstrap(
                     ]
                 ).alias("found")
             )
-            .select("inst", F.inline("found"))
+            .select("inst", F.inline("found"), F.lit(False).alias("seed"))
         )
         scores = materialize(seeds.unionByName(reached.where(F.col("score") >= 0.5)), "pii-scores")
     return confidence, scores
@@ -239,11 +264,13 @@ def find(
     rounds: int = ROUNDS,
     min_confidence: float = MIN_CONFIDENCE,
     min_support: int = MIN_SUPPORT,
+    secret_seeds: int = 1,
 ) -> DataFrame:
     """(doc, base, added) per row of ``docs``: arrays of (kind, s, e), the rules' spans and those the method adds.
 
-    Added are the seeds of the ``secret`` rule and the mentions marked by
-    patterns; neither touches a base span.
+    Added are the seeds of the ``secret`` rule (one in ``secret_seeds`` of its
+    strings; the others are left to the patterns) and the mentions marked by
+    patterns, of kind ``identifier``; neither touches a base span.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     text = text_or_empty(text_col)
@@ -252,26 +279,23 @@ def find(
         "mentions array<struct<kind:string,s:bigint,e:bigint,inst:bigint,pats:array<bigint>>>"
     )
     read = materialize(
-        docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(_read, schema), "pii-read"
+        docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(
+            lambda batches: _read(batches, secret_seeds), schema
+        ),
+        "pii-read",
     )
     places = read.select("doc", "th", F.explode("mentions").alias("m")).select("doc", "th", "m.kind", "m.s", "m.e", "m.inst", F.explode("m.pats").alias("pat"))
-    confidence, scores = bootstrap(places.select("kind", "inst", "pat"), rounds, min_confidence, min_support)
-    confident = materialize(
-        confidence.where((F.col("confidence") >= min_confidence) & (F.col("support") >= min_support))
-        .groupBy("pat")
-        .agg(F.max_by("kind", F.struct("confidence", "kind")).alias("as_kind")),
-        "pii-confident",
-    )
-    accepted = materialize(
-        scores.where(F.col("score") >= min_confidence).groupBy("inst").agg(F.max_by("kind", F.struct("score", "kind")).alias("as_kind")), "pii-accepted"
-    )
+    confidence, scores = bootstrap(places.select("kind", "inst", "pat"), rounds, min_confidence, min_support, {SECRET: 1 / secret_seeds})
+    confident = confidence.where((F.col("confidence") >= min_confidence) & (F.col("support") >= min_support)).select("pat").distinct()
+    confident = materialize(confident, "pii-confident")
+    accepted = materialize(scores.where(F.col("score") >= min_confidence).select("inst").distinct(), "pii-accepted")
     free = places.where(F.col("kind").isNull())
-    marked = free.join(confident, "pat").unionByName(free.join(accepted, "inst")).select("doc", "th", F.col("as_kind").alias("kind"), "s", "e")
+    marked = free.join(confident, "pat").unionByName(free.join(accepted, "inst")).select("doc", "th", F.lit(IDENTIFIER).alias("kind"), "s", "e")
     secret = read.select("doc", "th", F.explode(F.filter("mentions", lambda m: m["kind"] == SECRET)).alias("m")).select("doc", "th", "m.kind", "m.s", "m.e")
     added = (
         marked.unionByName(secret)
         .groupBy("doc", "th", "s", "e")
-        .agg(F.min("kind").alias("kind"))
+        .agg(F.max("kind").alias("kind"))  # a seed keeps its own
         # A span inside a longer one is left to that one.
         .withColumn("to", F.max("e").over(Window.partitionBy("doc", "th").orderBy("s", F.desc("e")).rowsBetween(Window.unboundedPreceding, -1)))
         .where(F.col("to").isNull() | (F.col("e") > F.col("to")))

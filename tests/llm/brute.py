@@ -298,3 +298,61 @@ def filter_audit(docs, labels) -> dict[tuple, dict]:
         for key in [k for k in out if k[0] == part]:
             out[key]["shapley"] = total[key[1][key[2] - 1]]
     return out
+
+
+def pii_added(texts: list[str | None], secret_seeds: int = 1, rounds: int = 3, sure: float = 0.8, support: int = 5) -> list[tuple]:
+    """Sorted (kind, start, end) that the bootstrapping adds to each text, over dicts; mentions and their patterns as the operator reads them."""
+    from cohortlens.llm import pii
+
+    places = [pii.mentions(t or "", pii.rule_spans(t or ""), secret_seeds) for t in texts]
+    edge: dict[tuple, str | None] = {}
+    for m in (m for ms in places for m in ms):
+        for p in m["pats"]:
+            edge[p, m["inst"]] = max(filter(None, (edge.get((p, m["inst"])), m["kind"])), default=None)
+    seed_kinds = defaultdict(set)
+    of_pattern = defaultdict(list)
+    for (p, i), k in edge.items():
+        of_pattern[p].append(i)
+        if k:
+            seed_kinds[i].add(k)
+    of_pattern = {p: x for p, x in of_pattern.items() if len(x) >= support}
+    score = {(i, k): 1.0 for i, ks in seed_kinds.items() for k in ks}
+    conf: dict = {}
+    for _ in range(rounds):
+        conf, backed = {}, {}
+        for p, inst in of_pattern.items():
+            n_seeds = sum(edge[p, i] is not None for i in inst)
+            backed[p] = 0
+            for k in {k for i, k in score if i in set(inst)}:
+                mine = [(score[i, k], k in seed_kinds[i]) for i in inst if (i, k) in score]
+                total, own = sum(x for x, _ in mine), sum(s for _, s in mine)
+                share = 1 / secret_seeds if k == "secret" else 1
+                n = sum(x >= sure for x, _ in mine)
+                backed[p] += n
+                conf[p, k] = (total / (total + n_seeds - own + share * (len(inst) - n_seeds - (total - own)) + 1), n)
+        score = {(i, k): 1.0 for i, ks in seed_kinds.items() for k in ks}
+        kinds = {k for _, k in conf}
+        stands = defaultdict(list)
+        for p, inst in of_pattern.items():
+            for i in inst if backed[p] >= support else ():
+                if not seed_kinds[i]:
+                    stands[i].append(p)
+        for i, ps in stands.items():
+            for k in kinds:
+                c = [conf.get((p, k), (0.0, 0))[0] for p in ps]
+                miss = 1.0
+                for x in c:
+                    miss *= 1 - x
+                x = (1 - miss) * min(1, 2 * sum(c) / len(c))
+                if x >= 0.5:
+                    score[i, k] = x
+    marks = {p for (p, _), (c, n) in conf.items() if c >= sure and n >= support}
+    accepted = {i for (i, _), x in score.items() if x >= sure}
+    out = []
+    for ms in places:
+        found = {(m["s"], m["e"]): "secret" for m in ms if m["kind"] == "secret"}
+        for m in ms:
+            if m["kind"] is None and (m["inst"] in accepted or marks.intersection(m["pats"])):
+                found.setdefault((m["s"], m["e"]), "identifier")
+        out.append(tuple(sorted((k, a, b) for (a, b), k in found.items() if not any((x <= a and y >= b) and (x, y) != (a, b) for x, y in found))))
+    return out

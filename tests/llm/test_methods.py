@@ -184,7 +184,7 @@ def test_pii_contexts_find_what_no_rule_knows(frame):
     got = {r["doc"]: r for r in pii.find(frame(rows)).collect()}
     for i in range(3):
         text = rows[40 + i][1]
-        assert {(a["kind"], text[a["s"] : a["e"]]) for a in got[100 + i]["added"]} == {("email", f"user{i}(at)host{i}x")}
+        assert {(a["kind"], text[a["s"] : a["e"]]) for a in got[100 + i]["added"]} == {("identifier", f"user{i}(at)host{i}x")}
     assert all(not got[200 + i]["added"] for i in range(40)) and all(len(got[i]["base"]) == 1 for i in range(40))
 
 
@@ -197,7 +197,7 @@ def test_pii_found_instances_induce_patterns(frame):
     got = {r["doc"]: r["added"] for r in pii.find(frame(rows)).collect()}
     for d, t in rows[40:84]:
         i = t.index("EMP")
-        assert {(a["kind"], a["s"], a["e"]) for a in got[d]} == {("email", i, i + 9)}, t
+        assert {(a["kind"], a["s"], a["e"]) for a in got[d]} == {("identifier", i, i + 9)}, t
     assert not got[301]
 
 
@@ -208,11 +208,45 @@ def test_pii_grouped_and_short_identifiers(frame):
     rows += [(100 + i, f"please mail to {w} now") for i, w in enumerate(whole)]
     got = {r["doc"]: r["added"] for r in pii.find(frame(rows)).collect()}
     for i, w in enumerate(whole):
-        assert {(a["kind"], a["s"], a["e"]) for a in got[100 + i]} == {("email", 15, 15 + len(w))}, w
+        assert {(a["kind"], a["s"], a["e"]) for a in got[100 + i]} == {("identifier", 15, 15 + len(w))}, w
     t = "NI AB 12 34 56 C was"
     assert {"AB 12 34 56 C", "12 34 56", "34"} <= {t[m["s"] : m["e"]] for m in pii.mentions(t, [])}
 
 
+def test_pii_finds_hidden_members_of_a_kind(spark):
+    """Seven of eight secrets of the test table are hidden from the seeds: their contexts find them, and little else."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    secrets = {
+        (r["doc_id"], m.start(), m.end())
+        for r in docs.where(r"text RLIKE '[0-9a-f]{32}'").collect()
+        for m in pii._SECRET.finditer(r["text"])
+        if not m[0].isalpha()
+    }
+    got = pii.find(docs, secret_seeds=8).where("size(added) > 0").select("doc", F.explode("added").alias("a")).select("doc", "a.*").collect()
+    seeds = {(r["doc"], r["s"], r["e"]) for r in got if r["kind"] == pii.SECRET}
+    found = {(r["doc"], r["s"], r["e"]) for r in got if r["kind"] == pii.IDENTIFIER}
+    hidden = secrets - seeds
+    assert seeds <= secrets and len(hidden) > 0.75 * len(secrets)
+    assert len(found & hidden) >= 0.9 * len(hidden) and len(found & hidden) >= 0.9 * len(found)
+
+
+@pytest.mark.parametrize("hidden", [1, 4])
+def test_pii_spans_against_plain_python(spark, hidden):
+    """All added spans of a small table with nulls, repeated rows and ids, ties and shared instances."""
+    rng = random.Random(5)
+    contexts = ["please mail to {} now", "contact: {} today", 'key = "{}" set', "in the year {} it was", "call {} or {}"]
+    rows = [(None, None), (1, ""), (2, "no data here"), (3, "please mail to X-77 now"), (3, "please mail to X-77 now"), (3, "other X-77")]
+    for i in range(260):
+        made = [f"user{rng.randrange(60)}@mail.example.com", f"+44 20 7946 0{rng.randrange(100, 999)}", f"{rng.getrandbits(160):040x}", f"EMP-{rng.randrange(40)}", str(rng.randrange(1900, 1999))]
+        c = rng.choice(contexts)
+        rows.append((rng.choice([None, i, i // 2]), c.format(*(rng.choice(made[:4] if "year" not in c else made[4:]) for _ in range(2)))))
+    rows += [(1000 + i, f'a token = "{rng.getrandbits(160):040x}" of it') for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = Counter((r["doc"], tuple(sorted(tuple(a) for a in r["added"]))) for r in pii.find(docs, secret_seeds=hidden).collect())
+    assert got == Counter((d, a) for (d, _), a in zip(rows, B.pii_added([t for _, t in rows], hidden), strict=True))
+    assert sum(len(a) * n for (_, a), n in got.items()) > 20 and (hidden == 1 or any(k == "identifier" for _, a in got for k, _, _ in a))
+
+
 def test_label_model_separates_planted_quality(spark):
     """Rules of known accuracy: the posterior beats every rule alone and recovers who is reliable."""
     rng = random.Random(7)
