@@ -82,17 +82,14 @@ def hits(
     words = docs.select(
         F.col(id_col).alias("doc"), F.xxhash64(text_or_empty(text_col)).alias("text_hash"), _words(text_col).alias("w")
     )
-    found = None
-    for size in sorted(sizes):
-        at = words.where(F.size("w") >= size).select(
-            "doc", "text_hash", "w", F.explode(F.sequence(F.lit(1), F.size("w") - (size - 1))).alias("at")
-        )
-        h = grams.where(F.col("size") == size).select("hash").distinct()
-        here = F.slice("w", F.col("at"), F.lit(size))
-        # The scan is against the hashes; the words are compared for equal hashes only.
-        scan = at.select("doc", "text_hash", "at", F.xxhash64(here).alias("hash"), here.alias("here"))
-        occ = scan.join(F.broadcast(h) if small else h, "hash").select("doc", "text_hash", "at", F.lit(size).alias("size"), "hash", "here")
-        found = occ if found is None else found.unionByName(occ)
+    # One scan: every window of the sizes that occur, whatever their number.
+    at = words.select("doc", "text_hash", "w", F.explode(F.array(*[F.lit(x) for x in sorted(sizes)])).alias("size")).where(F.size("w") >= F.col("size"))
+    at = at.select("doc", "text_hash", "w", "size", F.explode(F.sequence(F.lit(1), F.size("w") - (F.col("size") - 1))).alias("at"))
+    here = F.slice("w", F.col("at"), F.col("size"))
+    # The scan is against the hashes; the words are compared for equal hashes only.
+    scan = at.select("doc", "text_hash", "at", "size", F.xxhash64(here).alias("hash"), here.alias("here"))
+    h = grams.select("size", "hash").distinct()
+    found = scan.join(F.broadcast(h) if small else h, ["size", "hash"])
     found = found.join(grams, ["size", "hash"]).where(F.col("here") == F.col("gram"))
     found = materialize(
         found.groupBy("doc", "text_hash").agg(
