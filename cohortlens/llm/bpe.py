@@ -12,9 +12,21 @@ A step contracts every (non-overlapping) occurrence of the word's minimum pair
 at once where that provably gives the same ids: no token that the new one
 could form has a lower rank. Other pairs contract one at a time.
 
+A word over ``WINDOW`` bytes enters the query as windows that overlap by half,
+each contracted as a word of its own, so that the work stays in proportion to
+the word. Two windows are joined at a token that both hold at the same place.
+That is exact: contraction chooses by rank and place alone, so between two
+boundaries that no contraction crosses it runs as it would on that part alone.
+Hence neighbours in the ids of any text are the ids of their own bytes; and
+where all neighbours of a row of tokens are, the row is the ids of its bytes,
+since a first contraction across a boundary would also take place in the bytes
+of the two tokens beside it. Windows without such a token become one longer
+window, up to the whole word: long periods of tokens that a shift repeats.
+
 Memory of a worker: one Arrow batch, the texts and results of ``BATCH_BYTES`` of it
-(of one text, if that is longer), ``WORDS_AT_ONCE`` words, and a cache of at
-most ``CACHE_WORDS`` distinct words; when full, only short words stay.
+(of one text, if that is longer), ``WORDS_AT_ONCE`` words, the windows of long
+words (some ten bytes for each of theirs), and a cache of at most ``CACHE_WORDS``
+distinct words; when full, only short words stay. DuckDB writes nothing to disk.
 
 Defined cases: a null or empty text has no ids; ids of any type, null and
 repeated ones included, pass through row by row; an empty table gives an empty
@@ -25,6 +37,7 @@ from __future__ import annotations
 
 import base64
 import functools
+from dataclasses import dataclass
 from itertools import islice
 
 import duckdb
@@ -41,6 +54,7 @@ WORDS_AT_ONCE = 500_000
 CACHE_WORDS = 500_000
 KEEP_CHARS = 8
 QUERY_BYTES = 1 << 18
+WINDOW = 128  # even
 BATCH_BYTES = 1 << 22
 
 _STEPS = """
@@ -82,6 +96,19 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+@dataclass(slots=True)
+class _Window:
+    """Bytes ``start`` to ``end`` of a word; of its tokens, ``first`` to ``last`` (exclusive) are the word's."""
+
+    word: int
+    start: int
+    end: int
+    ids: bytes | None = None
+    decoded: bytes = b""
+    first: int = 0
+    last: int = 0
+
+
 class WordEncoder:
     """The merge and vocabulary tables in an in-memory DuckDB, and a bounded cache of encoded words."""
 
@@ -97,11 +124,14 @@ class WordEncoder:
         least = np.full(max(ranks.values(), default=0) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, left, rank)
         np.minimum.at(least, right, rank)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.db.register("m", pa.table({"l": left, "r": right, "rank": rank, "safe": least[rank] >= rank}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m")
         self.db.register("v", pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [x.hex() for x in ranks]}))
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM v")
+        self.length = np.zeros(len(least), np.int64)
+        for token, r in ranks.items():
+            self.length[r] = len(token)
         self.byte_rank = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.cache_words = cache_words
         self.ids: dict[str, bytes] = {}
@@ -117,17 +147,63 @@ class WordEncoder:
                 stay = []
             self.ids, self.decoded = ({w: x[w] for w in stay} for x in (self.ids, self.decoded))
             new = list(words.difference(self.ids))
+        ids, decoded = self._words([w.encode() for w in new])
+        self.ids.update(zip(new, ids, strict=True))
+        self.decoded.update(zip(new, decoded, strict=True))
+
+    def _words(self, words: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+        """Per word its ids and decoded bytes, long words by windows."""
+        windows = [_Window(i, a, min(a + WINDOW, len(w))) for i, w in enumerate(words) for a in range(0, max(len(w) - WINDOW // 2, 1), WINDOW // 2)]
+        while new := [x for x in windows if x.ids is None]:
+            ids, decoded = self._queries([words[x.word][x.start : x.end] for x in new])
+            for x, x.ids, x.decoded in zip(new, ids, decoded, strict=True):
+                pass
+            windows = self._meet(windows)
+        ids, decoded = [bytearray() for _ in words], [bytearray() for _ in words]
+        for x in windows:
+            ids[x.word] += x.ids[4 * x.first : 4 * x.last]
+            a, b = self._ends(x)[[x.first, x.last]] - x.start
+            decoded[x.word] += x.decoded[a:b]
+        return list(map(bytes, ids)), list(map(bytes, decoded))
+
+    def _ends(self, x: _Window) -> np.ndarray:
+        """Where the window starts and each of its tokens ends, in bytes of the word."""
+        return np.concatenate([[0], self.length[np.frombuffer(x.ids, "<u4")].cumsum()]) + x.start
+
+    def _meet(self, windows: list[_Window]) -> list[_Window]:
+        """The windows, each cut at tokens that it shares with its neighbours; those without one are put together."""
+        out: list[_Window] = []
+        for x in windows:
+            x.first, x.last = 0, len(x.ids) // 4
+            left = out[-1] if out else None
+            if left is None or left.word != x.word:
+                out.append(x)
+                continue
+            if left.ids is not None:
+                a, b = self._ends(left), self._ends(x)
+                at, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+                # A shared token: its start and its end stand side by side in both.
+                same = np.flatnonzero((np.diff(i) == 1) & (np.diff(j) == 1))
+                if len(same):
+                    left.last, x.first = int(i[same[0] + 1]), int(j[same[0] + 1])
+                    out.append(x)
+                    continue
+            out[-1] = _Window(x.word, left.start, x.end)
+        return out
+
+    def _queries(self, words: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+        ids, decoded = [], []
         begin = 0
-        while begin < len(new):
-            part, size = [], 0
-            while begin < len(new) and (not part or size + len(new[begin]) <= QUERY_BYTES):
-                part.append(new[begin].encode())
-                size += len(part[-1])
-                begin += 1
-            ids, decoded = self._query(part)
-            names = new[begin - len(part) : begin]
-            self.ids.update(zip(names, ids, strict=True))
-            self.decoded.update(zip(names, decoded, strict=True))
+        while begin < len(words):
+            end, size = begin, 0
+            while end < len(words) and (end == begin or size + len(words[end]) <= QUERY_BYTES):
+                size += len(words[end])
+                end += 1
+            part = self._query(words[begin:end])
+            ids += part[0]
+            decoded += part[1]
+            begin = end
+        return ids, decoded
 
     def _query(self, words: list[bytes]) -> tuple[list[bytes], list[bytes]]:
         length = np.fromiter(map(len, words), np.int64, len(words))

@@ -1,0 +1,81 @@
+"""Byte-level BPE of long words by windows, against one-by-one contraction and the tiktoken library."""
+
+from __future__ import annotations
+
+import random
+import string
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+
+from cohortlens.llm import bpe
+
+TIKTOKEN = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def contract(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The leftmost pair of least rank, one at a time."""
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while True:
+        pairs = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ranks]
+        if not pairs:
+            return [ranks[p] for p in parts]
+        i = min(pairs)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def check(encoder, word: bytes, expected: list[int]) -> None:
+    (ids,), (decoded,) = encoder._words([word])
+    assert np.frombuffer(ids, "<u4").tolist() == expected
+    assert decoded == word
+
+
+@pytest.mark.parametrize("window", [4, 8, 32])
+def test_windows_give_the_ids_of_one_by_one_contraction(monkeypatch, window):
+    """Tables whose ranks are in no order of length too: merges that make a token of a lower rank."""
+    monkeypatch.setattr(bpe, "WINDOW", window)
+    rng = random.Random(3)
+    for _ in range(12):
+        tokens = {bytes([rng.choice(b"abc") for _ in range(rng.randint(2, 6))]) for _ in range(40)}
+        own = [256 + i for i in range(len(tokens))]
+        rng.shuffle(own)
+        ranks = {bytes([i]): i for i in range(256)} | dict(zip(sorted(tokens), own, strict=True))
+        encoder = bpe.WordEncoder(ranks)
+        for _ in range(8):
+            word = bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 200)))
+            check(encoder, word, contract(word, ranks))
+        for unit in (b"a", b"ab", b"aab", b"abc", b"abcab"):
+            check(encoder, unit * 40, contract(unit * 40, ranks))
+
+
+@pytest.mark.parametrize(
+    "alphabet", [string.ascii_lowercase, "ACGT", string.ascii_letters + "+/", "0123456789", "=", "-", "中文字", "\U0001f600"]
+)
+def test_words_of_many_thousand_bytes_equal_the_library(alphabet):
+    ranks = bpe.read_ranks(TIKTOKEN)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(4)
+    texts = ["".join(rng.choices(alphabet, k=n)) for n in (126, 127, 128, 129, 192, 193, 20_001)]
+    texts.append("".join(rng.choices(alphabet, k=3)) * 7_000)
+    texts.append(" ".join(texts))
+    ids, decoded = bpe.encode_texts(texts, bpe.WordEncoder(ranks), public_tokenizers.PATTERN)
+    for t, a, b in zip(texts, ids, decoded, strict=True):
+        assert np.frombuffer(a, "<u4").tolist() == library.encode_ordinary(t)
+        assert b == t.encode()
+
+
+def test_a_word_of_a_megabyte():
+    """Whole and in a share of the text: the query's rows are bounded by the windows it is given."""
+    ranks = bpe.read_ranks(TIKTOKEN)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(5)
+    text = "".join(rng.choices(string.ascii_letters + string.digits + "+/", k=1_000_000))
+    (ids,), (decoded,) = bpe.encode_texts([text], bpe.WordEncoder(ranks), public_tokenizers.PATTERN)
+    assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text)
+    assert decoded == text.encode()
+    word = "".join(rng.choices("abcdefgh", k=1_000_000)).encode()
+    (ids,), (decoded,) = bpe.WordEncoder(ranks)._words([word])
+    tokens = np.frombuffer(ids, "<u4").tolist()
+    assert decoded == word and tokens == library.encode_ordinary(word.decode())
