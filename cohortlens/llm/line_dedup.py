@@ -38,20 +38,21 @@ def _key_hashes(text: Column, min_chars: int) -> Column:
     return F.transform(F.split(ascii_lower(text), "\n", -1), one)
 
 
-def dropped_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
-    """(doc, keys): per document id the hashes of the keys whose lines it loses.
+def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
+    """(doc, th, lost): per document id and text (its xxhash64) the positions of the lines it loses.
 
-    The (key, document) pairs, 24 bytes each, are written once; a key held by
-    every document is pre-aggregated before its shuffle and its join can be
-    split, since both join sides are plain tables.
+    The keys, 36 bytes a line, are written once; a key held by every document
+    is pre-aggregated before its shuffle and its join can be split, since both
+    join sides are plain tables.
     """
+    text = text_or_empty(text_col)
     held = materialize(
         docs.where(F.col(id_col).isNotNull())
-        .select(
-            F.col(id_col).alias("doc"),
-            F.explode(F.array_distinct(F.array_compact(_key_hashes(text_or_empty(text_col), min_chars)))).alias("k"),
-        )
-        .select("doc", "k.a", "k.b"),
+        # Hashed before the explode: beside it, the text would be hashed again for each of its lines.
+        .select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("th"), _key_hashes(text, min_chars).alias("ks"))
+        .select("doc", "th", F.posexplode("ks").alias("at", "k"))
+        .where(F.col("k").isNotNull())
+        .select("doc", "th", "at", "k.a", "k.b"),
         "line-keys",
     )
     frequent = materialize(
@@ -61,12 +62,7 @@ def dropped_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int, mi
         .select("a", "b", "keeper"),
         "line-frequent",
     )
-    return (
-        held.join(frequent, ["a", "b"])
-        .where(F.col("doc") < F.col("keeper"))
-        .groupBy("doc")
-        .agg(F.collect_set(F.struct("a", "b")).alias("keys"))
-    )
+    return held.join(frequent, ["a", "b"]).where(F.col("doc") < F.col("keeper")).groupBy("doc", "th").agg(F.collect_set("at").alias("lost"))
 
 
 def dedup_lines(
@@ -81,22 +77,20 @@ def dedup_lines(
 
     Rows, other columns and texts without a dropped line are unchanged.
     """
-    drop = dropped_keys(docs, id_col, text_col, min_chars, min_docs)
+    drop = dropped_lines(docs, id_col, text_col, min_chars, min_docs)
     d, k = docs.alias("d"), drop.alias("k")
-    joined = d.join(k, F.col(f"d.`{id_col}`") == F.col("k.doc"), "left")
-    text, keys = F.col(f"d.`{text_col}`"), F.col("k.keys")
+    text, lost = F.col(f"d.`{text_col}`"), F.col("k.lost")
+    joined = d.join(k, (F.col(f"d.`{id_col}`") == F.col("k.doc")) & (F.xxhash64(text_or_empty(text)) == F.col("k.th")), "left")
     lines = F.split(text_or_empty(text), "\n", -1)
-    # A line without a key (null) is kept; so is one whose key is not in the list.
+    # The positions left, in order: a set difference, linear in the lines. The array around the lines binds
+    # them to a variable, so that they are split once.
     kept = F.transform(
-        F.filter(
-            F.arrays_zip(lines.alias("line"), _key_hashes(text_or_empty(text), min_chars).alias("key")),
-            lambda x: ~F.coalesce(F.array_contains(keys, x["key"]), F.lit(False)),
-        ),
-        lambda x: x["line"],
-    )
+        F.array(lines),
+        lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), lost), lambda i: F.get(ls, i)),
+    )[0]
     staged = joined.select(
         F.struct("d.*").alias("d"),
-        F.when(keys.isNotNull(), kept).alias("kept"),
+        F.when(lost.isNotNull(), kept).alias("kept"),
     )
     text = F.col(f"d.`{text_col}`")
     out = [
