@@ -49,7 +49,7 @@ def _star(edges: DataFrame, large: bool, tag: str) -> DataFrame:
     least = materialize(
         near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{tag}-least"
     )
-    linked = near.join(least, "u")
+    linked = near.join(least.hint("merge"), "u")  # no broadcast: it grows with the links
     if large:  # larger neighbours move to the minimum
         out = linked.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:  # smaller neighbours and the node itself move to the minimum

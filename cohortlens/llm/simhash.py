@@ -7,7 +7,10 @@ fingerprints, so a range join of the points on a grid finds every link:
 
 * With distance at most ``d``, points cut into ``blocks`` coordinate blocks
   agree in at least ``blocks - d`` of them, so two linked fingerprints share a
-  grid cell, the coordinates of one choice of ``blocks - d`` blocks.
+  grid cell, the coordinates of one choice of ``blocks - d`` blocks. The number
+  of blocks goes by the number of points: more of them make more cells a point
+  and fewer chance meetings, whose number would grow with the square of the
+  points at a fixed number of blocks.
 * Points of a cell are compared by Manhattan distance first and by exact bit
   distance then.
 * A cell of more than ``cell_limit`` points is never paired off: each of its
@@ -29,6 +32,7 @@ removed; rows repeating an id: one component; empty table: empty result.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +45,7 @@ from cohortlens.llm.graph import components
 
 SHINGLE = 4
 MAX_BITS = 4
-BLOCKS = 8
+LEAST_BLOCKS, MOST_BLOCKS = 8, 16
 CELL_LIMIT = 64  # at least 2
 SEED = 42
 _LOW_BITS = 0x5555555555555555
@@ -93,16 +97,30 @@ def _masks(blocks: int, equal: int) -> list[int]:
     return [int(np.uint64(sum(c)).astype(np.int64)) for c in combinations(block, equal)]
 
 
+def blocks_for(points: int, max_bits: int = MAX_BITS) -> int:
+    """The number of blocks with the least work for so many points.
+
+    Work a point: its cells, and in each the random points that share it. Two
+    random fingerprints agree in a coordinate with probability 1/16 + 1/4 + 1/16.
+    """
+
+    def work(blocks: int) -> float:
+        return comb(blocks, max_bits) * (1 + points * 0.375 ** (32 * (blocks - max_bits) / blocks))
+
+    return min(range(max(LEAST_BLOCKS, max_bits + 1), max(MOST_BLOCKS, max_bits + 1) + 1), key=work)
+
+
 def _flips(bits: int) -> list[int]:
     """Every 64-bit pattern of at most ``bits`` ones, as signed integers."""
     return [int(np.uint64(sum(1 << b for b in c)).astype(np.int64)) for n in range(bits + 1) for c in combinations(range(64), n)]
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, cell_limit: int = CELL_LIMIT) -> DataFrame:
+def links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int | None = None, cell_limit: int = CELL_LIMIT) -> DataFrame:
     """(a, b) pairs of different fingerprints whose components are those of all pairs within ``max_bits`` bits.
 
-    ``fps``: distinct fingerprints in column fp.
+    ``fps``: distinct fingerprints in column fp. ``blocks``: None goes by their number.
     """
+    blocks = blocks_for(fps.count(), max_bits) if blocks is None else blocks
     if not 0 <= max_bits < blocks <= 32 or max_bits % 2:
         raise ValueError("max_bits must be even, blocks over max_bits and at most 32")
     masks = _masks(blocks, blocks - max_bits)
@@ -131,7 +149,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, cell_l
     dense = held.where(F.col("n") > cell_limit).select("fp").distinct()
     met = dense.select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("meet"))
     centre = met.groupBy("meet").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where(F.col("n") > 1)
-    star = met.join(centre, "meet").where(F.col("a") != F.col("fp")).select("a", F.col("fp").alias("b"))
+    star = met.join(centre.hint("merge"), "meet").where(F.col("a") != F.col("fp")).select("a", F.col("fp").alias("b"))
     return near.unionByName(star).distinct()
 
 
@@ -141,22 +159,26 @@ def near_duplicates(
     text_col: str = "text",
     shingle: int = SHINGLE,
     max_bits: int = MAX_BITS,
-    blocks: int = BLOCKS,
+    blocks: int | None = None,
     cell_limit: int = CELL_LIMIT,
 ) -> DataFrame:
-    """(doc, fp, component): per row its signed fingerprint and the smallest id reachable by links."""
+    """(doc, fp, component): per row its signed fingerprint and the smallest id reachable by links.
+
+    The joins are merge joins: their tables grow with the documents, and the
+    size of a compressed file would pass some of them off as small.
+    """
     fps = materialize(fingerprints(docs, id_col, text_col, shingle), "simhash-fps")
     points = materialize(
         fps.where(F.col("doc").isNotNull()).groupBy("fp").agg(F.min("doc").alias("first")), "simhash-points"
     )
     comp = components(links(points.select("fp"), max_bits, blocks, cell_limit), "simhash-components")
-    in_class = points.join(comp, points["fp"] == comp["node"], "left").select(
+    in_class = points.join(comp.hint("merge"), points["fp"] == comp["node"], "left").select(
         points["fp"], "first", F.coalesce("component", points["fp"]).alias("component")
     )
     in_class = materialize(in_class, "simhash-classes")
     least = in_class.groupBy("component").agg(F.min("first").alias("least"))
-    of_fp = materialize(in_class.join(least, "component").select(F.col("fp").alias("point"), "least"), "simhash-least")
-    joined = fps.join(of_fp, fps["fp"] == of_fp["point"], "left")
+    of_fp = materialize(in_class.join(least.hint("merge"), "component").select(F.col("fp").alias("point"), "least"), "simhash-least")
+    joined = fps.join(of_fp.hint("merge"), fps["fp"] == of_fp["point"], "left")
     return joined.select("doc", "fp", F.when(F.col("doc").isNotNull(), F.col("least")).alias("component"))
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bitpack, graph, html_extract, license_scan, pii, quality, simhash, suffix_dedup
+from cohortlens.llm import bitpack, graph, html_extract, license_scan, line_dedup, pii, quality, simhash, suffix_dedup
 from cohortlens.llm.html_labelled import PAGES
 from tests.llm import brute as B
 from tests.llm.html_layouts import LAYOUTS
@@ -401,3 +401,34 @@ def test_slices_cover_the_batch():
         assert [t for p in parts for t in p.column(1).to_pylist()] == texts
         assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= size for p in parts)
     assert not list(slices(batch.slice(0, 0), 1, 10))
+
+
+def test_simhash_blocks_keep_chance_meetings_in_proportion_to_the_points():
+    """Expected random pairs of a cell stay under the cells themselves, at every number of points."""
+    before = 0
+    for n in (0, 1, 10**5, 10**6, 10**7, 10**8, 10**9, 10**10):
+        blocks = simhash.blocks_for(n)
+        assert blocks >= before
+        before = blocks
+        assert n * 0.375 ** (32 * (blocks - 4) / blocks) < 2
+
+
+@pytest.mark.parametrize("blocks", [8, 9, 10, 12, 16])
+def test_simhash_links_are_those_of_all_pairs_at_every_number_of_blocks(spark, blocks):
+    rng = random.Random(blocks)
+    fps = [rng.getrandbits(64) for _ in range(60)]
+    fps += [f ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 5))) for f in fps for _ in range(3)]
+    fps = sorted({int(np.uint64(f).astype(np.int64)) for f in fps})
+    near = [(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 4]
+    table = spark.createDataFrame([(f,) for f in fps], "fp bigint")
+    got = {(min(r), max(r)) for r in simhash.links(table, blocks=blocks).collect()}
+    assert got == set(near)
+
+
+def test_line_dedup_of_a_text_of_many_dropped_lines(spark):
+    """Positions, not a search of the dropped keys for each line: 60,000 lines of which two thirds go."""
+    lines = [f"line number {i} of a very long text" if i % 3 else f"own {i}" for i in range(60_000)]
+    own = "\n".join(x for i, x in enumerate(lines) if i % 3 == 0)
+    docs = spark.createDataFrame([(i, "\n".join(lines)) for i in (1, 2, 3)] + [(1, "x\nline number 1 of a very long text \nx")], "doc_id bigint, text string")
+    got = {(r["doc_id"], r["n_lines"]): (r["n_dropped"], r["text"]) for r in line_dedup.dedup_lines(docs, counts=True).collect()}
+    assert got == {(1, 60_000): (40_000, own), (2, 60_000): (40_000, own), (3, 60_000): (0, "\n".join(lines)), (1, 3): (1, "x\nx")}
