@@ -153,6 +153,17 @@ class WordEncoder:
 
     def _words(self, words: list[bytes]) -> tuple[list[bytes], list[bytes]]:
         """Per word its ids and decoded bytes, long words by windows."""
+        long = [i for i, w in enumerate(words) if len(w) > WINDOW]
+        if not long:
+            return self._queries(words)
+        ids, decoded = [b""] * len(words), [b""] * len(words)
+        short = [i for i, w in enumerate(words) if len(w) <= WINDOW]
+        for at, parts in ((short, self._queries([words[i] for i in short])), (long, self._long_words([words[i] for i in long]))):
+            for i, ids[i], decoded[i] in zip(at, *parts, strict=True):
+                pass
+        return ids, decoded
+
+    def _long_words(self, words: list[bytes]) -> tuple[list[bytes], list[bytes]]:
         windows = [_Window(i, a, min(a + WINDOW, len(w))) for i, w in enumerate(words) for a in range(0, max(len(w) - WINDOW // 2, 1), WINDOW // 2)]
         while new := [x for x in windows if x.ids is None]:
             ids, decoded = self._queries([words[x.word][x.start : x.end] for x in new])

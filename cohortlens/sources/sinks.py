@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.calendar import month_label, month_ordinal
+from cohortlens.plans.materialize import materialize
 from cohortlens.sources.schema import SCHEMAS
 
 
@@ -31,12 +32,16 @@ def _single_line(name: str) -> Column:
 
 
 def _by_month(rows: DataFrame, rows_per_file: int) -> DataFrame:
-    """``rows`` in ranges of (order_month, order_id); the input's partition splits what copies of one order would keep together."""
+    """``rows`` in ranges of (order_month, order_id); the input's partition splits what copies of one order would keep together.
+
+    They are computed once and stored: the tasks that deal the ranges then hold a file split each, not a partition of whatever made the rows.
+    """
     if rows_per_file < 1:
         raise ValueError("rows_per_file must be positive")
+    rows = materialize(rows.withColumn("_source", F.spark_partition_id()), "export")
     ranges = max(1, -(-rows.count() // rows_per_file))
     keys = ["order_month"] + ["order_id"] * ("order_id" in rows.columns)
-    return rows.withColumn("_source", F.spark_partition_id()).repartitionByRange(ranges, *keys, "_source").sortWithinPartitions(*keys).drop("_source")
+    return rows.repartitionByRange(ranges, *keys, "_source").sortWithinPartitions(*keys).drop("_source")
 
 
 def write_csv(
@@ -56,7 +61,8 @@ def write_csv(
     (month, order id) of about ``rows_per_file`` rows each, so that a month has
     about its rows / ``rows_per_file`` files and at most two more, however many tasks
     write, and each file holds a range of order ids. No file has more than twice
-    that many rows. Orders without a date go to a folder of their own. A line break in a value fails
+    that many rows. The rows are stored in the shared folder meanwhile (see
+    :func:`cohortlens.plans.materialize.materialize`). Orders without a date go to a folder of their own. A line break in a value fails
     the write, since such a file can't be split on reading, unless
     ``multiline`` allows it; read it back with ``multiline`` then.
     """

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 SIGNUP_OFFSET_DAYS = 40  # fixed: signup lies 0..39 days before the first order
 
+LINES_PER_PARTITION = 1_000_000  # of the join of lines and orders; some 100 MB to sort
+
 # Fixed schemas of the test tables used here (no schema inference on read).
 TABLE_SCHEMAS = {
     "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
@@ -99,9 +101,16 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines with their order's customer and date: rows of the full fact schema."""
+    """Order lines with their order's customer and date: rows of the full fact schema.
+
+    Tables of many lines are joined in as many partitions as they need, not in the session's fixed number.
+    """
     o = orders(spark, sf_dir).select("order_id", "customer_id", "order_date")
-    return order_lines(spark, sf_dir).join(o, "order_id").select(
+    lines = order_lines(spark, sf_dir)
+    partitions = -(-lines.count() // LINES_PER_PARTITION)
+    if partitions > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        o, lines = (x.repartition(partitions, "order_id") for x in (o, lines))
+    return lines.join(o, "order_id").select(
         "order_id", "customer_id", "product_id", "order_date", "quantity", "order_value"
     )
 

@@ -237,3 +237,28 @@ def test_jdbc_argument_checks(spark):
         load_star_schema(spark, "jdbc", {"customers": "c", "products": "p", "orders": "o"}, url="jdbc:none://x")
     with pytest.raises(ValueError, match="unknown format"):
         load_star_schema(spark, "xml", {"customers": "c", "products": "p", "orders": "o"})
+
+
+def test_rows_laid_out_by_month_are_computed_once(spark, tmp_path):
+    computed = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            computed.add(batch.num_rows)
+            yield batch
+
+    o = orders_df(spark, [(i, 1, f"2024-{1 + i % 12:02d}-05", i) for i in range(240)])
+    counted = o.mapInArrow(count, o.schema)
+    sinks.write_csv(counted, str(tmp_path / "fact"), "orders", partition_by_month=True, rows_per_file=50)
+    assert computed.value == 240
+    assert rows(readers.read_csv(spark, str(tmp_path / "fact"), "orders")) == rows(o)
+
+
+def test_partitions_of_the_facts_follow_the_lines(spark, monkeypatch):
+    plain = rows(testdata.order_facts(spark, SF))
+    monkeypatch.setattr(testdata, "LINES_PER_PARTITION", 500)
+    facts = testdata.order_facts(spark, SF)
+    lines = testdata.lineitem(spark, SF).count()
+    written = facts._jdf.queryExecution().toString()
+    assert "hashpartitioning(order_id#" in written and f", {-(-lines // 500)})" in written
+    assert rows(facts) == plain
