@@ -4,9 +4,9 @@ Method: each task cuts its texts into words by the tokenizer's pattern and
 keeps the words it has not met yet. They enter a DuckDB recursive query as
 token-position rows (one per byte at first); every step joins neighbouring
 rows with the merge table and contracts each word's leftmost pair of minimum
-rank, until no word has a pair left. An ordered aggregation over the final
-rows gives a word's ids and, through the vocabulary table, its decoded bytes;
-a document is its words' ids and bytes in order.
+rank, until no word has a pair left. The final rows in order give a word's ids
+and, through the vocabulary table, its decoded bytes; a document is its words'
+ids and bytes in order.
 
 A step contracts every (non-overlapping) occurrence of the word's minimum pair
 at once where that provably gives the same ids: no token that the new one
@@ -37,6 +37,7 @@ from __future__ import annotations
 
 import base64
 import functools
+from array import array
 from dataclasses import dataclass
 from itertools import islice
 
@@ -53,9 +54,10 @@ from cohortlens.llm.narrow import ODD, narrow
 WORDS_AT_ONCE = 500_000
 CACHE_WORDS = 500_000
 KEEP_CHARS = 8
-QUERY_BYTES = 1 << 18
+QUERY_BYTES = 1 << 17
+FREED = "4MB"  # what DuckDB may keep of a query's freed memory
 WINDOW = 128  # even
-BATCH_BYTES = 1 << 22
+BATCH_BYTES = 1 << 21
 
 _STEPS = """
 WITH RECURSIVE step(w, pos, nxt, tok, done) AS (
@@ -83,10 +85,10 @@ WITH RECURSIVE step(w, pos, nxt, tok, done) AS (
    FROM live s LEFT JOIN best b ON b.w = s.w LEFT JOIN change c ON c.w = s.w AND c.pos = s.pos
    WHERE c.w IS NULL OR c.rank IS NOT NULL)
 )
-SELECT s.w, list(s.tok ORDER BY s.pos) AS ids, string_agg(v.hex, '' ORDER BY s.pos) AS decoded
+SELECT s.w, s.tok, v.token
 FROM step s JOIN vocab v ON v.id = s.tok
 WHERE s.done
-GROUP BY s.w ORDER BY s.w
+ORDER BY s.w, s.pos
 """
 
 
@@ -113,22 +115,24 @@ class WordEncoder:
     """The merge and vocabulary tables in an in-memory DuckDB, and a bounded cache of encoded words."""
 
     def __init__(self, ranks: dict[bytes, int], cache_words: int = CACHE_WORDS):
-        left, right, rank = [], [], []
+        left, right, rank = array("i"), array("i"), array("i")
         for token, r in ranks.items():
             for i in range(1, len(token)):
                 a, b = ranks.get(token[:i]), ranks.get(token[i:])
                 if a is not None and b is not None:
                     left.append(a), right.append(b), rank.append(r)
-        left, right, rank = (np.array(x, np.int32) for x in (left, right, rank))
+        left, right, rank = (np.frombuffer(x, np.int32) for x in (left, right, rank))
         # Safe: no merge that takes the new token as a part has a lower rank than its own.
         least = np.full(max(ranks.values(), default=0) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, left, rank)
         np.minimum.at(least, right, rank)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": "", "allocator_flush_threshold": FREED, "allocator_bulk_deallocation_flush_threshold": FREED})
         self.db.register("m", pa.table({"l": left, "r": right, "rank": rank, "safe": least[rank] >= rank}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m")
-        self.db.register("v", pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [x.hex() for x in ranks]}))
+        self.db.register("v", pa.table({"id": pa.array(ranks.values(), pa.int32()), "token": pa.array(ranks, pa.binary())}))
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM v")
+        self.db.unregister("m")
+        self.db.unregister("v")
         self.length = np.zeros(len(least), np.int64)
         for token, r in ranks.items():
             self.length[r] = len(token)
@@ -224,10 +228,11 @@ class WordEncoder:
         self.db.register("bytes_in", rows)
         out = self.db.sql(_STEPS).to_arrow_table().combine_chunks()
         self.db.unregister("bytes_in")
-        lists = out.column("ids").chunk(0)
-        flat_ids = np.asarray(lists.flatten()).astype("<u4").tobytes()
-        ends = (4 * np.asarray(lists.value_lengths()).cumsum()).tolist()
-        return [flat_ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], list(map(bytes.fromhex, out.column("decoded").to_pylist()))
+        ends = np.bincount(np.asarray(out.column("w")), minlength=len(words)).cumsum()
+        ids = np.asarray(out.column("tok")).astype("<u4").tobytes()
+        tokens = out.column("token").to_pylist()
+        pairs = list(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))
+        return [ids[4 * a : 4 * b] for a, b in pairs], [b"".join(tokens[a:b]) for a, b in pairs]
 
 
 @functools.lru_cache(maxsize=1)
@@ -241,21 +246,23 @@ def encode_texts(texts: list[str | None], encoder: WordEncoder, pattern: str) ->
     general, narrowed, odd = regex.compile(pattern), narrow(pattern), ODD
     ids, decoded = [bytearray() for _ in texts], [bytearray() for _ in texts]
     waiting: list[tuple[int, list[str]]] = []
+    met: dict[str, str] = {}  # one string for all places of a word
     n = 0
 
     def flush() -> None:
-        encoder.learn(set().union(*(words for _, words in waiting)))
+        encoder.learn(set(met))
         for i, words in waiting:
             ids[i] += b"".join(map(encoder.ids.__getitem__, words))
             decoded[i] += b"".join(map(encoder.decoded.__getitem__, words))
         waiting.clear()
+        met.clear()
 
     for i, t in enumerate(texts):
         if t is None:
             continue
         split = general if odd.search(t) else narrowed
         found = iter(split.findall(t)) if len(t) < 1_000_000 else (m[0] for m in split.finditer(t))
-        while words := list(islice(found, WORDS_AT_ONCE)):
+        while words := [met.setdefault(w, w) for w in islice(found, WORDS_AT_ONCE)]:
             waiting.append((i, words))
             n += len(words)
             if n >= WORDS_AT_ONCE:

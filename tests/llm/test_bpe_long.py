@@ -79,3 +79,15 @@ def test_a_word_of_a_megabyte():
     (ids,), (decoded,) = bpe.WordEncoder(ranks)._words([word])
     tokens = np.frombuffer(ids, "<u4").tolist()
     assert decoded == word and tokens == library.encode_ordinary(word.decode())
+
+
+def test_only_long_words_are_cut_into_windows(monkeypatch):
+    ranks = bpe.read_ranks(TIKTOKEN)
+    words = [b"a", b"x" * bpe.WINDOW, b"thonon" * 60, b"leeux"]
+    cut = []
+    window = bpe._Window
+    monkeypatch.setattr(bpe, "_Window", lambda word, start, end: cut.append((start, end)) or window(word, start, end))
+    ids, decoded = bpe.WordEncoder(ranks)._words(words)
+    assert decoded == words
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [contract(w, ranks) for w in words]
+    assert cut and all(end - start > bpe.WINDOW // 2 and start < 360 for start, end in cut) and len(cut) < 12
