@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +48,66 @@ def test_suffix_dedup_of_a_large_group_in_every_tier(spark, monkeypatch, whole,
         assert {c: got[d][c] for c in e} == e
 
 
+@pytest.mark.parametrize("step", ["runs", "merge", "pieces"])
+def test_suffix_dedup_holds_little_of_a_batch_at_once(step):
+    rng = random.Random(3)
+    rows = 0
+    if step == "runs":  # 6 MB of texts in one batch
+        texts = [rng.randbytes(3_000) for _ in range(2_000)]
+        b = pa.RecordBatch.from_arrays([pa.array(range(2_000)), pa.array(range(2_000)), pa.array(texts, pa.binary())], ["doc", "th", "text"])
+        found, limit, least = suffix_dedup._find_runs(iter([b]), 400), 30, 2_000
+    elif step == "merge":  # 2 MB of strings, three under a key
+        held = [(k, j, j, 1, rng.randbytes(100) + bytes([k % 251]) * 100 + rng.randbytes(500)) for k in range(1_000) for j in range(3)]
+        c = list(zip(*held, strict=True))
+        b = pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in c[:4]), pa.array(c[4], pa.binary())], ["rk", "pa", "pb", "n", "string"])
+        found, limit, least = suffix_dedup._merge_buckets(iter([b]), 400), 110, 0
+    else:  # a piece for each of 300,000 starts
+        text = rng.randbytes(301_000)
+        runs = [{"s": s, "e": s + 99, "o": 150, "key": s, "ra": s, "rb": s, "single": True, "tier": 2} for s in range(0, 300_000, 100)]
+        b = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array([text], pa.binary()), pa.array([runs])], ["doc", "th", "text", "runs"])
+        found, limit, least = suffix_dedup._pieces(iter([b]), 400, False, (1, 2)), 20, 300_000
+    tracemalloc.start()
+    try:
+        for out in found:
+            rows += out.num_rows
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert rows >= least
+    assert peak < limit
+
+
+def test_suffix_dedup_of_small_slices_gives_the_same_rows(monkeypatch):
+    rng = random.Random(4)
+    base = rng.randbytes(6_000)
+    texts = [base, base[700:2_900] + b"x", b"", b"ab" * 900, b"y" + base[1_000:4_400], base[:399], base[:1_500] + b"#" + base[1_501:]]
+    b = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(range(7)), pa.array(texts, pa.binary())], ["doc", "th", "text"])
+
+    def rows(batches) -> list[tuple]:
+        return [x for out in batches for x in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+
+    runs = [[] for _ in texts]
+    for i, (doc, _, s, e, o, key, ra, rb) in enumerate(rows(suffix_dedup._find_runs(iter([b]), 400))):
+        runs[doc].append({"s": s, "e": e, "o": o, "key": key, "ra": ra, "rb": rb, "single": i % 4 > 0, "tier": i % 3})
+    ranges = [[{"a": r["s"], "b": r["e"]} for r in rs if r["single"]] for rs in runs]
+    with_runs = pa.RecordBatch.from_arrays([*b.columns, pa.array(runs)], ["doc", "th", "text", "runs"])
+    with_ranges = pa.RecordBatch.from_arrays([*b.columns, pa.array(ranges)], ["doc", "th", "text", "ranges"])
+
+    def results() -> list:
+        found = rows(suffix_dedup._find_runs(iter([b]), 400))
+        return [
+            sorted((doc, th, s + i, o - i, key) for doc, th, s, e, o, key, _, _ in found for i in range(e - s + 1)),
+            *(rows(suffix_dedup._pieces(iter([with_runs]), 400, strings, tiers)) for strings, tiers in ((True, (0,)), (True, (1, 2)), (False, (1, 2)))),
+            rows(suffix_dedup._cut_texts(iter([with_ranges]), 400)),
+        ]
+
+    expected = results()
+    assert all(expected)
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 500)
+    monkeypatch.setattr(suffix_dedup, "PIECES", 3, raising=False)
+    assert results() == expected
+
+
 @pytest.mark.parametrize("limit", [2, 64])
 def test_simhash_links_make_the_components_of_all_pairs(spark, limit):
     """A dense cloud of fingerprints, whose cells are over the limit, and loose ones."""
