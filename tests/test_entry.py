@@ -59,3 +59,11 @@ def test_the_rest_of_the_suite_runs_without_the_corpus_folders(bare):
     assert listed.returncode == 0, listed.stdout[-2000:]
     some = _run(bare, "-m", "pytest", "tests/test_functions.py", "tests/test_ltv.py", "tests/test_cli.py", "-q", "-x", "-p", "no:cacheprovider")
     assert some.returncode == 0, some.stdout[-2000:]
+
+
+def test_the_suite_is_listed_without_duckdb(tmp_path):
+    copy = tmp_path / "repo"
+    shutil.copytree(ROOT, copy, ignore=CORPUS)
+    (copy / "duckdb.py").write_text("raise ImportError('not here')\n")
+    listed = _run(copy, "-m", "pytest", "tests", "--collect-only", "-q", "-p", "no:cacheprovider")
+    assert listed.returncode == 0, listed.stdout[-2000:]
